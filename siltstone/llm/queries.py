@@ -10,6 +10,12 @@ from . import mixing, secrets, warc
 from .base import table
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan
 
@@ -23,6 +29,12 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import removed
+
+    return removed(table(spark, sf_dir, "documents"), length=50)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -81,7 +93,9 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_pieces": op4_pieces,
     "op5_mixing": op5_mixing,
+    "op6_embeddings": op6_embeddings,
     "op7_licenses": op7_licenses,
+    "op8_suffixes": op8_suffixes,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }

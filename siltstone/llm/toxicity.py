@@ -33,13 +33,15 @@ SAMPLE = 4000
 SEQUENCE = 64
 #: Score from which a document is called toxic, and marginal from which a word offends.
 TOXIC, OFFENDS = 0.7, 0.5
+#: Marginals below this don't add up over a long text.
+COUNTS = 0.3
 WORD = re.compile(r"[^\W\d_]+")
 #: Words whose weights a worker remembers.
 MEMORY = 400_000
 
 
 def features(word: str) -> list[str]:
-    return [word, *(word[:k] + "*" for k in (4, 5) if len(word) > k)]
+    return [word, *(word[:k] + "*" for k in (4, 5, 6, 7) if len(word) > k)]
 
 
 def held_out(id_: Column) -> Column:
@@ -57,7 +59,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> l
     return [seen[i] for i in sorted(seen)]
 
 
-def toxic_words(sample: list[tuple[list[str], int]], chance: float = 1e-6, odds: float = 25.0) -> set[str]:
+def toxic_words(sample: list[tuple[list[str], int]], chance: float = 1e-6, odds: float = 8.0) -> set[str]:
     """Features that mark words of toxic spans: far likelier in toxic documents than
     in clean ones, by more than ``chance`` would make of one feature in a million."""
     counts = Counter(), Counter()
@@ -129,15 +131,16 @@ class Chain:
                 self.plain[n] = max(self.marginals(weights))
             return self.plain[n], []
         p = self.marginals(weights)
+        whole = 1.0 - math.prod(1.0 - x for x in p if x >= COUNTS)
         bad = [i for i, x in enumerate(p) if x >= OFFENDS]
         if not bad:
-            return max(p), []
+            return max(whole, max(p)), []
         if len(low) == len(text):
             at = [m.span() for m in WORD.finditer(low)]
         else:  # some letters grow when lower-cased: take the words as they stand
             at = [m.span() for m in WORD.finditer(text)]
             bad = [i for i in bad if i < len(at)]
-        return 1.0 - math.prod(1.0 - p[i] for i in bad), [at[i] for i in bad]
+        return whole, [at[i] for i in bad]
 
 
 def fit(sample: list[tuple[str, int]], rounds: int = 80, rate: float = 0.25, penalty: float = 0.5) -> Chain:
