@@ -2,5 +2,472 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from siltstone.functions import scalar as S
+from siltstone.operators import claims as C
+from siltstone.operators import graph as G
+from siltstone.operators import ledger as L
+from siltstone.operators import policy as P
+from siltstone.operators import reports as R
+from siltstone.operators import search as Q
+from siltstone.operators import timeline as T
+from siltstone.sources import rows as X
+from siltstone.streaming import ingest as I
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of a table reader under its name."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+_LEDGER = """SELECT event_id, ts AS accepted_at, user_id AS record, event_type AS kind, value, props, event_type = 'error' AS deleted,
+ CASE WHEN event_id % 4 < 3 THEN (event_id % 4)::INT END AS sensitivity FROM events"""
+_LIVE = f"""WITH l AS ({_LEDGER}), live AS (SELECT * FROM l a WHERE NOT deleted AND NOT EXISTS (SELECT 1 FROM l t WHERE t.deleted AND t.record = a.record
+ AND (t.accepted_at > a.accepted_at OR (t.accepted_at = a.accepted_at AND t.event_id > a.event_id))))"""
+
+
+def _ledger(t) -> DataFrame:
+    return L.from_events(t("events"))
+
+
+@query(f"{_LIVE} SELECT event_id, record, kind FROM live")
+def ledger_live(t):
+    return L.live(_ledger(t), "record").select("event_id", "record", "kind")
+
+
+@query(f"WITH l AS ({_LEDGER}) SELECT event_id, record, kind FROM (SELECT *, row_number() OVER (PARTITION BY record, kind ORDER BY accepted_at DESC, event_id DESC) n FROM l WHERE sensitivity <= 1 AND NOT deleted) WHERE n = 1")
+def ledger_current_version(t):
+    scoped = _ledger(t).where(P.within_ceiling(F.col("sensitivity"), 1) & ~F.col("deleted"))
+    return L.current(scoped, "record", "kind").select("event_id", "record", "kind")
+
+
+@query(f"WITH l AS ({_LEDGER}) SELECT record, kind, props, arg_min(event_id, (accepted_at, event_id)) AS event_id, count(*) AS n_seen FROM l GROUP BY ALL")
+def ledger_dedup(t):
+    return L.deduplicated(_ledger(t), "record", "kind", "props")
+
+
+@query(f"WITH l AS ({_LEDGER}), b AS (SELECT DISTINCT record, kind, props FROM l WHERE event_id % 2 = 0) SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM l WHERE event_id % 2 = 1 AND l.record = b.record AND l.kind = b.kind AND l.props = b.props)")
+def ledger_accept(t):
+    rows = _ledger(t)
+    return L.accept(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), "record", "kind", "props").select("record", "kind", "props")
+
+
+@query(f"WITH l AS ({_LEDGER}) SELECT event_id, accepted_at FROM l WHERE (accepted_at, event_id) > (TIMESTAMP '2024-01-03 00:00:00', 0) ORDER BY accepted_at, event_id LIMIT 100")
+def ledger_read_since(t):
+    return L.read_since(_ledger(t), F.to_timestamp_ntz(F.lit("2024-01-03 00:00:00")), 0, 100).select("event_id", "accepted_at")
+
+
+@query(f"WITH l AS ({_LEDGER}) SELECT record, event_id, versions, deleted FROM (SELECT *, count(*) OVER (PARTITION BY record) versions, row_number() OVER (PARTITION BY record ORDER BY accepted_at DESC, event_id DESC) n FROM l) WHERE n = 1")
+def record_history(t):
+    return L.history(_ledger(t), "record").select("record", "event_id", "versions", "deleted")
+
+
+@query(f"WITH l AS ({_LEDGER}) SELECT kind, count(*) AS n_rows, count(DISTINCT record) AS n_records FROM l WHERE record % 7 = 3 OR kind = 'error' GROUP BY kind")
+def purge_preview(t):
+    return L.purge(_ledger(t), (F.col("record") % 7 == 3) | (F.col("kind") == "error"))
+
+
+@query("SELECT event_id, ts, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-03' ORDER BY ts, event_id LIMIT 200")
+def timeline_day(t):
+    return T.page(t("events").where(T.day_window(F.col("ts"), "2024-01-02")), "ts", "event_id", 200).select("event_id", "ts", "event_type")
+
+
+@query("SELECT event_id, ts, event_type FROM events WHERE (ts, event_id) > (TIMESTAMP '2024-01-02 12:00:00', 100) ORDER BY ts, event_id LIMIT 50")
+def timeline_keyset(t):
+    return T.page(t("events"), "ts", "event_id", 50, after=("2024-01-02 12:00:00", 100)).select("event_id", "ts", "event_type")
+
+
+@query(r"SELECT doc_id, substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 160) AS preview FROM documents")
+def timeline_preview(t):
+    return t("documents").select("doc_id", S.preview(F.col("text")).alias("preview"))
+
+
+@query("SELECT doc_id, substr(text, 11, 80) AS slice, sha256(text) AS integrity FROM documents")
+def text_expand(t):
+    s = S.text_slice(F.col("text"), F.lit(10), F.lit(80))
+    return t("documents").select("doc_id", s["slice"].alias("slice"), s["integrity"].alias("integrity"))
+
+
+_DENY = """CASE WHEN sensitivity IS NULL THEN 'missing_label' WHEN sensitivity > 1 THEN 'ceiling' WHEN kind = 'purchase' THEN 'class' WHEN kind NOT IN ('click', 'view', 'purchase') THEN 'type'
+ WHEN accepted_at < TIMESTAMP '2024-01-02' OR accepted_at > TIMESTAMP '2024-01-20' THEN 'time' END"""
+
+
+def _denied(t):
+    rows = _ledger(t)
+    grant = P.Grant(1, ("click", "view", "purchase"), ("credential",), (), "2024-01-02 00:00:00", "2024-01-20 00:00:00")
+    classes = F.when(F.col("kind") == "purchase", F.array(F.lit("credential"))).otherwise(F.array().cast("array<string>"))
+    return rows.withColumn("deny_reason", P.deny_reason(grant, F.col("sensitivity"), F.col("kind"), classes, F.col("record"), F.col("accepted_at")))
+
+
+@query(f"WITH l AS ({_LEDGER}) SELECT event_id, {_DENY} AS deny_reason FROM l")
+def policy_authorize(t):
+    return _denied(t).select("event_id", "deny_reason")
+
+
+@query(f"WITH l AS ({_LEDGER}) SELECT coalesce({_DENY}, 'served') AS reason, count(*) AS n FROM l GROUP BY 1")
+def policy_nonserved_summary(t):
+    return _denied(t).groupBy(F.coalesce("deny_reason", F.lit("served")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey % 3 <= 1)")
+def policy_source_grants(t):
+    grants = t("customer").select(F.col("c_custkey").alias("source"), (F.col("c_acctbal") > 0).alias("active"), F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), F.array(F.lit("recall"))).otherwise(F.array().cast("array<string>")).alias("purposes"), (F.col("c_nationkey") % 3).alias("floor"))
+    return P.source_allows(t("orders").withColumnRenamed("o_custkey", "source"), grants, "recall", 1).select("o_orderkey")
+
+
+@query("SELECT event_id, coalesce(CASE WHEN event_id % 11 = 0 THEN 0 END, greatest(event_id % 3, CASE WHEN event_type = 'error' THEN 2 ELSE 0 END, user_id % 2))::BIGINT AS sensitivity FROM events")
+def sensitivity_resolve(t):
+    got = P.resolved_sensitivity(F.col("event_id") % 3, F.when(F.col("event_type") == "error", 2).otherwise(0), F.col("user_id") % 2, F.when(F.col("event_id") % 11 == 0, 0))
+    return t("events").select("event_id", got.cast("long").alias("sensitivity"))
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n_window, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) > 2 AS limited FROM events")
+def rate_window(t):
+    return P.rate(t("events"), "user_id", "ts", 3600, 2).select("event_id", "n_window", "limited")
+
+
+_SEARCH = r"""len(regexp_extract_all(lower({0}), '(?:^|[^\p{{L}}\p{{N}}]){1}(?:[^\p{{L}}\p{{N}}]|$)'))::DOUBLE"""
+_B = _SEARCH.format("text", "the") + " + " + _SEARCH.format("text", "and")
+_H = _SEARCH.format("source", "the") + " + " + _SEARCH.format("source", "and")
+
+
+@query(f"""SELECT doc_id, score FROM (SELECT doc_id, round((4 * (h / (1 + h)) + b / (1 + b)) / (1000 + least(length(text), 1000)), 10) AS score FROM (SELECT *, {_B} AS b, {_H} AS h,
+ {_SEARCH.format('text', 'the')} AS b1, {_SEARCH.format('text', 'and')} AS b2 FROM documents) WHERE b1 > 0 AND b2 > 0) ORDER BY score DESC, doc_id LIMIT 20""")
+def search_literal(t):
+    docs = t("documents")
+    found = Q.literal(docs, "the and", "source", "text", "doc_id", 60).withColumn("score", F.round("score", 10))
+    return found.orderBy(F.desc("score"), "doc_id").limit(20).select("doc_id", "score")
+
+
+@query("SELECT doc_id, covered::INT AS covered, round(covered / 3, 6) AS coverage FROM (SELECT doc_id, (contains(lower(text), 'tion')::INT + contains(lower(text), 'licens')::INT + contains(lower(text), 'ment')::INT) AS covered FROM documents) WHERE covered >= 2")
+def search_relaxed(t):
+    return Q.relaxed(t("documents"), ["tion", "licens", "ment"], 2, "text").select("doc_id", "covered", F.round("coverage", 6).alias("coverage"))
+
+
+_TF = "len(list_filter(w, lambda x: x = '{0}'))"
+
+
+@query(rf"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents), c AS (SELECT doc_id, len(w) AS n, {_TF.format('the')} AS a, {_TF.format('license')} AS b FROM w),
+ s AS (SELECT count(*) AS docs, avg(n) AS mean, sum((a > 0)::INT) AS da, sum((b > 0)::INT) AS db FROM c)
+SELECT doc_id, round(ln(1 + (docs - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + ln(1 + (docs - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score FROM c, s WHERE a + b > 0""")
+def search_bm25(t):
+    return Q.bm25(t("documents"), ["the", "license"], "doc_id", "text").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 5) AS similarity FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) DESC, vec_id LIMIT 20")
+def vector_topk(t):
+    vectors = t("embeddings")
+    first = vectors.where("vec_id = 0").select("embedding").first()
+    found = Q.nearest(vectors, first[0] if first else [1.0], "vec_id", "embedding", 20)
+    return found.select("vec_id", F.round("similarity", 5).alias("similarity"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, len(regexp_extract_all(lower(text), '(?:^|[^\p{L}\p{N}])the(?:[^\p{L}\p{N}]|$)')) AS n FROM documents),
+ a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n DESC, doc_id) AS rank FROM w WHERE n > 0 QUALIFY rank <= 200),
+ b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY round(embedding[1]::DOUBLE, 6) DESC, vec_id) AS rank FROM embeddings QUALIFY rank <= 200),
+ f AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS fused, count(*) AS n_lists FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id)
+SELECT id, round(fused, 8) AS fused, n_lists, round(0.7::DOUBLE * fused / (SELECT max(fused) FROM f) + 0.3::DOUBLE * coalesce(round(e.embedding[2]::DOUBLE, 6), 0), 6) AS score FROM f LEFT JOIN embeddings e ON id = vec_id""")
+def hybrid_rrf(t):
+    docs = t("documents").select(F.col("doc_id").alias("id"), Q.spans(F.col("text"), "the").alias("n")).where("n > 0").orderBy(F.desc("n"), "id").limit(200)
+    vectors = t("embeddings").select(F.col("vec_id").alias("id"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("n"), F.round(F.element_at("embedding", 2).cast("double"), 6).alias("similarity"))
+    best = vectors.orderBy(F.desc("n"), "id").limit(200)
+    fused = Q.fused([Q.ranked(docs, "n", "id"), Q.ranked(best, "n", "id")], "id").join(vectors.select("id", "similarity"), "id", "left")
+    return Q.rescored(fused, "fused", "similarity").select("id", F.round("fused", 8).alias("fused"), "n_lists", F.round("score", 6).alias("score"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents),
+ k AS (SELECT doc_id, w, unnest(range(0, greatest(0, ceil((len(w) - 20) / 80.0)::INT - 1) + 1)) AS chunk FROM w WHERE len(w) > 0)
+SELECT doc_id, chunk::BIGINT AS chunk, len(w[chunk * 80 + 1 : chunk * 80 + 100])::BIGINT AS n_words, array_to_string(w[chunk * 80 + 1 : chunk * 80 + 100], ' ') AS text FROM k""")
+def chunk_documents(t):
+    return Q.chunks(t("documents"), "doc_id", "text", 100, 20)
+
+
+@query(r"""WITH n AS (SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS t FROM benchmark WHERE len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) > 0)
+SELECT a.item_id AS left_id, b.item_id AS right_id, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE AS similarity FROM n a JOIN n b ON a.item_id < b.item_id
+WHERE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE >= 0.3""")
+def near_claim_pairs(t):
+    return Q.near_claims(t("benchmark"), "item_id", "text", 0.3)
+
+
+@query(r"""WITH r AS (SELECT d.lang AS lang, b.item_id, min(d.doc_id) AS doc_id FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY ALL),
+ k AS (SELECT coalesce(lang, 'none') AS lang, CASE WHEN doc_id IS NULL THEN NULL ELSE 1 + doc_id % 7 END AS rank FROM r)
+SELECT lang, count(*) AS n, round(avg((coalesce(rank, 1000) <= 1)::INT::DOUBLE), 6) AS hit_1, round(avg((coalesce(rank, 1000) <= 5)::INT::DOUBLE), 6) AS hit_5, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM k GROUP BY lang""")
+def search_eval_metrics(t):
+    items = t("benchmark").withColumnRenamed("text", "passage")
+    found = items.join(t("documents"), F.contains("text", "passage"), "left").groupBy("lang", "item_id").agg(F.min("doc_id").alias("doc_id"))
+    ranks = found.select(F.coalesce("lang", F.lit("none")).alias("lang"), (1 + F.col("doc_id") % 7).alias("rank"))
+    m = Q.eval_metrics(ranks, "lang", "rank")
+    return m.select("lang", "n", *(F.round(c, 6).alias(c) for c in ("hit_1", "hit_5", "mrr")))
+
+
+_HREF = r"""SELECT page_id AS src, unnest(list_distinct(regexp_extract_all(html, 'href="/([^"]+)"', 1))) AS target FROM pages"""
+
+
+@query(f"""WITH l AS ({_HREF}), t AS (SELECT page_id, lower(regexp_extract(html, '<title>([^< ]+)', 1)) AS name FROM pages), u AS (SELECT name, min(page_id) AS page FROM t WHERE name <> '' GROUP BY name HAVING count(DISTINCT page_id) = 1)
+SELECT DISTINCT src, coalesce(page::VARCHAR, target) AS dst FROM l LEFT JOIN u ON lower(target) = name""")
+def graph_project(t):
+    pages = t("pages")
+    links = pages.select(F.col("page_id").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r'href="/([^"]+)"'), F.lit(1)))).alias("target"))
+    title = F.regexp_extract("html", r"<title>([^< ]+)", 1)
+    named = pages.select("page_id", F.filter(F.array(title), lambda x: x != "").alias("names"))
+    return G.resolved(links, named)
+
+
+_EDGES = "SELECT DISTINCT l_suppkey AS src, 1000000 + l_partkey AS dst FROM lineitem WHERE l_quantity >= 45"
+
+
+def _edges(t):
+    return t("lineitem").where("l_quantity >= 45").select(F.col("l_suppkey").alias("src"), (1000000 + F.col("l_partkey")).alias("dst")).distinct()
+
+
+@query(f"WITH e AS ({_EDGES}) SELECT src, dst FROM e WHERE src = 7 ORDER BY src, dst LIMIT 100")
+def graph_neighbors_1(t):
+    start = t("supplier").where("s_suppkey = 7").select(F.col("s_suppkey").alias("node"))
+    return G.incident(_edges(t), start, 100).select("src", "dst")
+
+
+@query(f"""WITH e AS ({_EDGES}), b AS (SELECT src AS node, dst AS next FROM e UNION ALL SELECT dst, src FROM e), h1 AS (SELECT DISTINCT next AS node, 1 AS hops FROM b WHERE node = 7),
+ h2 AS (SELECT DISTINCT next AS node, 2 AS hops FROM b JOIN h1 USING (node)) SELECT node, min(hops)::INT AS hops FROM (SELECT 7 AS node, 0 AS hops UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY node""")
+def graph_neighbors_2(t):
+    start = t("supplier").where("s_suppkey = 7").select(F.col("s_suppkey").alias("node"))
+    return G.walk(_edges(t), start, 2)
+
+
+@query("WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey * 2 + k AS dst FROM part, (SELECT unnest([1, 2]) AS k) WHERE p_partkey * 2 + k < 500), r(node, hops) AS (SELECT 0::BIGINT, 0 UNION ALL SELECT e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.node WHERE r.hops < 6) SELECT node, min(hops)::INT AS hops FROM r GROUP BY node")
+def graph_reach_recursive(t):
+    p = F.col("p_partkey")
+    edges = t("part").select(p.alias("src"), F.explode(F.array(p * 2 + 1, p * 2 + 2)).alias("dst")).where("dst < 500")
+    return G.reach(edges, 0, 6)
+
+
+@query("""WITH RECURSIVE l AS (SELECT c_custkey AS a, (c_custkey * 7 + 3) % 1500 AS b FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l),
+ r(node, seen) AS (SELECT DISTINCT x, x FROM b UNION SELECT b.y, r.seen FROM r JOIN b ON b.x = r.node) SELECT node, min(seen) AS cluster FROM r GROUP BY node""")
+def identity_components(t):
+    c = F.col("c_custkey")
+    return G.clusters(t("customer").where("c_custkey % 3 <> 0").select(c.alias("a"), ((c * 7 + 3) % 1500).alias("b")))
+
+
+_CLAIMS = """SELECT o_orderkey AS claim_id, o_custkey AS claim_key, o_orderstatus AS object, o_orderdate AS valid_from,
+ CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate + INTERVAL 90 DAY END AS valid_to, (1 + o_orderkey % 4)::INT AS tier, (o_orderkey % 100) / 100.0::DOUBLE AS confidence FROM orders"""
+_FAR = "coalesce({}, TIMESTAMP '9999-12-31')"
+_PAIR = f"a.claim_key = b.claim_key AND a.claim_id < b.claim_id AND a.object <> b.object AND a.valid_from < {_FAR.format('b.valid_to')} AND b.valid_from < {_FAR.format('a.valid_to')}"
+
+
+def _claims(t):
+    k = F.col("o_orderkey")
+    ends = F.when(k % 5 != 0, F.expr("o_orderdate + INTERVAL 90 DAY"))
+    return t("orders").select(k.alias("claim_id"), F.col("o_custkey").alias("claim_key"), F.col("o_orderstatus").alias("object"), F.col("o_orderdate").alias("valid_from"), ends.alias("valid_to"), (1 + k % 4).cast("int").alias("tier"), ((k % 100) / 100.0).alias("confidence"))
+
+
+@query(f"WITH c AS ({_CLAIMS}) SELECT a.claim_id AS old_id, b.claim_id AS new_id FROM c a JOIN c b ON {_PAIR}")
+def claim_conflicts(t):
+    return C.conflicts(_claims(t)).select(F.col("a.claim_id").alias("old_id"), F.col("b.claim_id").alias("new_id"))
+
+
+@query(f"""WITH c AS ({_CLAIMS}) SELECT CASE WHEN b.tier = 4 THEN 'R5' WHEN a.tier = 4 THEN 'R1' WHEN b.tier = 1 AND a.tier >= 2 THEN 'R2' WHEN b.tier <> a.tier THEN 'R1'
+ WHEN abs(a.confidence - b.confidence) < 0.15::DOUBLE - 2.220446049250313e-16 AND a.tier <= 2 THEN 'R4' ELSE 'R3' END AS rule, count(*) AS n FROM c a JOIN c b ON {_PAIR} GROUP BY 1""")
+def claim_resolution(t):
+    return C.conflicts(_claims(t)).select(C.rule().alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_partkey, count(DISTINCT l_suppkey) AS n_roots, max(l_discount) AS best, count(DISTINCT l_suppkey) < 2 AS held_back FROM lineitem GROUP BY l_partkey")
+def claim_corroboration(t):
+    return C.corroboration(t("lineitem"), "l_partkey", "l_suppkey", "l_discount")
+
+
+@query(f"WITH c AS ({_CLAIMS}) SELECT claim_key, gap_from, valid_from AS gap_to FROM (SELECT *, max({_FAR.format('valid_to')}) OVER (PARTITION BY claim_key ORDER BY valid_from, claim_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap_from FROM c) WHERE gap_from < valid_from")
+def claim_gaps(t):
+    return C.gaps(_claims(t))
+
+
+@query(f"WITH c AS ({_CLAIMS}), n AS (SELECT *, lead(valid_from) OVER (PARTITION BY claim_key ORDER BY valid_from, claim_id) AS nx FROM c) SELECT claim_id, least(valid_to, nx) AS ends, nx IS NOT NULL AS replaced FROM n")
+def claim_supersede(t):
+    return C.superseded(_claims(t)).select("claim_id", "ends", "replaced")
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events WHERE event_id <= 5000 GROUP BY user_id")
+def known_as_of(t):
+    return C.known_as_of(t("events"), "user_id", "event_id", 5000, "event_type", "value").select("user_id", "event_id", "event_type", "value")
+
+
+@query(f"WITH c AS ({_CLAIMS}) SELECT claim_id FROM c WHERE valid_from <= TIMESTAMP '1998-06-01' AND TIMESTAMP '1998-06-01' < {_FAR.format('valid_to')}")
+def valid_time_at(t):
+    at = F.to_timestamp_ntz(F.lit("1998-06-01 00:00:00"))
+    return _claims(t).where((F.col("valid_from") <= at) & (at < C._end(F.col("valid_to")))).select("claim_id")
+
+
+@query("SELECT l_orderkey, count(*) AS n_supports FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_discount <= 0.08)")
+def support_for_all(t):
+    return C.supported_by_all(t("lineitem"), "l_orderkey", F.col("l_discount") <= 0.08)
+
+
+@query("SELECT o_custkey, count(DISTINCT o_orderpriority) AS n_roots, max(o_totalprice) AS best FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderpriority) >= 2")
+def held_until_corroborated(t):
+    return C.corroboration(t("orders"), "o_custkey", "o_orderpriority", "o_totalprice").where("not held_back").drop("held_back")
+
+
+@query("SELECT event_type, count(*) AS n_rows, min(ts) AS first_at, max(ts) AS last_at, count(*) - count(value) AS n_blind, CASE WHEN count(*) < 20 THEN 'sparse' WHEN count(*) > count(value) THEN 'blind' ELSE 'covered' END AS state FROM events GROUP BY event_type")
+def coverage_report(t):
+    return R.coverage(t("events"), "event_type", "ts", "value")
+
+
+@query("SELECT lang, count(*) AS n, round(avg(pow(CASE WHEN n_chars > 500 THEN 0.75 ELSE 0.25 END - quality, 2)), 6) AS brier, 0::BIGINT AS certain_wrong FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+def forecast_scores(t):
+    rows = t("documents").join(t("labels"), "doc_id")
+    p = F.when(F.col("n_chars") > 500, 0.75).otherwise(0.25)
+    return C.brier(rows, "lang", p, F.col("quality")).withColumn("brier", F.round("brier", 6))
+
+
+@query("SELECT count(*) AS n, round(sum(toxic) / count(*)::DOUBLE, 6) AS toxic_rate, round(stddev_samp(quality), 6) AS quality_sd FROM labels")
+def calibration(t):
+    return t("labels").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("toxic") / F.count(F.lit(1)), 6).alias("toxic_rate"), F.round(F.stddev_samp("quality"), 6).alias("quality_sd"))
+
+
+@query("SELECT user_id, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY user_id ORDER BY n DESC, user_id LIMIT 8")
+def top_subjects(t):
+    events = t("events")
+    last = events.agg(F.max("ts").alias("last"))
+    recent = events.crossJoin(F.broadcast(last)).where(F.expr("ts >= last - INTERVAL 7 DAY"))
+    return recent.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "user_id").limit(8)
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS n_users, count(*) AS n, max(ts) AS last_at FROM events GROUP BY event_type ORDER BY last_at DESC, event_type LIMIT 10")
+def daily_brief(t):
+    out = t("events").groupBy("event_type").agg(F.countDistinct("user_id").alias("n_users"), F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_at"))
+    return out.orderBy(F.desc("last_at"), "event_type").limit(10)
+
+
+@query("SELECT source, doc_id, running::BIGINT AS running FROM (SELECT *, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING) AS running FROM documents) WHERE running <= 50000")
+def budget_running(t):
+    return R.budget(t("documents"), "source", [F.col("doc_id").desc()], "n_chars", 50000).select("source", "doc_id", "running")
+
+
+@query("WITH o AS (SELECT o_custkey, max(o_orderstatus) AS v FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01' GROUP BY 1), n AS (SELECT o_custkey, max(o_orderstatus) AS v FROM orders WHERE o_orderdate >= TIMESTAMP '1999-01-01' GROUP BY 1) SELECT o_custkey, CASE WHEN o.v IS NULL THEN 'added' WHEN n.v IS NULL THEN 'removed' ELSE 'changed' END AS change FROM o FULL JOIN n USING (o_custkey) WHERE o.v IS DISTINCT FROM n.v")
+def world_diff(t):
+    cut = F.to_timestamp_ntz(F.lit("1999-01-01 00:00:00"))
+    view = lambda keep: t("orders").where(keep).groupBy("o_custkey").agg(F.max("o_orderstatus").alias("v"))
+    return C.difference(view(F.col("o_orderdate") < cut), view(F.col("o_orderdate") >= cut), "o_custkey", "v")
+
+
+@query("SELECT o_orderkey, cue FROM (SELECT o_orderkey, 'blocker' AS cue, 1 AS r FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' UNION ALL SELECT o_orderkey, 'due', 2 FROM orders WHERE o_orderpriority = '2-HIGH' AND o_orderstatus = 'O') ORDER BY r, o_orderkey LIMIT 16")
+def attention_topk(t):
+    o = t("orders")
+    cue = lambda name, rank, keep: o.where(keep).select("o_orderkey", F.lit(name).alias("cue"), F.lit(rank).alias("r"))
+    both = cue("blocker", 1, "o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'").unionByName(cue("due", 2, "o_orderpriority = '2-HIGH' AND o_orderstatus = 'O'"))
+    return both.orderBy("r", "o_orderkey").limit(16).select("o_orderkey", "cue")
+
+
+@query()
+def packet_pack(t):
+    return R.packed(t("conversations").withColumn("cost", F.ceil(F.length("text") / 4)), "conv_id", ["turn"], "cost", 200)
+
+
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '[0-9a-f]{40}')) AS n_hex, regexp_matches(text, '([Pp]assword|[Ss]ecret|[Tt]oken|[Aa][Pp][Ii]_?[Kk]ey)["'']?\s*[:=]\s*["'']?[^\s"'']{8,}') AS has_secret FROM documents""")
+def redact_counts(t):
+    hit = F.rlike("text", F.lit(S.CREDENTIALS["secret_assignment"]))
+    return t("documents").select("doc_id", F.regexp_count("text", F.lit("[0-9a-f]{40}")).cast("long").alias("n_hex"), hit.alias("has_secret"))
+
+
+@query("SELECT conv_id, count(*) AS turns, arg_min(role, turn) AS first_role, arg_max(role, turn) AS last_role, sum(length(text))::BIGINT AS n_chars FROM conversations GROUP BY conv_id")
+def chat_thread_stats(t):
+    return t("conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.min_by("role", "turn").alias("first_role"), F.max_by("role", "turn").alias("last_role"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
+def html_to_text(t):
+    return t("pages").select("page_id", X.html_text(F.col("html")).alias("text"))
+
+
+@query("""SELECT 'crm' AS connector, c_custkey::VARCHAR AS record, CASE c_mktsegment WHEN 'BUILDING' THEN 'company' WHEN 'MACHINERY' THEN 'company' WHEN 'HOUSEHOLD' THEN 'person' END AS kind, c_name || chr(10) || c_mktsegment AS text,
+ CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD') THEN 'kind_unmapped' END AS skip_reason FROM customer""")
+def row_mapping(t):
+    m = X.Mapping("crm", "c_custkey", kind_column="c_mktsegment", kinds={"BUILDING": "company", "MACHINERY": "company", "HOUSEHOLD": "person"}, text=("c_name", "c_mktsegment"))
+    return X.mapped(t("customer"), m).select("connector", "record", "kind", "text", "skip_reason")
+
+
+@query("SELECT event_id, n::BIGINT AS n, (ts::DATE + n::INT * 2)::DATE::VARCHAR AS day FROM (SELECT event_id, ts, unnest(range(0, 5)) AS n FROM events WHERE event_type = 'view') WHERE dayofweek((ts::DATE + n::INT * 2)::DATE) IN (1, 3)")
+def recurrence_expand(t):
+    views = t("events").where("event_type = 'view'")
+    return X.recurrences(views, "event_id", "ts", F.lit(2), F.lit(5), F.array(F.lit(2), F.lit(4))).withColumn("day", F.col("day").cast("string"))
+
+
+@query("SELECT DISTINCT user_id FROM (SELECT user_id FROM events WHERE event_type = 'click' UNION ALL SELECT user_id FROM events WHERE event_type = 'view') WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 15)")
+def setops(t):
+    e = t("events")
+    of = lambda keep: e.where(keep).select("user_id")
+    return of("event_type = 'click'").unionByName(of("event_type = 'view'")).distinct().join(of("event_type = 'error' AND value > 15").distinct(), "user_id", "left_anti")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, n FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS n FROM lineitem) WHERE n <= 3")
+def topk_per_group(t):
+    w = Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey")
+    return t("lineitem").withColumn("n", F.row_number().over(w)).where("n <= 3").select("l_orderkey", "l_linenumber", "l_partkey", "n")
+
+
+@query("SELECT n_name, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'AFRICA') GROUP BY n_name")
+def star_join(t):
+    nations = t("nation").join(t("region").where(F.col("r_name").isin("ASIA", "AFRICA")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name")
+    joined = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.groupBy("n_name").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS n_orders, string_agg(o_orderstatus, ',' ORDER BY o_orderkey) AS statuses FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+def outer_join_lists(t):
+    o = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))), lambda x: x["o_orderstatus"]), ",").alias("statuses"))
+    return t("customer").select("c_custkey").join(o, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"), "statuses")
+
+
+@query("SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 49)")
+def anti_join(t):
+    big = t("lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey"))
+    return t("supplier").join(big, "s_suppkey", "left_anti").select("s_suppkey")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice), 2) AS price, round(avg(l_discount), 6) AS disc, quantile_disc(l_quantity, 0.5) AS p50, quantile_disc(l_quantity, 0.95) AS p95 FROM lineitem GROUP BY ALL")
+def pricing_summary(t):
+    return t("lineitem").groupBy("l_returnflag", "l_linestatus").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"), F.round(F.sum("l_extendedprice"), 2).alias("price"), F.round(F.avg("l_discount"), 6).alias("disc"),
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_quantity)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY l_quantity)").alias("p95"),
+    )
+
+
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table, read as a stream of files and accepted into a ledger once each."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    run = f"{base}/siltstone/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = I.arrivals(spark, f"{sf_dir}/[e]vents.parquet", schema)
+    I.ingest(stream, f"{run}/ledger", f"{run}/progress", "event_id").awaitTermination()
+    return spark.read.parquet(f"{run}/ledger").select("event_id", "user_id", "event_type")
+
+
+QUERIES["stream_ingest"] = stream_ingest
+ORACLES["stream_ingest"] = "SELECT event_id, user_id, event_type FROM events"
+
+
+@query("SELECT event_type, count(*) AS n, sum((props->>'$.k')::INT)::BIGINT AS k_sum FROM events GROUP BY event_type")
+def json_extract(t):
+    return t("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("props", "$.k").cast("int")).alias("k_sum"))
+
+
+@query("SELECT event_id, prior_id FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prior_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pv, value FROM events) WHERE value < pv")
+def monotone_check(t):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = t("events").withColumn("prior_id", F.lag("event_id").over(w)).withColumn("pv", F.lag("value").over(w))
+    return rows.where(F.col("value") < F.col("pv")).select("event_id", "prior_id")
