@@ -30,9 +30,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     docs = docs.select(*COLUMNS)
     found = simhash.near_duplicates(docs, words=5, radius=3)
     others = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    # rows that repeat the id of a document that stays are copies of it or texts that share its id: one stays
     kept = docs.join(others, "doc_id", "left_anti")
-    return kept.dropDuplicates(["doc_id"])
+    # of rows that share an id one stays; rows without an id are told apart by their texts
+    kept = kept.withColumn("unnamed", F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
+    return kept.dropDuplicates(["doc_id", "unnamed"]).select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

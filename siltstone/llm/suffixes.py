@@ -13,9 +13,11 @@ but those of the smallest id are removed.  A column-wise build of whole texts
 would take as many rounds as the longest text has bytes; fragments have at most
 2 * length - k.
 
-Repeats are folded before every shuffle: a task sends an anchor once for each
-block of documents, and of equal fragments in a block only that of the smallest
-id.  So a passage that a third of all documents share adds little.
+Repeats are folded before every shuffle.  A text of which a smaller id has a copy
+is removed whole; a block of documents sends an anchor once, and of equal
+fragments only that of the smallest id; and of fragments that differ only those
+come into the collection that share the hash of a window, cut to what they
+share.  So a passage that a third of all documents have adds little.
 
 Null texts are empty.  A null id is larger than all others.  Rows with equal ids
 don't remove each other's bytes; a row that repeats id and text is treated
@@ -35,14 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import parallelism
+from .base import hot_join, parallelism, stored
 
 #: Bytes of an anchor, and of text that is looked at together (its places take PLACE bits).
 GRAM, PLACE = 24, 20
 #: Bytes of text in a block, about.
 BLOCK = 16 << 20
 #: Fragments in a collection, but for those of one anchor.
-COLLECTION = 4096
+COLLECTION = 8192
 _P = 0x9E3779B97F4A7C15
 _SIZE = 1 << PLACE
 _powers = np.concatenate(([np.uint64(1)], np.cumprod(np.full(_SIZE, _P, np.uint64))))
@@ -223,9 +225,63 @@ def _runs(hit: np.ndarray, length: int):
     return [(int(a), int(b) + length - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-MARKS = "bucket long, kind int, block long, payload binary"
-_MARK = np.dtype([("id", "<i8"), ("tid", "<i8"), ("start", "<i8"), ("end", "<i8")])
-_FRAG = np.dtype([("key", "<u8"), ("id", "<i8"), ("tid", "<i8"), ("at", "<i8"), ("size", "<i4"), ("block", "<i4")])
+def shared_windows(texts: list[bytes], length: int) -> list[tuple[int, int] | None]:
+    """For each text the first and last of its windows whose hash another text has too, None if there is none."""
+    hashes, owner, place = [], [], []
+    at = 0
+    while at < len(texts):
+        group, size = [], 0
+        while at + len(group) < len(texts) and (not group or size + len(texts[at + len(group)]) <= _SIZE):
+            group.append(texts[at + len(group)])
+            size += len(group[-1])
+        data = np.frombuffer(b"".join(group), np.uint8)
+        sums = np.concatenate(([np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[: len(data)])))
+        sizes = np.array([len(t) for t in group])
+        starts, n = np.cumsum(sizes) - sizes, sizes - length + 1
+        who = np.repeat(np.arange(len(group)), n)
+        off = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+        pos = starts[who] + off
+        hashes.append((sums[pos + length] - sums[pos]) * _inverse[pos])
+        owner.append(who + at)
+        place.append(off)
+        at += len(group)
+    h, who, off = np.concatenate(hashes), np.concatenate(owner), np.concatenate(place)
+    order = np.argsort(h, kind="stable")  # owners ascend within a run
+    h, who, off = h[order], who[order], off[order]
+    start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    end = np.append(start[1:], len(h))
+    keep = np.repeat(who[start] != who[end - 1], end - start)
+    low, high = np.full(len(texts), 1 << 40), np.full(len(texts), -1)
+    np.minimum.at(low, who[keep], off[keep])
+    np.maximum.at(high, who[keep], off[keep])
+    return [(a, b) if b >= 0 else None for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+
+
+FOUND = "bucket long, block long, n long, payload binary"
+_MARK = np.dtype([("row", "<u4"), ("start", "<i8"), ("end", "<i8")])
+#: A payload's columns for fragments: anchor, id, row of the block, first byte, bytes; the fragments' bytes follow.
+_COLUMNS = ("<u8", "<i8", "<u4", "<i8", "<u2")
+
+
+def _rows(frame: pd.DataFrame) -> tuple[list[int], list[bytes], list[int]]:
+    """Ids, texts and row numbers of a block's documents.  Numbers follow from the ids
+    and texts alone, so every stage gives a document the same one."""
+    ids = [NO_ID if pd.isna(i) else int(i) for i in frame["id"].tolist()]
+    keys = list(zip(ids, frame["tid"].tolist(), strict=True))
+    number = {k: n for n, k in enumerate(sorted(set(keys)))}
+    return ids, frame["text"].tolist(), [number[k] for k in keys]
+
+
+def _without_copies(frame: pd.DataFrame, said: pd.DataFrame) -> tuple[list[int], list[bytes], list[int], list[int]]:
+    """As _rows, by id; texts of which a smaller id has a copy are left out, and their places listed."""
+    frame = frame.sort_values(["id", "tid"], na_position="last")
+    ids, texts, rows = _rows(frame)
+    copies = {bytes(x) for x in said.loc[said["bucket"] < 0, "payload"]}
+    names = [int(i).to_bytes(8, "big") + (t & (1 << 64) - 1).to_bytes(8, "big") for i, t in zip(ids, frame["tid"].tolist(), strict=True)]
+    gone = [k for k, name in enumerate(names) if name in copies]
+    for k in gone:
+        texts[k] = b""
+    return ids, texts, rows, gone
 
 
 def removed(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK) -> DataFrame:
@@ -233,37 +289,40 @@ def removed(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(4 * parallelism(spark), math.ceil(total / block_bytes))
-    buckets = blocks
+    blocks = max(parallelism(spark), math.ceil(total / block_bytes))  # and as many buckets
     placed = base.withColumn("tid", F.xxhash64("text")).withColumn("block", F.pmod(F.xxhash64("id", "tid"), F.lit(blocks)))
 
-    def anchors(batches):
-        """For each bucket: anchors with the blocks that have them, and whether two rows of that block do."""
-        for batch in batches:
-            blk = batch.column(0).to_numpy()
-            h, which, _, _ = fragments([x.as_py() for x in batch.column(1)], length)
-            key = _key(h, buckets)
-            b = blk[which]
-            order = np.lexsort((which, b, key))
-            key, b, which = key[order], b[order], which[order]
-            new = np.concatenate(([True], (key[1:] != key[:-1]) | (b[1:] != b[:-1])))[: len(key)]
-            again = np.concatenate(([False], (~new[1:]) & (which[1:] != which[:-1])))[: len(key)]
-            first = np.flatnonzero(new)
-            many = np.add.reduceat(again.astype(np.int32), first) > 0 if len(first) else np.zeros(0, bool)
-            key, b = key[first], b[first].astype(np.uint32)
-            bucket = (key >> np.uint64(32)).astype(np.int64)
-            cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))[: len(key)]
-            ends = np.append(cut[1:], len(key))
-            low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            rows = [(int(bucket[i]), low[i:j].tobytes(), b[i:j].tobytes(), np.packbits(many[i:j]).tobytes()) for i, j in zip(cut, ends, strict=True)] if len(key) else []
-            cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "low", "blocks", "many"])
+    # whole texts that a smaller id has too: known by 128 bits of hash, removed whole
+    name = F.concat_ws(":", "tid", F.xxhash64(F.lit(1), "text"))
+    names = stored(placed.select("block", F.coalesce("id", F.lit(NO_ID)).alias("id"), "tid", name.alias("name")), "texts")
+    first = stored(names.groupBy("name").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("w")).where("w > 1"), "copies")
+    packed = F.unhex(F.concat(F.lpad(F.hex("id"), 16, "0"), F.lpad(F.hex("tid"), 16, "0")))
+    copies = hot_join(names, first, "name", "w", max(1, names.count())).where("id > first")
+    copies = stored(copies.select(F.lit(-1).cast("long").alias("bucket"), "block", F.lit(0).cast("long").alias("n"), packed.alias("payload")), "copies")
+
+    def anchors(key, frame, said):
+        """A block's anchors by bucket, each once; with a bit for those that two of its rows have."""
+        _, texts, _, _ = _without_copies(frame, said)
+        h, which, _, _ = fragments(texts, length)
+        if not len(h):
+            return pd.DataFrame({"bucket": [], "block": [], "n": [], "payload": []})
+        known = _key(h, blocks)
+        order = np.lexsort((which, known))
+        known, which = known[order], which[order]
+        start = np.flatnonzero(np.concatenate(([True], known[1:] != known[:-1])))
+        many = which[start] != which[np.append(start[1:], len(known)) - 1]
+        known = known[start]
+        bucket = (known >> np.uint64(32)).astype(np.int64)
+        cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        low = known.astype(np.uint32)
+        rows = [(int(bucket[i]), key[0], int(j - i), low[i:j].tobytes() + np.packbits(many[i:j]).tobytes()) for i, j in zip(cut, np.append(cut[1:], len(known)), strict=True)]
+        return pd.DataFrame(rows, columns=["bucket", "block", "n", "payload"])
 
     def shared(key, frame):
         """The anchors that two documents have, for each block that has them."""
-        low = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["low"]])
-        blk = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["blocks"]])
-        many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(y) // 4) for x, y in zip(frame["many"], frame["low"], strict=True)])
+        low = np.concatenate([np.frombuffer(x, np.uint32, n) for x, n in zip(frame["payload"], frame["n"], strict=True)])
+        blk = np.repeat(frame["block"].to_numpy(), frame["n"].to_numpy())
+        many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8, offset=4 * n), count=n) for x, n in zip(frame["payload"], frame["n"], strict=True)])
         order = np.argsort(low, kind="stable")
         low, blk, many = low[order], blk[order], many[order].astype(bool)
         start = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
@@ -273,94 +332,106 @@ def removed(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
         order = np.argsort(blk, kind="stable")
         low, blk = low[order], blk[order]
         cut = np.flatnonzero(np.concatenate(([True], blk[1:] != blk[:-1])))[: len(blk)]
-        ends = np.append(cut[1:], len(blk))
-        rows = [(int(blk[i]), key[0], np.unique(low[i:j]).tobytes()) for i, j in zip(cut, ends, strict=True)] if len(blk) else []
-        return pd.DataFrame(rows, columns=["block", "bucket", "low"])
+        rows = [(key[0], int(blk[i]), int(j - i), low[i:j].tobytes()) for i, j in zip(cut, np.append(cut[1:], len(blk)), strict=True)] if len(blk) else []
+        return pd.DataFrame(rows, columns=["bucket", "block", "n", "payload"])
 
-    found = placed.select("block", "text").mapInArrow(anchors, "bucket long, low binary, blocks binary, many binary")
-    found = found.groupBy("bucket").applyInPandas(shared, "block long, bucket long, low binary")
-
-    def candidates(key, frame, asked):
+    def candidates(key, frame, said):
         """Fragments of a block's documents whose anchors are shared; of equal ones that of the smallest id, for the others a mark."""
-        if not len(frame) or not len(asked):
-            return pd.DataFrame({"bucket": [], "kind": [], "block": [], "payload": []})
-        wanted = np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(x, np.uint32).astype(np.uint64) for b, x in zip(asked["bucket"], asked["low"], strict=True)])
-        frame = frame.sort_values("id", na_position="last")
-        texts, tids = frame["text"].tolist(), frame["tid"].tolist()
-        ids = [NO_ID if pd.isna(i) else int(i) for i in frame["id"].tolist()]
-        h, which, at, size = fragments(texts, length)
-        full = _key(h, buckets)
-        keep = np.isin(full, wanted)
-        seen: dict[bytes, int] = {}
+        ids, texts, rows, gone = _without_copies(frame, said)
+        sizes = [len(t) for t in frame.sort_values(["id", "tid"], na_position="last")["text"]] if gone else []
+        marks = [(rows[k], 0, sizes[k]) for k in gone if sizes[k] >= length]
+        said = said[said["bucket"] >= 0]
         sent: dict[int, list] = {}
-        marks = []
-        for k, w, a, s in zip(full[keep].tolist(), which[keep].tolist(), at[keep].tolist(), size[keep].tolist()):
-            part = texts[w][a : a + s]
-            if seen.setdefault(part, ids[w]) < ids[w]:
-                marks.append((ids[w], tids[w], a, a + s))
-            else:
-                sent.setdefault(k >> 32, []).append((k, ids[w], tids[w], a, s, key[0], part))
-        rows = [(b, len(xs), key[0], np.array([x[:6] for x in xs], _FRAG).tobytes() + b"".join(x[6] for x in xs)) for b, xs in sent.items()]
+        if len(said):
+            wanted = np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(x, np.uint32).astype(np.uint64) for b, x in zip(said["bucket"], said["payload"], strict=True)])
+            h, which, at, size = fragments(texts, length)
+            known = _key(h, blocks)
+            keep = np.isin(known, wanted)
+            seen: dict[bytes, int] = {}
+            for k, w, a, n in zip(known[keep].tolist(), which[keep].tolist(), at[keep].tolist(), size[keep].tolist(), strict=True):
+                part = texts[w][a : a + n]
+                if seen.setdefault(part, ids[w]) < ids[w]:
+                    marks.append((rows[w], a, a + n))
+                else:
+                    sent.setdefault(k >> 32, []).append((k, ids[w], rows[w], a, n, part))
+        out = []
+        for b, xs in sent.items():
+            *columns, parts = zip(*xs, strict=True)
+            out.append((b, key[0], len(xs), b"".join(np.array(c, t).tobytes() for c, t in zip(columns, _COLUMNS, strict=True)) + b"".join(parts)))
         if marks:
-            rows.append((key[0] % buckets, 0, key[0], np.array(marks, _MARK).tobytes()))
-        return pd.DataFrame(rows, columns=["bucket", "kind", "block", "payload"])
+            out.append((key[0], key[0], 0, np.array(marks, _MARK).tobytes()))
+        return pd.DataFrame(out, columns=["bucket", "block", "n", "payload"])
 
     def resolved(key, frame):
-        """Marks of the windows that a smaller id has.  Kind: number of fragments in the payload, 0 for marks that pass through."""
+        """Marks of the windows that a smaller id has; marks that came (n = 0) pass through."""
         out: dict[int, list] = {}
         passed = []
         groups: dict[int, dict[bytes, list]] = {}
-        for kind, blk, data in zip(frame["kind"], frame["block"], frame["payload"], strict=True):
-            if not kind:
-                passed.append((key[0], 0, blk, data))
+        for blk, n, data in zip(frame["block"].tolist(), frame["n"].tolist(), frame["payload"], strict=True):
+            if not n:
+                passed.append((key[0], blk, 0, data))
                 continue
-            head = np.frombuffer(data, _FRAG, kind)
-            at = kind * _FRAG.itemsize
-            for k, i, tid, a, size, b in head.tolist():
-                groups.setdefault(k, {}).setdefault(data[at : at + size], []).append((i, tid, a, b))
+            columns, at = [], 0
+            for t in _COLUMNS:
+                columns.append(np.frombuffer(data, t, n, at).tolist())
+                at += n * np.dtype(t).itemsize
+            for k, i, row, a, size in zip(*columns, strict=True):
+                groups.setdefault(k, {}).setdefault(data[at : at + size], []).append((i, row, a, blk))
                 at += size
         pool: list[tuple[bytes, list]] = []
 
+        def mark(occurrences, least):
+            """``least``: the smallest id of each window."""
+            for i, row, a, blk in occurrences:
+                for s, e in _runs(least < i, length):
+                    out.setdefault(blk, []).append((row, a + s, a + e))
+
         def settle():
             if not pool:
                 return
-            with tempfile.TemporaryDirectory() as folder:
-                owners = np.array([min(o)[0] for _, o in pool], np.int64)
-                best = first_owners([t for t, _ in pool], owners, length, folder)
-            for (_, occurrences), least in zip(pool, best, strict=True):
-                for i, tid, a, b in occurrences:
-                    for s, e in _runs(least < i, length):
-                        out.setdefault(b, []).append((i, tid, a + s, a + e))
+            spans = shared_windows([t for t, _ in pool], length)
+            owner = np.array([min(o)[0] for _, o in pool], np.int64)
+            least = [np.full(len(t) - length + 1, o) for (t, _), o in zip(pool, owner.tolist(), strict=True)]
+            open_ = [k for k, x in enumerate(spans) if x]
+            if open_:
+                with tempfile.TemporaryDirectory() as folder:
+                    best = first_owners([pool[k][0][spans[k][0] : spans[k][1] + length] for k in open_], owner[open_], length, folder)
+                for k, found in zip(open_, best, strict=True):
+                    least[k][spans[k][0] : spans[k][1] + 1] = found
+            for (_, occurrences), x in zip(pool, least, strict=True):
+                mark(occurrences, x)
             pool.clear()
 
         for of_anchor in groups.values():
-            if len(of_anchor) == 1:
-                (text, occurrences), = of_anchor.items()
-                first = min(occurrences)[0]
-                for i, tid, a, b in occurrences:
-                    if i > first:
-                        out.setdefault(b, []).append((i, tid, a, a + len(text)))
+            if len(of_anchor) > 1:
+                pool.extend(of_anchor.items())
+                if len(pool) >= COLLECTION:
+                    settle()
                 continue
-            pool.extend(of_anchor.items())
-            if len(pool) >= COLLECTION:
-                settle()
+            ((text, occurrences),) = of_anchor.items()
+            lowest = min(occurrences)[0]
+            for i, row, a, blk in occurrences:
+                if i > lowest:
+                    out.setdefault(blk, []).append((row, a, a + len(text)))
         settle()
-        rows = passed + [(key[0], 0, b, np.array(x, _MARK).tobytes()) for b, x in out.items()]
-        return pd.DataFrame(rows, columns=["bucket", "kind", "block", "payload"])
+        return pd.DataFrame(passed + [(key[0], b, 0, np.array(x, _MARK).tobytes()) for b, x in out.items()], columns=["bucket", "block", "n", "payload"])
 
     by_block = placed.groupBy("block")
-    marks = by_block.cogroup(found.groupBy("block")).applyInPandas(candidates, MARKS).groupBy("bucket").applyInPandas(resolved, MARKS)
+    found = by_block.cogroup(copies.groupBy("block")).applyInPandas(anchors, FOUND).groupBy("bucket").applyInPandas(shared, FOUND)
+    asked = found.unionByName(copies)
+    marks = by_block.cogroup(asked.groupBy("block")).applyInPandas(candidates, FOUND).groupBy("bucket").applyInPandas(resolved, FOUND)
 
     def cut(key, frame, said):
         """What is left of each document."""
-        spans: dict[tuple[int, int], list] = {}
+        spans: dict[int, list] = {}
         for data in said["payload"]:
-            for i, tid, a, b in np.frombuffer(data, _MARK).tolist():
-                spans.setdefault((i, tid), []).append((a, b))
+            for row, a, b in np.frombuffer(data, _MARK).tolist():
+                spans.setdefault(row, []).append((a, b))
+        ids, texts, numbers = _rows(frame)
         rows = []
-        for i, text, tid in zip(frame["id"].tolist(), frame["text"].tolist(), frame["tid"].tolist(), strict=True):
+        for i, text, number in zip(ids, texts, numbers, strict=True):
             kept, at, gone, runs, end = [], 0, 0, 0, -1
-            for a, b in sorted(spans.get((NO_ID if pd.isna(i) else int(i), tid), ())):
+            for a, b in sorted(spans.get(number, ())):
                 if a > end:  # touching runs are one
                     runs += 1
                 if b > at:
@@ -369,7 +440,7 @@ def removed(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
                     at = b
                 end = max(end, b)
             kept.append(text[at:])
-            rows.append((i, len(text), gone, runs, hashlib.sha256(b"".join(kept)).hexdigest()))
+            rows.append((None if i == NO_ID else i, len(text), gone, runs, hashlib.sha256(b"".join(kept)).hexdigest()))
         result = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
         return result.astype({"doc_id": "Int64"}) if len(result) else result
 
