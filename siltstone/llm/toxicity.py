@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Labelled documents of each label that the model is fitted to, at most.
-SAMPLE = 4000
+SAMPLE = 2000
 #: Words in a training sequence; scoring always takes whole texts.
 SEQUENCE = 64
 #: Score from which a document is called toxic, and marginal from which a word offends.
@@ -59,6 +59,19 @@ def training_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> l
     return [seen[i] for i in sorted(seen)]
 
 
+def distinct(read: list[tuple[list[str], int]], words: int = 3, most: float = 0.5) -> list[tuple[list[str], int]]:
+    """The sample without copies and near copies, which would make chance words
+    look common: a document stays if at most ``most`` of its shingles were seen."""
+    seen: set[int] = set()
+    out = []
+    for found, label in read:
+        own = {hash(tuple(found[i : i + words])) for i in range(max(1, len(found) - words + 1))}
+        if len(own & seen) <= most * len(own):
+            out.append((found, label))
+        seen |= own
+    return out
+
+
 def toxic_words(sample: list[tuple[list[str], int]], chance: float = 1e-6, odds: float = 8.0) -> set[str]:
     """Features that mark words of toxic spans: far likelier in toxic documents than
     in clean ones, by more than ``chance`` would make of one feature in a million."""
@@ -143,9 +156,9 @@ class Chain:
         return whole, [at[i] for i in bad]
 
 
-def fit(sample: list[tuple[str, int]], rounds: int = 80, rate: float = 0.25, penalty: float = 0.5) -> Chain:
+def fit(sample: list[tuple[str, int]], rounds: int = 50, rate: float = 0.4, penalty: float = 0.5) -> Chain:
     """Regularised maximum likelihood by Adam on sequences of the sample's words."""
-    read = [(WORD.findall(text.lower()), y) for text, y in sample]
+    read = distinct([(WORD.findall(text.lower()), y) for text, y in sample])
     marks = toxic_words(read) if len({y for _, y in read}) == 2 else set()
     if not marks:
         return Chain({}, -20.0, [[0.0, 0.0], [0.0, 0.0]])
