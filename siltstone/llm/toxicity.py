@@ -164,14 +164,16 @@ def fit(sample: list[tuple[str, int]], rounds: int = 50, rate: float = 0.4, pena
         return Chain({}, -20.0, [[0.0, 0.0], [0.0, 0.0]])
     names = sorted({f for words, y in read if y for w in set(words) if any(g in marks for g in features(w)) for f in features(w)})
     number = {f: i for i, f in enumerate(names)}
-    rows: list[tuple[list[list[int]], list[int]]] = []
+    known: dict[str, tuple[tuple[int, ...], bool]] = {}
+    for w in {w for words, _ in read for w in words}:
+        known[w] = tuple(number[f] for f in features(w) if f in number), any(f in marks for f in features(w))
+    # equal sequences, such as those without a feature of one length, are one with a weight
+    folded: Counter[tuple[tuple[tuple[int, ...], ...], tuple[int, ...]]] = Counter()
     for words, y in read:
         for at in range(0, len(words), SEQUENCE):
-            part = words[at : at + SEQUENCE]
-            fs = [[number[f] for f in features(w) if f in number] for w in part]
-            rows.append((fs, [int(bool(y) and any(f in marks for f in features(w))) for w in part]))
-    # sequences without a feature differ in length only: one in eight stands for all
-    rows = [r for i, r in enumerate(rows) if any(r[0]) or i % 8 == 0]
+            part = [known[w] for w in words[at : at + SEQUENCE]]
+            folded[tuple(fs for fs, _ in part), tuple(int(bool(y) and marked) for _, marked in part)] += 1
+    rows, times = list(folded), np.array(list(folded.values()), np.float64)
     n, steps = len(rows), SEQUENCE
     gold, mask = np.zeros((n, steps)), np.zeros((n, steps), bool)
     where, which = [], []
@@ -203,13 +205,14 @@ def fit(sample: list[tuple[str, int]], rounds: int = 50, rate: float = 0.4, pena
         z = np.logaddexp(a[-1][:, 0], a[-1][:, 1])
         marginal = np.exp(a[:, :, 1] + b[:, :, 1] - z).T
         grad = np.empty_like(theta)
-        miss = np.where(mask, gold - marginal, 0.0)
+        miss = np.where(mask, gold - marginal, 0.0) * times[:, None]
         grad[: len(names)] = np.bincount(which, miss.ravel()[where], len(names)) - penalty * w
         grad[len(names)] = miss.sum()
         for i in (0, 1):
             for j in (0, 1):
                 p = np.exp(a[:-1, :, i] + pair[i, j] + b[1:, :, j] + (u[:, 1:].T if j else 0.0) - z).T
-                grad[len(names) + 1 + 2 * i + j] = (np.where((g0 == i) & (g1 == j), 1.0, 0.0) - p)[both].sum() - penalty * pair[i, j]
+                odd = np.where(both, np.where((g0 == i) & (g1 == j), 1.0, 0.0) - p, 0.0)
+                grad[len(names) + 1 + 2 * i + j] = times @ odd.sum(1) - penalty * pair[i, j]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     pair = theta[len(names) + 1 :].reshape(2, 2)
