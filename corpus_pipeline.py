@@ -26,9 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays.
-    Shingles of five words; three of 64 bits is a similarity of well over 0.8."""
+    Shingles of five words, a similarity of 0.8 or more."""
     docs = docs.select(*COLUMNS)
-    found = simhash.near_duplicates(docs, words=5, radius=3)
+    found = simhash.near_copies(docs, words=5, similarity=0.8)
     others = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(others, "doc_id", "left_anti")
     # of rows that share an id one stays; rows without an id are told apart by their texts

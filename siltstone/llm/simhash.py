@@ -8,6 +8,10 @@ Two fingerprints within ``radius`` bits have population counts within
 no link is missed.  A tile pair reports a spanning forest of its links, never
 all its pairs.
 
+``near_copies`` asks for a similarity of the shingle sets instead.  Three bits of
+64 find few pairs at 0.8, so it takes 256 bits and a wide radius, meets the same
+way, and holds the found pairs against the sets themselves.
+
 Null, empty and blank texts have no words: fingerprint zero, linked like any
 other.  Rows may repeat.  Rows whose id is null take part; the component is the
 smallest id that is not null, or null if there is none.  Other columns are
@@ -31,6 +35,8 @@ from .base import components, hot_join, local_roots, parallelism, stored
 TILE = 65_536
 #: Hashes whose bits are unpacked at once.
 CHUNK = 65_536
+#: Words of 64 bits in a wide fingerprint, and standard deviations that a radius lies above the expected distance.
+WIDE, MARGIN = 4, 2.7
 #: Nodes with no id of their own are numbered from here.
 NO_ID = 1 << 62
 
@@ -89,9 +95,8 @@ def near_pairs(x: np.ndarray, y: np.ndarray | None, radius: int):
         yield a + at, (b + at + 1 if y is None else b + len(x))
 
 
-def links(nodes: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
-    """Edges (src, dst) that connect all nodes whose fingerprints are within
-    ``radius`` bits.  ``nodes``: distinct (node, fp)."""
+def _met(nodes: DataFrame, radius: int, tile: int) -> DataFrame:
+    """``nodes`` dealt into tiles and repeated for each tile pair (a, b) whose population counts are within ``radius``."""
     spark = nodes.sparkSession
     nodes = nodes.withColumn("ones", F.bit_count("fp"))
     counts = {r["ones"]: r["n"] for r in nodes.groupBy("ones").agg(F.count(F.lit(1)).alias("n")).collect()}  # 65 rows at most
@@ -105,8 +110,14 @@ def links(nodes: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     dims = [(k, start[k], splits[k], start[max(0, k - radius)], start[min(65, k + radius + 1)] - 1) for k in counts]
     dim = spark.createDataFrame(dims, "ones int, start long, splits long, lo long, hi long")  # 65 rows at most
     dealt = nodes.join(F.broadcast(dim), "ones").withColumn("tile", F.col("start") + F.pmod(F.xxhash64("fp", "node"), F.col("splits")))
-    met = dealt.select("node", "fp", "tile", F.explode(F.sequence("lo", "hi")).alias("other"))
-    met = met.select("node", "fp", "tile", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"))
+    met = dealt.withColumn("other", F.explode(F.sequence("lo", "hi"))).withColumns({"a": F.least("tile", "other"), "b": F.greatest("tile", "other")})
+    return met.drop("ones", "start", "splits", "lo", "hi", "other")
+
+
+def links(nodes: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
+    """Edges (src, dst) that connect all nodes whose fingerprints are within
+    ``radius`` bits.  ``nodes``: distinct (node, fp)."""
+    met = _met(nodes.select("node", "fp"), radius, tile)
 
     def compare(key, frame):
         fp = frame["fp"].to_numpy().view(np.uint64)
@@ -130,3 +141,148 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
     label = nodes.join(found, "node", "left").select("fp", "w", F.coalesce("component", "node").alias("component_id"))
     label = stored(label.withColumn("component_id", F.when(F.col("component_id") < NO_ID, F.col("component_id"))), "labels")
     return hot_join(prints, label, "fp", "w", prints.count()).select("doc_id", "fp", "component_id")
+
+
+def shingle_sets(docs: DataFrame, words: int, seed: int = 42) -> DataFrame:
+    """(node, fp, print, shingles) for rows of (node, text): the wide fingerprint of the distinct shingles, its first
+    64 bits, and the shingles as numbers of 32 bits."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary())
+            for at in range(0, len(texts), 512):
+                part = [np.unique(np.array(shingle_hashes(x, words, seed), np.uint64)) for x in texts.slice(at, 512).to_pylist()]
+                sizes = np.fromiter(map(len, part), np.int64, len(part))
+                flat = np.concatenate(part)
+                wide = np.stack([majority(mixed(flat, k), sizes) for k in range(WIDE)], axis=1)
+                prints = pa.array([x.tobytes() for x in wide.astype("<u8")], pa.binary())
+                sets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat.astype(np.uint32).view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), pa.array(wide[:, 0].view(np.int64)), prints, sets], names=["node", "fp", "print", "shingles"])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, fp long, print binary, shingles array<int>")
+
+
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of the hashes drawn from each; the first is the hash itself."""
+    if not k:
+        return hashes
+    h = hashes + np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def radius_for(similarity: float, bits: int) -> int:
+    """Differing bits that hardly any pair of sets with at least this similarity exceeds."""
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * differ + MARGIN * math.sqrt(bits * differ * (1 - differ)))
+
+
+def nearest_forest(n: int, blocks):
+    """Spanning forest of least distances, for nodes 0..n-1.  ``blocks`` yields (a, b, distance); what a block adds is
+    folded into the forest before the next."""
+    forest = tuple(np.zeros(0, np.int64) for _ in range(3))
+    for block in blocks:
+        if not len(block[0]):
+            continue
+        a, b, d = (np.concatenate(x) for x in zip(forest, block, strict=True))
+        root, kept = np.arange(n), []
+        for level in np.unique(d):
+            at = np.flatnonzero(d == level)
+            low, high = np.minimum(root[a[at]], root[b[at]]), np.maximum(root[a[at]], root[b[at]])
+            at, low, high = at[low != high], low[low != high], high[low != high]
+            if not len(at):
+                continue
+            first = np.unique(low * n + high, return_index=True)[1]
+            up: dict[int, int] = {}
+            for i, x, y in zip(at[first].tolist(), low[first].tolist(), high[first].tolist(), strict=True):
+                while x in up:
+                    x = up[x]
+                while y in up:
+                    y = up[y]
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    kept.append(i)
+            moved, to = np.array(list(up)), np.array(list(up.values()))
+            step = np.arange(n)
+            step[moved] = to
+            while not np.array_equal(more := step[step], step):
+                step = more
+            root = step[root]
+        forest = a[kept], b[kept], d[kept]
+    return forest
+
+
+def wide_links(nodes: DataFrame, similarity: float, tile: int = TILE, every: bool = False) -> DataFrame:
+    """Candidate pairs (src, dst) of ``nodes`` (node, fp, print): for each tile pair a forest of the nearest.  With
+    ``every``, all pairs whose ``component`` differs."""
+    first, radius = radius_for(similarity, 64), radius_for(similarity, 64 * WIDE)
+
+    def compare(key, frame):
+        in_a = frame["tile"].to_numpy() == key[0]
+        order = np.concatenate((np.flatnonzero(in_a), np.flatnonzero(~in_a)))
+        wide = np.frombuffer(b"".join(frame["print"]), np.uint64).reshape(-1, WIDE)[order]
+        node, n = frame["node"].to_numpy()[order], int(in_a.sum())
+        group = frame["component"].to_numpy()[order] if every else None
+        fp = np.ascontiguousarray(wide[:, 0])
+
+        def blocks():
+            for a, b in near_pairs(fp, None, first) if key[0] == key[1] else near_pairs(fp[:n], fp[n:], first):
+                if every:
+                    a, b = a[group[a] != group[b]], b[group[a] != group[b]]
+                d = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64)
+                yield a[d <= radius], b[d <= radius], d[d <= radius]
+
+        if every:
+            found = [x for x in blocks() if len(x[0])]
+            a, b = (np.concatenate([x[k] for x in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        else:
+            a, b, _ = nearest_forest(len(node), blocks())
+        return pd.DataFrame({"src": np.minimum(node[a], node[b]), "dst": np.maximum(node[a], node[b])})
+
+    return _met(nodes, first, tile).groupBy("a", "b").applyInPandas(compare, "src long, dst long")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The distinct ``pairs`` (src, dst) with the similarity of their ``sets`` (node, shingles)."""
+    ends = stored(pairs.where("src < dst").distinct(), "pairs")
+    asked = ends.select(F.col("src").alias("node")).unionByName(ends.select(F.col("dst").alias("node"))).distinct()
+    own = stored(sets.join(asked, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    both = ends.join(own.select(F.col("node").alias("src"), F.col("shingles").alias("x")), "src").join(own.select(F.col("node").alias("dst"), F.col("shingles").alias("y")), "dst")
+    same = F.size(F.array_intersect("x", "y"))
+    return stored(both.select("src", "dst", (same / (F.size("x") + F.size("y") - same)).alias("similarity")), "verified")
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) for each row: the smallest id reachable over pairs whose sets of shingles have at least
+    this Jaccard similarity.
+
+    Candidates are within MARGIN standard deviations of the distance that the similarity gives, so a pair that has
+    just the similarity is missed once in a hundred times.  Each tile pair reports a forest of the nearest, which is
+    checked against the sets.  A forest edge that fails may stand before one that holds: the nodes around such
+    edges are compared again, all pairs between what isn't linked yet being checked.  Fingerprints that are equal in
+    256 bits are one node.  Rows without an id are told apart by their texts.
+    """
+    spark = docs.sparkSession
+    text = F.col(text_col).cast("string")
+    unnamed = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 3)
+    prints = stored(shingle_sets(docs.select(F.coalesce(F.col(id_col).cast("long"), unnamed).alias("node"), text.alias("text")), words), "wide")
+    rows = prints.select(F.col("node").alias("row"), "print")
+    nodes = stored(prints.groupBy("print").agg(F.min("node").alias("node"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("w")), "nodes")
+    points, sets = nodes.select("node", "fp", "print"), prints.select("node", "shingles")
+
+    checked = verified(wide_links(points.repartition(parallelism(spark)), similarity), sets)
+    held = checked.where(F.col("similarity") >= similarity)
+    failed = checked.where(F.col("similarity") < similarity).select(F.col("src").alias("node"))
+    groups = stored(components(held), "groups")
+    around = components(checked).withColumnRenamed("component", "around")
+    failed = failed.join(around, "node").select("around").distinct()
+    doubtful = stored(around.join(failed, "around", "left_semi").select("node"), "doubtful")
+    again = points.join(doubtful, "node", "left_semi").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = verified(wide_links(again, similarity, tile=8192, every=True), sets).where(F.col("similarity") >= similarity)
+    found = components(held.select("src", "dst").unionByName(more.select("src", "dst")))
+
+    label = nodes.join(found, "node", "left").select("print", "w", F.coalesce("component", "node").alias("component_id"))
+    label = stored(label.withColumn("component_id", F.when(F.col("component_id") < NO_ID, F.col("component_id"))), "labels")
+    out = hot_join(rows, label, "print", "w", rows.count())
+    return out.select(F.when(F.col("row") < NO_ID, F.col("row")).alias("doc_id"), "component_id")

@@ -255,6 +255,54 @@ def test_simhash_tiles_miss_nothing(spark):
     assert [label.get(i, i) for i in range(len(fps))] == root
 
 
+def plain_groups(texts, words=5, similarity=0.8):
+    """Smallest id reachable over pairs of texts whose shingle sets are similar, from (id, text)."""
+    sets = {}
+    for i, t in texts:
+        found = (t or "").encode().lower().split()
+        k = min(words, len(found))
+        sets[i] = {tuple(found[j : j + k]) for j in range(len(found) - k + 1)} if found else set()
+    pairs = [(i, j) for i in sets for j in sets if i < j and (len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]))]
+    root = {i: i for i in sets}
+    while any(root[i] != root[j] for i, j in pairs):
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    return root
+
+
+def test_near_copies(spark, docs, none, texts):
+    rng = random.Random(6)
+    rows = list(texts)
+    for _ in range(60):
+        base = [rng.choice("abcdefghijkl") * rng.randint(1, 9) for _ in range(rng.randint(12, 300))]
+        for c in range(rng.randint(1, 5)):
+            near = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 20)) if c else 0):
+                near[rng.randrange(len(near))] = "changed"
+            rows.append((len(rows), " ".join(near)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"node": F.lit("x"), "print": F.lit(0)}).repartition(6)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
+    assert got == plain_groups(rows) and len(set(got.values())) < len(rows) - 40
+    odd = spark.createDataFrame([(None, None), (4, ""), (None, rows[3][1]), (9, rows[3][1]), (9, rows[3][1]), (9, "other")], "doc_id long, text string")
+    assert sorted(map(str, simhash.near_copies(odd).collect())) == sorted(["Row(doc_id=None, component_id=4)", "Row(doc_id=4, component_id=4)", "Row(doc_id=None, component_id=9)", *["Row(doc_id=9, component_id=9)"] * 3])
+    assert not simhash.near_copies(none).count()
+
+
+def test_nearest_forest():
+    rng = np.random.default_rng(3)
+    for n in (2, 9, 40):
+        a, b = np.triu_indices(n, 1)
+        keep = rng.random(len(a)) < 0.4
+        a, b, d = a[keep], b[keep], rng.integers(0, 9, int(keep.sum()))
+        blocks = [(a[k::3], b[k::3], d[k::3]) for k in range(3)]
+        x, y, e = simhash.nearest_forest(n, blocks)
+        root, weight = list(range(n)), 0
+        for w, i, j in sorted(zip(d.tolist(), a.tolist(), b.tolist())):
+            if root[i] != root[j]:
+                weight, root = weight + w, [root[i] if r == root[j] else r for r in root]
+        assert len(x) == n - len(set(root)) and int(e.sum()) == weight
+
+
 def test_toxicity(spark, none):
     rng = random.Random(1)
     rows, labels = [], []
@@ -305,13 +353,7 @@ def test_pipeline(spark):
             kept = sorted(r.doc_id for r in before.collect() if model.score(r.text)[0] < toxicity.TOXIC)
             assert sorted(r.doc_id for r in after.collect()) == kept
         elif name.startswith("simhash"):
-            fp = {r.doc_id: plain_simhash(r.text, 5) for r in before.collect()}
-            root = {i: i for i in fp}
-            for _ in range(10):
-                for i in fp:
-                    for j in fp:
-                        if (fp[i] ^ fp[j]).bit_count() <= 3:
-                            root[i] = root[j] = min(root[i], root[j])
+            root = plain_groups([(r.doc_id, r.text) for r in before.collect()])
             assert sorted(r.doc_id for r in after.collect()) == sorted(set(root.values()))
         elif name == "secret scans":
             assert after.count() == before.count() and not secrets.scan(after).where(F.exists("spans", lambda s: s["rank"] > 0)).count()
