@@ -37,6 +37,8 @@ TILE = 65_536
 CHUNK = 65_536
 #: Words of 64 bits in a wide fingerprint, and standard deviations that a radius lies above the expected distance.
 WIDE, MARGIN = 4, 2.7
+#: Nodes in a tile that carries shingle sets, at most.
+SET_TILE = 2048
 #: Nodes with no id of their own are numbered from here.
 NO_ID = 1 << 62
 
@@ -95,12 +97,12 @@ def near_pairs(x: np.ndarray, y: np.ndarray | None, radius: int):
         yield a + at, (b + at + 1 if y is None else b + len(x))
 
 
-def _met(nodes: DataFrame, radius: int, tile: int) -> DataFrame:
+def _met(nodes: DataFrame, radius: int, tile: int, tiles: int = 48) -> DataFrame:
     """``nodes`` dealt into tiles and repeated for each tile pair (a, b) whose population counts are within ``radius``."""
     spark = nodes.sparkSession
     nodes = nodes.withColumn("ones", F.bit_count("fp"))
     counts = {r["ones"]: r["n"] for r in nodes.groupBy("ones").agg(F.count(F.lit(1)).alias("n")).collect()}  # 65 rows at most
-    size = max(1, min(tile, math.ceil(sum(counts.values()) / 48)))
+    size = max(1, min(tile, math.ceil(sum(counts.values()) / tiles)))
     start, splits = {}, {}
     at = 0
     for ones in range(65):
@@ -213,34 +215,58 @@ def nearest_forest(n: int, blocks):
     return forest
 
 
-def wide_links(nodes: DataFrame, similarity: float, tile: int = TILE, every: bool = False) -> DataFrame:
-    """Candidate pairs (src, dst) of ``nodes`` (node, fp, print): for each tile pair a forest of the nearest.  With
-    ``every``, all pairs whose ``component`` differs."""
+def _wide_pairs(frame: pd.DataFrame, key: tuple, similarity: float):
+    """A tile pair's rows in order, tile a first, and blocks (a, b, distance) of its pairs within the radius."""
     first, radius = radius_for(similarity, 64), radius_for(similarity, 64 * WIDE)
+    in_a = frame["tile"].to_numpy() == key[0]
+    order = np.concatenate((np.flatnonzero(in_a), np.flatnonzero(~in_a)))
+    wide, n = np.frombuffer(b"".join(frame["print"]), np.uint64).reshape(-1, WIDE)[order], int(in_a.sum())
+    fp = np.ascontiguousarray(wide[:, 0])
+
+    def blocks():
+        for a, b in near_pairs(fp, None, first) if key[0] == key[1] else near_pairs(fp[:n], fp[n:], first):
+            d = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64)
+            yield a[d <= radius], b[d <= radius], d[d <= radius]
+
+    return order, blocks()
+
+
+def wide_links(nodes: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
+    """Candidate pairs (src, dst) of ``nodes`` (node, fp, print): for each tile pair a forest of the nearest."""
 
     def compare(key, frame):
-        in_a = frame["tile"].to_numpy() == key[0]
-        order = np.concatenate((np.flatnonzero(in_a), np.flatnonzero(~in_a)))
-        wide = np.frombuffer(b"".join(frame["print"]), np.uint64).reshape(-1, WIDE)[order]
-        node, n = frame["node"].to_numpy()[order], int(in_a.sum())
-        group = frame["component"].to_numpy()[order] if every else None
-        fp = np.ascontiguousarray(wide[:, 0])
-
-        def blocks():
-            for a, b in near_pairs(fp, None, first) if key[0] == key[1] else near_pairs(fp[:n], fp[n:], first):
-                if every:
-                    a, b = a[group[a] != group[b]], b[group[a] != group[b]]
-                d = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64)
-                yield a[d <= radius], b[d <= radius], d[d <= radius]
-
-        if every:
-            found = [x for x in blocks() if len(x[0])]
-            a, b = (np.concatenate([x[k] for x in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
-        else:
-            a, b, _ = nearest_forest(len(node), blocks())
+        order, blocks = _wide_pairs(frame, key, similarity)
+        node = frame["node"].to_numpy()[order]
+        a, b, _ = nearest_forest(len(node), blocks)
         return pd.DataFrame({"src": np.minimum(node[a], node[b]), "dst": np.maximum(node[a], node[b])})
 
-    return _met(nodes, first, tile).groupBy("a", "b").applyInPandas(compare, "src long, dst long")
+    return _met(nodes, radius_for(similarity, 64), tile).groupBy("a", "b").applyInPandas(compare, "src long, dst long")
+
+
+def missed_links(nodes: DataFrame, similarity: float, tile: int = SET_TILE) -> DataFrame:
+    """Similar pairs (src, dst) that connect ``nodes`` (node, fp, print, component, shingles) whose components differ.
+    The sets travel with the tiles, so every pair within the radius is checked where it is found, and only links leave."""
+
+    def compare(key, frame):
+        order, blocks = _wide_pairs(frame, key, similarity)
+        node, group = frame["node"].to_numpy()[order], pd.factorize(frame["component"].to_numpy()[order])[0]
+        sets = [np.unique(x) for x in frame["shingles"].to_numpy()[order]]
+        sizes = np.array([len(x) for x in sets])
+        src, dst = [], []
+        for a, b, d in blocks:
+            keep = (group[a] != group[b]) & (np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]))
+            near = np.argsort(d[keep], kind="stable")
+            for i, j in zip(a[keep][near].tolist(), b[keep][near].tolist(), strict=True):
+                if group[i] == group[j]:
+                    continue
+                same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if same >= similarity * (len(sets[i]) + len(sets[j]) - same):
+                    src.append(min(node[i], node[j]))
+                    dst.append(max(node[i], node[j]))
+                    group[group == group[j]] = group[i]
+        return pd.DataFrame({"src": np.array(src, np.int64), "dst": np.array(dst, np.int64)})
+
+    return _met(nodes, radius_for(similarity, 64), tile, tiles=12).groupBy("a", "b").applyInPandas(compare, "src long, dst long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -260,7 +286,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     Candidates are within MARGIN standard deviations of the distance that the similarity gives, so a pair that has
     just the similarity is missed once in a hundred times.  Each tile pair reports a forest of the nearest, which is
     checked against the sets.  A forest edge that fails may stand before one that holds: the nodes around such
-    edges are compared again, all pairs between what isn't linked yet being checked.  Fingerprints that are equal in
+    edges are compared again with their sets at hand, every pair between what isn't linked yet being checked.  Fingerprints that are equal in
     256 bits are one node.  Rows without an id are told apart by their texts.
     """
     spark = docs.sparkSession
@@ -279,7 +305,8 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     failed = failed.join(around, "node").select("around").distinct()
     doubtful = stored(around.join(failed, "around", "left_semi").select("node"), "doubtful")
     again = points.join(doubtful, "node", "left_semi").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = verified(wide_links(again, similarity, tile=8192, every=True), sets).where(F.col("similarity") >= similarity)
+    own = sets.join(doubtful, "node", "left_semi").dropDuplicates(["node"])
+    more = missed_links(stored(again.join(own, "node"), "again"), similarity)
     found = components(held.select("src", "dst").unionByName(more.select("src", "dst")))
 
     label = nodes.join(found, "node", "left").select("print", "w", F.coalesce("component", "node").alias("component_id"))
