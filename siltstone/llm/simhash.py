@@ -146,8 +146,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
 
 
 def shingle_sets(docs: DataFrame, words: int, seed: int = 42) -> DataFrame:
-    """(node, fp, print, shingles) for rows of (node, text): the wide fingerprint of the distinct shingles, its first
-    64 bits, and the shingles as numbers of 32 bits."""
+    """(of, node, fp, print, shingles) for rows of (of, text): a number of the set of shingles, its wide fingerprint, the
+    first 64 bits of that, and the shingles as numbers of 32 bits."""
 
     def run(batches):
         for batch in batches:
@@ -156,12 +156,15 @@ def shingle_sets(docs: DataFrame, words: int, seed: int = 42) -> DataFrame:
                 part = [np.unique(np.array(shingle_hashes(x, words, seed), np.uint64)) for x in texts.slice(at, 512).to_pylist()]
                 sizes = np.fromiter(map(len, part), np.int64, len(part))
                 flat = np.concatenate(part)
+                node = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), seed) for x in part), np.uint64, len(part)).view(np.int64)
                 wide = np.stack([majority(mixed(flat, k), sizes) for k in range(WIDE)], axis=1)
                 prints = pa.array([x.tobytes() for x in wide.astype("<u8")], pa.binary())
                 sets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat.astype(np.uint32).view(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), pa.array(wide[:, 0].view(np.int64)), prints, sets], names=["node", "fp", "print", "shingles"])
+                columns = [batch.column(0).slice(at, 512), pa.array(node), pa.array(wide[:, 0].view(np.int64)), prints, sets]
+                yield pa.RecordBatch.from_arrays(columns, names=["of", "node", "fp", "print", "shingles"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, fp long, print binary, shingles array<int>")
+    of = docs.select("of").schema["of"].dataType.simpleString()
+    return docs.select("of", "text").mapInArrow(run, f"of {of}, node long, fp long, print binary, shingles array<int>")
 
 
 def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -279,23 +282,27 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(both.select("src", "dst", (same / (F.size("x") + F.size("y") - same)).alias("similarity")), "verified")
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) for each row: the smallest id reachable over pairs whose sets of shingles have at least
-    this Jaccard similarity.
+def copy_groups(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, node, of: own_id and the columns in ``carry``), and for each node (node, w, id, first, component): how
+    many rows it has, their smallest id, their first row, and the group it belongs to.
+
+    A node is a set of shingles, never an id, so rows that share an id and differ in their texts are told apart, and
+    rows without an id take part.  First is the row with the smallest id; rows without one come last, and a hash of
+    what they carry decides between equal ids.
 
     Candidates are within MARGIN standard deviations of the distance that the similarity gives, so a pair that has
     just the similarity is missed once in a hundred times.  Each tile pair reports a forest of the nearest, which is
     checked against the sets.  A forest edge that fails may stand before one that holds: the nodes around such
-    edges are compared again with their sets at hand, every pair between what isn't linked yet being checked.  Fingerprints that are equal in
-    256 bits are one node.  Rows without an id are told apart by their texts.
+    edges are compared again with their sets at hand, every pair between what isn't linked yet being checked.
     """
     spark = docs.sparkSession
-    text = F.col(text_col).cast("string")
-    unnamed = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 3)
-    prints = stored(shingle_sets(docs.select(F.coalesce(F.col(id_col).cast("long"), unnamed).alias("node"), text.alias("text")), words), "wide")
-    rows = prints.select(F.col("node").alias("row"), "print")
-    nodes = stored(prints.groupBy("print").agg(F.min("node").alias("node"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("w")), "nodes")
-    points, sets = nodes.select("node", "fp", "print"), prints.select("node", "shingles")
+    of = F.struct(F.col(id_col).cast("long").alias("own_id"), *carry)
+    found = shingle_sets(docs.select(of.alias("of"), F.col(text_col).cast("string").alias("text")), words)
+    rows = stored(found.withColumn("row", F.monotonically_increasing_id()), "wide")
+    first = F.struct(F.col("of.own_id").isNull().alias("unnamed"), F.col("of.own_id").alias("id"), F.xxhash64("of").alias("hash"), "row")
+    nodes = rows.groupBy("node", "fp", "print").agg(F.min("of.own_id").alias("id"), F.min(first).alias("first"), F.count(F.lit(1)).alias("w"))
+    nodes = stored(nodes, "nodes")
+    points, sets = nodes.select("node", "fp", "print"), stored(rows.select("node", "shingles").dropDuplicates(["node"]), "sets")
 
     checked = verified(wide_links(points.repartition(parallelism(spark)), similarity), sets)
     held = checked.where(F.col("similarity") >= similarity)
@@ -305,11 +312,25 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     failed = failed.join(around, "node").select("around").distinct()
     doubtful = stored(around.join(failed, "around", "left_semi").select("node"), "doubtful")
     again = points.join(doubtful, "node", "left_semi").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    own = sets.join(doubtful, "node", "left_semi").dropDuplicates(["node"])
-    more = missed_links(stored(again.join(own, "node"), "again"), similarity)
+    more = missed_links(stored(again.join(sets, "node"), "again"), similarity)
     found = components(held.select("src", "dst").unionByName(more.select("src", "dst")))
 
-    label = nodes.join(found, "node", "left").select("print", "w", F.coalesce("component", "node").alias("component_id"))
-    label = stored(label.withColumn("component_id", F.when(F.col("component_id") < NO_ID, F.col("component_id"))), "labels")
-    out = hot_join(rows, label, "print", "w", rows.count())
-    return out.select(F.when(F.col("row") < NO_ID, F.col("row")).alias("doc_id"), "component_id")
+    label = nodes.join(found, "node", "left").select("node", "w", "id", "first", F.coalesce("component", "node").alias("component"))
+    return rows.select("row", "node", "of"), stored(label, "labels")
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) for each row: the smallest id reachable over pairs whose sets of shingles have at least
+    this Jaccard similarity, null if no row of them has an id."""
+    rows, label = copy_groups(docs, words, similarity, id_col, text_col)
+    smallest = stored(label.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("n")), "smallest")
+    named = hot_join(label.select("node", "w", "component"), smallest, "component", "n", label.count())
+    out = hot_join(rows, stored(named.select("node", "w", "component_id"), "named"), "node", "w", rows.count())
+    return out.select(F.col("of.own_id").alias("doc_id"), "component_id")
+
+
+def first_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """The columns in ``carry`` of one row of each group of near copies, the first (see ``copy_groups``)."""
+    rows, label = copy_groups(docs, words, similarity, id_col, text_col, carry)
+    kept = label.groupBy("component").agg(F.min("first").alias("first")).select("first.row")
+    return rows.join(kept, "row").select(*(F.col("of")[c].alias(c) for c in carry))

@@ -53,10 +53,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> l
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id"), F.col("doc_id")
     one = known.where("toxic = 1").orderBy(*order).limit(most).unionByName(known.where("toxic = 0").orderBy(*order).limit(most))
-    # at most twice ``most`` rows are broadcast and collected
-    rows = docs.select("doc_id", "text").join(F.broadcast(one), "doc_id").select("doc_id", "text", "toxic").collect()
-    seen = {r["doc_id"]: (r["text"] or "", int(r["toxic"])) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))}
-    return [seen[i] for i in sorted(seen)]
+    # at most twice ``most`` rows are broadcast and collected: of several texts for one id the greatest
+    asked = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(one), "doc_id")
+    rows = asked.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).collect()
+    return [(r["text"], int(r["toxic"])) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
 def distinct(read: list[tuple[list[str], int]], words: int = 3, most: float = 0.5) -> list[tuple[list[str], int]]:

@@ -362,3 +362,28 @@ def test_pipeline(spark):
             assert {r.doc_id: r["count"] for r in after.groupBy("doc_id").count().collect()} == mixed
         before = after
     assert P.STAGES[-1][1](spark, before, sf).count() == before.count()
+
+
+def test_near_copies_know_rows_by_their_texts(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(8)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    near = a.rsplit(" ", 1)[0] + " other"
+    found = [(4, a), (9, near), (9, b), (9, c), (None, a), (None, d), (None, d + " more"), (11, b), (9, b), (None, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in found], DOCS)
+    # one row stays of each group of texts; which of two that have no id is left to a hash
+    for parts in (1, 7):
+        kept = [(r.doc_id, (r.text or "").removesuffix(" more")) for r in P.drop_near_copies(spark, df.repartition(parts), "").collect()]
+        assert sorted(kept, key=str) == sorted([(4, a), (9, b), (9, c), (None, d), (None, "")], key=str)
+
+
+def test_training_sample_collects_a_text_an_id(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    i = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1)
+    docs = spark.createDataFrame([(i, f"text {k:03}") for k in range(300)] + [(i, None)], "doc_id long, text string")
+    collected, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: collected.append(found := collect(self)) or found)
+    assert toxicity.training_sample(docs, spark.createDataFrame([(i, 1)], "doc_id long, toxic int")) == [("text 299", 1)]
+    assert max(map(len, collected)) == 1
