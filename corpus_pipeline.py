@@ -31,8 +31,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; every secret in them is masked."""
-    found = secrets.scan(docs, carry=COLUMNS[2:4])
+    """All documents stay; every secret in them is masked, private keys to their end."""
+    found = secrets.scan(docs, secrets.WHOLE, carry=COLUMNS[2:4])
     masked = found.withColumn("text", F.when(F.size("spans") > 0, secrets.masked(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
     return masked.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 

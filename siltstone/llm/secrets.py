@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -50,6 +50,11 @@ ADDED = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
 )
 RULES = BASE + ADDED
+#: What follows a private key's header: all to its END line, or the lines of base64 and the key's own fields where END is
+#: missing.  Neither crosses another header; the bounds keep the matcher's stack small.
+_KEY = r"""(?:[^-]*+(?:-{1,4}+[^-]++){0,64}+-----END [A-Z ]*PRIVATE KEY-----|(?:\s*+(?:(?:Proc-Type|DEK-Info):[^\n]*+|[A-Za-z0-9+/=]{40,}+|[A-Za-z0-9+/=]++(?=[ \t\r]*+(?:\n|$)))){0,400}+)"""
+#: For masking: the rules as they are, but a private key is one span from its header to its end.
+WHOLE = tuple(replace(r, pattern=r.pattern + _KEY) if r.kind == "pem" else r for r in RULES)
 #: Documents in a block of postings, on average.
 BLOCK = 4096
 
