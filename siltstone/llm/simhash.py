@@ -20,6 +20,7 @@ ignored.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -35,8 +36,11 @@ from .base import components, hot_join, local_roots, parallelism, stored
 TILE = 65_536
 #: Hashes whose bits are unpacked at once.
 CHUNK = 65_536
-#: Words of 64 bits in a wide fingerprint, and standard deviations that a radius lies above the expected distance.
-WIDE, MARGIN = 4, 2.7
+#: Words of 64 bits in a wide fingerprint, those of them that are compared first, and how often a radius may be exceeded
+#: by a pair that has the similarity.
+WIDE, FIRST, MISS = 4, 2, 1e-6
+#: Shingles from which sets share one radius.
+MANY = 64
 #: Nodes in a tile that carries shingle sets, at most.
 SET_TILE = 2048
 #: Nodes with no id of their own are numbered from here.
@@ -86,14 +90,18 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str =
 
 
 def near_pairs(x: np.ndarray, y: np.ndarray | None, radius: int):
-    """Index pairs within ``radius`` bits, in blocks; with y None within x."""
+    """Index pairs within ``radius`` bits, in blocks; with y None within x.  Of fingerprints of several words each is a row."""
     other = x if y is None else y
     rows = max(1, 1_000_000 // max(1, len(other)))
     for at in range(0, len(x), rows):
         right = other[at + 1 :] if y is None else other
         if not len(right):
             continue
-        a, b = np.nonzero(np.bitwise_count(x[at : at + rows, None] ^ right[None, :]) <= radius)
+        if x.ndim == 1:
+            d = np.bitwise_count(x[at : at + rows, None] ^ right[None, :])
+        else:
+            d = sum(np.bitwise_count(x[at : at + rows, None, k] ^ right[None, :, k]) for k in range(x.shape[1]))
+        a, b = np.nonzero(d <= radius)
         yield a + at, (b + at + 1 if y is None else b + len(x))
 
 
@@ -177,10 +185,42 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def radius_for(similarity: float, bits: int) -> int:
-    """Differing bits that hardly any pair of sets with at least this similarity exceeds."""
-    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(bits * differ + MARGIN * math.sqrt(bits * differ * (1 - differ)))
+def differs(shared: int, a: int, b: int) -> float:
+    """Probability that a bit differs between the fingerprints of two sets with this many shared elements and ``a`` and
+    ``b`` of their own: each element sets it or not by an even chance."""
+    n, m = shared + a, shared + b
+    above = lambda own, i, size: sum(math.comb(own, j) for j in range(own + 1) if 2 * (i + j) > size) / 2**own
+    out = 0.0
+    for i in range(shared + 1):
+        x, y = above(a, i, n), above(b, i, m)
+        out += math.comb(shared, i) / 2**shared * (x * (1 - y) + y * (1 - x))
+    return out
+
+
+@functools.cache
+def union_differs(similarity: float, union: int) -> float:
+    """The greatest such probability of two sets with this union and at least the similarity."""
+    least = math.ceil(similarity * union - 1e-9)
+    return max((differs(s, a, union - s - a) for s in range(least, union) for a in range((union - s) // 2 + 1)), default=0.0)
+
+
+@functools.cache
+def radius_for(similarity: float, bits: int, size: int = 1) -> int:
+    """Differing bits that a pair of sets with at least this similarity, the larger of ``size`` shingles or more,
+    exceeds with a chance of at most MISS."""
+    # the probability falls with the size, not evenly, towards that of the angle
+    p = max(math.acos(2 * similarity / (1 + similarity)) / math.pi, *(union_differs(similarity, u) for u in range(min(size, MANY), 2 * MANY)))
+    more = 0.0
+    for r in range(bits, -1, -1):
+        more += math.comb(bits, r) * p**r * (1 - p) ** (bits - r)
+        if more > MISS:
+            return r
+    return 0
+
+
+def radii(similarity: float) -> tuple[int, np.ndarray]:
+    """The radius of the first words for any set, and that of the whole fingerprint by the size of the larger set, up to MANY."""
+    return radius_for(similarity, 64 * FIRST), np.array([radius_for(similarity, 64 * WIDE, max(1, k)) for k in range(MANY + 1)])
 
 
 def nearest_forest(n: int, blocks):
@@ -218,27 +258,32 @@ def nearest_forest(n: int, blocks):
     return forest
 
 
-def _wide_pairs(frame: pd.DataFrame, key: tuple, similarity: float):
-    """A tile pair's rows in order, tile a first, and blocks (a, b, distance) of its pairs within the radius."""
-    first, radius = radius_for(similarity, 64), radius_for(similarity, 64 * WIDE)
+def _wide_pairs(frame: pd.DataFrame, key: tuple, similarity: float, bounds: tuple[int, np.ndarray]):
+    """A tile pair's rows in order, tile a first, and blocks (a, b, distance) of its pairs within the radius whose sizes allow the similarity."""
+    first, radius = bounds
     in_a = frame["tile"].to_numpy() == key[0]
     order = np.concatenate((np.flatnonzero(in_a), np.flatnonzero(~in_a)))
     wide, n = np.frombuffer(b"".join(frame["print"]), np.uint64).reshape(-1, WIDE)[order], int(in_a.sum())
-    fp = np.ascontiguousarray(wide[:, 0])
+    size, fp = frame["size"].to_numpy()[order], np.ascontiguousarray(wide[:, :FIRST])
 
     def blocks():
         for a, b in near_pairs(fp, None, first) if key[0] == key[1] else near_pairs(fp[:n], fp[n:], first):
+            small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+            fits = small >= similarity * large
+            a, b, large = a[fits], b[fits], large[fits]
             d = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64)
-            yield a[d <= radius], b[d <= radius], d[d <= radius]
+            near = d <= radius[np.minimum(large, MANY)]
+            yield a[near], b[near], d[near]
 
     return order, blocks()
 
 
 def wide_links(nodes: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
-    """Candidate pairs (src, dst) of ``nodes`` (node, fp, print): for each tile pair a forest of the nearest."""
+    """Candidate pairs (src, dst) of ``nodes`` (node, fp, print, size): for each tile pair a forest of the nearest."""
+    bounds = radii(similarity)
 
     def compare(key, frame):
-        order, blocks = _wide_pairs(frame, key, similarity)
+        order, blocks = _wide_pairs(frame, key, similarity, bounds)
         node = frame["node"].to_numpy()[order]
         a, b, _ = nearest_forest(len(node), blocks)
         return pd.DataFrame({"src": np.minimum(node[a], node[b]), "dst": np.maximum(node[a], node[b])})
@@ -247,17 +292,17 @@ def wide_links(nodes: DataFrame, similarity: float, tile: int = TILE) -> DataFra
 
 
 def missed_links(nodes: DataFrame, similarity: float, tile: int = SET_TILE) -> DataFrame:
-    """Similar pairs (src, dst) that connect ``nodes`` (node, fp, print, component, shingles) whose components differ.
+    """Similar pairs (src, dst) that connect ``nodes`` (node, fp, print, size, component, shingles) whose components differ.
     The sets travel with the tiles, so every pair within the radius is checked where it is found, and only links leave."""
+    bounds = radii(similarity)
 
     def compare(key, frame):
-        order, blocks = _wide_pairs(frame, key, similarity)
+        order, blocks = _wide_pairs(frame, key, similarity, bounds)
         node, group = frame["node"].to_numpy()[order], pd.factorize(frame["component"].to_numpy()[order])[0]
         sets = [np.unique(x) for x in frame["shingles"].to_numpy()[order]]
-        sizes = np.array([len(x) for x in sets])
         src, dst = [], []
         for a, b, d in blocks:
-            keep = (group[a] != group[b]) & (np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]))
+            keep = group[a] != group[b]
             near = np.argsort(d[keep], kind="stable")
             for i, j in zip(a[keep][near].tolist(), b[keep][near].tolist(), strict=True):
                 if group[i] == group[j]:
@@ -290,8 +335,8 @@ def copy_groups(docs: DataFrame, words: int, similarity: float, id_col: str, tex
     rows without an id take part.  First is the row with the smallest id; rows without one come last, and a hash of
     what they carry decides between equal ids.
 
-    Candidates are within MARGIN standard deviations of the distance that the similarity gives, so a pair that has
-    just the similarity is missed once in a hundred times.  Each tile pair reports a forest of the nearest, which is
+    Candidates are within a radius that a pair with the similarity exceeds with a chance of at most MISS, by the exact
+    chances of its sizes; with the bounds on the first words and on tiles, three times MISS at most.  Each tile pair reports a forest of the nearest, which is
     checked against the sets.  A forest edge that fails may stand before one that holds: the nodes around such
     edges are compared again with their sets at hand, every pair between what isn't linked yet being checked.
     """
@@ -300,9 +345,9 @@ def copy_groups(docs: DataFrame, words: int, similarity: float, id_col: str, tex
     found = shingle_sets(docs.select(of.alias("of"), F.col(text_col).cast("string").alias("text")), words)
     rows = stored(found.withColumn("row", F.monotonically_increasing_id()), "wide")
     first = F.struct(F.col("of.own_id").isNull().alias("unnamed"), F.col("of.own_id").alias("id"), F.xxhash64("of").alias("hash"), "row")
-    nodes = rows.groupBy("node", "fp", "print").agg(F.min("of.own_id").alias("id"), F.min(first).alias("first"), F.count(F.lit(1)).alias("w"))
+    nodes = rows.groupBy("node", "fp", "print", F.size("shingles").alias("size")).agg(F.min("of.own_id").alias("id"), F.min(first).alias("first"), F.count(F.lit(1)).alias("w"))
     nodes = stored(nodes, "nodes")
-    points, sets = nodes.select("node", "fp", "print"), stored(rows.select("node", "shingles").dropDuplicates(["node"]), "sets")
+    points, sets = nodes.select("node", "fp", "print", "size"), stored(rows.select("node", "shingles").dropDuplicates(["node"]), "sets")
 
     checked = verified(wide_links(points.repartition(parallelism(spark)), similarity), sets)
     held = checked.where(F.col("similarity") >= similarity)

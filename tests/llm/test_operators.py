@@ -1,6 +1,7 @@
 """The corpus operators against plain Python, on small tables with nulls, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -399,3 +400,22 @@ def test_private_keys_are_masked_whole(spark):
     df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], DOCS)
     got = {r.doc_id: r.text for r in P.mask_secrets(spark, df, "").collect()}
     assert got == {0: "a [secret] b", 1: "a [secret]\nb", 2: "a [secret]\nplain words", 3: "a [secret]\nplain words\n[secret]", 4: "a [secret]\n"}
+
+
+def test_near_copies_of_short_texts(spark):
+    rng = random.Random(9)
+    rows = []
+    for _ in range(200):  # 4 of 5 and 12 of 15 shingles shared: a similarity of just 0.8
+        for n, more in ((8, 1), (16, 3)):
+            words = [f"w{rng.randrange(10**9)}" for _ in range(n + more)]
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:n]))]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_radius_by_exact_chances():
+    assert simhash.differs(4, 1, 0) == 0.1875
+    miss = lambda p, r, bits=256: 1 - sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(r + 1))
+    for s, a, b in ((4, 1, 0), (8, 1, 1), (12, 3, 0), (12, 1, 2), (40, 10, 0), (40, 5, 5), (120, 12, 18)):
+        p, size = simhash.differs(s, a, b), min(s + max(a, b), simhash.MANY)
+        assert miss(p, simhash.radii(0.8)[1][size]) < 2e-6 and miss(p, simhash.radii(0.8)[0], 128) < 2e-6
