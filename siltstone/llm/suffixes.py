@@ -4,32 +4,32 @@ document collections built column by column.
 A window is ``length`` bytes.  Equal windows have the same anchor: the k-gram in
 them with the smallest hash, the leftmost of equal ones.  Neighbouring windows
 with one anchor make a fragment, and fragments whose anchor no other document
-has are done with.  What remains goes to the anchor's bucket.  There the
-fragments of an anchor that differ form a collection: its Burrows-Wheeler
-transform and longest common prefixes grow by one symbol of each fragment a
-round, the columns lying in external files that are read and written in
-sequence.  Where common prefixes reach ``length`` bytes, windows are equal; all
-but those of the smallest id are removed.  A column-wise build of whole texts
-would take as many rounds as the longest text has bytes; fragments have at most
-2 * length - k.
+has are done with.  All others go to the anchor's bucket.  There the fragments
+of the anchors that differ form collections: the Burrows-Wheeler transform and
+longest common prefixes of a collection grow by one symbol of each fragment a
+round, in sequential files with a segment for each first symbol.  Where common
+prefixes reach ``length`` bytes, windows are equal; all but those of the
+smallest id are removed.  A column-wise build of whole texts would take as many
+rounds as the longest text has bytes; fragments have at most 2 * length - k.
 
 Repeats are folded before every shuffle.  A text of which a smaller id has a copy
 is removed whole; a block of documents sends an anchor once, and of equal
-fragments only that of the smallest id; and of fragments that differ only those
-come into the collection that share the hash of a window, cut to what they
-share.  So a passage that a third of all documents have adds little.
+fragments only that of the smallest id.  Where HOT fragments or more have one
+anchor, as at the edges of a passage that a third of all documents have, each
+window is a fragment with its own hash for an anchor, so they spread.
 
 Null texts are empty.  A null id is larger than all others.  Rows with equal ids
 don't remove each other's bytes; a row that repeats id and text is treated
-alike.  Other columns are ignored; an empty table gives an empty result.
+alike.  Texts of any length are taken whole, in overlapping pieces of 1 MiB.
+Other columns are ignored, whatever they are called; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import math
-import os
-import tempfile
 
 import numpy as np
 import pandas as pd
@@ -43,8 +43,9 @@ from .base import hot_join, parallelism, stored
 GRAM, PLACE = 24, 20
 #: Bytes of text in a block, about.
 BLOCK = 16 << 20
-#: Fragments in a collection, but for those of one anchor.
-COLLECTION = 8192
+#: Fragments in a collection, but for those of one anchor, of which there are HOT at most: where that many fragments have
+#: an anchor, their windows go their own ways.
+COLLECTION, HOT = 32_768, 4096
 _P = 0x9E3779B97F4A7C15
 _SIZE = 1 << PLACE
 _powers = np.concatenate(([np.uint64(1)], np.cumprod(np.full(_SIZE, _P, np.uint64))))
@@ -124,29 +125,41 @@ def _key(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 class Columns:
-    """Sequential files with the collection's transform, common prefixes, fragment numbers and suffix lengths."""
-
-    TYPES = (("bwt", np.uint8), ("lcp", np.uint16), ("who", np.int32), ("len", np.uint16))
-
-    def __init__(self, folder: str):
-        self.folder = folder
-
-    def read(self, name: str) -> np.ndarray:
-        return np.fromfile(os.path.join(self.folder, name), dict(self.TYPES)[name])
-
-    def write(self, **columns: np.ndarray) -> None:
-        for name, values in columns.items():
-            values.astype(dict(self.TYPES)[name], copy=False).tofile(os.path.join(self.folder, name))
-
-
-def collection(texts: list[bytes], files: Columns) -> None:
-    """Transform and common prefixes of all suffixes of the texts.  The bytes in use
-    are numbered from 1; 0 stands before a text's first symbol.
-
-    Round 0 inserts the ends, round j the suffix of j symbols of every text that
-    long.  A suffix goes where the symbol before the last one leads; its common
-    prefix with a neighbour is one more than the least between the places of the
-    two suffixes that they extend."""
+    """Two columns of a collection, its transform and its common prefixes, as sequential files with a segment for each
+    first symbol.  A round reads the segments in order and writes their successors in order.  A collection is bounded,
+    so the files are kept in memory: a cluster's machines share no folder that a task could open."""
+
+    def __init__(self, segments: int, wide, deep):
+        self.kinds = (np.dtype(wide), np.dtype(deep))
+        self.sizes = [0] * segments
+        self.files = (io.BytesIO(), io.BytesIO())
+
+    def read(self):
+        """(symbol, transform, common prefixes) of each segment, in sequence."""
+        for f in self.files:
+            f.seek(0)
+        for c, n in enumerate(self.sizes):
+            yield c, *(np.frombuffer(f.read(n * k.itemsize), k) for f, k in zip(self.files, self.kinds, strict=True))
+
+    def replaced(self, segments) -> None:
+        """Write the segments (transform, common prefixes), in order, in place of the old ones."""
+        fresh, sizes = (io.BytesIO(), io.BytesIO()), []
+        for columns in segments:
+            sizes.append(len(columns[0]))
+            for f, k, column in zip(fresh, self.kinds, columns, strict=True):
+                f.write(column.astype(k, copy=False).tobytes())
+        self.files, self.sizes = fresh, sizes
+
+
+def collection(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Burrows-Wheeler transform and longest common prefixes of all suffixes of the texts.  The bytes in use are
+    numbered from 1; 0 stands before a text's first symbol.  Segment 0 holds the ends in the order of the texts,
+    segment c the suffixes that start with c.
+
+    Round 0 inserts the ends, round j the suffix of j symbols of every text that long.  Where the symbol before a
+    text's latest suffix is c, the new suffix goes to segment c, to the place that the rank of that c in the
+    transform gives.  Its common prefix with its neighbour is one more than the least between the two suffixes that
+    they extend, or one where these start with different symbols."""
     used = sorted({b for t in texts for b in t})
     code = np.zeros(256, np.int64)
     code[used] = np.arange(1, len(used) + 1)
@@ -154,69 +167,121 @@ def collection(texts: list[bytes], files: Columns) -> None:
     sizes = np.array([len(t) for t in texts])
     ends = np.cumsum(sizes)
     flat = code[np.frombuffer(b"".join(texts), np.uint8)].astype(wide)
-    m = len(texts)
+    m, kinds, longest = len(texts), len(used) + 1, int(sizes.max())
 
     def before(who: np.ndarray, size: int) -> np.ndarray:
         """The symbol before the suffix of ``size`` symbols; 0 where the text begins."""
         at = np.maximum(ends[who] - size - 1, 0)
         return np.where(sizes[who] > size, flat[at], 0).astype(wide)
 
-    everyone = np.arange(m)
-    files.TYPES = (("bwt", wide), *Columns.TYPES[1:])
-    files.write(bwt=before(everyone, 0), lcp=np.zeros(m), who=everyone, len=np.zeros(m))
-    place = np.arange(m)  # of each text's latest suffix
-    for size in range(1, int(sizes.max()) + 1):
-        bwt, lcp = files.read("bwt"), files.read("lcp")
-        live = np.flatnonzero(sizes >= size)
-        order = np.argsort(bwt, kind="stable")
-        turn = np.empty(len(order), np.int64)
-        turn[order] = np.arange(len(order))
-        ended = int((bwt == 0).sum())
-        t = turn[place[live]]
-        fresh = m - ended + t  # places in the new list: ends first, then by symbol and place
-        # common prefixes of the new suffixes and of those that now follow one
-        after = t + 1
-        after = after[after < len(order)]
-        touched = np.unique(np.concatenate((t, after[bwt[order[after]] == bwt[order[after - 1]]])))
-        same = touched[(touched > ended) & (bwt[order[touched]] == bwt[order[touched - 1]])]
-        common = np.zeros(len(touched), np.int64)
-        if len(same):
-            spans = np.stack((order[same - 1] + 1, order[same] + 1), axis=1).ravel()
-            padded = np.concatenate((lcp, lcp[:1]))
-            common[np.searchsorted(touched, same)] = 1 + np.minimum.reduceat(padded, spans)[::2].astype(np.int64)
-        total = len(bwt) + len(live)
-        old = np.ones(total, bool)
-        old[fresh] = False
-
-        def merged(column: np.ndarray, values, dtype) -> np.ndarray:
-            new = np.empty(total, dtype)
-            new[old], new[fresh] = column, values
-            return new
-
-        grown = merged(lcp, 0, np.uint16)
-        grown[m - ended + touched] = common
-        # the first suffix behind a new one that starts with another symbol shares nothing
-        edge = m - ended + after[bwt[order[after]] != bwt[order[after - 1]]]
-        grown[edge] = 0
-        files.write(lcp=grown, bwt=merged(bwt, before(live, size), wide), who=merged(files.read("who"), live, np.int32), len=merged(files.read("len"), size, np.uint16))
-        place = np.full(m, -1)
-        place[live] = fresh
-
-
-def first_owners(texts: list[bytes], owners: np.ndarray, length: int, folder: str) -> list[np.ndarray]:
+    files = Columns(kinds, wide, np.min_scalar_type(longest))
+    live = np.arange(m)
+    files.replaced([(before(live, 0), np.zeros(m))] + [(np.zeros(0), np.zeros(0))] * (kinds - 1))
+    segment, place = np.zeros(m, np.int64), np.arange(m)  # of each live text's latest suffix, ascending
+    for size in range(1, longest + 1):
+        seen = np.zeros(kinds, np.int64)  # of each symbol, in the segments read so far
+        fresh = []  # (text, symbol, place, common prefix)
+        changed: list[list] = [[] for _ in range(kinds)]  # places whose common prefix a new one before them changes
+        cut = np.searchsorted(segment, np.arange(kinds + 1))
+        pending = np.zeros(kinds, bool)  # symbols whose next suffix follows a new one of an earlier segment
+        for d, bwt, lcp in files.read():
+            if not len(bwt):
+                continue
+            counts = np.bincount(bwt, minlength=kinds)
+            starts = np.cumsum(counts) - counts
+            order = np.argsort(bwt, kind="stable")
+            # the first of its symbol here shares that symbol with the last one of an earlier segment
+            for c in np.flatnonzero(pending & (counts > 0)).tolist():
+                if c:
+                    changed[c].append((np.array([seen[c]]), np.array([1])))
+            pending[counts > 0] = False
+            who, at = live[cut[d] : cut[d + 1]], place[cut[d] : cut[d + 1]]
+            if len(who):
+                symbol = bwt[at].astype(np.int64)
+                turn = np.empty(len(order), np.int64)
+                turn[order] = np.arange(len(order))
+                t = turn[at]
+                rank = t - starts[symbol]
+                padded = np.append(lcp, lcp[-1:])
+                follows = np.flatnonzero(rank > 0)
+                common = np.where(seen[symbol] > 0, 1, 0)
+                common[follows] = 1 + _least(padded, order[t[follows] - 1], at[follows])
+                fresh.append((who, symbol, seen[symbol] + rank, common))
+                leads = np.flatnonzero(rank + 1 < counts[symbol])
+                nexts = order[t[leads] + 1]
+                value = 1 + _least(padded, at[leads], nexts)
+                by = np.argsort(symbol[leads], kind="stable")
+                of = symbol[leads][by]
+                for i, j in zip(*_bounds(of), strict=True):
+                    pick = leads[by[i:j]]
+                    changed[int(of[i])].append((seen[of[i]] + rank[pick] + 1, value[by[i:j]]))
+                pending[symbol[rank + 1 == counts[symbol]]] = True
+            seen += counts
+        who, symbol, at, common = (np.concatenate(x) for x in zip(*fresh, strict=True))
+        keep = np.flatnonzero(symbol > 0)
+        keep = keep[np.argsort((symbol[keep] << 40) | at[keep])]
+        live, segment, place, common = who[keep], symbol[keep], at[keep], common[keep]
+        cut = np.searchsorted(segment, np.arange(kinds + 1))
+        added = before(live, size)
+
+        def grown():
+            for c, bwt, lcp in files.read():
+                i, j = cut[c], cut[c + 1]
+                if i == j or not c:
+                    yield bwt, lcp
+                    continue
+                total = len(bwt) + j - i
+                old = np.ones(total, bool)
+                old[place[i:j]] = False
+                wider, deeper = np.empty(total, bwt.dtype), np.empty(total, lcp.dtype)
+                wider[old], wider[place[i:j]] = bwt, added[i:j]
+                deeper[old] = lcp
+                for x, values in changed[c]:
+                    deeper[x] = values
+                deeper[place[i:j]] = common[i:j]
+                yield wider, deeper
+
+        files.replaced(list(grown()))
+    columns = list(files.read())
+    return np.concatenate([x for _, x, _ in columns]), np.concatenate([x for _, _, x in columns])
+
+
+def _bounds(ordered: np.ndarray):
+    """Starts and ends of the runs of equal values."""
+    start = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))[: len(ordered)]
+    return start, np.append(start[1:], len(ordered))[: len(start)]
+
+
+def _least(padded: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of the common prefixes behind a, up to b.  ``padded`` has one element more than there are."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    spans = np.stack((a + 1, b + 1), axis=1).ravel()
+    return np.minimum.reduceat(padded, spans)[::2].astype(np.int64)
+
+
+def first_owners(texts: list[bytes], owners: np.ndarray, length: int) -> list[np.ndarray]:
     """For each text and each window in it the smallest owner of a text that holds the window."""
-    files = Columns(folder)
-    collection(texts, files)
-    who, size, lcp = files.read("who").astype(np.int64), files.read("len").astype(np.int64), files.read("lcp")
-    starts = np.flatnonzero(np.concatenate(([True], lcp[1:] < length)))
-    least = np.minimum.reduceat(owners[who], starts)
-    of_run = np.repeat(least, np.diff(np.append(starts, len(who))))
-    full = size >= length
-    out = [np.full(len(t) - length + 1, NO_ID, np.int64) for t in texts]
+    bwt, lcp = collection(texts)
     sizes = np.array([len(t) for t in texts])
-    for w, at, o in zip(who[full].tolist(), (sizes[who[full]] - size[full]).tolist(), of_run[full].tolist(), strict=True):
-        out[w][at] = o
-    return out
+    # back through the transform from the ends, all texts at a time: whose suffix stands where, and how long it is
+    order = np.argsort(bwt, kind="stable")
+    turn = np.empty(len(order), np.int64)
+    turn[order] = np.arange(len(order))
+    who, size = np.zeros(len(bwt), np.int64), np.zeros(len(bwt), np.int64)
+    live = np.arange(len(texts))
+    who[: len(texts)] = at = live
+    for k in range(1, int(sizes.max()) + 1):
+        keep = sizes[live] >= k
+        live, at = live[keep], turn[at[keep]]
+        who[at], size[at] = live, k
+    starts = np.flatnonzero(np.concatenate(([True], lcp[1:] < length)))
+    least = np.repeat(np.minimum.reduceat(owners[who], starts), np.diff(np.append(starts, len(who))))
+    full = np.flatnonzero(size >= length)
+    first = np.concatenate(([0], np.cumsum(sizes - length + 1)))
+    out = np.full(first[-1], NO_ID, np.int64)
+    out[first[who[full]] + sizes[who[full]] - size[full]] = least[full]
+    return np.split(out, first[1:-1])
 
 
 def _runs(hit: np.ndarray, length: int):
@@ -225,38 +290,6 @@ def _runs(hit: np.ndarray, length: int):
     return [(int(a), int(b) + length - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def shared_windows(texts: list[bytes], length: int) -> list[tuple[int, int] | None]:
-    """For each text the first and last of its windows whose hash another text has too, None if there is none."""
-    hashes, owner, place = [], [], []
-    at = 0
-    while at < len(texts):
-        group, size = [], 0
-        while at + len(group) < len(texts) and (not group or size + len(texts[at + len(group)]) <= _SIZE):
-            group.append(texts[at + len(group)])
-            size += len(group[-1])
-        data = np.frombuffer(b"".join(group), np.uint8)
-        sums = np.concatenate(([np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[: len(data)])))
-        sizes = np.array([len(t) for t in group])
-        starts, n = np.cumsum(sizes) - sizes, sizes - length + 1
-        who = np.repeat(np.arange(len(group)), n)
-        off = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-        pos = starts[who] + off
-        hashes.append((sums[pos + length] - sums[pos]) * _inverse[pos])
-        owner.append(who + at)
-        place.append(off)
-        at += len(group)
-    h, who, off = np.concatenate(hashes), np.concatenate(owner), np.concatenate(place)
-    order = np.argsort(h, kind="stable")  # owners ascend within a run
-    h, who, off = h[order], who[order], off[order]
-    start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    end = np.append(start[1:], len(h))
-    keep = np.repeat(who[start] != who[end - 1], end - start)
-    low, high = np.full(len(texts), 1 << 40), np.full(len(texts), -1)
-    np.minimum.at(low, who[keep], off[keep])
-    np.maximum.at(high, who[keep], off[keep])
-    return [(a, b) if b >= 0 else None for a, b in zip(low.tolist(), high.tolist(), strict=True)]
-
-
 FOUND = "bucket long, block long, n long, payload binary"
 _MARK = np.dtype([("row", "<u4"), ("start", "<i8"), ("end", "<i8")])
 #: A payload's columns for fragments: anchor, id, row of the block, first byte, bytes; the fragments' bytes follow.
@@ -284,7 +317,7 @@ def _without_copies(frame: pd.DataFrame, said: pd.DataFrame) -> tuple[list[int],
     return ids, texts, rows, gone
 
 
-def removed(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK) -> DataFrame:
+def removed(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
@@ -301,7 +334,7 @@ def removed(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
     copies = stored(copies.select(F.lit(-1).cast("long").alias("bucket"), "block", F.lit(0).cast("long").alias("n"), packed.alias("payload")), "copies")
 
     def anchors(key, frame, said):
-        """A block's anchors by bucket, each once; with a bit for those that two of its rows have."""
+        """A block's anchors by bucket, each once, with the number of its fragments; one more where they are of two rows."""
         _, texts, _, _ = _without_copies(frame, said)
         h, which, _, _ = fragments(texts, length)
         if not len(h):
@@ -309,51 +342,68 @@ def removed(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
         known = _key(h, blocks)
         order = np.lexsort((which, known))
         known, which = known[order], which[order]
-        start = np.flatnonzero(np.concatenate(([True], known[1:] != known[:-1])))
-        many = which[start] != which[np.append(start[1:], len(known)) - 1]
+        start, end = _bounds(known)
+        many = np.where(which[start] != which[end - 1], np.minimum(end - start, 0xFFFF), 1).astype(np.uint16)
         known = known[start]
         bucket = (known >> np.uint64(32)).astype(np.int64)
         cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
         low = known.astype(np.uint32)
-        rows = [(int(bucket[i]), key[0], int(j - i), low[i:j].tobytes() + np.packbits(many[i:j]).tobytes()) for i, j in zip(cut, np.append(cut[1:], len(known)), strict=True)]
+        rows = [(int(bucket[i]), key[0], int(j - i), low[i:j].tobytes() + many[i:j].tobytes()) for i, j in zip(cut, np.append(cut[1:], len(known)), strict=True)]
         return pd.DataFrame(rows, columns=["bucket", "block", "n", "payload"])
 
     def shared(key, frame):
-        """The anchors that two documents have, for each block that has them."""
+        """The anchors that two documents have, for each block that has them; those that very many fragments have with
+        a mark (in n of a row of its own, below zero)."""
         low = np.concatenate([np.frombuffer(x, np.uint32, n) for x, n in zip(frame["payload"], frame["n"], strict=True)])
         blk = np.repeat(frame["block"].to_numpy(), frame["n"].to_numpy())
-        many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8, offset=4 * n), count=n) for x, n in zip(frame["payload"], frame["n"], strict=True)])
+        many = np.concatenate([np.frombuffer(x, np.uint16, n, 4 * n) for x, n in zip(frame["payload"], frame["n"], strict=True)])
         order = np.argsort(low, kind="stable")
-        low, blk, many = low[order], blk[order], many[order].astype(bool)
-        start = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-        sizes = np.diff(np.append(start, len(low)))
-        keep = np.repeat((sizes > 1) | np.logical_or.reduceat(many, start), sizes)
-        low, blk = low[keep], blk[keep]
-        order = np.argsort(blk, kind="stable")
-        low, blk = low[order], blk[order]
-        cut = np.flatnonzero(np.concatenate(([True], blk[1:] != blk[:-1])))[: len(blk)]
-        rows = [(key[0], int(blk[i]), int(j - i), low[i:j].tobytes()) for i, j in zip(cut, np.append(cut[1:], len(blk)), strict=True)] if len(blk) else []
+        low, blk, many = low[order], blk[order], many[order].astype(np.int64)
+        start, end = _bounds(low)
+        count = np.add.reduceat(many, start)
+        keep, many = (np.repeat(x, end - start) for x in (count > 1, count >= hot))
+        rows = []
+        for sign, which in ((1, keep & ~many), (-1, keep & many)):
+            here, of = low[which], blk[which]
+            by = np.argsort(of, kind="stable")
+            here, of = here[by], of[by]
+            rows += [(key[0], int(of[i]), int(sign * (j - i)), here[i:j].tobytes()) for i, j in zip(*_bounds(of), strict=True)]
         return pd.DataFrame(rows, columns=["bucket", "block", "n", "payload"])
 
     def candidates(key, frame, said):
-        """Fragments of a block's documents whose anchors are shared; of equal ones that of the smallest id, for the others a mark."""
+        """Fragments of a block's documents whose anchors are shared; of equal ones that of the smallest id, for the
+        others a mark.  Where very many fragments have an anchor, each of their windows is a fragment, and its hash the anchor."""
         ids, texts, rows, gone = _without_copies(frame, said)
         sizes = [len(t) for t in frame.sort_values(["id", "tid"], na_position="last")["text"]] if gone else []
         marks = [(rows[k], 0, sizes[k]) for k in gone if sizes[k] >= length]
         said = said[said["bucket"] >= 0]
         sent: dict[int, list] = {}
         if len(said):
-            wanted = np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(x, np.uint32).astype(np.uint64) for b, x in zip(said["bucket"], said["payload"], strict=True)])
+            wanted = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+            for k in (0, 1):
+                of = said[(said["n"] < 0) == bool(k)]
+                if len(of):
+                    wanted[k] = np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(x, np.uint32).astype(np.uint64) for b, x in zip(of["bucket"], of["payload"], strict=True)])
             h, which, at, size = fragments(texts, length)
             known = _key(h, blocks)
-            keep = np.isin(known, wanted)
+            by_window = np.isin(known, wanted[1])
+            keep = np.isin(known, wanted[0]) | by_window
             seen: dict[bytes, int] = {}
-            for k, w, a, n in zip(known[keep].tolist(), which[keep].tolist(), at[keep].tolist(), size[keep].tolist(), strict=True):
+            for k, w, a, n, wide in zip(known[keep].tolist(), which[keep].tolist(), at[keep].tolist(), size[keep].tolist(), by_window[keep].tolist(), strict=True):
                 part = texts[w][a : a + n]
                 if seen.setdefault(part, ids[w]) < ids[w]:
                     marks.append((rows[w], a, a + n))
-                else:
+                elif not wide:
                     sent.setdefault(k >> 32, []).append((k, ids[w], rows[w], a, n, part))
+                else:
+                    for off in range(n - length + 1):
+                        window = part[off : off + length]
+                        if n > length and seen.setdefault(window, ids[w]) < ids[w]:
+                            marks.append((rows[w], a + off, a + off + length))
+                            continue
+                        hashed = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "big")
+                        own = ((hashed >> 32) % blocks) << 32 | hashed & 0xFFFFFFFF
+                        sent.setdefault(own >> 32, []).append((own, ids[w], rows[w], a + off, length, window))
         out = []
         for b, xs in sent.items():
             *columns, parts = zip(*xs, strict=True)
@@ -387,20 +437,11 @@ def removed(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
                     out.setdefault(blk, []).append((row, a + s, a + e))
 
         def settle():
-            if not pool:
-                return
-            spans = shared_windows([t for t, _ in pool], length)
-            owner = np.array([min(o)[0] for _, o in pool], np.int64)
-            least = [np.full(len(t) - length + 1, o) for (t, _), o in zip(pool, owner.tolist(), strict=True)]
-            open_ = [k for k, x in enumerate(spans) if x]
-            if open_:
-                with tempfile.TemporaryDirectory() as folder:
-                    best = first_owners([pool[k][0][spans[k][0] : spans[k][1] + length] for k in open_], owner[open_], length, folder)
-                for k, found in zip(open_, best, strict=True):
-                    least[k][spans[k][0] : spans[k][1] + 1] = found
-            for (_, occurrences), x in zip(pool, least, strict=True):
-                mark(occurrences, x)
-            pool.clear()
+            if pool:
+                owners = np.array([min(o)[0] for _, o in pool], np.int64)
+                for (_, occurrences), least in zip(pool, first_owners([t for t, _ in pool], owners, length), strict=True):
+                    mark(occurrences, least)
+                pool.clear()
 
         for of_anchor in groups.values():
             if len(of_anchor) > 1:

@@ -200,17 +200,30 @@ def test_suffixes(spark, docs, none, texts):
     rows = [(i, t) for i, t in texts] + [(100 + k, prose(rng, 5) + shared[k : 60 + 3 * k] + prose(rng, 5)) for k in range(30)] + [(100, "other"), (101, "other")]
     got = sorted(tuple(r) for r in suffixes.removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect())
     assert got == plain_removed([(i, (t or "").encode()) for i, t in rows], 50)
+    # windows of anchors that many fragments have go their own ways, with the same result
+    got = sorted(tuple(r) for r in suffixes.removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot=3).collect())
+    assert got == plain_removed([(i, (t or "").encode()) for i, t in rows], 50)
     assert not suffixes.removed(none).count()
 
 
-def test_suffix_collection(tmp_path):
+def test_suffixes_of_long_texts_and_odd_rows(spark):
+    rng = random.Random(10)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(1_300_000))
+    rows = [(1, long), (2, "q" + long[1_000_000:1_100_000] + "q"), (3, long[:60] + "x" + long[-60:]), (None, long[5:80]), (None, "z" * 80), (3, long[:60] + "x" + long[-60:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"block": F.lit("x"), "bucket": F.lit(1), "id": F.lit("y"), "tid": F.lit(None).cast("int")})
+    got = sorted(((suffixes.NO_ID if r.doc_id is None else r.doc_id), *tuple(r)[1:]) for r in suffixes.removed(df).collect())
+    assert got == plain_removed([(suffixes.NO_ID if i is None else i, t.encode()) for i, t in rows], 50)
+
+
+def test_suffix_collection():
     rng = random.Random(3)
-    for k in range(60):
+    for _ in range(60):
         words = [bytes(rng.choice(b"ab") for _ in range(rng.randint(6, 25))) for _ in range(rng.randint(1, 9))]
         own = np.array([rng.randint(0, 9) for _ in words], np.int64)
-        folder = tmp_path / str(k)
-        folder.mkdir()
-        got = suffixes.first_owners(words, own, 6, str(folder))
+        got = suffixes.first_owners(words, own, 6)
+        suffix = sorted(t[len(t) - k :] for t in words for k in range(len(t) + 1))
+        common = [next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(suffix, suffix[1:])]
+        assert suffixes.collection(words)[1].tolist() == [0, *common]
         for i, t in enumerate(words):
             assert got[i].tolist() == [min(int(own[j]) for j, u in enumerate(words) if t[a : a + 6] in u) for a in range(len(t) - 5)]
 
