@@ -9,8 +9,13 @@ source, and a filter applies it: nothing is sorted and reruns agree.
 
 Null and blank texts have size 0.  A null source is a source of its own, last
 in order.  Rows that repeat an id and a text share a hash and are taken or left
-together.  Other columns are carried only where named, and an empty table gives
-an empty result.
+together; so do rows without an id that have one text.  Texts of any length are
+hashed and counted whole.  Other columns are carried only where named, whatever
+they are called, and an empty table gives an empty result.
+
+The plan has one row for each source.  Rows meet it by ``hot_join``: the plan of
+a source that holds a thousandth of the rows or more is broadcast, so no hot
+source is shuffled, and neither is any other while the plan is small.
 """
 
 from __future__ import annotations
@@ -18,14 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import stored
+from .base import hot_join, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 #: Hexadecimal digits of the hash, and those by which a round splits a bucket.
 DIGITS, STEP = 15, 3
-#: Parts into which a source's rows are dealt where they meet its threshold.
-SALT = 64
+#: The name by which rows and plan meet: a null source is none of the others.
+SOURCE_KEY = "mix_source"
 
 
 def place(id_col: str = "doc_id", text_col: str = "text") -> Column:
@@ -34,6 +39,10 @@ def place(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.substring(F.md5(said.cast("binary")), 1, DIGITS)
 
 
+def source_key(source: Column) -> Column:
+    return F.when(source.isNull(), "-").otherwise(F.concat(F.lit("="), source.cast("string")))
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """``sources``: source, source_size, a row each.  Adds ``target``: the sources
     share ``share`` times all sizes by weight; what exceeds ``most`` times a
@@ -55,48 +64,71 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return level.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
+def thresholds(sized: DataFrame, budgets: DataFrame, total: int) -> DataFrame:
     """For each source the prefix at which its budget ends and whether documents
-    with that very prefix are taken: source, cut, whole.
+    with that very prefix are taken: SOURCE_KEY, cut, whole.
 
-    ``sized``: source, size, place.  ``budgets``: source, budget.  A document is
-    taken while what is before it and half of it stay within the budget."""
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    state = stored(budgets.select(F.col("source").alias("s"), "budget", F.lit("").alias("cut"), F.lit(0).cast("long").alias("before")), "cuts")
+    ``sized``: SOURCE_KEY, size, place.  ``budgets``: SOURCE_KEY, budget, w (its
+    rows, of ``total``).  A document is taken while what is before it and half of
+    it stay within the budget."""
+    state = stored(budgets.select(SOURCE_KEY, "budget", "w", F.lit("").alias("cut"), F.lit(0).cast("long").alias("before")), "cuts")
     for n in range(STEP, DIGITS + 1, STEP):
-        inside = sized.join(state, same("source", "s")).where(F.substring("place", 1, n - STEP) == F.col("cut"))
-        sums = inside.groupBy("s", "budget", "before", F.substring("place", 1, n).alias("bucket")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("docs"))
-        run = F.col("before") + F.sum("n").over(Window.partitionBy("s").orderBy("bucket"))
+        inside = hot_join(sized, state.withColumn("rows", F.col("w")), SOURCE_KEY, "rows", total).where(F.substring("place", 1, n - STEP) == F.col("cut"))
+        sums = inside.groupBy(SOURCE_KEY, "budget", "w", "before", F.substring("place", 1, n).alias("bucket")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("docs"))
+        run = F.col("before") + F.sum("n").over(Window.partitionBy(SOURCE_KEY).orderBy("bucket"))  # 4096 buckets at most
         # the first bucket that the budget does not wholly hold; the last one if there is none
         ranked = sums.withColumn("run", run).withColumn("ends", F.col("run") > F.col("budget"))
-        first = ranked.groupBy("s", "budget").agg(
+        first = ranked.groupBy(SOURCE_KEY, "budget", "w").agg(
             F.min(F.when(F.col("ends"), F.struct("bucket", (F.col("run") - F.col("n")).alias("before"), "n", "docs"))).alias("at"),
             F.max(F.struct("bucket", (F.col("run") - F.col("n")).alias("before"), "n", "docs")).alias("end"),
         )
         cut = F.coalesce("at", "end")
-        state = stored(first.select("s", "budget", cut["bucket"].alias("cut"), cut["before"].alias("before"), cut["n"].alias("n"), cut["docs"].alias("docs")), "cuts")
+        state = stored(first.select(SOURCE_KEY, "budget", "w", cut["bucket"].alias("cut"), cut["before"].alias("before"), cut["n"].alias("n"), cut["docs"].alias("docs")), "cuts")
         if n < DIGITS and not state.where("docs > 1").limit(1).count():
             break
-    return state.select(F.col("s").alias("source"), "cut", (F.col("before") + F.col("n") / 2 <= F.col("budget")).alias("whole"))
+    return state.select(SOURCE_KEY, "cut", (F.col("before") + F.col("n") / 2 <= F.col("budget")).alias("whole"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """id, source, place, size, source_size, target and ``copies`` (0 to ``most``)
-    for each row.  A target of k sizes and a part takes every document k times
-    and those within the part's threshold once more."""
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """id, source, size, place and SOURCE_KEY of each row, without its text."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = stored(docs.select(F.col(id_col), F.col(source_col).alias("source"), size.alias("size"), place(id_col, text_col).alias("place")), "sizes")
-    goal = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, float(most)), "targets")
+    return docs.select(F.col(id_col), F.col(source_col).alias("source"), size.alias("size"), place(id_col, text_col).alias("place"), source_key(F.col(source_col)).alias(SOURCE_KEY))
+
+
+def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> tuple[DataFrame, int]:
+    """A row for each source (SOURCE_KEY, w, source_size, target, times, cut, whole), and the number of rows."""
+    sources = sized.groupBy("source", SOURCE_KEY).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("w"))
+    sources = stored(sources, "sources")
+    total = sources.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    goal = targets(sources, weights, share, float(most)).withColumn(SOURCE_KEY, source_key(F.col("source"))).drop("source").join(sources.select(SOURCE_KEY, "w"), SOURCE_KEY)
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
-    goal = goal.withColumn("times", times).withColumn("budget", F.col("target") - F.col("times") * F.col("source_size"))
-    cuts = thresholds(sized, goal.select("source", "budget"))
-    plan = goal.join(cuts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "budget")
-    plan = plan.withColumnRenamed("source", "s").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    salted = sized.withColumn("salt", F.pmod(F.xxhash64("place"), F.lit(SALT)).cast("int"))
-    met = salted.join(plan, F.col("source").eqNullSafe(F.col("s")) & (salted["salt"] == plan["salt"]))
+    goal = stored(goal.withColumn("times", times).withColumn("budget", F.col("target") - F.col("times") * F.col("source_size")), "targets")
+    return stored(goal.drop("budget").join(thresholds(sized, goal, total), SOURCE_KEY), "plan"), total
+
+
+def taken(rows: DataFrame, planned: DataFrame, total: int) -> DataFrame:
+    """``rows`` (with SOURCE_KEY and place) and how often the mix takes each: ``copies``."""
+    met = hot_join(rows, planned, SOURCE_KEY, "w", total)
     prefix = F.expr("substring(place, 1, length(cut))")
     more = (prefix < F.col("cut")) | ((prefix == F.col("cut")) & F.col("whole"))
-    return met.select(id_col, "source", "place", "size", "source_size", "target", (F.col("times") + F.when(more, 1).otherwise(0)).alias("copies"))
+    return met.withColumn("copies", F.col("times") + F.when(more, 1).otherwise(0)).drop("times", "cut", "whole", SOURCE_KEY)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """id, source, place, size, source_size, target and ``copies`` (0 to ``most``)
+    for each row.  A target of k sizes and a part takes every document k times
+    and those within the part's threshold once more."""
+    sized = stored(sizes(docs, id_col, text_col, source_col), "sizes")
+    found = taken(sized, *plan(sized, weights, share, most))
+    return found.select(id_col, "source", "place", "size", "source_size", "target", "copies")
+
+
+def mixed(docs: DataFrame, carry: tuple[str, ...], weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The columns in ``carry`` of each row, as many times as the mix takes it.  The rows meet the plan where they are:
+    no text is shuffled while Spark can broadcast the plan."""
+    planned = plan(stored(sizes(docs, id_col, text_col, source_col), "sizes"), weights, share, most)
+    rows = docs.select(F.struct(*carry).alias("of"), place(id_col, text_col).alias("place"), source_key(F.col(source_col)).alias(SOURCE_KEY))
+    return taken(rows, *planned).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("of.*")
 
 
 ORACLE = r"""WITH docs AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,

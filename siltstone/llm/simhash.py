@@ -2,15 +2,18 @@
 differ, found by an exact comparison of tiles.
 
 Fingerprints that are equal are one node, so a group of copies of any size
-costs one comparison.  Nodes are dealt into tiles of one population count each.
-Two fingerprints within ``radius`` bits have population counts within
+costs one comparison.  Nodes are dealt into tiles of neighbouring population
+counts.  Two fingerprints within ``radius`` bits have population counts within
 ``radius``, so only such tile pairs meet, as numpy exclusive-or and bit counts;
 no link is missed.  A tile pair reports a spanning forest of its links, never
 all its pairs.
 
 ``near_copies`` asks for a similarity of the shingle sets instead.  Three bits of
-64 find few pairs at 0.8, so it takes 256 bits and a wide radius, meets the same
-way, and holds the found pairs against the sets themselves.
+64 find few pairs at 0.8, so it takes 256 bits and a wide radius.  At such a
+radius population counts rule out little, but sets of that similarity also have
+sizes of that ratio, so its tiles hold neighbouring sizes and meet only those in
+reach; tile pairs whose population counts differ beyond the radius are skipped as
+well.  The found pairs are held against the sets themselves.
 
 Null, empty and blank texts have no words: fingerprint zero, linked like any
 other.  Rows may repeat.  Rows whose id is null take part; the component is the
@@ -20,6 +23,7 @@ ignored.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 
@@ -34,8 +38,8 @@ from .base import components, hot_join, local_roots, parallelism, stored
 
 #: Nodes in a tile at most.
 TILE = 65_536
-#: Hashes whose bits are unpacked at once.
-CHUNK = 65_536
+#: Hashes that are summed at once, a multiple of 255.
+CHUNK = 255 * 256
 #: Words of 64 bits in a wide fingerprint, those of them that are compared first, and how often a radius may be exceeded
 #: by a pair that has the similarity.
 WIDE, FIRST, MISS = 4, 2, 1e-6
@@ -43,6 +47,10 @@ WIDE, FIRST, MISS = 4, 2, 1e-6
 MANY = 64
 #: Nodes in a tile that carries shingle sets, at most.
 SET_TILE = 2048
+#: Bands of sizes between two sizes of just the ratio that the similarity allows.
+BANDS = 8
+#: Words whose hashes a worker remembers.
+MEMORY = 400_000
 #: Nodes with no id of their own are numbered from here.
 NO_ID = 1 << 62
 
@@ -60,15 +68,21 @@ def shingle_hashes(text: bytes | None, words: int = 3, seed: int = 42) -> list[i
     return [digest(line[a:b], seed) for a, b in zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)]
 
 
+#: A byte's bits, each in a byte of its own: so 255 hashes are summed in eight additions each.
+_SPREAD = np.array([sum((b >> k & 1) << 8 * k for k in range(8)) for b in range(256)], np.uint64)
+
+
 def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Fingerprint of each run of ``sizes`` hashes: a bit is one if it is set in over half of them."""
     sums = np.zeros((len(sizes), 64), np.int64)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
+    starts = np.cumsum(sizes) - sizes
+    cuts = np.union1d(starts[sizes > 0], np.arange(0, len(hashes), 255))
+    owner = np.searchsorted(starts, cuts, side="right") - 1  # empty runs stand before the one that starts at the same place
     for at in range(0, len(hashes), CHUNK):
-        bits = np.unpackbits(hashes[at : at + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        who = owner[at : at + CHUNK]
-        first = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
-        sums[who[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+        i, j = np.searchsorted(cuts, (at, at + CHUNK))
+        lanes = _SPREAD[hashes[at : at + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)]
+        part = np.add.reduceat(lanes, cuts[i:j] - at, axis=0).view(np.uint8).reshape(-1, 64)
+        np.add.at(sums, owner[i:j], part.astype(np.int64))
     set_bits = (2 * sums > sizes[:, None]).astype(np.uint8)
     return np.packbits(set_bits, axis=1, bitorder="little").view("<u8").ravel()
 
@@ -105,29 +119,35 @@ def near_pairs(x: np.ndarray, y: np.ndarray | None, radius: int):
         yield a + at, (b + at + 1 if y is None else b + len(x))
 
 
-def _met(nodes: DataFrame, radius: int, tile: int, tiles: int = 48) -> DataFrame:
-    """``nodes`` dealt into tiles and repeated for each tile pair (a, b) whose population counts are within ``radius``."""
+def _met(nodes: DataFrame, reach: int, tile: int, tiles: int = 48) -> DataFrame:
+    """``nodes`` (with a whole number ``band`` of few values) dealt into tiles of neighbouring bands, and repeated for
+    each tile pair (a, b) with bands within ``reach``.  A crowded band has several tiles."""
     spark = nodes.sparkSession
-    nodes = nodes.withColumn("ones", F.bit_count("fp"))
-    counts = {r["ones"]: r["n"] for r in nodes.groupBy("ones").agg(F.count(F.lit(1)).alias("n")).collect()}  # 65 rows at most
-    size = max(1, min(tile, math.ceil(sum(counts.values()) / tiles)))
-    start, splits = {}, {}
-    at = 0
-    for ones in range(65):
-        start[ones], splits[ones] = at, math.ceil(counts.get(ones, 0) / size)
-        at += splits[ones]
-    start[65] = at
-    dims = [(k, start[k], splits[k], start[max(0, k - radius)], start[min(65, k + radius + 1)] - 1) for k in counts]
-    dim = spark.createDataFrame(dims, "ones int, start long, splits long, lo long, hi long")  # 65 rows at most
-    dealt = nodes.join(F.broadcast(dim), "ones").withColumn("tile", F.col("start") + F.pmod(F.xxhash64("fp", "node"), F.col("splits")))
-    met = dealt.withColumn("other", F.explode(F.sequence("lo", "hi"))).withColumns({"a": F.least("tile", "other"), "b": F.greatest("tile", "other")})
-    return met.drop("ones", "start", "splits", "lo", "hi", "other")
+    counts = sorted((r["band"], r["n"]) for r in nodes.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect())  # a row a band
+    size = max(1, min(tile, math.ceil(sum(n for _, n in counts) / tiles)))
+    dealt, low, high, held = [], [], [], size  # (band, first tile, its tiles); bands of each tile
+    for band, n in counts:
+        parts = math.ceil(n / size)
+        if parts == 1 and held + n <= size:
+            high[-1] = band
+            held += n
+        else:
+            held = n if parts == 1 else size
+            low += [band] * parts
+            high += [band] * parts
+        dealt.append((band, len(low) - parts, parts))
+    dims = [(t, bisect.bisect_left(high, low[t] - reach), bisect.bisect_right(low, high[t] + reach) - 1) for t in range(len(low))]
+    of_band = spark.createDataFrame(dealt, "band int, start long, splits long")
+    of_tile = spark.createDataFrame(dims, "tile long, lo long, hi long")  # a row a tile: rows / TILE at most
+    placed = nodes.join(F.broadcast(of_band), "band").withColumn("tile", F.col("start") + F.pmod(F.xxhash64("fp", "node"), F.col("splits")))
+    met = placed.join(F.broadcast(of_tile), "tile").withColumn("other", F.explode(F.sequence("lo", "hi"))).withColumns({"a": F.least("tile", "other"), "b": F.greatest("tile", "other")})
+    return met.drop("band", "start", "splits", "lo", "hi", "other")
 
 
 def links(nodes: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     """Edges (src, dst) that connect all nodes whose fingerprints are within
     ``radius`` bits.  ``nodes``: distinct (node, fp)."""
-    met = _met(nodes.select("node", "fp"), radius, tile)
+    met = _met(nodes.select("node", "fp", F.bit_count("fp").alias("band")), radius, tile)
 
     def compare(key, frame):
         fp = frame["fp"].to_numpy().view(np.uint64)
@@ -153,26 +173,66 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
     return hot_join(prints, label, "fp", "w", prints.count()).select("doc_id", "fp", "component_id")
 
 
-def shingle_sets(docs: DataFrame, words: int, seed: int = 42) -> DataFrame:
-    """(of, node, fp, print, shingles) for rows of (of, text): a number of the set of shingles, its wide fingerprint, the
-    first 64 bits of that, and the shingles as numbers of 32 bits."""
+class _Words(dict):
+    """Hashes of words; forgotten when there are too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMORY:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def shingle_set(text: bytes | None, words: int, known: dict) -> np.ndarray:
+    """64-bit hashes of the distinct shingles, ascending: polynomials in the hashes of their words.  A text of fewer
+    words has one shingle, its whole sequence."""
+    found = (text or b"").lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+    k = min(words, len(h))
+    out = np.full(len(h) - k + 1, k, np.uint64)
+    for j in range(k):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j]
+    return np.unique(mixed(out, 1))
+
+
+def wide_prints(docs: DataFrame, words: int, seed: int = 42) -> DataFrame:
+    """(of, node, fp, print, size) for rows of (of, text): a number of the set of shingles, the first 64 bits of its
+    wide fingerprint, that fingerprint, and the number of shingles."""
 
     def run(batches):
+        known = _Words()
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             for at in range(0, len(texts), 512):
-                part = [np.unique(np.array(shingle_hashes(x, words, seed), np.uint64)) for x in texts.slice(at, 512).to_pylist()]
+                part = [shingle_set(x, words, known) for x in texts.slice(at, 512).to_pylist()]
                 sizes = np.fromiter(map(len, part), np.int64, len(part))
                 flat = np.concatenate(part)
                 node = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), seed) for x in part), np.uint64, len(part)).view(np.int64)
                 wide = np.stack([majority(mixed(flat, k), sizes) for k in range(WIDE)], axis=1)
                 prints = pa.array([x.tobytes() for x in wide.astype("<u8")], pa.binary())
-                sets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat.astype(np.uint32).view(np.int32)))
-                columns = [batch.column(0).slice(at, 512), pa.array(node), pa.array(wide[:, 0].view(np.int64)), prints, sets]
-                yield pa.RecordBatch.from_arrays(columns, names=["of", "node", "fp", "print", "shingles"])
+                columns = [batch.column(0).slice(at, 512), pa.array(node), pa.array(wide[:, 0].view(np.int64)), prints, pa.array(sizes)]
+                yield pa.RecordBatch.from_arrays(columns, names=["of", "node", "fp", "print", "size"])
 
     of = docs.select("of").schema["of"].dataType.simpleString()
-    return docs.select("of", "text").mapInArrow(run, f"of {of}, node long, fp long, print binary, shingles array<int>")
+    return docs.select("of", "text").mapInArrow(run, f"of {of}, node long, fp long, print binary, size long")
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) for rows of (node, text)."""
+
+    def run(batches):
+        known = _Words()
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary())
+            for at in range(0, len(texts), 512):
+                part = [shingle_set(x, words, known).view(np.int64) for x in texts.slice(at, 512).to_pylist()]
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in part])))
+                sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(part)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), sets], names=["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
 def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -265,8 +325,11 @@ def _wide_pairs(frame: pd.DataFrame, key: tuple, similarity: float, bounds: tupl
     order = np.concatenate((np.flatnonzero(in_a), np.flatnonzero(~in_a)))
     wide, n = np.frombuffer(b"".join(frame["print"]), np.uint64).reshape(-1, WIDE)[order], int(in_a.sum())
     size, fp = frame["size"].to_numpy()[order], np.ascontiguousarray(wide[:, :FIRST])
+    ones = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
 
     def blocks():
+        if key[0] != key[1] and (not n or n == len(ones) or ones[:n].min() - ones[n:].max() > first or ones[n:].min() - ones[:n].max() > first):
+            return
         for a, b in near_pairs(fp, None, first) if key[0] == key[1] else near_pairs(fp[:n], fp[n:], first):
             small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
             fits = small >= similarity * large
@@ -278,6 +341,12 @@ def _wide_pairs(frame: pd.DataFrame, key: tuple, similarity: float, bounds: tupl
     return order, blocks()
 
 
+def _banded(nodes: DataFrame, similarity: float) -> DataFrame:
+    """With the band of the set's size.  Sizes of pairs with the similarity are at most BANDS bands apart."""
+    band = F.floor(F.log(F.greatest("size", F.lit(1))) * (BANDS / -math.log(similarity - 1e-9)))
+    return nodes.withColumn("band", band.cast("int"))
+
+
 def wide_links(nodes: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
     """Candidate pairs (src, dst) of ``nodes`` (node, fp, print, size): for each tile pair a forest of the nearest."""
     bounds = radii(similarity)
@@ -288,7 +357,7 @@ def wide_links(nodes: DataFrame, similarity: float, tile: int = TILE) -> DataFra
         a, b, _ = nearest_forest(len(node), blocks)
         return pd.DataFrame({"src": np.minimum(node[a], node[b]), "dst": np.maximum(node[a], node[b])})
 
-    return _met(nodes, radius_for(similarity, 64), tile).groupBy("a", "b").applyInPandas(compare, "src long, dst long")
+    return _met(_banded(nodes, similarity), BANDS, tile).groupBy("a", "b").applyInPandas(compare, "src long, dst long")
 
 
 def missed_links(nodes: DataFrame, similarity: float, tile: int = SET_TILE) -> DataFrame:
@@ -299,7 +368,7 @@ def missed_links(nodes: DataFrame, similarity: float, tile: int = SET_TILE) -> D
     def compare(key, frame):
         order, blocks = _wide_pairs(frame, key, similarity, bounds)
         node, group = frame["node"].to_numpy()[order], pd.factorize(frame["component"].to_numpy()[order])[0]
-        sets = [np.unique(x) for x in frame["shingles"].to_numpy()[order]]
+        sets = frame["shingles"].to_numpy()[order]
         src, dst = [], []
         for a, b, d in blocks:
             keep = group[a] != group[b]
@@ -314,68 +383,88 @@ def missed_links(nodes: DataFrame, similarity: float, tile: int = SET_TILE) -> D
                     group[group == group[j]] = group[i]
         return pd.DataFrame({"src": np.array(src, np.int64), "dst": np.array(dst, np.int64)})
 
-    return _met(nodes, radius_for(similarity, 64), tile, tiles=12).groupBy("a", "b").applyInPandas(compare, "src long, dst long")
+    return _met(_banded(nodes, similarity), BANDS, tile, tiles=12).groupBy("a", "b").applyInPandas(compare, "src long, dst long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The distinct ``pairs`` (src, dst) with the similarity of their ``sets`` (node, shingles)."""
-    ends = stored(pairs.where("src < dst").distinct(), "pairs")
-    asked = ends.select(F.col("src").alias("node")).unionByName(ends.select(F.col("dst").alias("node"))).distinct()
-    own = stored(sets.join(asked, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    both = ends.join(own.select(F.col("node").alias("src"), F.col("shingles").alias("x")), "src").join(own.select(F.col("node").alias("dst"), F.col("shingles").alias("y")), "dst")
+def verified(ends: DataFrame, sets: DataFrame) -> DataFrame:
+    """The distinct pairs ``ends`` (src, dst) with the similarity of their ``sets`` (node, shingles).  A forest has hubs."""
+    total = max(1, ends.count())
+
+    def met(left: DataFrame, end: str, name: str) -> DataFrame:
+        weights = ends.groupBy(end).agg(F.count(F.lit(1)).alias("w"))
+        own = stored(sets.join(weights.withColumnRenamed(end, "node"), "node").select(F.col("node").alias(end), F.col("shingles").alias(name), "w"), "sets")
+        return hot_join(left, own, end, "w", total)
+
+    both = met(met(ends, "src", "x"), "dst", "y")
     same = F.size(F.array_intersect("x", "y"))
     return stored(both.select("src", "dst", (same / (F.size("x") + F.size("y") - same)).alias("similarity")), "verified")
 
 
 def copy_groups(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Rows (row, node, of: own_id and the columns in ``carry``), and for each node (node, w, id, first, component): how
-    many rows it has, their smallest id, their first row, and the group it belongs to.
+    """Rows (row, node, of: own_id, the text, and the columns in ``carry``), and for each node (node, w, id, first,
+    component): how many rows it has, their smallest id, their first row, and the group it belongs to.
 
     A node is a set of shingles, never an id, so rows that share an id and differ in their texts are told apart, and
     rows without an id take part.  First is the row with the smallest id; rows without one come last, and a hash of
     what they carry decides between equal ids.
 
     Candidates are within a radius that a pair with the similarity exceeds with a chance of at most MISS, by the exact
-    chances of its sizes; with the bounds on the first words and on tiles, three times MISS at most.  Each tile pair reports a forest of the nearest, which is
-    checked against the sets.  A forest edge that fails may stand before one that holds: the nodes around such
-    edges are compared again with their sets at hand, every pair between what isn't linked yet being checked.
+    chances of its sizes; with the bound on the first words, twice MISS at most.  Each tile pair reports a forest of the
+    nearest, which is checked against the sets; sets are made of the texts that have a candidate only.  A forest edge
+    that fails may stand before one that holds: where checked edges leave several groups of what the candidates connect,
+    its nodes are compared again with their sets at hand, every pair between what isn't linked yet being checked.
     """
     spark = docs.sparkSession
-    of = F.struct(F.col(id_col).cast("long").alias("own_id"), *carry)
-    found = shingle_sets(docs.select(of.alias("of"), F.col(text_col).cast("string").alias("text")), words)
+    text = F.col(text_col).cast("string")
+    held_text = text_col if text_col in carry else "own_text"
+    of = F.struct(F.col(id_col).cast("long").alias("own_id"), *([] if text_col in carry else [text.alias("own_text")]), *carry)
+    found = wide_prints(docs.select(of.alias("of"), text.alias("text")), words)
     rows = stored(found.withColumn("row", F.monotonically_increasing_id()), "wide")
     first = F.struct(F.col("of.own_id").isNull().alias("unnamed"), F.col("of.own_id").alias("id"), F.xxhash64("of").alias("hash"), "row")
-    nodes = rows.groupBy("node", "fp", "print", F.size("shingles").alias("size")).agg(F.min("of.own_id").alias("id"), F.min(first).alias("first"), F.count(F.lit(1)).alias("w"))
+    nodes = rows.groupBy("node", "fp", "print", "size").agg(F.min("of.own_id").alias("id"), F.min(first).alias("first"), F.count(F.lit(1)).alias("w"))
     nodes = stored(nodes, "nodes")
-    points, sets = nodes.select("node", "fp", "print", "size"), stored(rows.select("node", "shingles").dropDuplicates(["node"]), "sets")
+    points = nodes.select("node", "fp", "print", "size")
 
-    checked = verified(wide_links(points.repartition(parallelism(spark)), similarity), sets)
-    held = checked.where(F.col("similarity") >= similarity)
-    failed = checked.where(F.col("similarity") < similarity).select(F.col("src").alias("node"))
+    ends = stored(wide_links(points.repartition(parallelism(spark)), similarity).where("src < dst").distinct(), "pairs")
+    asked = ends.select(F.col("src").alias("node")).unionByName(ends.select(F.col("dst").alias("node"))).distinct()
+    asked = nodes.join(asked, "node", "left_semi").select(F.col("first.row").alias("row"))
+    sets = stored(shingle_sets(rows_of(rows, asked).select("node", F.col("of")[held_text].alias("text")), words), "sets")
+    checked = verified(ends, sets)
+    held = checked.where(F.col("similarity") >= similarity).select("src", "dst")
     groups = stored(components(held), "groups")
-    around = components(checked).withColumnRenamed("component", "around")
-    failed = failed.join(around, "node").select("around").distinct()
-    doubtful = stored(around.join(failed, "around", "left_semi").select("node"), "doubtful")
-    again = points.join(doubtful, "node", "left_semi").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = missed_links(stored(again.join(sets, "node"), "again"), similarity)
-    found = components(held.select("src", "dst").unionByName(more.select("src", "dst")))
+    around = components(checked).withColumnRenamed("component", "around").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    around = stored(around, "around")
+    apart = around.groupBy("around").agg((F.min("component") < F.max("component")).alias("apart")).where("apart")
+    doubtful = around.join(apart.select("around"), "around", "left_semi").select("node", "component")
+    more = missed_links(stored(points.join(doubtful, "node").join(sets, "node"), "again"), similarity)
+    found = components(held.unionByName(more))
 
     label = nodes.join(found, "node", "left").select("node", "w", "id", "first", F.coalesce("component", "node").alias("component"))
     return rows.select("row", "node", "of"), stored(label, "labels")
 
 
+def rows_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The ``rows`` whose number ``row`` is in ``wanted``.  Numbers are dense in each part, so wanted ones are sent as bits,
+    32 768 rows to a map of 4 KB; Spark broadcasts the maps while they are small, and else shuffles by their number."""
+    at = F.col("row") + 1  # the functions count from one
+    maps = wanted.select(F.bitmap_bucket_number(at).alias("map"), F.bitmap_bit_position(at).alias("bit")).groupBy("map").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    met = rows.withColumns({"map": F.bitmap_bucket_number(at), "bit": F.bitmap_bit_position(at)}).join(stored(maps, "bits"), "map")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.withColumn("byte", byte).where("(shiftright(byte, cast(bit % 8 as int)) & 1) = 1").drop("map", "bit", "bits", "byte")
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for each row: the smallest id reachable over pairs whose sets of shingles have at least
     this Jaccard similarity, null if no row of them has an id."""
     rows, label = copy_groups(docs, words, similarity, id_col, text_col)
     smallest = stored(label.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("n")), "smallest")
     named = hot_join(label.select("node", "w", "component"), smallest, "component", "n", label.count())
-    out = hot_join(rows, stored(named.select("node", "w", "component_id"), "named"), "node", "w", rows.count())
-    return out.select(F.col("of.own_id").alias("doc_id"), "component_id")
+    out = hot_join(rows.select("node", F.col("of.own_id").alias("doc_id")), stored(named.select("node", "w", "component_id"), "named"), "node", "w", rows.count())
+    return out.select("doc_id", "component_id")
 
 
 def first_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
     """The columns in ``carry`` of one row of each group of near copies, the first (see ``copy_groups``)."""
     rows, label = copy_groups(docs, words, similarity, id_col, text_col, carry)
     kept = label.groupBy("component").agg(F.min("first").alias("first")).select("first.row")
-    return rows.join(kept, "row").select(*(F.col("of")[c].alias(c) for c in carry))
+    return rows_of(rows, kept).select(*(F.col("of")[c].alias(c) for c in carry))
