@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet
 and read again as the next stage's documents.  Every stage works on all that
 its predecessor kept.
+
+In every stage, ids may be null or repeat, texts may be null, empty or of any
+length, columns beside those of ``documents`` are dropped whatever they are
+called, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -38,13 +42,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it (0 to 2)."""
-    docs = docs.select(*COLUMNS)
-    found = mixing.mix(docs).where("copies > 0").select("doc_id", "source", "place", "copies")
-    found = stored(found, "mix").distinct().withColumnRenamed("source", "s").withColumnRenamed("doc_id", "i")
-    same = F.col("doc_id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("p") == F.col("place"))
-    taken = docs.withColumn("p", mixing.place()).join(found, same)
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+    """Each document as many times as the mix takes it (0 to 2); rows that repeat an id and a text alike."""
+    return mixing.mixed(docs, carry=COLUMNS)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
