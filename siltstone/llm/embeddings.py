@@ -12,10 +12,13 @@ list pairs.  Links found are exact; which pairs meet is a matter of chance, and
 tests hold the share found against brute force.
 
 Vectors that are equal are one node with a weight.  Vectors that are null, zero,
-or hold null or non-finite components link with nothing; vectors of another
-length than most link only with their copies.  Rows with a null id take no part:
-no links, no component.  Rows may repeat and count as other vectors.  Other
-columns are ignored; an empty table gives an empty result.
+or hold null or non-finite components link with nothing.  Only vectors of one
+length can be alike: each length has a forest of its own, and the vectors of a
+length that at most ``RARE`` have are all compared.  Components are divided by
+the largest of them first, so no square over- or underflows.  Rows with a null
+id take part: others count them, and their component is the smallest id that
+they reach, null if there is none.  Rows may repeat and count as other vectors.
+Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +35,10 @@ from .base import components, hot_join, local_roots, stored
 
 #: Vectors the forest is fitted to, at most; trees; vectors in a leaf and in a tile, about.
 SAMPLE, TREES, LEAF, TILE = 20_000, 12, 400, 1000
+#: Vectors of a length that are compared without a forest, at most.
+RARE = 1000
+#: Nodes none of whose rows has an id are numbered from here.
+NO_ID = 1 << 62
 #: Share of a node's vectors on either side of a split that go to both.
 SPILL = 0.05
 #: Squared length of the mean of unit vectors from which a node is not split.
@@ -125,39 +132,54 @@ def _met_before(mine: np.ndarray, other: np.ndarray, leaf: int) -> np.ndarray:
     return out
 
 
-def links(nodes: DataFrame, threshold: float, sample: int = SAMPLE, **shape) -> DataFrame:
+def unit(rows: list) -> np.ndarray:
+    """Rows of one length, each divided by its own."""
+    x = np.array(rows, np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def links(nodes: DataFrame, threshold: float, sample: int = SAMPLE, rare: int = RARE, **shape) -> DataFrame:
     """(node, n, root): for each task and node the weight of the nodes newly linked
     to it, and a node it is connected with.  ``nodes``: node, vector, weight; unit
     length is not asked for."""
-    count = nodes.count()
-    chosen = nodes.orderBy(F.xxhash64("node"), "node").limit(sample).select("vector").collect()  # SAMPLE rows at most
-    unit = np.array([r["vector"] for r in chosen], np.float64)
-    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True) if len(unit) else np.zeros((0, 1))
-    forest = nodes.sparkSession.sparkContext.broadcast(Forest(unit, count, **shape))
+    counts = {r["d"]: r["n"] for r in nodes.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a length
+    forests = {}
+    for d, n in counts.items():
+        chosen = []
+        if n > rare:
+            share = max(1, sample * n // sum(counts.values()))  # ``sample`` rows for all lengths together, about
+            chosen = nodes.where(F.size("vector") == d).orderBy(F.xxhash64("node"), "node").limit(share).select("vector").collect()
+        forests[d] = Forest(unit([r["vector"] for r in chosen]) if chosen else np.zeros((0, d)), n, **(shape if chosen else shape | {"trees": 1}))
+    known = nodes.sparkSession.sparkContext.broadcast(forests)
+
+    def dealt_rows(forest, d, x, part):
+        node, weight = part.column(0).to_numpy(), part.column(2).to_numpy()
+        row, _, leaf, tiles = forest.leaves(x)
+        order = np.lexsort((leaf, row))
+        row, leaf, tiles = row[order], leaf[order], tiles[order]
+        every = np.split(leaf, np.flatnonzero(np.diff(row)) + 1)
+        packed, vectors = [e.tobytes() for e in every], [v.tobytes() for v in x]
+        own = (node[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % tiles
+        r = np.repeat(np.arange(len(row)), tiles)
+        other = np.arange(len(r)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
+        a, b = np.minimum(own[r], other), np.maximum(own[r], other)
+        columns = [np.full(len(r), d), leaf[r], a, b, own[r], node[row[r]], weight[row[r]]]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([packed[i] for i in row[r]], pa.binary()), pa.array([vectors[i] for i in row[r]], pa.binary())], names=["d", "leaf", "a", "b", "own", "node", "weight", "leaves", "vector"])
 
     def deal(batches):
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.slice(at, 2000)
-                x = np.array(part.column(1).to_pylist(), np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                node, weight = part.column(0).to_numpy(), part.column(2).to_numpy()
-                row, _, leaf, tiles = forest.value.leaves(x)
-                order = np.lexsort((leaf, row))
-                row, leaf, tiles = row[order], leaf[order], tiles[order]
-                every = np.split(leaf, np.flatnonzero(np.diff(row)) + 1)
-                packed, vectors = [e.tobytes() for e in every], [v.tobytes() for v in x]
-                own = (node[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % tiles
-                r = np.repeat(np.arange(len(row)), tiles)
-                other = np.arange(len(r)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
-                a, b = np.minimum(own[r], other), np.maximum(own[r], other)
-                columns = [leaf[r], a, b, own[r], node[row[r]], weight[row[r]]]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([packed[i] for i in row[r]], pa.binary()), pa.array([vectors[i] for i in row[r]], pa.binary())], names=["leaf", "a", "b", "own", "node", "weight", "leaves", "vector"])
-
-    dealt = nodes.select("node", "vector", "weight").mapInArrow(deal, "leaf long, a long, b long, own long, node long, weight long, leaves binary, vector binary")
+                vectors, size = part.column(1).to_pylist(), part.column(1).value_lengths().to_numpy()
+                for d in np.unique(size).tolist():
+                    who = np.flatnonzero(size == d)
+                    yield dealt_rows(known.value[d], d, unit([vectors[i] for i in who]), part.take(pa.array(who)))
+
+    dealt = nodes.select("node", "vector", "weight").mapInArrow(deal, "d long, leaf long, a long, b long, own long, node long, weight long, leaves binary, vector binary")
 
     def compare(key, frame):
-        leaf, a, b = (int(k) for k in key)
+        _, leaf, a, b = (int(k) for k in key)
         own = frame["own"].to_numpy()
         order = np.concatenate((np.flatnonzero(own == a), np.flatnonzero(own != a)))
         frame, n = frame.iloc[order], int((own == a).sum())
@@ -188,7 +210,7 @@ def links(nodes: DataFrame, threshold: float, sample: int = SAMPLE, **shape) ->
         some = np.flatnonzero(linked)
         return pd.DataFrame({"node": node[some], "n": linked[some], "root": node[root[some]]})
 
-    return dealt.groupBy("leaf", "a", "b").applyInPandas(compare, "node long, n long, root long")
+    return dealt.groupBy("d", "leaf", "a", "b").applyInPandas(compare, "node long, n long, root long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", **shape) -> DataFrame:
@@ -196,18 +218,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     v = F.col("vector")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     finite = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = rows.withColumn("ok", F.coalesce(finite, F.lit(False)) & F.col("vec_id").isNotNull())
+    rows = rows.withColumn("ok", F.coalesce(finite, F.lit(False)))
     keyed = rows.withColumn("key", F.when(F.col("ok"), F.concat_ws(":", F.xxhash64("vector"), F.xxhash64(F.lit(1), "vector"))))
-    nodes = stored(keyed.where("ok").groupBy("key").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight"), F.any_value("vector").alias("vector")), "vectors")
-    usual = nodes.groupBy(F.size("vector").alias("d")).agg(F.sum("weight").alias("n")).orderBy(F.desc("n"), "d").first()
-    alike = nodes.where(F.size("vector") == (usual["d"] if usual else 0))
-    found = stored(links(alike, threshold, **shape), "links")
+    number = F.coalesce(F.min("vec_id"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("key"), 3))
+    nodes = stored(keyed.where("ok").groupBy("key").agg(number.alias("node"), F.count(F.lit(1)).alias("weight"), F.any_value("vector").alias("vector")), "vectors")
+    found = stored(links(nodes, threshold, **shape), "links")
     sums = found.groupBy("node").agg(F.sum("n").alias("n"))
     groups = components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")))
     label = nodes.select("key", "node", "weight").join(sums, "node", "left").join(groups, "node", "left")
-    label = stored(label.select("key", F.col("weight").alias("w"), (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "labels")
+    label = stored(label.select("key", F.col("weight").alias("w"), (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("c")).withColumn("component_id", F.when(F.col("c") < NO_ID, F.col("c"))).drop("c"), "labels")
     small = keyed.where("ok").select("vec_id", "key")
     linked = hot_join(small, label, "key", "w", nodes.agg(F.coalesce(F.sum("weight"), F.lit(1))).first()[0]).drop("key")
     alone = keyed.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     both = linked.unionByName(alone)
-    return both.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return both.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

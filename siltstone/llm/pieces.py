@@ -1,25 +1,31 @@
 """SentencePiece encoding and decoding as weighted finite-state transduction.
 
-Three machines are compiled from a BPE model file.  The normaliser writes the
-word mark for spaces and before a text.  The piece machine reads characters and
-writes pieces; characters that no piece spells go through byte fallback.  A
-weight of the tropical semiring sits on each pair of neighbouring pieces: zero
-if merging the two pieces' text gives back just that pair, infinity if not.
-Composed with an input this is a lattice with one path of finite weight, which
-is the sequence that merging by rank gives, so the shortest path is exact.
+Three transducers are compiled from a BPE model file.  The normaliser reads
+characters and writes them, a word mark for a space.  The piece transducer is a
+trie: its arcs read characters, and where a piece ends, an arc back to the root
+writes it.  Byte fallback reads a character that no piece spells and writes its
+bytes.  Weights are those of the tropical semiring, minimum and plus.  Which
+piece a merge by rank leaves behind another depends on that other one, so the
+arcs that write a piece remember it, and weigh zero if merging the text of the
+two gives back just that pair, infinity if not; they are worked out when first
+met.  Composed with an input this is a lattice of places and last pieces.  Its
+shortest path, searched best first and composed only as far as the search goes,
+is the sequence that merging by rank gives.
 
 No piece holds a word mark behind another character (this is checked when the
 model is compiled) and none holds a tab or line feed, so the lattice falls
 apart there and equal parts are solved once.
 
-Null texts encode like empty ones, to no pieces.  Other columns are ignored.
-An empty table gives an empty result.  The model's path is a parameter; the
-file is read on the driver and its content travels with the job.
+Null texts encode like empty ones, to no pieces; texts of any length are taken
+whole.  Rows may repeat, ids may be null.  Other columns are ignored.  An empty
+table gives an empty result.  The model's path is a parameter; the file is read
+on the driver and its content travels with the job.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import struct
 from array import array
@@ -34,6 +40,7 @@ MARK = "▁"
 PARTS = 400_000
 #: Weights of pairs that a worker remembers.
 PAIRS = 300_000
+INFINITE = float("inf")
 _PART = re.compile(r" *[^ \t\n]+| +|[\t\n]")
 
 
@@ -100,10 +107,19 @@ class Machine:
                 self.live.add(p)
             if steps:
                 self.made[p], (self.left[p], self.right[p]) = self.rank[p][0], steps
-        self.reach: dict[str, int] = {}  # longest live piece with these first two characters
-        for p in self.live:
-            self.reach[p[:2]] = max(self.reach.get(p[:2], 1), len(p))
-        self.pairs: dict[str, bool] = {}
+        self.spelled = {" ": MARK}  # the normaliser's arcs that change a character
+        self.arcs: list[dict[str, int]] = [{}]  # the piece transducer: by state, the state that a character leads to
+        self.writes: list[str | None] = [None]  # by state, the piece that ends there
+        for p in sorted(self.live):
+            state = 0
+            for c in p:
+                if c not in self.arcs[state]:
+                    self.arcs[state][c] = len(self.arcs)
+                    self.arcs.append({})
+                    self.writes.append(None)
+                state = self.arcs[state][c]
+            self.writes[state] = p
+        self.pairs: dict[str, float] = {}
         self.parts: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -140,43 +156,63 @@ class Machine:
             else:
                 return True
 
-    def path(self, part: str) -> list[str]:
-        """The shortest path through a part's lattice.
-
-        All arcs weigh zero or infinity and at most one path of weight zero leads
-        to a place, so the lattice is composed only as far as the search goes:
-        longest arc first, back where no arc goes on, and never twice to a place."""
-        live, meets, reach, pairs, n = self.live, self._meets, self.reach, self.pairs, len(part)
-        out: list[str] = []
-        at, size, closed = 0, reach.get(part[:2], 1), set()
-        while at < n:
-            size = min(size, n - at)
-            while size:
-                piece = part[at : at + size]
-                if (piece in live or size == 1) and at + size not in closed:
-                    if out:
-                        fits = pairs.get(pair := f"{out[-1]}\t{piece}")
-                        if fits is None:
-                            if len(pairs) >= PAIRS:
-                                pairs.clear()
-                            fits = pairs[pair] = meets(out[-1], piece)
-                    if not out or fits:
-                        out.append(piece)
-                        at += size
-                        size = reach.get(part[at : at + 2], 1)
-                        break
-                size -= 1
-            else:
-                if not out:
-                    raise AssertionError(f"no path through {part!r}")
-                closed.add(at)
-                size = len(out[-1]) - 1
-                at -= len(out.pop())
+    def weight(self, last: str | None, piece: str) -> float:
+        """Of the arc that writes ``piece`` behind ``last``."""
+        if last is None:
+            return 0.0
+        w = self.pairs.get(pair := f"{last}\t{piece}")
+        if w is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            w = self.pairs[pair] = 0.0 if self._meets(last, piece) else INFINITE
+        return w
+
+    def written(self, text: str, at: int) -> list[tuple[int, str]]:
+        """The pieces that paths through the piece transducer write from a place on, and where they end; a character
+        that none of them spells goes through byte fallback."""
+        arcs, writes, out, state = self.arcs, self.writes, [], 0
+        for end in range(at, len(text)):
+            state = arcs[state].get(text[end])
+            if state is None:
+                break
+            if writes[state] is not None:
+                out.append((end + 1, writes[state]))
+        if not out or out[0][0] > at + 1:
+            out.append((at + 1, text[at]))
         return out
 
+    def path(self, part: str) -> list[str]:
+        """The pieces on the shortest path through the lattice that a part is composed to.
+
+        A state is a place and the piece written last.  The lightest open state is settled first, of equal ones the
+        farthest; the arcs behind it are composed then.  The first settled state at the end closes the shortest path."""
+        text = "".join([self.spelled.get(c, c) for c in part])
+        n, start = len(text), (0, None)
+        best: dict[tuple, tuple[float, tuple | None]] = {start: (0.0, None)}
+        open_: list[tuple] = [(0.0, 0, start)]
+        weight, met = self.weight, 0
+        while open_:
+            so_far, _, state = heapq.heappop(open_)
+            at, last = state
+            if so_far > best[state][0]:
+                continue  # reached by a lighter path since
+            if at == n:
+                out = []
+                while state[1] is not None:
+                    out.append(state[1])
+                    state = best[state][1]
+                return out[::-1]
+            for end, piece in self.written(text, at):
+                total = so_far + weight(last, piece)
+                if total < best.get((end, piece), (INFINITE,))[0]:
+                    best[end, piece] = total, state
+                    met += 1
+                    heapq.heappush(open_, (total, -end * (1 << 32) + met, (end, piece)))
+        raise AssertionError(f"no path through {part!r}")
+
     def _solved(self, part: str) -> bytes:
         ids = array("i")
-        for piece in self.path(part.replace(" ", MARK)):
+        for piece in self.path(part):
             r = self.rank.get(piece)
             if r:
                 ids.append(r[1])

@@ -8,9 +8,12 @@ candidates are verified with the rule itself.  A rule without mandatory
 trigrams (``hex``) scans all texts.
 
 Spans are [start, end) in code points, leftmost and not overlapping for each
-kind.  Null and empty texts have none.  Rows with equal ids share candidates
-and are verified each by itself; null ids count as one more id.  Other columns
-are ignored, and an empty table gives an empty result.
+kind.  Null and empty texts have none; texts of any length are searched whole.
+A document is known by a hash of its id and text, so rows that share an id and
+rows without one spread, and rows that repeat both share candidates and are
+verified each by itself.  Candidates meet the texts by ``hot_join``: while Spark
+can broadcast them no text is shuffled, beyond that each text once.  Other
+columns are ignored, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import stored
+from .base import hot_join, stored
 
 _parser = re._parser  # the standard library's own parse tree of an expression
 
@@ -130,18 +133,15 @@ def trigram_query(pattern: str) -> Query:
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, block: int = BLOCK) -> DataFrame:
-    """(key, rules): ids of documents that meet a rule's trigram query, and the
-    rules as bits.  ``docs``: key, text."""
+    """(key, rules, w): documents that meet a rule's trigram query, the rules as
+    bits, and the number of their rows.  ``docs``: key, text."""
     asked = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) != _ANY}
     trigrams = sorted(set().union(*(t for q in asked.values() for t in q)))
     blocks = max(1, math.ceil(docs.count() / block))
     hits = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams)))
-    postings = (
-        docs.select("key", F.lower("text").alias("low"))
-        .select("key", F.explode(hits).alias("trigram"))
-        .groupBy(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), "trigram")
-        .agg(F.collect_set("key").alias("keys"))
-    )
+    held = docs.select("key", F.lower("text").alias("low")).select("key", F.explode(hits).alias("trigram")).groupBy("key", "trigram").agg(F.count(F.lit(1)).alias("n"))
+    held = stored(held, "postings")
+    postings = held.groupBy(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), "trigram").agg(F.collect_list("key").alias("keys"))
     index = postings.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "keys"))).alias("of"))
     none = F.array().cast("array<long>")
 
@@ -153,7 +153,8 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, block: int = BL
         return F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(bit).alias("bit")))
 
     found = F.flatten(F.array(*(with_bit(matched(q), 1 << i) for i, q in asked.items())))
-    return index.select(F.explode(found).alias("x")).groupBy("x.key").agg(F.bit_or("x.bit").alias("rules"))
+    met = index.select(F.explode(found).alias("x")).groupBy("x.key").agg(F.bit_or("x.bit").alias("rules"))
+    return met.join(held.groupBy("key").agg(F.max("n").alias("w")), "key")
 
 
 def rule_spans(text: Column, rule: Rule, order: int) -> Column:
@@ -178,7 +179,7 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, ``text``, the columns in ``carry``, and ``spans``: array of
     (start, rank, end, kind), ordered by start, then by the rules' order."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
     base = docs.select(F.struct(F.col(id_col), *carry).alias("row"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = stored(candidates(base.select("key", "text"), rules, block), "candidates")
     bits = F.coalesce("rules", F.lit(0))
@@ -191,7 +192,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, block: int = BLOCK, i
         return F.when(bits.bitwiseAND(1 << i) != 0, all_spans).otherwise(none)
 
     spans = F.array_sort(F.flatten(F.array(*(verified(i, r) for i, r in enumerate(rules)))))
-    return base.join(found, "key", "left").select("row.*", "text", spans.alias("spans"))
+    return hot_join(base, found, "key", "w", max(1, base.count()), "left").select("row.*", "text", spans.alias("spans"))
 
 
 def written(spans: Column) -> Column:

@@ -1,7 +1,8 @@
 """Toxicity by a linear-chain conditional random field over words.
 
 The model is fitted on the driver to a sample of labelled documents of bounded
-size (``SAMPLE`` of either label, chosen by a hash of the id).  Words of its toxic
+size (``SAMPLE`` of either label, chosen by a hash of the id; none of more than
+``LONGEST`` characters, so the sample's bytes are bounded too).  Words of its toxic
 documents that stand out against its clean ones, themselves or by how they begin,
 are the labelled words of the toxic spans; all other words are labelled clean.
 The chain has two states; its weights on words, beginnings of words, and pairs
@@ -9,7 +10,7 @@ of neighbouring states follow by gradient ascent of the regularised
 likelihood.  Every document is then scored whole: forward-backward marginals
 of its words give the score and the offsets of the words that offend.
 
-Only the text is scored.  Null and empty texts score zero.  Labels that are null
+Only the text is scored, whole whatever its length.  Null and empty texts score zero.  Labels that are null
 are left out; of several for one id the largest counts.  Rows may repeat; named
 columns are carried, others ignored.  Without a labelled row of both kinds no
 word is toxic and scores are zero.  An empty table gives an empty result.
@@ -29,6 +30,8 @@ from pyspark.sql.types import StructType
 
 #: Labelled documents of each label that the model is fitted to, at most.
 SAMPLE = 2000
+#: Characters of a document in the sample, at most.
+LONGEST = 1 << 18
 #: Words in a training sequence; scoring always takes whole texts.
 SEQUENCE = 64
 #: Score from which a document is called toxic, and marginal from which a word offends.
@@ -54,7 +57,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> l
     order = F.xxhash64("doc_id"), F.col("doc_id")
     one = known.where("toxic = 1").orderBy(*order).limit(most).unionByName(known.where("toxic = 0").orderBy(*order).limit(most))
     # at most twice ``most`` rows are broadcast and collected: of several texts for one id the greatest
-    asked = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(one), "doc_id")
+    asked = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).where(F.length("text") <= LONGEST).join(F.broadcast(one), "doc_id")
     rows = asked.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).collect()
     return [(r["text"], int(r["toxic"])) for r in sorted(rows, key=lambda r: r["doc_id"])]
 

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -56,6 +57,81 @@ def test_ctph(spark, docs, none, texts):
     assert ctph.edited_fingerprints(odd).count() == 3
 
 
+def plain_fingerprint(data, most=64):
+    """Rolling hash, boundaries and letters byte by byte."""
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    full = (1 << 64) - 1
+    if not data:
+        return "3::"
+    rolled = []
+    for i in range(len(data)):
+        h = 0
+        for j in range(i - 6, i + 1):
+            h = (h * 0x01000193 + (data[j] + 1 if j >= 0 else 1)) & 0xFFFFFFFF
+        rolled.append((h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF)
+
+    def letters(size, most):
+        stops = [i + 1 for i, h in enumerate(rolled) if h % size == 0]
+        if not stops or stops[-1] != len(data):
+            stops.append(len(data))
+        if len(stops) > most:
+            stops = [*stops[: most - 1], len(data)]
+        out, start = "", 0
+        for stop in stops:
+            h = sum((data[i] + 1) * pow(0x9E3779B97F4A7C15, i - start, 1 << 64) for i in range(start, stop)) & full
+            h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & full
+            out += alphabet[h >> 58]
+            start = stop
+        return out
+
+    size = 3
+    while size * most < len(data):
+        size *= 2
+    while size > 3 and sum(h % size == 0 for h in rolled) < most // 2:
+        size //= 2
+    return f"{size}:{letters(size, most)}:{letters(2 * size, most // 2)}"
+
+
+def plain_likeness(x, y):
+    import re
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, p in enumerate(a, 1):
+            prev, row = row, [i]
+            for j, q in enumerate(b, 1):
+                row.append(prev[j - 1] if p == q else 1 + min(prev[j], row[-1]))
+        return row[-1]
+
+    def alike(a, b):
+        short = [re.sub(r"(.)\1{3,}", r"\1\1\1", v) for v in (a, b)]
+        if min(map(len, short)) >= 7:
+            a, b = short
+        if not a or not b or a == b:
+            return float(a == b and bool(a))
+        k = min(7, len(a), len(b))
+        if not any(a[i : i + k] in b for i in range(len(a) - k + 1)):
+            return 0.0
+        return 1 - distance(a, b) / (len(a) + len(b))
+
+    if x == y:
+        return 1.0
+    parts = [dict(zip((int(v.split(":")[0]), 2 * int(v.split(":")[0])), v.split(":")[1:])) for v in (x, y)]
+    sizes = [int(v.split(":")[0]) for v in (x, y)]
+    if max(sizes) > 2 * min(sizes):
+        return 0.0
+    return max((alike(parts[0][n], parts[1][n]) for n in set(parts[0]) & set(parts[1])), default=0.0)
+
+
+def test_ctph_against_a_plain_loop(texts):
+    plain = [(t or "").encode() for _, t in texts]
+    made = [ctph.fingerprint(t) for t in plain]
+    assert made == [plain_fingerprint(t) for t in plain]
+    for a in made:
+        for b in made:
+            assert abs(ctph.likeness(a, b) - plain_likeness(a, b)) < 1e-12
+
+
 def test_ctph_edit_distance():
     def plain(a, b):
         row = list(range(len(b) + 1))
@@ -110,6 +186,35 @@ def test_warc_archive_is_checked():
         warc.page_record(many[0].replace(b" text ", b" TEXT ", 1))
 
 
+def test_pieces_machine():
+    """Arcs and weights, and the shortest path against every path of the lattice."""
+    m = pieces.Machine(pieces.model_bytes())
+    assert m.spelled == {" ": pieces.MARK} and m.arcs[0] and all(m.writes[_state(m, p)] == p for p in list(m.live)[:500])
+
+    def every(text, at=0, last=None):
+        if at == len(text):
+            yield 0.0, []
+            return
+        for end, piece in m.written(text, at):
+            w = m.weight(last, piece)
+            for more, rest in every(text, end, piece):
+                yield w + more, [piece, *rest]
+
+    for part in (" the", " license", "xyzq", " é世界", " unbelievable"[:9], "  a", "aaaa"):
+        marked = part.replace(" ", pieces.MARK)
+        found = sorted(every(marked))
+        assert found[0][0] == 0.0 and (len(found) == 1 or found[1][0] == pieces.INFINITE)
+        assert m.path(part) == found[0][1]
+    assert m.written("世", 0)[0][0] == 1 and m.weight(None, "x") == 0.0
+
+
+def _state(m, piece):
+    state = 0
+    for c in piece:
+        state = m.arcs[state][c]
+    return state
+
+
 def test_pieces_match_the_library(spark, docs, none, texts):
     import sentencepiece
 
@@ -146,7 +251,7 @@ def test_embeddings(spark):
     rows = [(i, [float(np.float32(v)) for v in r]) for i, r in enumerate(x)]
     rows += [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [1.0]), (1004, [None] * 16)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("node", F.lit(0))
-    got = {r.vec_id: r for r in embeddings.near_duplicates(df, leaf=40, tile=25).collect()}
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df, leaf=40, tile=25, rare=50).collect()}
     y = np.array([r for _, r in rows[:380]])
     y /= np.linalg.norm(y, axis=1, keepdims=True)
     near = y @ y.T >= 0.9
@@ -156,6 +261,21 @@ def test_embeddings(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i for i in range(1000, 1005)) and len(got) == 385
     assert len({got[i].component_id for i in range(300, 340)}) == 1
     assert not embeddings.near_duplicates(df.limit(0)).count()
+    # components are those of the links found, which here are all
+    assert found.sum() == links.sum()
+    root = list(range(380))
+    while any(root[i] != root[j] for i, j in zip(*np.nonzero(near))):
+        for i, j in zip(*np.nonzero(near)):
+            root[i] = root[j] = min(root[i], root[j])
+    assert [got[i].component_id for i in range(380)] == root and all(got[i].kept == (root[i] == i) for i in range(380))
+
+
+def test_embeddings_of_several_lengths_and_without_ids(spark):
+    rows = [(5, [1.0, 0.0]), (6, [0.99, 0.05]), (7, [1.0, 0.0, 0.0]), (8, [0.99, 0.05, 0.0]), (None, [1.0, 0.01]), (None, [0.0, 0.0, 1.0]), (9, [1e-300, 0.0]), (10, [1e200, 1e198]), (6, [0.99, 0.05]), (11, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for rare in (100, 1):
+        got = sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df, rare=rare).collect())
+        assert got == sorted([("5", 5, 5, True), ("6", 5, 5, False), ("6", 5, 5, False), ("None", 5, 5, False), ("9", 5, 5, False), ("10", 5, 5, False), ("7", 1, 7, True), ("8", 1, 7, False), ("None", 0, None, True), ("11", 0, 11, True)])
 
 
 def test_licenses(spark, docs, none, texts):
@@ -353,6 +473,67 @@ def test_forward_backward_is_exact():
     assert np.allclose(chain.marginals(w), [sum(weight(y) for y in every if y[i]) / z for i in range(4)])
 
 
+def test_registered_queries(spark):
+    """Every registered query with SQL against DuckDB, the others by their columns and a row for each input row."""
+    import duckdb
+
+    from siltstone.llm.queries import ORACLES, QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    for name in ("documents", "pages", "embeddings"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    columns = {
+        "op1_ctph": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op4_pieces": "doc_id n_pieces ids_sha256", "op6_embeddings": "vec_id n_links component_id kept",
+        "op7_licenses": "doc_id n_words n_base first_word last_word base_labels labels score", "op8_suffixes": "doc_id n_bytes n_removed n_spans kept_sha256", "op9_simhash": "doc_id fingerprint component_id", "op10_toxicity": "doc_id held_out score predicted",
+    }
+    plain = lambda v: "" if pd.isna(v) else repr(round(float(v), 6)) if isinstance(v, (int, float, np.number)) else str(v)
+    for name, run in QUERIES.items():
+        found = run(spark, sf).toPandas()
+        if name in ORACLES:
+            wanted = duck.execute(ORACLES[name]).df()
+            assert set(wanted.columns) <= set(found.columns), name
+            found, wanted = (sorted(tuple(map(plain, r)) for r in x[sorted(wanted.columns)].astype(object).values.tolist()) for x in (found, wanted))
+            assert found == wanted, name
+        else:
+            table = "embeddings" if name.startswith("op6") else "documents"
+            assert set(columns[name].split()) <= set(found.columns) and len(found) == duck.execute(f"SELECT count(*) FROM {table}").fetchone()[0], name
+            if name == "op9_simhash":
+                texts = dict(duck.execute("SELECT doc_id, text FROM documents").fetchall())
+                assert {r.doc_id: r.fingerprint for r in found.itertuples()} == {i: f"{plain_simhash(t, 3):016x}" for i, t in texts.items()}
+            if name == "op10_toxicity":
+                assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.7) for r in found.itertuples())
+            if name == "op7_licenses":
+                assert all((r.n_base > 0) == bool(r.base_labels) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in found.itertuples())
+
+
+def test_pipeline_stages_with_odd_rows(spark):
+    """Null and repeated ids, null and empty texts, extra columns and empty tables, through every stage."""
+    import corpus_pipeline as P
+
+    rng = random.Random(12)
+    found = [(i % 7 if i % 5 else None, None if i == 3 else "" if i == 4 else prose(rng, 30 + i), "en", [None, "a", "b"][i % 3], i) for i in range(40)]
+    found += [found[9], found[9], (1, "word " * 30_000, "en", "a", 1)]
+    df = spark.createDataFrame(found, DOCS).withColumns({c: F.lit("x") for c in ("key", "row", "node", "of", "spans", "size", "place", "w", "component")}).repartition(3)
+    sf = "/root/testdata/sf0.001"
+    for name, stage in P.STAGES:
+        out = stage(spark, df, sf)
+        rows = out.collect()
+        assert not stage(spark, df.limit(0), sf).count(), name
+        if name == "pieces":
+            assert len(rows) == len(found)
+            continue
+        assert tuple(out.columns) == P.COLUMNS, name
+        if name == "toxicity":
+            assert len(rows) == len(found)  # the table's labels tell nothing of these texts
+        elif name.startswith("simhash"):
+            assert sorted((r.text or "") for r in rows) == sorted({t or "" for _, t, *_ in found})
+        elif name == "secret scans":
+            assert sorted((r.text or "") for r in rows) == sorted((t or "") for _, t, *_ in found)
+        else:
+            assert {r.text for r in rows} <= {t for _, t, *_ in found} and 1 <= sum(len((r.text or "").split()) for r in rows) / sum(len((t or "").split()) for _, t, *_ in found) <= 2
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
