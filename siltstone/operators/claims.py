@@ -18,24 +18,116 @@ def overlaps(a: str, b: str) -> Column:
     return (F.col(f"{a}.valid_from") < _end(F.col(f"{b}.valid_to"))) & (F.col(f"{b}.valid_from") < _end(F.col(f"{a}.valid_to")))
 
 
-def conflicts(claims: DataFrame) -> DataFrame:
-    """Pairs of one key whose intervals overlap and whose objects differ.
-    ``claims``: claim_id, claim_key, object, valid_from, valid_to, tier, confidence."""
-    a, b = claims.alias("a"), claims.alias("b")
-    on = (F.col("a.claim_key") == F.col("b.claim_key")) & (F.col("a.claim_id") < F.col("b.claim_id")) & (F.col("a.object") != F.col("b.object")) & overlaps("a", "b")
+#: Predicates that hold one value at a time; all others hold several (fixed values).
+SINGLE_VALUED = (
+    "identity.display_name", "location.based_in", "employment.works_at", "employment.role", "project.status", "commitment.due", "relation.reports_to",
+)
+
+
+def disagrees() -> Column:
+    """Opposite polarity, or another object where the predicate holds one value."""
+    return (F.col("a.polarity") != F.col("b.polarity")) | (F.col("a.single") & (F.col("a.object") != F.col("b.object")))
+
+
+def conflicts(claims: DataFrame, parts: int = 1) -> DataFrame:
+    """Pairs (a the older, b the newer) of one key whose intervals overlap and that disagree.  ``claims``: claim_id,
+    claim_key, object, valid_from, valid_to, tier, confidence; polarity and single where there are such columns.
+
+    With ``parts`` above one the newer side is dealt out by a salt and the older repeated for each, so that the pairs
+    of a hot key, which grow with its square, are spread over that many tasks."""
+    for name, value in (("polarity", F.lit("positive")), ("single", F.lit(True))):
+        if name not in claims.columns:
+            claims = claims.withColumn(name, value)
+    a = claims.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).alias("a")
+    b = claims.withColumn("salt", F.pmod(F.xxhash64("claim_id"), F.lit(parts)).cast("int")).alias("b")
+    on = (F.col("a.claim_key") == F.col("b.claim_key")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.claim_id") < F.col("b.claim_id")) & disagrees() & overlaps("a", "b")
     return a.join(b, on)
 
 
-def rule() -> Column:
-    """Which rule settles a conflict of aliases a (old) and b (new)."""
-    old, new = F.col("a.tier"), F.col("b.tier")
-    gap = F.abs(F.col("a.confidence") - F.col("b.confidence"))
+def resolution(purged: Column | None = None) -> Column:
+    """struct(rule, action, winner) for a conflict of aliases a (live) and b (incoming).
+
+    A purged claim yields (R6).  A correction beats all but another one (R5), and nothing else beats it (R1); a model's
+    inference never beats evidence (R2); a higher tier wins (R1).  Within a tier the later start wins, then the higher
+    confidence, then the larger id (R3); unless, in the lower two tiers, the winner's confidence does not exceed the
+    loser's by MARGIN: then both stand, contested (R4)."""
+    live, incoming = F.col("a.tier"), F.col("b.tier")
+    order = lambda s: F.struct(F.col(f"{s}.valid_from"), F.col(f"{s}.confidence"), F.col(f"{s}.claim_id"))
+    newer = order("b") > order("a")
+    margin = F.when(newer, F.col("b.confidence") - F.col("a.confidence")).otherwise(F.col("a.confidence") - F.col("b.confidence"))
+    of = lambda rule, action, winner=None: F.struct(F.lit(rule).alias("rule"), F.lit(action).alias("action"), F.lit(winner).cast("string").alias("winner"))
+    later = F.when(newer, of("R3", "supersede", "incoming")).otherwise(of("R3", "supersede", "live"))
     return (
-        F.when(new == 4, "R5").when(old == 4, "R1").when((new == 1) & (old >= 2), "R2").when(new != old, "R1")
-        .when((gap < MARGIN - 2.220446049250313e-16) & (old <= 2), "R4").otherwise("R3")
+        F.when(F.coalesce(purged, F.lit(False)) if purged is not None else F.lit(False), of("R6", "supersede", "incoming"))
+        .when((incoming == 4) & (live == 4), later).when(incoming == 4, of("R5", "supersede", "incoming")).when(live == 4, of("R1", "skip"))
+        .when((incoming == 1) & (live >= 2), of("R2", "skip")).when(incoming > live, of("R1", "supersede", "incoming")).when(incoming < live, of("R1", "skip"))
+        .when((live <= 2) & (margin < MARGIN - 2.220446049250313e-16), of("R4", "contested")).otherwise(later)
     )
 
 
+def folded(claims: DataFrame, parts: int = 1) -> DataFrame:
+    """(claim_id, outcome, ends): claims filed in order of their ids, as one batch.
+
+    Of claims equal in key, object, polarity and start the first is stored; the others are duplicates that corroborate
+    it.  A stored claim that loses to an older stored one it conflicts with is skipped.  Of those not skipped, one that
+    loses to a newer one is superseded and ends where that starts, if it would not end before; those that only meet
+    equals are contested.  What a claim loses to is decided by pairs, so the result does not depend on partitioning."""
+    same = Window.partitionBy("claim_key", "object", "polarity", "valid_from")
+    first = F.min("claim_id").over(same)
+    marked = claims.withColumn("first_id", first)
+    stored = marked.where("claim_id = first_id").drop("first_id")
+    found = conflicts(stored, parts).select(F.col("a.claim_id").alias("old"), F.col("b.claim_id").alias("new"), F.col("b.valid_from").alias("starts"), resolution().alias("r"))
+    lost = found.where((F.col("r.action") == "skip") | (F.col("r.winner") == "live")).select(F.col("new").alias("claim_id")).distinct()
+    open_ = found.join(lost.withColumnRenamed("claim_id", "new"), "new", "left_anti").join(lost.withColumnRenamed("claim_id", "old"), "old", "left_anti")
+    beaten = open_.where(F.col("r.winner") == "incoming").groupBy(F.col("old").alias("claim_id")).agg(F.min("starts").alias("cut"))
+    even = open_.where(F.col("r.action") == "contested")
+    even = even.select(F.col("old").alias("claim_id")).unionByName(even.select(F.col("new").alias("claim_id"))).distinct().withColumn("even", F.lit(True))
+    joined = marked.join(lost.withColumn("lost", F.lit(True)), "claim_id", "left").join(beaten, "claim_id", "left").join(even, "claim_id", "left")
+    outcome = F.when(F.col("claim_id") != F.col("first_id"), "duplicate").when(F.col("lost"), "skipped").when(F.col("cut").isNotNull(), "superseded").when(F.col("even"), "contested").otherwise("stored")
+    return joined.select("claim_id", outcome.alias("outcome"), F.when(outcome == "superseded", F.least("valid_to", "cut")).otherwise(F.col("valid_to")).alias("ends"))
+
+
+def corroborated(claims: DataFrame) -> DataFrame:
+    """Each claim (key, object, polarity, start) with its supports as one: provenance united, independent roots counted,
+    the best confidence and tier, the strictest label.  ``claims`` adds event_id, root, sensitivity."""
+    by = claims.groupBy("claim_key", "object", "polarity", "valid_from")
+    return by.agg(
+        F.min("claim_id").alias("claim_id"), F.array_sort(F.collect_set("event_id")).alias("provenance"), F.countDistinct("root").alias("corroboration"),
+        F.max("confidence").alias("confidence"), F.max("tier").alias("tier"), F.max("sensitivity").alias("sensitivity"),
+    )
+
+
+def enriched(claims: DataFrame, parts: int = 1) -> DataFrame:
+    """(claim_id, conflict): present where another claim of the key disagrees and may hold at the same time, unknown where
+    the claim's own time isn't known, else none_observed.  An unknown start overlaps everything."""
+    known = claims.withColumns({"valid_from": F.coalesce("valid_from", F.to_timestamp_ntz(F.lit("0001-01-01 00:00:00"))), "valid_to": F.when(F.col("valid_from").isNotNull(), F.col("valid_to"))})
+    pairs = conflicts(known, parts)
+    met = pairs.select(F.col("a.claim_id").alias("claim_id")).unionByName(pairs.select(F.col("b.claim_id").alias("claim_id"))).distinct().withColumn("met", F.lit(True))
+    state = F.when(F.col("met"), "present").when(F.col("valid_from").isNull(), "unknown").otherwise("none_observed")
+    return claims.join(met, "claim_id", "left").select("claim_id", state.alias("conflict"))
+
+
+def authority(intent: Column, producer: Column, quoted: Column, taints: Column, connectors: Column, corroborated: Column) -> Column:
+    """The tier of a claim's author, struct(tier, cap, relayed).  ``taints`` and ``connectors`` are arrays over its
+    events.  One untrusted event without a second witness makes an inference with a confidence of 0.5 at most; an agent
+    relays no more than evidence, unless it relays a correction."""
+    agent = F.startswith(producer, F.lit("agent:"))
+    model = agent | (producer == "model")
+    base = (
+        F.when(intent == "correct", 4).when(producer == "owner", 3).when(model, F.when(quoted, 2).otherwise(1))
+        .when((F.size(taints) > 0) & F.forall(taints, lambda t: t == "owner"), 3).otherwise(2)
+    )
+    single = (F.size(taints) == 1) & (F.element_at(taints, 1) == "untrusted") & ~corroborated & (F.size(F.array_distinct(connectors)) <= 1) & (intent != "correct") & (base < 3)
+    tier = F.when(single, 1).otherwise(base)
+    relayed = F.when(agent & (intent != "correct"), F.least(tier, F.lit(2))).otherwise(tier)
+    return F.struct(relayed.cast("int").alias("tier"), F.when(single, 0.5).otherwise(1.0).alias("cap"), agent.alias("relayed"))
+
+
+def kept_first(claims: DataFrame, group: list[str], priority: Column, *then: str) -> DataFrame:
+    """Of each group the row that comes first by priority, then by the columns named."""
+    return claims.groupBy(*group).agg(F.min_by(F.struct(*claims.columns), F.struct(priority, *then)).alias("r")).select("r.*")
+
+
 def gaps(claims: DataFrame) -> DataFrame:
     """Times that no claim of a key covers, between its first start and its last."""
     w = Window.partitionBy("claim_key").orderBy("valid_from", "claim_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -73,6 +165,14 @@ def difference(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFram
     return added.unionByName(removed).unionByName(changed)
 
 
-def brier(forecasts: DataFrame, by: str, probability: Column, outcome: Column) -> DataFrame:
+def brier(forecasts: DataFrame, by: str, probability: Column, outcome: Column, least: int = 20) -> DataFrame:
+    """Mean square error of resolved forecasts (columns resolved, censored), none below ``least`` of them, how many are
+    resolved, censored and open, and how many were certain and wrong."""
     certain_wrong = ((probability == 1) & (outcome == 0)) | ((probability == 0) & (outcome == 1))
-    return forecasts.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.pow(probability - outcome, F.lit(2))).alias("brier"), F.sum(certain_wrong.cast("long")).alias("certain_wrong"))
+    n = lambda c: F.count(F.when(c, 1))
+    done = F.col("resolved")
+    error = F.avg(F.when(done, (probability - outcome) * (probability - outcome)))
+    return forecasts.groupBy(by).agg(
+        n(done).alias("n_resolved"), n(~done & F.col("censored")).alias("n_censored"), n(~done & ~F.col("censored")).alias("n_open"),
+        F.when(n(done) >= least, error).alias("brier"), n(done & certain_wrong).alias("certain_wrong"),
+    )

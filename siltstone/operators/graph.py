@@ -27,6 +27,24 @@ def incident(edges: DataFrame, nodes: DataFrame, limit: int | None = None) -> Da
     return out.orderBy("src", "dst").limit(limit) if limit else out
 
 
+def projected(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """(src, dst, kind): wikilinks, subjects and sources of each page, each once.  ``pages``: page_id, subjects, sources.
+    ``links``: src, dst as ``resolved`` gives them."""
+    of = lambda column, kind: pages.select(F.col("page_id").alias("src"), F.explode(column).cast("string").alias("dst"), F.lit(kind).alias("kind"))
+    return links.select("src", "dst", F.lit("wikilink").alias("kind")).unionByName(of("subjects", "subject")).unionByName(of("sources", "source")).distinct()
+
+
+def visible(edges: DataFrame, nodes: DataFrame, ceiling: int) -> DataFrame:
+    """Edges both of whose ends a reader may see; an end that is no node (node, sensitivity) or has no label is hidden."""
+    seen = nodes.where(F.col("sensitivity") <= ceiling).select("node")
+    return edges.join(seen.withColumnRenamed("node", "src"), "src", "left_semi").join(seen.withColumnRenamed("node", "dst"), "dst", "left_semi")
+
+
+def affected(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Pages with an edge to something that is newly gone (column dst)."""
+    return edges.join(gone, "dst", "left_semi").select("src").distinct()
+
+
 def walk(edges: DataFrame, start: DataFrame, depth: int = 2) -> DataFrame:
     """(node, hops) within one or two steps, undirected; least hops."""
     if depth not in (1, 2):
@@ -40,27 +58,122 @@ def walk(edges: DataFrame, start: DataFrame, depth: int = 2) -> DataFrame:
     return seen.groupBy("node").agg(F.min("hops").alias("hops"))
 
 
-def reach(edges: DataFrame, start: int, depth: int = 8) -> DataFrame:
-    """(node, hops) along directed edges, least hops, by a recursive query."""
-    edges.createOrReplaceTempView("reach_edges")
-    return edges.sparkSession.sql(
-        f"""WITH RECURSIVE r(node, hops) AS (SELECT CAST({int(start)} AS BIGINT), 0
- UNION ALL SELECT e.dst, r.hops + 1 FROM r JOIN reach_edges e ON e.src = r.node WHERE r.hops < {int(depth)})
-SELECT node, min(hops) AS hops FROM r GROUP BY node"""
-    )
+def walked_edges(edges: DataFrame, start: DataFrame, depth: int = 2, limit: int = 100) -> DataFrame:
+    """The first ``limit`` edges (src, dst) of a walk, in order, and on each row whether there were more."""
+    inner = walk(edges, start, depth - 1).select("node") if depth > 1 else start.select("node")
+    found = incident(edges, inner).select("src", "dst").orderBy("src", "dst").limit(limit + 1)
+    more = found.agg((F.count(F.lit(1)) > limit).alias("truncated"))
+    return found.orderBy("src", "dst").limit(limit).crossJoin(F.broadcast(more))
+
+
+def reach(edges: DataFrame, start: DataFrame, depth: int = 8, most: int | None = None) -> DataFrame:
+    """(node, hops, parent) along directed edges from the nodes of ``start``: least hops, of equal parents the smallest.
+
+    Breadth first: every step joins the edges with the nodes reached last alone, and drops those known before, so no path
+    is walked twice and cycles end.  A step is written to the checkpoint folder.  With ``most``, the nodes nearest."""
+    pairs = edges.select("src", "dst").distinct()
+    seen = start.select("node", F.lit(0).alias("hops"), F.lit(None).cast(dict(pairs.dtypes)["src"]).alias("parent"))
+    last = seen
+    for hop in range(1, depth + 1):
+        step = pairs.join(last.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        last = step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("hops"), "parent").checkpoint()
+        if last.isEmpty():
+            break
+        seen = seen.unionByName(last)
+    return seen.orderBy("hops", "node").limit(most) if most else seen
+
+
+def impacts(reached: DataFrame, known: DataFrame) -> DataFrame:
+    """Nodes reached with what failing them costs (node, cost; the greatest said counts, unknown last), dearest first."""
+    cost = known.groupBy("node").agg(F.max("cost").alias("cost"))
+    return reached.join(cost, "node", "left").orderBy(F.desc_nulls_last("cost"), "hops", "node")
 
 
-def clusters(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, cluster): smallest node reachable, by label passing with pointer jumps;
-    checkpointed every round, so lineage and recovery stay short."""
-    both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct()
-    label = both.select(F.col("x").alias("node")).distinct().withColumn("cluster", F.col("node"))
+def cycles(edges: DataFrame, depth: int = 6) -> DataFrame:
+    """(node): nodes on a directed cycle of at most ``depth`` edges (src, dst, valid_from, valid_to) that all hold at one
+    time.  A path carries the intersection of its intervals and ends where that is empty; one entry stays for each
+    start, end and interval."""
+    far = F.to_timestamp_ntz(F.lit("9999-12-31 00:00:00"))
+    e = edges.select("src", "dst", F.col("valid_from").alias("f"), F.coalesce("valid_to", far).alias("t"))
+    path = e.select(F.col("src").alias("start"), F.col("dst").alias("at"), "f", "t").distinct()
+    found = path.where("start = at").select("start")
+    for _ in range(depth - 1):
+        path = path.where("start <> at").alias("p").join(e.alias("e"), F.col("p.at") == F.col("e.src"))
+        path = path.select("start", F.col("e.dst").alias("at"), F.greatest("p.f", "e.f").alias("f"), F.least("p.t", "e.t").alias("t")).where("f < t").distinct().checkpoint()
+        if path.isEmpty():
+            break
+        found = found.unionByName(path.where("start = at").select("start"))
+    return found.distinct().withColumnRenamed("start", "node")
+
+
+#: A node with this share of all edges or more is joined by broadcast; there are at most HOT / 2 such nodes.
+HOT = 1000
+
+
+def _lowest(both: DataFrame, total: int, keep: str) -> DataFrame:
+    """(u, v) of ``both`` where ``keep`` holds, as (v, least neighbour of u).  Hubs meet their least neighbour where they are."""
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("w")).checkpoint()
+    hot = F.broadcast(low.where(F.col("w") * HOT >= total).drop("w"))
+    rows = both.where(keep) if keep else both
+    cold = low.where(F.col("w") * HOT < total).drop("w")
+    met = rows.join(hot, "u").unionByName(rows.join(hot.select("u"), "u", "left_anti").join(cold, "u"))
+    return met.select(F.col("v").alias("u"), F.col("m").alias("v"), F.col("u").alias("hub"), "m")
+
+
+def clusters(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, cluster): smallest node reachable.  Large-star and small-star rounds, each written to the checkpoint folder;
+    a giant cluster's hub is no hot key."""
+    x, y = F.greatest("a", "b"), F.least("a", "b")
+    now = links.where("a <> b").select(x.alias("u"), y.alias("v")).distinct().checkpoint()
+    alone = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    mark = None
     for _ in range(rounds):
-        around = both.join(label, both["y"] == label["node"]).groupBy("x").agg(F.min("cluster").alias("m")).withColumnRenamed("x", "node")
-        nxt = label.join(around, "node").select("node", F.least("cluster", "m").alias("cluster"))
-        jump = nxt.select(F.col("node").alias("cluster"), F.col("cluster").alias("c2"))
-        nxt = nxt.join(jump, "cluster").select("node", F.col("c2").alias("cluster")).checkpoint()
-        if nxt.join(label.withColumnRenamed("cluster", "old"), "node").where("cluster <> old").limit(1).count() == 0:
-            return nxt
-        label = nxt
-    raise RuntimeError("clusters did not settle")
+        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if seen == mark or not seen[0]:
+            break
+        mark = seen
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _lowest(both, 2 * seen[0], "v > u").select("u", "v").distinct().checkpoint()
+        small = _lowest(large, seen[0], "")
+        now = small.where("u <> v").select("u", "v").unionByName(small.select(F.col("hub").alias("u"), F.col("m").alias("v"))).distinct().checkpoint()
+    else:
+        raise RuntimeError("clusters did not settle")
+    return alone.join(now.select(F.col("u").alias("node"), F.col("v").alias("cluster")), "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"))
+
+
+def identities(claims: DataFrame, least: int = 2) -> DataFrame:
+    """(node, cluster, resolution) over statements (a, b, same, owner, root) that two names are the same or not.
+
+    A pair is qualified by its owner or by ``least`` roots, and joins unless someone denies it.  A cluster with a denied
+    pair inside is split into its members, all ambiguous; one next to a pair that is denied or not qualified is whole but
+    ambiguous; any other is resolved, or distinct if it has one member."""
+    x, y = F.least("a", "b"), F.greatest("a", "b")
+    pairs = claims.where("a <> b").groupBy(x.alias("a"), y.alias("b")).agg(
+        F.bool_or(~F.col("same")).alias("denied"), F.bool_or(F.col("same") & F.col("owner")).alias("owned"), F.countDistinct(F.when(F.col("same"), F.col("root"))).alias("roots"),
+    )
+    pairs = pairs.withColumn("fit", F.col("owned") | (F.col("roots") >= least)).checkpoint()
+    joined = clusters(pairs.where("fit AND NOT denied").select("a", "b"))
+    names = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    label = names.join(joined, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")).checkpoint()
+    la, lb = label.select(F.col("node").alias("a"), F.col("cluster").alias("ca")), label.select(F.col("node").alias("b"), F.col("cluster").alias("cb"))
+    doubt = pairs.where("denied OR NOT fit").join(la, "a").join(lb, "b")
+    split = doubt.where("denied AND ca = cb").select(F.col("ca").alias("cluster")).distinct().withColumn("split", F.lit(True))
+    beside = doubt.select(F.col("ca").alias("cluster")).unionByName(doubt.select(F.col("cb").alias("cluster"))).distinct().withColumn("beside", F.lit(True))
+    sizes = label.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    full = label.join(sizes, "cluster").join(split, "cluster", "left").join(beside, "cluster", "left")
+    state = F.when(F.col("split") | F.col("beside"), "ambiguous").when(F.col("n") > 1, "resolved").otherwise("distinct")
+    return full.select("node", F.when(F.col("split"), F.col("node")).otherwise(F.col("cluster")).alias("cluster"), state.alias("resolution"))
+
+
+def lineage(supports: DataFrame, prints: DataFrame) -> DataFrame:
+    """(claim, n_roots, status) over supports (support, claim, derived: independent, dependent or unknown) and their prints
+    (support, print: hashes of source, version, text, occurrence).  Supports that share a print are one root; copies and
+    what is derived add none; an unknown one leaves the count in doubt."""
+    own = supports.where("derived = 'independent'")
+    met = prints.join(own.select("support", "claim"), "support")
+    first = met.groupBy("claim", "print").agg(F.min("support").alias("least"))
+    links = met.join(first, ["claim", "print"]).select(F.col("support").alias("a"), F.col("least").alias("b")).distinct()
+    label = clusters(links)
+    roots = own.join(label, own["support"] == label["node"], "left").groupBy("claim").agg(F.countDistinct(F.coalesce("cluster", "support")).alias("n"))
+    state = supports.groupBy("claim").agg(F.bool_or(F.col("derived") == "unknown").alias("vague"))
+    return state.join(roots, "claim", "left").select("claim", F.coalesce("n", F.lit(0)).alias("n_roots"), F.when(F.col("vague"), "unknown").otherwise("known").alias("status"))

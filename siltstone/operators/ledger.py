@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 
 def from_events(events: DataFrame) -> DataFrame:
@@ -27,9 +30,14 @@ def live(ledger: DataFrame, *record: str) -> DataFrame:
 
 
 def current(scoped: DataFrame, *record: str) -> DataFrame:
-    """Latest row of each record, of the rows that a reader may see: scope first, then versions."""
-    w = Window.partitionBy(*record).orderBy(*(F.col(c).desc() for c in ORDER))
-    return scoped.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """Latest row of each record, of the rows that a reader may see: scope first, then versions.  An aggregate, so rows
+    fold before the shuffle and a hot record is no hot task."""
+    return scoped.groupBy(*record).agg(F.max_by(F.struct(*scoped.columns), F.struct(*ORDER)).alias("r")).select("r.*")
+
+
+def mirrored(ledger: DataFrame, *record: str) -> DataFrame:
+    """What a source holds now: the latest version of each record, unless that is a tombstone."""
+    return current(ledger, *record).where("not deleted")
 
 
 def deduplicated(ledger: DataFrame, *key: str) -> DataFrame:
@@ -38,8 +46,80 @@ def deduplicated(ledger: DataFrame, *key: str) -> DataFrame:
 
 
 def accept(batch: DataFrame, ledger: DataFrame, *key: str) -> DataFrame:
-    """Rows of a batch that the ledger does not hold yet, each once."""
-    return batch.dropDuplicates(list(key)).join(ledger.select(*key).distinct(), list(key), "left_anti")
+    """Rows of a batch that the ledger does not hold yet, of equal ones the first in ledger order, or the smallest."""
+    order = F.struct(*(c for c in ORDER if c in batch.columns), *(c for c in batch.columns if c not in ORDER and not isinstance(batch.schema[c].dataType, MapType)))
+    once = batch.groupBy(*key).agg(F.min_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
+    return once.join(ledger.select(*key).distinct(), list(key), "left_anti")
+
+
+def accepted(batch: DataFrame, ledger: DataFrame, suppressed: DataFrame, valid: Column, *key: str) -> DataFrame:
+    """The batch with the outcome of each row: error where it is not valid, suppressed where its record is, duplicate
+    where the ledger or an earlier row has its key, else stored."""
+    marked = batch.withColumn("_ok", F.coalesce(valid, F.lit(False)))
+    w = Window.partitionBy(*key, "_ok").orderBy(*ORDER)
+    marked = marked.withColumn("_n", F.row_number().over(w))
+    marked = marked.join(suppressed.distinct().withColumn("_s", F.lit(True)), suppressed.columns, "left").join(ledger.select(*key).distinct().withColumn("_h", F.lit(True)), list(key), "left")
+    outcome = F.when(~F.col("_ok"), "error").when(F.col("_s"), "suppressed").when(F.col("_h") | (F.col("_n") > 1), "duplicate").otherwise("stored")
+    return marked.withColumn("outcome", outcome).drop("_ok", "_n", "_s", "_h")
+
+
+def replay(ledger: DataFrame, *record: str, kinds: tuple = (), since: str | None = None, only_live: bool = False) -> DataFrame:
+    """Rows in ledger order by kind and time, all or those alive."""
+    rows = live(ledger, *record) if only_live else ledger
+    rows = rows.where(F.col("kind").isin(*kinds)) if kinds else rows
+    rows = rows.where(F.col("accepted_at") >= F.to_timestamp_ntz(F.lit(since))) if since else rows
+    return rows.orderBy(*ORDER)
+
+
+def count_since(ledger: DataFrame, accepted_at: Column, event_id: int) -> DataFrame:
+    """How many rows lie behind a cursor, and the cursor of the last row."""
+    behind = F.struct(*ORDER) > F.struct(accepted_at, F.lit(event_id).cast("long"))
+    return ledger.agg(F.count(F.when(behind, 1)).alias("n"), F.count(F.lit(1)).alias("total"), F.max(F.struct(*ORDER)).alias("last")).select("n", "total", "last.*")
+
+
+def lookup(ledger: DataFrame, ids: DataFrame, *record: str) -> DataFrame:
+    """The rows with these ids, and whether each is alive; only their records are read for tombstones."""
+    own = ledger.join(ids, "event_id", "left_semi")
+    rows = ledger.join(own.select(*record).distinct(), list(record), "left_semi")
+    alive = live(rows, *record).select("event_id").withColumn("alive", F.lit(True))
+    return own.join(alive, "event_id", "left").withColumn("alive", F.coalesce("alive", F.lit(False)))
+
+
+def upserted(index: DataFrame, batch: DataFrame, key: str, version: str) -> DataFrame:
+    """The index with the batch's documents in place of older ones."""
+    both = index.unionByName(batch)
+    return both.groupBy(key).agg(F.max_by(F.struct(*both.columns), F.struct(version)).alias("r")).select("r.*")
+
+
+def rebuilt(documents: DataFrame, folder: str) -> str:
+    """Write a whole index beside the one in use and return its path; a reader moves over when it is complete."""
+    path = f"{folder.rstrip('/')}/index-{uuid.uuid4().hex}"
+    documents.write.parquet(path)
+    return path
+
+
+def numbered(rows: DataFrame, *order: str, start: int = 1, parts: int | None = None) -> DataFrame:
+    """Adds ``number``: dense, in order.  Rows are ranged by the order, numbered within their range, and moved by the
+    sizes of the ranges before it; only those sizes meet in one place."""
+    n = parts or rows.sparkSession.sparkContext.defaultParallelism
+    ranged = rows.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
+    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_p", (F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + start - 1).alias("_b"))
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return ranged.withColumn("_r", own).join(F.broadcast(before), "_p").withColumn("number", F.col("_r") + F.col("_b")).drop("_p", "_r", "_b")
+
+
+def integrity(history: DataFrame, states: DataFrame, key: str = "record") -> DataFrame:
+    """(rule, n): entries of a history that break a rule.  ``history``: sequence, recorded_at, key, status.  ``states``:
+    key, status.  Clock and order are looked at within each key, where neighbours are near each other."""
+    w = Window.partitionBy(key).orderBy("sequence")
+    back = history.withColumn("prior", F.lag("recorded_at").over(w)).where("recorded_at < prior")
+    last = history.groupBy(key).agg(F.max_by("status", "sequence").alias("last"))
+    wrong = states.join(last, key).where(~F.col("status").eqNullSafe(F.col("last")))
+    orphan = history.join(states, key, "left_anti")
+    bare = states.join(history.select(key).distinct(), key, "left_anti")
+    count = lambda rows, rule: rows.agg(F.lit(rule).alias("rule"), F.count(F.lit(1)).alias("n"))
+    return count(back, "clock_back").unionByName(count(wrong, "state_differs")).unionByName(count(orphan, "orphan_entry")).unionByName(count(bare, "no_history"))
 
 
 def read_since(ledger: DataFrame, accepted_at: Column, event_id: int, limit: int = 1000) -> DataFrame:
@@ -49,9 +129,8 @@ def read_since(ledger: DataFrame, accepted_at: Column, event_id: int, limit: int
 
 def history(ledger: DataFrame, *record: str) -> DataFrame:
     """Latest row of each record and the number of its versions."""
-    w = Window.partitionBy(*record)
-    latest = w.orderBy(*(F.col(c).desc() for c in ORDER))
-    return ledger.withColumn("versions", F.count(F.lit(1)).over(w)).withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
+    out = ledger.groupBy(*record).agg(F.max_by(F.struct(*ledger.columns), F.struct(*ORDER)).alias("r"), F.count(F.lit(1)).alias("versions"))
+    return out.select("r.*", "versions")
 
 
 def purge(ledger: DataFrame, selector: Column) -> DataFrame:

@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.scalar import cosine, jaccard, tokens
 
-#: Words that a relaxed question does not ask for (fixed values).
-STOPWORDS = frozenset("a an and are as at be by did do does for from how in is it of on or that the this to was were what when where which who why will with you your".split())
+#: Words that a relaxed question does not ask for, and those that a question starts with (fixed values).
+STOPWORDS = frozenset(
+    (
+        "a an the and or but if of to in on at by for with about from into over after before during as "
+        "is are was were be been being am do does did done doing have has had having "
+        "i me my we our us you your he she it its they them their this that these those there here "
+        "what which who whom whose when where why how can could should would will shall may might must "
+        "not no yes than then so just also very any some all each other such "
+        "tell please give show find list explain"
+    ).split()
+)
+LEADS = frozenset("what whats who whom whose when where why how which did does do is are was were can could should would will has have had tell find show list explain give".split())
+#: A literal search with fewer hits is tried relaxed; words that make a question; content words at most; share of them that a hit has.
+BELOW, SPOKEN, CONTENT, SHARE = 3, 3, 12, 0.6
+_WORD = re.compile(r"[^\W_]+")
 
 
 def parse_query(query: str) -> list[tuple[str, bool]]:
@@ -21,86 +36,249 @@ def parse_query(query: str) -> list[tuple[str, bool]]:
         text = quoted.replace('""', '"') if quoted else bare
         if not quoted and text in ("AND", "OR", "NOT", "NEAR"):
             continue
-        words = re.findall(r"\w+", text.lower())
+        words = _WORD.findall(text.lower())
         if words:
             out.append((" ".join(words), not quoted and text.endswith("*")))
     return out
 
 
 def spans(text: Column, phrase: str, prefix: bool = False) -> Column:
-    """Matches of a phrase as whole words, or of words that begin with it."""
+    """Matches of a phrase as whole words, or of words that begin with it.  Neighbours share the mark between them, so
+    only looks ahead and behind stand at the ends."""
     body = r"[^\p{L}\p{N}]+".join(map(re.escape, phrase.split()))
-    tail = "" if prefix else r"(?:[^\p{L}\p{N}]|$)"
-    return F.regexp_count(F.lower(text), F.lit(rf"(?:^|[^\p{{L}}\p{{N}}]){body}{tail}"))
+    tail = "" if prefix else r"(?![\p{L}\p{N}])"
+    return F.regexp_count(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}]){body}{tail}"))
 
 
-def literal(docs: DataFrame, query: str, title: str, body: str, key: str, limit: int) -> DataFrame:
-    """Documents that hold all phrases, best first.  score = (4 f(title) + f(body)) / (1000 + min(length, 1000)), f(x) = x / (1 + x)."""
+def literal(docs: DataFrame, query: str, title: str, body: str, key: str, limit: int, machine: Column | None = None, skip: int = 0) -> DataFrame:
+    """Documents that hold all phrases, best first: an exact title, then score = (4 f(title) + f(body)) / (1000 + min(length,
+    1000)), f(x) = x / (1 + x), halved for pages that a ``machine`` wrote.  A query without phrases finds none."""
     parts = parse_query(query)
-    t = sum((spans(F.col(title), p, q) for p, q in parts), F.lit(0))
-    b = sum((spans(F.col(body), p, q) for p, q in parts), F.lit(0))
+    if not parts:
+        return docs.withColumns({"exact": F.lit(False), "score": F.lit(0.0)}).limit(0)
+    counts = {f"_{c}{i}": spans(F.col(n), p, q) for i, (p, q) in enumerate(parts) for c, n in (("t", title), ("b", body))}
+    counted = docs.withColumns(counts)  # each phrase is looked for once in each field
+    keep = reduce(lambda x, i: x & (F.col(f"_t{i}") + F.col(f"_b{i}") > 0), range(len(parts)), F.lit(True))
+    total = lambda c: sum((F.col(f"_{c}{i}") for i in range(len(parts))), F.lit(0))
     f = lambda x: x / (1 + x)
-    keep = F.lit(True)
-    for p, q in parts:
-        keep = keep & ((spans(F.col(body), p, q) > 0) | (spans(F.col(title), p, q) > 0))
-    scored = docs.where(keep).withColumn("score", (4 * f(t) + f(b)) / (1000 + F.least(F.length(body), F.lit(1000))))
-    return scored.orderBy(F.desc("score"), key).limit(limit)
-
-
-def relaxed_terms(question: str, most: int = 12) -> tuple[list[str], int]:
-    """Stems asked for and how many of them a document needs."""
-    words = [w for w in re.findall(r"\w+", question.lower()) if w not in STOPWORDS]
-    stems = list(dict.fromkeys(re.sub(r"(ing|ions?|ed|es|s)$", "", w) if len(w) > 5 else w for w in words))[:most]
-    return stems, -(-6 * len(stems) // 10)
-
-
-def relaxed(docs: DataFrame, terms: list[str], need: int, body: str) -> DataFrame:
-    """Documents that hold at least ``need`` of the terms, with their coverage."""
-    low = F.lower(F.col(body))
-    covered = sum((F.contains(low, F.lit(t)).cast("int") for t in terms), F.lit(0))
+    weight = F.lit(1.0) if machine is None else F.when(machine, 0.5).otherwise(1.0)
+    scored = counted.where(keep).withColumn("exact", F.lower(F.trim(title)) == query.strip().lower())
+    scored = scored.withColumn("score", (4 * f(total("t")) + f(total("b"))) / (1000 + F.least(F.length(body), F.lit(1000))) * weight)
+    return scored.drop(*counts).orderBy(F.desc("exact"), F.desc("score"), key).offset(skip).limit(limit)
+
+
+def snippet(text: Column, terms: list[str], around: int = 160) -> Column:
+    """40 characters before the first term found and 80 behind its start; the head of the text if there is none."""
+    low = F.lower(text)
+    at = F.coalesce(*(F.nullif(F.locate(t.lower(), low), F.lit(0)) for t in terms)) if terms else F.lit(None).cast("int")
+    head = F.when(F.length(text) <= around, text).otherwise(F.concat(F.substring(text, 1, around), F.lit("…")))
+    start, end = F.greatest(F.lit(0), at - 41), F.least(F.length(text), at + 79)
+    cut = F.concat(F.when(start > 0, "…").otherwise(""), F.substr(text, start + 1, end - start), F.when(end < F.length(text), "…").otherwise(""))
+    return F.when(at.isNull(), head).otherwise(cut)
+
+
+def is_question(query: str) -> bool:
+    """Three words or more that end in a question mark or start like a question; quotes and stars ask for the literal words."""
+    spoken = _WORD.findall(query.lower())
+    return not re.search(r'["*]', query) and len(spoken) >= SPOKEN and (query.rstrip().endswith("?") or spoken[0] in LEADS)
+
+
+def _term(word: str) -> tuple[str, ...]:
+    """Prefixes (with a star) or the word that stand for a content word."""
+    if re.fullmatch(r"decid(?:e|ed|ing)|decisions?", word):
+        return ("decid*", "decision*")  # the noun has another stem
+    stem = word
+    if word.isalpha():
+        stem = next((word[: -len(x)] for x in ("ing", "ed", "es", "s") if word.endswith(x) and len(word) - len(x) >= 4), word)
+        if stem.endswith("e") and len(stem) > 4:
+            stem = stem[:-1]
+    return (f"{stem}*",) if len(stem) >= 4 else (word,)
+
+
+def relaxed_terms(question: str) -> tuple[list[tuple[str, ...]], int]:
+    """What a question asks for, each term as its forms, and how many of them a document needs; none where the query is
+    no question, has no content word, or more than CONTENT."""
+    content = list(dict.fromkeys(w for w in _WORD.findall(question.lower()) if len(w) > 1 and w not in STOPWORDS)) if is_question(question) else []
+    if not 0 < len(content) <= CONTENT:
+        return [], 0
+    terms = list(dict.fromkeys(map(_term, content)))
+    return terms, math.ceil(len(terms) * SHARE)
+
+
+def relaxed(docs: DataFrame, terms: list[tuple[str, ...]], need: int, body: str) -> DataFrame:
+    """Documents that hold at least ``need`` of the terms, with their coverage: words that are, or begin with, a form."""
+    if not terms:
+        return docs.withColumns({"covered": F.lit(0), "coverage": F.lit(1.0)}).limit(0)
+    held = lambda forms: reduce(lambda x, y: x | y, (spans(F.col(body), f.rstrip("*"), f.endswith("*")) > 0 for f in forms))
+    covered = sum((held(t).cast("int") for t in terms), F.lit(0))
     return docs.withColumn("covered", covered).where(F.col("covered") >= need).withColumn("coverage", F.col("covered") / len(terms))
 
 
-def bm25(docs: DataFrame, terms: list[str], key: str, body: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) of documents that hold a term.  One aggregate row of corpus counts joins by broadcast."""
-    words = docs.select(key, tokens(F.col(body)).alias("w"))
-    counted = words.select(key, F.size("w").alias("len"), *(F.size(F.filter("w", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)))
+def search(docs: DataFrame, query: str, title: str, body: str, key: str, limit: int = 20, ledger: Column | None = None, bounded: bool = False) -> tuple[DataFrame, list[str]]:
+    """Hits and labels.  A time bound leaves out what has no time (rows that ``ledger`` doesn't hold for).  A question with
+    fewer than BELOW literal hits is asked again relaxed; the first page decides, a bounded count."""
+    labels = []
+    if not parse_query(query):
+        return docs.limit(0), ["query-empty"]
+    if bounded and ledger is not None:
+        docs, labels = docs.where(ledger), ["canon-time-scope-unsupported"]
+    found = literal(docs, query, title, body, key, limit).withColumn("coverage", F.lit(1.0))
+    terms, need = relaxed_terms(query)
+    if not terms or found.limit(BELOW).count() >= BELOW:
+        return found, labels
+    weak = relaxed(docs, terms, need, body).orderBy(F.desc("covered"), key).limit(limit)
+    return weak, [*labels, "query-relaxed", *(["query-no-match"] if weak.isEmpty() else [])]
+
+
+def bm25(docs: DataFrame, terms: list[str], key: str, body: str, title: str | None = None, k1: float = 1.2, b: float = 0.75, weight: float = 4.0) -> DataFrame:
+    """(key, score) of documents that hold a term; a term in the title counts ``weight`` times.  Each text is cut into
+    words once: its length and the counts of the terms go on, and one row of corpus counts joins by broadcast."""
+    of = lambda column, t: F.size(F.filter(column, _equals(t)))
+    words = docs.select(key, tokens(F.col(body)).alias("w"), (tokens(F.col(title)) if title else F.array().cast("array<string>")).alias("h"))
+    length = F.size("w") + (weight * F.size("h") if title else F.lit(0))
+    counts = [(of("w", t) + (weight * of("h", t) if title else F.lit(0))).cast("double").alias(f"tf{i}") for i, t in enumerate(terms)]
+    counted = words.select(key, length.cast("double").alias("len"), *counts)
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *(F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))))
     score = F.lit(0.0)
     for i in range(len(terms)):
         idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         tf = F.col(f"tf{i}")
         score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return counted.crossJoin(F.broadcast(stats)).select(key, score.alias("score")).where("score > 0")
+    held = counted.where(reduce(lambda x, i: x | (F.col(f"tf{i}") > 0), range(len(terms)), F.lit(False)))
+    return held.crossJoin(F.broadcast(stats)).select(key, score.alias("score"))
 
 
 def _equals(term: str):
     return lambda w: w == term
 
 
+def term_score(docs: DataFrame, query: str, title: str, body: str) -> Column:
+    """Four for each query term in the title, one for each in the body, however often."""
+    terms = list(dict.fromkeys(re.findall(r"[a-z0-9]+", query.lower())))
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    return sum((4 * F.array_contains(words(F.col(title)), t).cast("int") + F.array_contains(words(F.col(body)), t).cast("int") for t in terms), F.lit(0))
+
+
 def nearest(vectors: DataFrame, query: list[float], key: str, vector: str, limit: int) -> DataFrame:
     """Exact cosine over all permitted rows."""
     q = F.array(*(F.lit(float(x)) for x in query))
     return vectors.select(key, cosine(F.col(vector), q).alias("similarity")).orderBy(F.desc("similarity"), key).limit(limit)
 
 
-def fused(lists: list[DataFrame], key: str, k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of lists with column ``rank``."""
-    every = lists[0].select(key, "rank")
-    for other in lists[1:]:
-        every = every.unionByName(other.select(key, "rank"))
-    return every.groupBy(key).agg(F.sum(1.0 / (k + F.col("rank"))).alias("fused"), F.count(F.lit(1)).alias("n_lists"))
+#: Weight of an author's tier in fusion; that of corrections is fixed, the others are our own.
+AUTHORITY_WEIGHT = {1: 0.8, 2: 1.0, 3: 1.5, 4: 2.0}
+
+
+def fused(lists: list[DataFrame], key: str, k: int = 60, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Reciprocal rank fusion of lists with column ``rank``, as a share of the best.  A column in ``carry`` is taken from
+    whichever list has a value for it."""
+    every = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), (x.select(key, "rank", *[c for c in carry if c in x.columns]) for x in lists))
+    first = [F.first(c, ignorenulls=True).alias(c) for c in carry if c in every.columns]
+    sums = every.groupBy(key).agg(F.sum(1.0 / (k + F.col("rank"))).alias("raw"), F.count(F.lit(1)).alias("n_lists"), *first)
+    best = sums.agg(F.max("raw").alias("best"))
+    return sums.crossJoin(F.broadcast(best)).withColumn("fused", F.col("raw") / F.col("best")).drop("raw", "best")
+
 
+def weighted(rows: DataFrame, tier: Column) -> DataFrame:
+    weights = F.create_map(*(x for t, w in AUTHORITY_WEIGHT.items() for x in (F.lit(t), F.lit(w))))
+    return rows.withColumn("fused", F.col("fused") * F.coalesce(F.try_element_at(weights, tier), F.lit(1.0)))
 
-def ranked(rows: DataFrame, score: str, key: str) -> DataFrame:
-    """Adds ``rank`` to a list that is already cut to its best rows."""
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key)))
+
+def ranked(rows: DataFrame, score: str, key: str, limit: int = 1000) -> DataFrame:
+    """The best ``limit`` rows with their ``rank``."""
+    best = rows.orderBy(F.desc(score), key).limit(limit)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key)))  # of ``limit`` rows
 
 
 def rescored(rows: DataFrame, fused_col: str, similarity: str) -> DataFrame:
     """0.7 of the fused score, as a share of the best, and 0.3 of the cosine."""
-    best = F.max(fused_col).over(Window.partitionBy())
-    return rows.withColumn("score", 0.7 * F.col(fused_col) / best + 0.3 * F.coalesce(similarity, F.lit(0.0)))
+    best = rows.agg(F.max(fused_col).alias("_best"))
+    blend = 0.7 * F.col(fused_col) / F.col("_best") + 0.3 * F.coalesce(similarity, F.lit(0.0))
+    return rows.crossJoin(F.broadcast(best)).withColumn("score", blend).drop("_best")
+
+
+def adjacency_boost(candidates: DataFrame, edges: DataFrame, key: str, score: str, least: int = 2, factor: float = 1.1) -> DataFrame:
+    """Candidates next to ``least`` distinct other candidates or more are raised by ``factor``.  ``edges``: src, dst."""
+    ids = candidates.select(F.col(key).alias("n")).distinct()
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
+    near = both.join(ids.withColumnRenamed("n", "src"), "src", "left_semi").join(ids.withColumnRenamed("n", "dst"), "dst", "left_semi")
+    counts = near.groupBy(F.col("src").alias(key)).agg(F.count(F.lit(1)).alias("neighbours"))
+    met = candidates.join(counts, key, "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0)))
+    return met.withColumn(score, F.col(score) * F.when(F.col("neighbours") >= least, factor).otherwise(1.0))
+
+
+def collapsed(chunks: DataFrame, key: str, score: str, *then: str) -> DataFrame:
+    """The best chunk of each document."""
+    best = F.max_by(F.struct(*chunks.columns), F.struct(F.col(score), *(-F.col(c) for c in then)))
+    return chunks.groupBy(key).agg(best.alias("r")).select("r.*")
+
+
+def layered(candidates: DataFrame, near: float = 0.85, share: float = 0.6) -> DataFrame:
+    """Candidates (id, chunk, kind, text, score, corrected) without near copies inside a document, with at most a share of
+    one kind; documents with a correction always keep one, and push nothing out.  A first page of candidates: bounded."""
+    order = F.struct(F.col("score"), -F.col("chunk"))
+    t = candidates.withColumn("t", F.array_distinct(tokens(F.col("text"))))
+    a, b = t.alias("a"), t.alias("b")
+    better = F.struct(F.col("a.score"), -F.col("a.chunk")) > F.struct(F.col("b.score"), -F.col("b.chunk"))
+    copies = a.join(b, (F.col("a.id") == F.col("b.id")) & better & (jaccard(F.col("a.t"), F.col("b.t")) >= near)).select(F.col("b.id").alias("id"), F.col("b.chunk").alias("chunk")).distinct()
+    plain = candidates.join(copies, ["id", "chunk"], "left_anti")
+    total = candidates.agg(F.ceil(F.count(F.lit(1)) * share).alias("most"))
+    by_kind = Window.partitionBy("kind").orderBy(order.desc(), "id")
+    kept = plain.withColumn("n", F.row_number().over(by_kind)).crossJoin(F.broadcast(total)).where("n <= most").drop("n", "most")
+    due = candidates.where("corrected").groupBy("id").agg(F.max_by(F.struct(*candidates.columns), order).alias("r")).select("r.*")
+    due = due.join(kept.where("corrected").select("id").distinct(), "id", "left_anti").select(*candidates.columns)
+    return kept.select(*candidates.columns).unionByName(due)
+
+
+def reranked(candidates: DataFrame, judged: DataFrame, key: str, most: int = 63) -> DataFrame:
+    """The first ``most`` candidates (key, rank) by an outside judge's score, those it does not know last, ties as before."""
+    first = candidates.orderBy("rank", key).limit(most)
+    return first.join(judged, key, "left").orderBy(F.desc_nulls_last("judged"), "rank", key)
+
+
+def erased(index: DataFrame, gone: DataFrame, key: str, provenance: str) -> DataFrame:
+    """The index without rows that are named (column ``key`` of ``gone``) or rest on a named event (column ``event``)."""
+    events = gone.select("event").where("event IS NOT NULL").distinct()
+    resting = index.select(key, F.explode(provenance).alias("event")).join(events, "event", "left_semi").select(key)
+    named = gone.select(key).where(F.col(key).isNotNull())
+    return index.join(resting.unionByName(named).distinct(), key, "left_anti")
+
+
+def absent(index: DataFrame, gone: DataFrame, key: str, provenance: str) -> DataFrame:
+    """What still stands in the index of what should be gone: no rows are the proof."""
+    kept = erased(index, gone, key, provenance).select(key)
+    return index.join(kept, key, "left_anti")
+
+
+def folded_label(label: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.upper(label)), r"\s+", " "))
+
+
+def label_matches(labels: DataFrame, query: str, key: str, label: str, after: int | None = None, page: int = 32) -> DataFrame:
+    """A page of rows whose folded label holds the folded query, behind a key."""
+    want = " ".join(query.upper().lower().split())
+    found = labels.where(F.contains(folded_label(F.col(label)), F.lit(want)))
+    found = found if after is None else found.where(F.col(key) > after)
+    return found.orderBy(key).limit(page)
+
+
+def slice_relevance(labels: DataFrame, task: str, label: str, key: str) -> DataFrame:
+    """Rows by the number of the task's words in their label; all with none where no label has any."""
+    words = sorted(set(re.findall(r"\w+", task.lower())))
+    scored = labels.withColumn("overlap", F.size(F.array_intersect(F.array_distinct(tokens(F.col(label))), F.array(*map(F.lit, words)).cast("array<string>"))))
+    best = scored.agg(F.max("overlap").alias("best"))
+    return scored.crossJoin(F.broadcast(best)).where("overlap > 0 OR best = 0").drop("best").orderBy(F.desc("overlap"), key)
+
+
+def term_relevance(claims: DataFrame, query: str, fields: list[str]) -> Column:
+    """How many of the query's terms each of the fields holds, summed."""
+    terms = sorted(set(re.findall(r"\w+", query.lower())))
+    return sum((F.contains(F.lower(F.col(c)), F.lit(t)).cast("int") for c in fields for t in terms), F.lit(0))
+
+
+def unfolded(events: DataFrame, pages: DataFrame, event: str, sources: str) -> DataFrame:
+    """Events that no selected page cites."""
+    return events.join(pages.select(F.explode(sources).alias(event)).distinct(), event, "left_anti")
 
 
 def chunks(docs: DataFrame, key: str, body: str, size: int = 800, overlap: int = 120) -> DataFrame:
@@ -113,21 +291,30 @@ def chunks(docs: DataFrame, key: str, body: str, size: int = 800, overlap: int =
     return rows.select(key, F.col("chunk").cast("long").alias("chunk"), F.size(cut).cast("long").alias("n_words"), F.array_join(cut, " ").alias("text"))
 
 
-def near_claims(claims: DataFrame, key: str, body: str, threshold: float = 0.82) -> DataFrame:
-    """Pairs with token Jaccard at the threshold or above.  Only rows that share one
-    of the rarest tokens that such a pair must share meet (prefix filter)."""
-    base = claims.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(tokens(F.col(body)))).alias("t")).where(F.size("t") > 0)
-    df = base.select(F.explode("t").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    by_rarity = base.select("k", "t", F.explode("t").alias("w")).join(df, "w").withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("df", "w")))
-    prefix = F.size("t") - F.ceil(F.lit(threshold) * F.size("t")) + 1
-    keyed = by_rarity.where(F.col("n") <= prefix).select("k", "t", "w")
+def near_claims(claims: DataFrame, key: str, body: str, threshold: float = 0.82) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): pairs of distinct token sets, each named by its smallest key, with a Jaccard similarity at the
+    threshold or above, and for each key the name of its set.
+
+    Equal sets are one, so copies make no pairs.  Only sets that share one of the rarest tokens that such a pair must
+    share meet (prefix filter), by number and token; the sets themselves join once for each pair found."""
+    base = claims.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(tokens(F.col(body)))).alias("t"))
+    sets = base.groupBy("t").agg(F.min("k").alias("k"))
+    members = base.join(sets.withColumnRenamed("k", "set_id"), "t").select(F.col("k").alias(key), "set_id")
+    sets = sets.where(F.size("t") > 0)
+    words = sets.select("k", F.size("t").alias("size"), F.explode("t").alias("w"))
+    by_rarity = words.join(words.groupBy("w").agg(F.count(F.lit(1)).alias("df")), "w").withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("df", "w")))
+    keyed = by_rarity.where(F.col("n") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1).select("k", "size", "w", "n")
     a, b = keyed.alias("a"), keyed.alias("b")
-    sizes = (F.size("b.t") >= threshold * F.size("a.t")) & (F.size("a.t") >= threshold * F.size("b.t"))
-    pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.k") < F.col("b.k")) & sizes).select(F.col("a.k").alias("left_id"), F.col("b.k").alias("right_id"), jaccard(F.col("a.t"), F.col("b.t")).alias("similarity"))
-    return pairs.where(F.col("similarity") >= threshold).distinct()
+    # of two sets that agree at place n, at most what is left behind it is shared as well
+    left = F.least(F.col("a.size") - F.col("a.n"), F.col("b.size") - F.col("b.n")) + F.least("a.n", "b.n")
+    fits = (F.col("b.size") >= threshold * F.col("a.size")) & (F.col("a.size") >= threshold * F.col("b.size"))
+    fits = fits & (left * (1 + threshold) >= threshold * (F.col("a.size") + F.col("b.size")))
+    met = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.k") < F.col("b.k")) & fits).select(F.col("a.k").alias("left_id"), F.col("b.k").alias("right_id")).distinct()
+    both = met.join(sets.select(F.col("k").alias("left_id"), F.col("t").alias("x")), "left_id").join(sets.select(F.col("k").alias("right_id"), F.col("t").alias("y")), "right_id")
+    return both.select("left_id", "right_id", jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold), members
 
 
 def eval_metrics(ranks: DataFrame, kind: str, rank: str) -> DataFrame:
-    """hit@1, hit@5 and mean reciprocal rank; a null rank is a miss."""
+    """hit@1, hit@5, hit@20, mean reciprocal rank, and the share that found nothing; a null rank is a miss."""
     hit = lambda k: F.avg((F.coalesce(F.col(rank), F.lit(1 << 30)) <= k).cast("double"))
-    return ranks.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), hit(1).alias("hit_1"), hit(5).alias("hit_5"), F.avg(F.coalesce(1.0 / F.col(rank), F.lit(0.0))).alias("mrr"))
+    return ranks.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), hit(1).alias("hit_1"), hit(5).alias("hit_5"), hit(20).alias("hit_20"), F.avg(F.col(rank).isNull().cast("double")).alias("abstained"), F.avg(F.coalesce(1.0 / F.col(rank), F.lit(0.0))).alias("mrr"))

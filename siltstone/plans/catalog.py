@@ -1,11 +1,9 @@
-"""The registered queries and, for each that SQL can express, DuckDB SQL with the same result."""
+"""Queries over the ledger, policy, search, graph, claims and reports."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,25 +15,10 @@ from siltstone.operators import policy as P
 from siltstone.operators import reports as R
 from siltstone.operators import search as Q
 from siltstone.operators import timeline as T
+from siltstone.plans.registry import ORACLES, QUERIES, query
 from siltstone.sources import rows as X
 from siltstone.streaming import ingest as I
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function of a table reader under its name."""
-
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 _LEDGER = """SELECT event_id, ts AS accepted_at, user_id AS record, event_type AS kind, value, props, event_type = 'error' AS deleted,
  CASE WHEN event_id % 4 < 3 THEN (event_id % 4)::INT END AS sensitivity FROM events"""
 _LIVE = f"""WITH l AS ({_LEDGER}), live AS (SELECT * FROM l a WHERE NOT deleted AND NOT EXISTS (SELECT 1 FROM l t WHERE t.deleted AND t.record = a.record
@@ -104,23 +87,29 @@ def text_expand(t):
     return t("documents").select("doc_id", s["slice"].alias("slice"), s["integrity"].alias("integrity"))
 
 
-_DENY = """CASE WHEN sensitivity IS NULL THEN 'missing_label' WHEN sensitivity > 1 THEN 'ceiling' WHEN kind = 'purchase' THEN 'class' WHEN kind NOT IN ('click', 'view', 'purchase') THEN 'type'
- WHEN accepted_at < TIMESTAMP '2024-01-02' OR accepted_at > TIMESTAMP '2024-01-20' THEN 'time' END"""
+# nulls stand in every column that a check needs
+_ASKED = f"""SELECT event_id, sensitivity, CASE WHEN event_id % 13 > 0 THEN kind END AS kind, CASE WHEN event_id % 17 > 0 THEN [record, record % 10] END AS subjects,
+ CASE WHEN event_id % 19 > 0 THEN accepted_at END AS seen_at, event_id % 23 = 0 AS held FROM ({_LEDGER})"""
+_DENY = """CASE WHEN held THEN 'held' WHEN sensitivity IS NULL THEN 'missing_sensitivity' WHEN sensitivity > 1 THEN 'above_ceiling' WHEN kind = 'purchase' THEN 'class_denied'
+ WHEN kind IS NULL OR kind NOT IN ('click', 'view', 'purchase') THEN 'type_out_of_scope' WHEN subjects IS NULL OR NOT list_has_any(subjects, [1, 2, 3, 4, 5, 6]) THEN 'subject_out_of_scope'
+ WHEN seen_at IS NULL OR seen_at < TIMESTAMP '2024-01-02' OR seen_at > TIMESTAMP '2024-01-20' THEN 'time_out_of_scope' END"""
 
 
 def _denied(t):
-    rows = _ledger(t)
-    grant = P.Grant(1, ("click", "view", "purchase"), ("credential",), (), "2024-01-02 00:00:00", "2024-01-20 00:00:00")
-    classes = F.when(F.col("kind") == "purchase", F.array(F.lit("credential"))).otherwise(F.array().cast("array<string>"))
-    return rows.withColumn("deny_reason", P.deny_reason(grant, F.col("sensitivity"), F.col("kind"), classes, F.col("record"), F.col("accepted_at")))
+    e = F.col("event_id")
+    some = lambda n, column: F.when(e % n > 0, column)
+    rows = _ledger(t).withColumns({"kind": some(13, F.col("kind")), "subjects": some(17, F.array(F.col("record"), F.col("record") % 10)), "at": some(19, F.col("accepted_at"))})
+    grant = P.Grant(1, ("click", "view", "purchase"), ("credential",), (1, 2, 3, 4, 5, 6), "2024-01-02 00:00:00", "2024-01-20 00:00:00")
+    classes = F.when(F.col("kind") == "purchase", F.array(F.lit("credential")))
+    return rows.withColumn("deny_reason", P.deny_reason(grant, F.col("sensitivity"), F.col("kind"), classes, F.col("subjects"), F.col("at"), e % 23 == 0))
 
 
-@query(f"WITH l AS ({_LEDGER}) SELECT event_id, {_DENY} AS deny_reason FROM l")
+@query(f"SELECT event_id, {_DENY} AS deny_reason FROM ({_ASKED})")
 def policy_authorize(t):
     return _denied(t).select("event_id", "deny_reason")
 
 
-@query(f"WITH l AS ({_LEDGER}) SELECT coalesce({_DENY}, 'served') AS reason, count(*) AS n FROM l GROUP BY 1")
+@query(f"SELECT coalesce({_DENY}, 'served') AS reason, count(*) AS n FROM ({_ASKED}) GROUP BY 1")
 def policy_nonserved_summary(t):
     return _denied(t).groupBy(F.coalesce("deny_reason", F.lit("served")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -131,43 +120,64 @@ def policy_source_grants(t):
     return P.source_allows(t("orders").withColumnRenamed("o_custkey", "source"), grants, "recall", 1).select("o_orderkey")
 
 
-@query("SELECT event_id, coalesce(CASE WHEN event_id % 11 = 0 THEN 0 END, greatest(event_id % 3, CASE WHEN event_type = 'error' THEN 2 ELSE 0 END, user_id % 2))::BIGINT AS sensitivity FROM events")
+@query("""SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 0 ELSE greatest(coalesce(CASE WHEN event_id % 5 > 0 THEN event_id % 3 END, 2), CASE WHEN event_type = 'error' THEN 2 ELSE 0 END,
+ CASE WHEN event_id % 7 = 0 THEN user_id % 3 END, user_id % 2, CASE WHEN event_id % 22 = 1 THEN 1 END) END::BIGINT AS sensitivity FROM events""")
 def sensitivity_resolve(t):
-    got = P.resolved_sensitivity(F.col("event_id") % 3, F.when(F.col("event_type") == "error", 2).otherwise(0), F.col("user_id") % 2, F.when(F.col("event_id") % 11 == 0, 0))
+    e, u = F.col("event_id"), F.col("user_id")
+    owner = F.when(e % 11 == 0, 0).when(e % 22 == 1, 1)
+    got = P.resolved_sensitivity(F.when(e % 5 > 0, e % 3), F.when(F.col("event_type") == "error", 2).otherwise(0), F.when(e % 7 == 0, u % 3), u % 2, owner, e % 11 == 0)
     return t("events").select("event_id", got.cast("long").alias("sensitivity"))
 
 
-@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n_window, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) > 2 AS limited FROM events")
+@query("""WITH w AS (SELECT event_id, user_id, epoch_us(ts) AS us, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n_window,
+ lag(epoch_us(ts), 2) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS back FROM events)
+SELECT event_id, n_window, n_window > 2 AS limited, CASE WHEN n_window > 2 THEN greatest(0, ceil((back + 3600000000 - us) / 1000000.0)) ELSE 0 END::BIGINT AS retry_after FROM w""")
 def rate_window(t):
-    return P.rate(t("events"), "user_id", "ts", 3600, 2).select("event_id", "n_window", "limited")
+    return P.rate(t("events"), "user_id", "ts", 3600, 2).select("event_id", "n_window", "limited", F.coalesce("retry_after", F.lit(0)).alias("retry_after"))
+
+
+_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
+_N = "len(list_filter({0}, lambda x: x = '{1}'))"
+_STARTS = "len(list_filter({0}, lambda x: starts_with(x, '{1}')))"
+# a document's first line is its title, the rest its body; some are pages that a machine wrote
+_PAGES = r"SELECT doc_id, lang, text, split_part(text, chr(10), 1) AS title, doc_id % 5 = 0 AS machine FROM documents"
 
 
-_SEARCH = r"""len(regexp_extract_all(lower({0}), '(?:^|[^\p{{L}}\p{{N}}]){1}(?:[^\p{{L}}\p{{N}}]|$)'))::DOUBLE"""
-_B = _SEARCH.format("text", "the") + " + " + _SEARCH.format("text", "and")
-_H = _SEARCH.format("source", "the") + " + " + _SEARCH.format("source", "and")
+def _pages(t):
+    return t("documents").select("doc_id", "lang", "text", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), (F.col("doc_id") % 5 == 0).alias("machine"))
 
 
-@query(f"""SELECT doc_id, score FROM (SELECT doc_id, round((4 * (h / (1 + h)) + b / (1 + b)) / (1000 + least(length(text), 1000)), 10) AS score FROM (SELECT *, {_B} AS b, {_H} AS h,
- {_SEARCH.format('text', 'the')} AS b1, {_SEARCH.format('text', 'and')} AS b2 FROM documents) WHERE b1 > 0 AND b2 > 0) ORDER BY score DESC, doc_id LIMIT 20""")
+@query(f"""WITH p AS ({_PAGES}), w AS (SELECT *, {_WORDS.format('text')} AS b, {_WORDS.format('title')} AS h FROM p),
+ c AS (SELECT *, {_N.format('b', 'the')} AS b1, {_STARTS.format('b', 'an')} AS b2, {_N.format('h', 'the')} AS h1, {_STARTS.format('h', 'an')} AS h2 FROM w)
+SELECT doc_id, exact, score FROM (SELECT doc_id, lower(trim(title)) = 'the an*' AS exact, round((4 * (h1 + h2) / (1.0::DOUBLE + h1 + h2) + (b1 + b2) / (1.0::DOUBLE + b1 + b2)) / (1000 + least(length(text), 1000)) * CASE WHEN machine THEN 0.5::DOUBLE ELSE 1 END, 12) AS score
+ FROM c WHERE b1 + h1 > 0 AND b2 + h2 > 0) ORDER BY exact DESC, score DESC, doc_id LIMIT 20""")
 def search_literal(t):
-    docs = t("documents")
-    found = Q.literal(docs, "the and", "source", "text", "doc_id", 60).withColumn("score", F.round("score", 10))
-    return found.orderBy(F.desc("score"), "doc_id").limit(20).select("doc_id", "score")
+    docs = _pages(t).withColumn("score", F.lit(0))
+    found = Q.literal(docs, "the an*", "title", "text", "doc_id", 60, F.col("machine")).withColumn("score", F.round("score", 12))
+    return found.orderBy(F.desc("exact"), F.desc("score"), "doc_id").limit(20).select("doc_id", "exact", "score")
 
 
-@query("SELECT doc_id, covered::INT AS covered, round(covered / 3, 6) AS coverage FROM (SELECT doc_id, (contains(lower(text), 'tion')::INT + contains(lower(text), 'licens')::INT + contains(lower(text), 'ment')::INT) AS covered FROM documents) WHERE covered >= 2")
+_QUESTION = "What did we decide about the license of these thing passages?"
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), c AS (SELECT doc_id, (({_STARTS.format('w', 'decid')} + {_STARTS.format('w', 'decision')}) > 0)::INT + ({_STARTS.format('w', 'licens')} > 0)::INT
+ + ({_STARTS.format('w', 'thing')} > 0)::INT + ({_STARTS.format('w', 'passag')} > 0)::INT AS covered FROM w)
+SELECT doc_id, covered, round(covered / 4, 6) AS coverage FROM c WHERE covered >= 1""")
 def search_relaxed(t):
-    return Q.relaxed(t("documents"), ["tion", "licens", "ment"], 2, "text").select("doc_id", "covered", F.round("coverage", 6).alias("coverage"))
+    terms, need = Q.relaxed_terms(_QUESTION)
+    assert (len(terms), need) == (4, 3)
+    found = Q.relaxed(t("documents"), terms, need - 2, "text")  # one term is enough here, so that rows are found
+    return found.select("doc_id", "covered", F.round("coverage", 6).alias("coverage"))
 
 
-_TF = "len(list_filter(w, lambda x: x = '{0}'))"
+_TF = "(len(list_filter(w, lambda x: x = '{0}')) + 4 * len(list_filter(h, lambda x: x = '{0}')))::DOUBLE"
 
 
-@query(rf"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents), c AS (SELECT doc_id, len(w) AS n, {_TF.format('the')} AS a, {_TF.format('license')} AS b FROM w),
+@query(rf"""WITH p AS ({_PAGES}), w AS (SELECT doc_id, {_WORDS.format('text')} AS w, {_WORDS.format('title')} AS h FROM p), c AS (SELECT doc_id, (len(w) + 4 * len(h))::DOUBLE AS n, {_TF.format('the')} AS a, {_TF.format('license')} AS b FROM w),
  s AS (SELECT count(*) AS docs, avg(n) AS mean, sum((a > 0)::INT) AS da, sum((b > 0)::INT) AS db FROM c)
 SELECT doc_id, round(ln(1 + (docs - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + ln(1 + (docs - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score FROM c, s WHERE a + b > 0""")
 def search_bm25(t):
-    return Q.bm25(t("documents"), ["the", "license"], "doc_id", "text").select("doc_id", F.round("score", 6).alias("score"))
+    return Q.bm25(_pages(t), ["the", "license"], "doc_id", "text", "title").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 5) AS similarity FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) DESC, vec_id LIMIT 20")
@@ -178,16 +188,25 @@ def vector_topk(t):
     return found.select("vec_id", F.round("similarity", 5).alias("similarity"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, len(regexp_extract_all(lower(text), '(?:^|[^\p{L}\p{N}])the(?:[^\p{L}\p{N}]|$)')) AS n FROM documents),
- a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n DESC, doc_id) AS rank FROM w WHERE n > 0 QUALIFY rank <= 200),
- b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY round(embedding[1]::DOUBLE, 6) DESC, vec_id) AS rank FROM embeddings QUALIFY rank <= 200),
- f AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS fused, count(*) AS n_lists FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id)
-SELECT id, round(fused, 8) AS fused, n_lists, round(0.7::DOUBLE * fused / (SELECT max(fused) FROM f) + 0.3::DOUBLE * coalesce(round(e.embedding[2]::DOUBLE, 6), 0), 6) AS score FROM f LEFT JOIN embeddings e ON id = vec_id""")
+_COS = "round(list_cosine_similarity({0}::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6)"
+
+
+def _similar(t, limit):
+    vectors = t("embeddings")
+    first = vectors.where("vec_id = 0").select("embedding").first()
+    near = vectors.select(F.col("vec_id").alias("id"), F.round(S.cosine(F.col("embedding"), F.lit([float(x) for x in first[0]] if first else [1.0])), 6).alias("similarity"))
+    return Q.ranked(near, "similarity", "id", limit)
+
+
+@query(f"""WITH w AS (SELECT doc_id AS id, {_N.format(_WORDS.format('text'), 'the')} AS n FROM documents),
+ a AS (SELECT id, row_number() OVER (ORDER BY n DESC, id) AS rank FROM w WHERE n > 0 QUALIFY rank <= 200), v AS (SELECT vec_id AS id, {_COS.format('embedding')} AS similarity FROM embeddings),
+ b AS (SELECT id, similarity, row_number() OVER (ORDER BY similarity DESC, id) AS rank FROM v QUALIFY rank <= 200),
+ f AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS raw, count(*) AS n_lists, max(similarity) AS similarity FROM (SELECT id, rank, NULL AS similarity FROM a UNION ALL SELECT id, rank, similarity FROM b) GROUP BY id),
+ g AS (SELECT id, n_lists, similarity, raw / (SELECT max(raw) FROM f) * CASE id % 4 WHEN 0 THEN 0.8::DOUBLE WHEN 1 THEN 1.0 WHEN 2 THEN 1.5 ELSE 2.0 END AS fused FROM f)
+SELECT id, round(fused, 8) AS fused, n_lists, round(0.7::DOUBLE * fused / (SELECT max(fused) FROM g) + 0.3::DOUBLE * coalesce(similarity, 0), 6) AS score FROM g""")
 def hybrid_rrf(t):
-    docs = t("documents").select(F.col("doc_id").alias("id"), Q.spans(F.col("text"), "the").alias("n")).where("n > 0").orderBy(F.desc("n"), "id").limit(200)
-    vectors = t("embeddings").select(F.col("vec_id").alias("id"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("n"), F.round(F.element_at("embedding", 2).cast("double"), 6).alias("similarity"))
-    best = vectors.orderBy(F.desc("n"), "id").limit(200)
-    fused = Q.fused([Q.ranked(docs, "n", "id"), Q.ranked(best, "n", "id")], "id").join(vectors.select("id", "similarity"), "id", "left")
+    words = t("documents").select(F.col("doc_id").alias("id"), Q.spans(F.col("text"), "the").alias("n")).where("n > 0")
+    fused = Q.weighted(Q.fused([Q.ranked(words, "n", "id", 200), _similar(t, 200)], "id", carry=("similarity",)), (F.col("id") % 4 + 1).cast("int"))
     return Q.rescored(fused, "fused", "similarity").select("id", F.round("fused", 8).alias("fused"), "n_lists", F.round("score", 6).alias("score"))
 
 
@@ -198,22 +217,38 @@ def chunk_documents(t):
     return Q.chunks(t("documents"), "doc_id", "text", 100, 20)
 
 
-@query(r"""WITH n AS (SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS t FROM benchmark WHERE len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) > 0)
-SELECT a.item_id AS left_id, b.item_id AS right_id, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE AS similarity FROM n a JOIN n b ON a.item_id < b.item_id
-WHERE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE >= 0.3""")
+_SETS = f"""SELECT min(doc_id) AS k, t FROM (SELECT doc_id, list_sort(list_distinct({_WORDS.format('text')})) AS t FROM documents) GROUP BY t"""
+
+
+@query(f"""WITH n AS (SELECT * FROM ({_SETS}) WHERE len(t) > 0), p AS (SELECT a.k AS left_id, b.k AS right_id, a.t AS x, b.t AS y FROM n a JOIN n b ON a.k < b.k AND len(a.t) >= 0.7::DOUBLE * len(b.t) AND len(b.t) >= 0.7::DOUBLE * len(a.t))
+SELECT left_id, right_id, round(similarity, 6) AS similarity FROM (SELECT left_id, right_id, len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) AS similarity FROM p) WHERE similarity >= 0.7::DOUBLE""")
 def near_claim_pairs(t):
-    return Q.near_claims(t("benchmark"), "item_id", "text", 0.3)
+    return Q.near_claims(t("documents"), "doc_id", "text", 0.7)[0].withColumn("similarity", F.round("similarity", 6))
 
 
-@query(r"""WITH r AS (SELECT d.lang AS lang, b.item_id, min(d.doc_id) AS doc_id FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY ALL),
- k AS (SELECT coalesce(lang, 'none') AS lang, CASE WHEN doc_id IS NULL THEN NULL ELSE 1 + doc_id % 7 END AS rank FROM r)
-SELECT lang, count(*) AS n, round(avg((coalesce(rank, 1000) <= 1)::INT::DOUBLE), 6) AS hit_1, round(avg((coalesce(rank, 1000) <= 5)::INT::DOUBLE), 6) AS hit_5, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM k GROUP BY lang""")
+@query(f"WITH n AS (SELECT doc_id, list_sort(list_distinct({_WORDS.format('text')})) AS t FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS set_id FROM n")
+def near_claim_members(t):
+    return Q.near_claims(t("documents"), "doc_id", "text", 0.7)[1]
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest(list_distinct({_WORDS.format('text')})) AS w FROM documents), df AS (SELECT w, count(*) AS n FROM t GROUP BY w), p AS (SELECT item_id, unnest(list_distinct({_WORDS.format('text')})) AS w FROM benchmark),
+ r AS (SELECT item_id, w, row_number() OVER (PARTITION BY item_id ORDER BY n, w) AS k FROM p JOIN df USING (w)), m AS (SELECT item_id, doc_id, count(*) AS s FROM r JOIN t USING (w) WHERE k <= 8 GROUP BY ALL),
+ k AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS rank FROM m), a AS (SELECT item_id, min(rank) AS rank FROM k JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id) WHERE contains(d.text, b.text) GROUP BY item_id)
+SELECT CASE WHEN length(text) > 200 THEN 'long' ELSE 'short' END AS kind, count(*) AS n, round(avg((coalesce(rank, 1000000) <= 1)::INT::DOUBLE), 6) AS hit_1, round(avg((coalesce(rank, 1000000) <= 5)::INT::DOUBLE), 6) AS hit_5, round(avg((coalesce(rank, 1000000) <= 20)::INT::DOUBLE), 6) AS hit_20,
+ round(avg((rank IS NULL)::INT::DOUBLE), 6) AS abstained, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM benchmark LEFT JOIN a USING (item_id) GROUP BY 1""")
 def search_eval_metrics(t):
-    items = t("benchmark").withColumnRenamed("text", "passage")
-    found = items.join(t("documents"), F.contains("text", "passage"), "left").groupBy("lang", "item_id").agg(F.min("doc_id").alias("doc_id"))
-    ranks = found.select(F.coalesce("lang", F.lit("none")).alias("lang"), (1 + F.col("doc_id") % 7).alias("rank"))
-    m = Q.eval_metrics(ranks, "lang", "rank")
-    return m.select("lang", "n", *(F.round(c, 6).alias(c) for c in ("hit_1", "hit_5", "mrr")))
+    """Each passage asks for its eight rarest words; the rank of the first document that holds the passage counts."""
+    docs, items = t("documents").select("doc_id", "text"), t("benchmark")
+    words = docs.select("doc_id", F.explode(F.array_distinct(S.tokens(F.col("text")))).alias("w"))
+    asked = items.select("item_id", F.explode(F.array_distinct(S.tokens(F.col("text")))).alias("w"))
+    counts = words.join(F.broadcast(asked.select("w").distinct()), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("df"))  # as many rows as the passages have words
+    rare = asked.join(counts, "w").withColumn("k", F.row_number().over(Window.partitionBy("item_id").orderBy("df", "w"))).where("k <= 8").select("item_id", "w")
+    met = words.join(rare, "w").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("s"))
+    found = met.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("s"), "doc_id")))
+    held = found.join(items.withColumnRenamed("text", "passage"), "item_id").join(docs, "doc_id").where(F.contains("text", "passage")).groupBy("item_id").agg(F.min("rank").alias("rank"))
+    ranks = items.join(held, "item_id", "left").withColumn("kind", F.when(F.length("text") > 200, "long").otherwise("short"))
+    m = Q.eval_metrics(ranks, "kind", "rank")
+    return m.select("kind", "n", *(F.round(c, 6).alias(c) for c in ("hit_1", "hit_5", "hit_20", "abstained", "mrr")))
 
 
 _HREF = r"""SELECT page_id AS src, unnest(list_distinct(regexp_extract_all(html, 'href="/([^"]+)"', 1))) AS target FROM pages"""
@@ -229,11 +264,11 @@ def graph_project(t):
     return G.resolved(links, named)
 
 
-_EDGES = "SELECT DISTINCT l_suppkey AS src, 1000000 + l_partkey AS dst FROM lineitem WHERE l_quantity >= 45"
+_EDGES = "SELECT DISTINCT l_suppkey AS src, -1 - l_partkey AS dst FROM lineitem"
 
 
 def _edges(t):
-    return t("lineitem").where("l_quantity >= 45").select(F.col("l_suppkey").alias("src"), (1000000 + F.col("l_partkey")).alias("dst")).distinct()
+    return t("lineitem").select(F.col("l_suppkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst")).distinct()
 
 
 @query(f"WITH e AS ({_EDGES}) SELECT src, dst FROM e WHERE src = 7 ORDER BY src, dst LIMIT 100")
@@ -249,41 +284,91 @@ def graph_neighbors_2(t):
     return G.walk(_edges(t), start, 2)
 
 
-@query("WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey * 2 + k AS dst FROM part, (SELECT unnest([1, 2]) AS k) WHERE p_partkey * 2 + k < 500), r(node, hops) AS (SELECT 0::BIGINT, 0 UNION ALL SELECT e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.node WHERE r.hops < 6) SELECT node, min(hops)::INT AS hops FROM r GROUP BY node")
+@query("""WITH RECURSIVE e AS (SELECT p.p_partkey AS src, c.p_partkey AS dst FROM part p JOIN part c ON c.p_partkey IN (p.p_partkey * 2 + 1, p.p_partkey * 2 + 2, p.p_partkey // 3)), r(node, hops) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.node WHERE r.hops < 8),
+ b AS (SELECT node, min(hops) AS hops FROM r GROUP BY node) SELECT b.node, b.hops::INT AS hops, coalesce((SELECT min(e.src) FROM e JOIN b q ON e.src = q.node WHERE e.dst = b.node AND q.hops = b.hops - 1), -1) AS parent FROM b""")
 def graph_reach_recursive(t):
     p = F.col("p_partkey")
-    edges = t("part").select(p.alias("src"), F.explode(F.array(p * 2 + 1, p * 2 + 2)).alias("dst")).where("dst < 500")
-    return G.reach(edges, 0, 6)
+    parts = t("part").select(p.alias("dst"))
+    edges = t("part").select(p.alias("src"), F.explode(F.array(p * 2 + 1, p * 2 + 2, F.floor(p / 3))).alias("dst")).join(parts, "dst", "left_semi").select("src", "dst")
+    return G.reach(edges, parts.where("dst = 0").select(F.col("dst").alias("node")), 8).withColumn("parent", F.coalesce("parent", F.lit(-1)))
+
+
+_ALIKE = """SELECT c_custkey AS a, min(c_custkey) OVER (PARTITION BY c_nationkey, floor(c_acctbal / 100)) AS b FROM customer UNION ALL SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_mktsegment, floor(c_acctbal / 5)) FROM customer"""
+
 
+def _alike(t):
+    first = lambda *by: F.min("c_custkey").over(Window.partitionBy(*by)).alias("b")
+    c = t("customer")
+    one = c.select(F.col("c_custkey").alias("a"), first("c_nationkey", F.floor(F.col("c_acctbal") / 100)))
+    return one.unionByName(c.select(F.col("c_custkey").alias("a"), first("c_mktsegment", F.floor(F.col("c_acctbal") / 5))))
 
-@query("""WITH RECURSIVE l AS (SELECT c_custkey AS a, (c_custkey * 7 + 3) % 1500 AS b FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l),
+
+@query(f"""WITH RECURSIVE l AS ({_ALIKE}), b AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l),
  r(node, seen) AS (SELECT DISTINCT x, x FROM b UNION SELECT b.y, r.seen FROM r JOIN b ON b.x = r.node) SELECT node, min(seen) AS cluster FROM r GROUP BY node""")
 def identity_components(t):
-    c = F.col("c_custkey")
-    return G.clusters(t("customer").where("c_custkey % 3 <> 0").select(c.alias("a"), ((c * 7 + 3) % 1500).alias("b")))
+    return G.clusters(_alike(t))
 
 
-_CLAIMS = """SELECT o_orderkey AS claim_id, o_custkey AS claim_key, o_orderstatus AS object, o_orderdate AS valid_from,
- CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate + INTERVAL 90 DAY END AS valid_to, (1 + o_orderkey % 4)::INT AS tier, (o_orderkey % 100) / 100.0::DOUBLE AS confidence FROM orders"""
+_CLAIMS = """SELECT o_orderkey AS claim_id, o_custkey * 2 + o_orderkey % 2 AS claim_key, o_orderstatus AS object, o_orderdate AS valid_from, CASE WHEN o_orderkey % 7 = 0 THEN 'negative' ELSE 'positive' END AS polarity, o_orderkey % 2 = 0 AS single,
+ CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate + INTERVAL 90 DAY END AS valid_to, (1 + o_orderkey // 2 % 4)::INT AS tier, (o_orderkey * 37 % 100) / 100.0::DOUBLE AS confidence FROM orders"""
 _FAR = "coalesce({}, TIMESTAMP '9999-12-31')"
-_PAIR = f"a.claim_key = b.claim_key AND a.claim_id < b.claim_id AND a.object <> b.object AND a.valid_from < {_FAR.format('b.valid_to')} AND b.valid_from < {_FAR.format('a.valid_to')}"
+_PAIR = f"a.claim_key = b.claim_key AND a.claim_id < b.claim_id AND (a.polarity <> b.polarity OR a.single AND a.object <> b.object) AND a.valid_from < {_FAR.format('b.valid_to')} AND b.valid_from < {_FAR.format('a.valid_to')}"
 
 
 def _claims(t):
     k = F.col("o_orderkey")
     ends = F.when(k % 5 != 0, F.expr("o_orderdate + INTERVAL 90 DAY"))
-    return t("orders").select(k.alias("claim_id"), F.col("o_custkey").alias("claim_key"), F.col("o_orderstatus").alias("object"), F.col("o_orderdate").alias("valid_from"), ends.alias("valid_to"), (1 + k % 4).cast("int").alias("tier"), ((k % 100) / 100.0).alias("confidence"))
+    polarity = F.when(k % 7 == 0, "negative").otherwise("positive")
+    return t("orders").select(
+        k.alias("claim_id"), (F.col("o_custkey") * 2 + k % 2).alias("claim_key"), F.col("o_orderstatus").alias("object"), F.col("o_orderdate").alias("valid_from"), polarity.alias("polarity"), (k % 2 == 0).alias("single"),
+        ends.alias("valid_to"), (1 + F.floor(k / 2) % 4).cast("int").alias("tier"), ((k * 37 % 100) / 100.0).alias("confidence"),
+    )
 
 
 @query(f"WITH c AS ({_CLAIMS}) SELECT a.claim_id AS old_id, b.claim_id AS new_id FROM c a JOIN c b ON {_PAIR}")
 def claim_conflicts(t):
-    return C.conflicts(_claims(t)).select(F.col("a.claim_id").alias("old_id"), F.col("b.claim_id").alias("new_id"))
+    return C.conflicts(_claims(t), parts=4).select(F.col("a.claim_id").alias("old_id"), F.col("b.claim_id").alias("new_id"))
+
 
+# a the live claim, b the incoming one: who comes later, and by how much the winner's confidence is the greater
+_LATER = "b.valid_from > a.valid_from OR (b.valid_from = a.valid_from AND (b.confidence > a.confidence OR (b.confidence = a.confidence AND b.claim_id > a.claim_id)))"
+_RULE = f"""CASE WHEN a.claim_id % 29 = 0 THEN 'R6' WHEN b.tier = 4 THEN CASE WHEN a.tier = 4 THEN 'R3' ELSE 'R5' END WHEN a.tier = 4 THEN 'R1' WHEN b.tier = 1 AND a.tier >= 2 THEN 'R2' WHEN a.tier <> b.tier THEN 'R1'
+ WHEN a.tier <= 2 AND CASE WHEN {_LATER} THEN b.confidence - a.confidence ELSE a.confidence - b.confidence END < 0.15::DOUBLE - 2.220446049250313e-16 THEN 'R4' ELSE 'R3' END"""
+_DECIDED = f"""SELECT a.claim_id AS old_id, b.claim_id AS new_id, b.valid_from AS starts, {_RULE} AS rule, CASE WHEN {_LATER} THEN 'incoming' ELSE 'live' END AS later, a.tier AS ta, b.tier AS tb FROM c a JOIN c b ON {_PAIR}"""
+_ACTED = f"""SELECT *, CASE rule WHEN 'R6' THEN 'supersede' WHEN 'R5' THEN 'supersede' WHEN 'R2' THEN 'skip' WHEN 'R4' THEN 'contested' WHEN 'R1' THEN CASE WHEN tb > ta THEN 'supersede' ELSE 'skip' END ELSE 'supersede' END AS action,
+ CASE WHEN rule IN ('R6', 'R5') OR (rule = 'R1' AND tb > ta) THEN 'incoming' WHEN rule = 'R3' THEN later END AS winner FROM ({_DECIDED})"""
 
-@query(f"""WITH c AS ({_CLAIMS}) SELECT CASE WHEN b.tier = 4 THEN 'R5' WHEN a.tier = 4 THEN 'R1' WHEN b.tier = 1 AND a.tier >= 2 THEN 'R2' WHEN b.tier <> a.tier THEN 'R1'
- WHEN abs(a.confidence - b.confidence) < 0.15::DOUBLE - 2.220446049250313e-16 AND a.tier <= 2 THEN 'R4' ELSE 'R3' END AS rule, count(*) AS n FROM c a JOIN c b ON {_PAIR} GROUP BY 1""")
+
+@query(f"WITH c AS ({_CLAIMS}) SELECT rule, action, winner, count(*) AS n FROM ({_ACTED}) GROUP BY ALL")
 def claim_resolution(t):
-    return C.conflicts(_claims(t)).select(C.rule().alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    settled = C.conflicts(_claims(t)).select(C.resolution(F.col("a.claim_id") % 29 == 0).alias("r"))
+    return settled.groupBy("r.rule", "r.action", "r.winner").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH x AS ({_CLAIMS}), m AS (SELECT *, min(claim_id) OVER (PARTITION BY claim_key, object, polarity, valid_from) AS first_id FROM x), c AS (SELECT * FROM m WHERE claim_id = first_id), d AS ({_ACTED.replace("a.claim_id % 29 = 0", "false")}),
+ lost AS (SELECT DISTINCT new_id AS id FROM d WHERE action = 'skip' OR winner = 'live'), o AS (SELECT * FROM d WHERE new_id NOT IN (SELECT id FROM lost) AND old_id NOT IN (SELECT id FROM lost)),
+ cut AS (SELECT old_id AS id, min(starts) AS cut FROM o WHERE winner = 'incoming' GROUP BY 1), e AS (SELECT old_id AS id FROM o WHERE action = 'contested' UNION SELECT new_id FROM o WHERE action = 'contested'),
+ z AS (SELECT m.*, cut, CASE WHEN claim_id <> first_id THEN 'duplicate' WHEN claim_id IN (SELECT id FROM lost) THEN 'skipped' WHEN cut IS NOT NULL THEN 'superseded' WHEN claim_id IN (SELECT id FROM e) THEN 'contested' ELSE 'stored' END AS outcome FROM m LEFT JOIN cut ON claim_id = cut.id)
+SELECT claim_id, outcome, CASE WHEN outcome = 'superseded' THEN least(valid_to, cut) ELSE valid_to END AS ends FROM z""")
+def claim_fold(t):
+    return C.folded(_claims(t))
+
+
+@query(f"""WITH c AS (SELECT * REPLACE (CASE WHEN claim_id % 9 > 0 THEN valid_from END AS valid_from) FROM ({_CLAIMS})), k AS (SELECT claim_id, claim_key, polarity, single, object, coalesce(valid_from, TIMESTAMP '0001-01-01') AS valid_from, CASE WHEN valid_from IS NOT NULL THEN valid_to END AS valid_to FROM c),
+ p AS (SELECT a.claim_id AS x, b.claim_id AS y FROM k a JOIN k b ON {_PAIR}) SELECT claim_id, CASE WHEN claim_id IN (SELECT x FROM p UNION ALL SELECT y FROM p) THEN 'present' WHEN valid_from IS NULL THEN 'unknown' ELSE 'none_observed' END AS conflict FROM c""")
+def claim_enrich(t):
+    return C.enriched(_claims(t).withColumn("valid_from", F.when(F.col("claim_id") % 9 > 0, F.col("valid_from"))))
+
+
+@query("""SELECT l_partkey % 50 AS claim_key, min(l_orderkey * 10 + l_linenumber) AS claim_id, array_to_string(list_sort(list_distinct(list(l_orderkey))), ',') AS provenance, count(DISTINCT l_suppkey) AS corroboration, max(l_discount) AS confidence, max(l_linenumber % 4 + 1)::INT AS tier, max(l_linenumber % 3)::INT AS sensitivity
+ FROM lineitem GROUP BY l_partkey % 50, l_returnflag, l_linestatus, date_trunc('month', l_shipdate)""")
+def claim_corroborate(t):
+    n = F.col("l_linenumber")
+    rows = t("lineitem").select(
+        (F.col("l_partkey") % 50).alias("claim_key"), F.col("l_returnflag").alias("object"), F.col("l_linestatus").alias("polarity"), F.trunc("l_shipdate", "month").alias("valid_from"), (F.col("l_orderkey") * 10 + n).alias("claim_id"),
+        F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("root"), F.col("l_discount").alias("confidence"), (n % 4 + 1).cast("int").alias("tier"), (n % 3).cast("int").alias("sensitivity"),
+    )
+    return C.corroborated(rows).select("claim_key", "claim_id", F.array_join("provenance", ",").alias("provenance"), "corroboration", "confidence", "tier", "sensitivity")
 
 
 @query("SELECT l_partkey, count(DISTINCT l_suppkey) AS n_roots, max(l_discount) AS best, count(DISTINCT l_suppkey) < 2 AS held_back FROM lineitem GROUP BY l_partkey")
@@ -327,16 +412,27 @@ def coverage_report(t):
     return R.coverage(t("events"), "event_type", "ts", "value")
 
 
-@query("SELECT lang, count(*) AS n, round(avg(pow(CASE WHEN n_chars > 500 THEN 0.75 ELSE 0.25 END - quality, 2)), 6) AS brier, 0::BIGINT AS certain_wrong FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+_FORECAST = "SELECT source, lang, doc_id, toxic AS y, round(avg(toxic) OVER (PARTITION BY source), 1) AS p, doc_id % 5 > 0 AS resolved, doc_id % 10 = 0 AS censored FROM documents JOIN labels USING (doc_id)"
+
+
+@query(f"""SELECT lang, count(*) FILTER (resolved) AS n_resolved, count(*) FILTER (NOT resolved AND censored) AS n_censored, count(*) FILTER (NOT resolved AND NOT censored) AS n_open,
+ CASE WHEN count(*) FILTER (resolved) >= 20 THEN round(avg((p - y) * (p - y)) FILTER (resolved), 6) END AS brier, count(*) FILTER (resolved AND ((p = 1 AND y = 0) OR (p = 0 AND y = 1))) AS certain_wrong FROM ({_FORECAST}) GROUP BY lang""")
 def forecast_scores(t):
     rows = t("documents").join(t("labels"), "doc_id")
-    p = F.when(F.col("n_chars") > 500, 0.75).otherwise(0.25)
-    return C.brier(rows, "lang", p, F.col("quality")).withColumn("brier", F.round("brier", 6))
+    rate = rows.groupBy("source").agg(F.round(F.avg("toxic"), 1).alias("p"))
+    rows = rows.join(rate, "source").withColumns({"resolved": F.col("doc_id") % 5 > 0, "censored": F.col("doc_id") % 10 == 0})
+    return C.brier(rows, "lang", F.col("p"), F.col("toxic")).withColumn("brier", F.round("brier", 6))
 
 
-@query("SELECT count(*) AS n, round(sum(toxic) / count(*)::DOUBLE, 6) AS toxic_rate, round(stddev_samp(quality), 6) AS quality_sd FROM labels")
+@query(f"""WITH c AS ({_CLAIMS}), n AS (SELECT * FROM c ORDER BY valid_from DESC, claim_id DESC LIMIT 10000), r AS (SELECT sum(o_custkey % 5 + 1) AS x, sum(o_custkey % 3) AS w, sum(o_custkey % 2) AS m FROM orders)
+SELECT round(w / greatest(1, x), 6) AS write_rate, round(m / greatest(1, x), 6) AS dedup_rate, (SELECT count(*) FROM n WHERE claim_id % 4 > 0) AS sample, (SELECT round(stddev_samp(confidence), 6) FROM n WHERE claim_id % 4 > 0) AS spread,
+ (SELECT count(*) FROM n WHERE claim_id % 4 > 0) >= 8 AND NOT (w / greatest(1, x) BETWEEN 0.4 AND 0.9) AS out_of_band FROM r""")
 def calibration(t):
-    return t("labels").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("toxic") / F.count(F.lit(1)), 6).alias("toxic_rate"), F.round(F.stddev_samp("quality"), 6).alias("quality_sd"))
+    c = F.col("o_custkey")
+    runs = t("orders").select((c % 5 + 1).alias("extracted"), (c % 3).alias("written"), (c % 2).alias("merged"))
+    claims = _claims(t).select("claim_id", F.col("valid_from").alias("asserted_at"), "confidence", (F.col("claim_id") % 4 == 0).alias("capped"))
+    got = R.calibration(runs, claims, bands=(0.4, 0.9))
+    return got.select(*(F.round(k, 6).alias(k) for k in ("write_rate", "dedup_rate")), "sample", F.round("spread", 6).alias("spread"), "out_of_band")
 
 
 @query("SELECT user_id, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY user_id ORDER BY n DESC, user_id LIMIT 8")
@@ -355,7 +451,7 @@ def daily_brief(t):
 
 @query("SELECT source, doc_id, running::BIGINT AS running FROM (SELECT *, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING) AS running FROM documents) WHERE running <= 50000")
 def budget_running(t):
-    return R.budget(t("documents"), "source", [F.col("doc_id").desc()], "n_chars", 50000).select("source", "doc_id", "running")
+    return R.budget(t("documents"), "source", "doc_id", "n_chars", 50000).select("source", "doc_id", "running")
 
 
 @query("WITH o AS (SELECT o_custkey, max(o_orderstatus) AS v FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01' GROUP BY 1), n AS (SELECT o_custkey, max(o_orderstatus) AS v FROM orders WHERE o_orderdate >= TIMESTAMP '1999-01-01' GROUP BY 1) SELECT o_custkey, CASE WHEN o.v IS NULL THEN 'added' WHEN n.v IS NULL THEN 'removed' ELSE 'changed' END AS change FROM o FULL JOIN n USING (o_custkey) WHERE o.v IS DISTINCT FROM n.v")
@@ -373,14 +469,20 @@ def attention_topk(t):
     return both.orderBy("r", "o_orderkey").limit(16).select("o_orderkey", "cue")
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT conv_id, turn, ceil(length(text) / 4.0)::BIGINT AS cost, turn % 4 = 3 AS due, row_number() OVER (PARTITION BY conv_id ORDER BY turn % 4 <> 3, turn) AS k FROM conversations),
+ r(conv_id, k, used, kept, turn) AS (SELECT DISTINCT conv_id, 0::BIGINT, 0::BIGINT, false, NULL::BIGINT FROM c UNION ALL SELECT c.conv_id, c.k, CASE WHEN r.used + c.cost <= 200 THEN r.used + c.cost ELSE r.used END, r.used + c.cost <= 200, c.turn FROM r JOIN c ON c.conv_id = r.conv_id AND c.k = r.k + 1),
+ z AS (SELECT *, max(used) OVER (PARTITION BY conv_id) AS total FROM r) SELECT conv_id, turn, total AS used FROM z WHERE kept""")
 def packet_pack(t):
-    return R.packed(t("conversations").withColumn("cost", F.ceil(F.length("text") / 4)), "conv_id", ["turn"], "cost", 200)
+    rows = t("conversations").withColumns({"cost": F.ceil(F.length("text") / 4), "due": F.col("turn") % 4 == 3})
+    return R.packed(rows, "conv_id", ["turn"], "cost", 200, mandatory="due")
+
+
+_SECRET = r"""(?i)(secret|token|passw(or)?d|api[ _-]?key|private[ _-]?key|credential)[A-Za-z0-9_.-]{0,100}["'']?\s*[=:]\s*("(\\.|[^"\\\n])+"?|''(\\.|[^''\\\n])+''?|[^\s"'']+)"""
 
 
-@query(r"""SELECT doc_id, len(regexp_extract_all(text, '[0-9a-f]{40}')) AS n_hex, regexp_matches(text, '([Pp]assword|[Ss]ecret|[Tt]oken|[Aa][Pp][Ii]_?[Kk]ey)["'']?\s*[:=]\s*["'']?[^\s"'']{8,}') AS has_secret FROM documents""")
+@query(rf"""SELECT doc_id, len(regexp_extract_all(text, '[0-9a-f]{{40}}')) AS n_hex, regexp_matches(text, '{_SECRET}') AS has_secret FROM documents""")
 def redact_counts(t):
-    hit = F.rlike("text", F.lit(S.CREDENTIALS["secret_assignment"]))
+    hit = F.rlike("text", F.lit(S.CREDENTIALS["secret_assignment"][0]))
     return t("documents").select("doc_id", F.regexp_count("text", F.lit("[0-9a-f]{40}")).cast("long").alias("n_hex"), hit.alias("has_secret"))
 
 
@@ -407,11 +509,11 @@ def recurrence_expand(t):
     return X.recurrences(views, "event_id", "ts", F.lit(2), F.lit(5), F.array(F.lit(2), F.lit(4))).withColumn("day", F.col("day").cast("string"))
 
 
-@query("SELECT DISTINCT user_id FROM (SELECT user_id FROM events WHERE event_type = 'click' UNION ALL SELECT user_id FROM events WHERE event_type = 'view') WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 15)")
+@query("SELECT DISTINCT user_id FROM (SELECT user_id FROM events WHERE event_type = 'click' UNION ALL SELECT user_id FROM events WHERE event_type = 'view') WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 300)")
 def setops(t):
     e = t("events")
     of = lambda keep: e.where(keep).select("user_id")
-    return of("event_type = 'click'").unionByName(of("event_type = 'view'")).distinct().join(of("event_type = 'error' AND value > 15").distinct(), "user_id", "left_anti")
+    return of("event_type = 'click'").unionByName(of("event_type = 'view'")).distinct().join(of("event_type = 'error' AND value > 300").distinct(), "user_id", "left_anti")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, n FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS n FROM lineitem) WHERE n <= 3")
@@ -433,10 +535,10 @@ def outer_join_lists(t):
     return t("customer").select("c_custkey").join(o, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"), "statuses")
 
 
-@query("SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 49)")
+@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 40 AND l_returnflag = 'R')")
 def anti_join(t):
-    big = t("lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey"))
-    return t("supplier").join(big, "s_suppkey", "left_anti").select("s_suppkey")
+    big = t("lineitem").where("l_quantity > 40 AND l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    return t("part").join(big, "p_partkey", "left_anti").select("p_partkey")
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice), 2) AS price, round(avg(l_discount), 6) AS disc, quantile_disc(l_quantity, 0.5) AS p50, quantile_disc(l_quantity, 0.95) AS p95 FROM lineitem GROUP BY ALL")
@@ -449,7 +551,11 @@ def pricing_summary(t):
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table, read as a stream of files and accepted into a ledger once each."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+        base = tempfile.mkdtemp(prefix="spark-")
     run = f"{base}/siltstone/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = I.arrivals(spark, f"{sf_dir}/[e]vents.parquet", schema)

@@ -7,7 +7,8 @@ import duckdb
 import pandas as pd
 import pytest
 
-from siltstone.plans.catalog import ORACLES, QUERIES
+from siltstone.plans import catalog, states  # noqa: F401
+from siltstone.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
