@@ -30,7 +30,7 @@ def incident(edges: DataFrame, nodes: DataFrame, limit: int | None = None) -> Da
 def projected(pages: DataFrame, links: DataFrame) -> DataFrame:
     """(src, dst, kind): wikilinks, subjects and sources of each page, each once.  ``pages``: page_id, subjects, sources.
     ``links``: src, dst as ``resolved`` gives them."""
-    of = lambda column, kind: pages.select(F.col("page_id").alias("src"), F.explode(column).cast("string").alias("dst"), F.lit(kind).alias("kind"))
+    of = lambda column, kind: pages.select(F.col("page_id").alias("src"), F.explode(column).alias("dst"), F.lit(kind).alias("kind")).withColumn("dst", F.col("dst").cast("string"))
     return links.select("src", "dst", F.lit("wikilink").alias("kind")).unionByName(of("subjects", "subject")).unionByName(of("sources", "source")).distinct()
 
 

@@ -167,7 +167,7 @@ def attention(cues: DataFrame, snoozed: DataFrame, now: Column, key: str, most:
 def expired(views: DataFrame, made_at: str, now: Column) -> DataFrame:
     """Views that have outlived the time their kind lasts (fixed values, in seconds)."""
     lasts = {"view": 900, "packet": 900, "resume": 86_400, "consolidation": 604_800}
-    seconds = F.create_map(*(x for k, v in lasts.items() for x in (F.lit(k), F.lit(v))))
+    seconds = F.create_map(*(x for k, v in lasts.items() for x in (F.lit(k), F.lit(v).cast("long"))))
     age = micros(now) - micros(F.col(made_at))
     return views.where(age >= 1_000_000 * F.coalesce(F.try_element_at(seconds, F.col("kind")), F.lit(0)))
 
