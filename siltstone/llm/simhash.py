@@ -45,8 +45,8 @@ CHUNK = 255 * 256
 WIDE, FIRST, MISS = 4, 2, 1e-6
 #: Shingles from which sets share one radius.
 MANY = 64
-#: Nodes in a tile that carries shingle sets, at most.
-SET_TILE = 2048
+#: Bytes of shingle sets in a tile that carries them, about.
+SET_BYTES = 64 << 20
 #: Bands of sizes between two sizes of just the ratio that the similarity allows.
 BANDS = 8
 #: Words whose hashes a worker remembers.
@@ -119,14 +119,16 @@ def near_pairs(x: np.ndarray, y: np.ndarray | None, radius: int):
         yield a + at, (b + at + 1 if y is None else b + len(x))
 
 
-def _met(nodes: DataFrame, reach: int, tile: int, tiles: int = 48) -> DataFrame:
+def _met(nodes: DataFrame, reach: int, room, tiles: int = 48, carried: DataFrame | None = None) -> DataFrame:
     """``nodes`` (with a whole number ``band`` of few values) dealt into tiles of neighbouring bands, and repeated for
-    each tile pair (a, b) with bands within ``reach``.  A crowded band has several tiles."""
+    each tile pair (a, b) with bands within ``reach``.  A crowded band has several tiles; ``room`` tells how many nodes of
+    a band a tile holds at most.  What is ``carried`` joins by node before rows are repeated."""
     spark = nodes.sparkSession
     counts = sorted((r["band"], r["n"]) for r in nodes.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect())  # a row a band
-    size = max(1, min(tile, math.ceil(sum(n for _, n in counts) / tiles)))
-    dealt, low, high, held = [], [], [], size  # (band, first tile, its tiles); bands of each tile
+    share = math.ceil(sum(n for _, n in counts) / tiles)
+    dealt, low, high, held = [], [], [], 1 << 62  # (band, first tile, its tiles); bands of each tile
     for band, n in counts:
+        size = max(1, min(room(band), share))
         parts = math.ceil(n / size)
         if parts == 1 and held + n <= size:
             high[-1] = band
@@ -140,6 +142,7 @@ def _met(nodes: DataFrame, reach: int, tile: int, tiles: int = 48) -> DataFrame:
     of_band = spark.createDataFrame(dealt, "band int, start long, splits long")
     of_tile = spark.createDataFrame(dims, "tile long, lo long, hi long")  # a row a tile: rows / TILE at most
     placed = nodes.join(F.broadcast(of_band), "band").withColumn("tile", F.col("start") + F.pmod(F.xxhash64("fp", "node"), F.col("splits")))
+    placed = placed if carried is None else placed.join(carried, "node")
     met = placed.join(F.broadcast(of_tile), "tile").withColumn("other", F.explode(F.sequence("lo", "hi"))).withColumns({"a": F.least("tile", "other"), "b": F.greatest("tile", "other")})
     return met.drop("band", "start", "splits", "lo", "hi", "other")
 
@@ -147,7 +150,7 @@ def _met(nodes: DataFrame, reach: int, tile: int, tiles: int = 48) -> DataFrame:
 def links(nodes: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     """Edges (src, dst) that connect all nodes whose fingerprints are within
     ``radius`` bits.  ``nodes``: distinct (node, fp)."""
-    met = _met(nodes.select("node", "fp", F.bit_count("fp").alias("band")), radius, tile)
+    met = _met(nodes.select("node", "fp", F.bit_count("fp").alias("band")), radius, lambda _: tile)
 
     def compare(key, frame):
         fp = frame["fp"].to_numpy().view(np.uint64)
@@ -357,13 +360,15 @@ def wide_links(nodes: DataFrame, similarity: float, tile: int = TILE) -> DataFra
         a, b, _ = nearest_forest(len(node), blocks)
         return pd.DataFrame({"src": np.minimum(node[a], node[b]), "dst": np.maximum(node[a], node[b])})
 
-    return _met(_banded(nodes, similarity), BANDS, tile).groupBy("a", "b").applyInPandas(compare, "src long, dst long")
+    return _met(_banded(nodes, similarity), BANDS, lambda _: tile).groupBy("a", "b").applyInPandas(compare, "src long, dst long")
 
 
-def missed_links(nodes: DataFrame, similarity: float, tile: int = SET_TILE) -> DataFrame:
-    """Similar pairs (src, dst) that connect ``nodes`` (node, fp, print, size, component, shingles) whose components differ.
-    The sets travel with the tiles, so every pair within the radius is checked where it is found, and only links leave."""
+def missed_links(nodes: DataFrame, sets: DataFrame, similarity: float, room_bytes: int = SET_BYTES) -> DataFrame:
+    """Similar pairs (src, dst) that connect ``nodes`` (node, fp, print, size, component) whose components differ.  Their
+    ``sets`` (node, shingles) travel with the tiles, so every pair within the radius is checked where it is found, and
+    only links leave."""
     bounds = radii(similarity)
+    room = lambda band: max(16, int(room_bytes / 8 * (similarity - 1e-9) ** ((band + 1) / BANDS)))
 
     def compare(key, frame):
         order, blocks = _wide_pairs(frame, key, similarity, bounds)
@@ -383,19 +388,14 @@ def missed_links(nodes: DataFrame, similarity: float, tile: int = SET_TILE) -> D
                     group[group == group[j]] = group[i]
         return pd.DataFrame({"src": np.array(src, np.int64), "dst": np.array(dst, np.int64)})
 
-    return _met(_banded(nodes, similarity), BANDS, tile, tiles=12).groupBy("a", "b").applyInPandas(compare, "src long, dst long")
+    return _met(_banded(nodes, similarity), BANDS, room, tiles=12, carried=sets.select("node", "shingles")).groupBy("a", "b").applyInPandas(compare, "src long, dst long")
 
 
 def verified(ends: DataFrame, sets: DataFrame) -> DataFrame:
-    """The distinct pairs ``ends`` (src, dst) with the similarity of their ``sets`` (node, shingles).  A forest has hubs."""
+    """The distinct pairs ``ends`` (src, dst) with the similarity of their ``sets`` (node, shingles, w: pairs it is in)."""
     total = max(1, ends.count())
-
-    def met(left: DataFrame, end: str, name: str) -> DataFrame:
-        weights = ends.groupBy(end).agg(F.count(F.lit(1)).alias("w"))
-        own = stored(sets.join(weights.withColumnRenamed(end, "node"), "node").select(F.col("node").alias(end), F.col("shingles").alias(name), "w"), "sets")
-        return hot_join(left, own, end, "w", total)
-
-    both = met(met(ends, "src", "x"), "dst", "y")
+    of = lambda end, name: sets.select(F.col("node").alias(end), F.col("shingles").alias(name), "w")
+    both = hot_join(hot_join(ends, of("src", "x"), "src", "w", total), of("dst", "y"), "dst", "w", total)  # a forest has hubs
     same = F.size(F.array_intersect("x", "y"))
     return stored(both.select("src", "dst", (same / (F.size("x") + F.size("y") - same)).alias("similarity")), "verified")
 
@@ -426,9 +426,10 @@ def copy_groups(docs: DataFrame, words: int, similarity: float, id_col: str, tex
     points = nodes.select("node", "fp", "print", "size")
 
     ends = stored(wide_links(points.repartition(parallelism(spark)), similarity).where("src < dst").distinct(), "pairs")
-    asked = ends.select(F.col("src").alias("node")).unionByName(ends.select(F.col("dst").alias("node"))).distinct()
-    asked = nodes.join(asked, "node", "left_semi").select(F.col("first.row").alias("row"))
-    sets = stored(shingle_sets(rows_of(rows, asked).select("node", F.col("of")[held_text].alias("text")), words), "sets")
+    asked = ends.select(F.col("src").alias("node")).unionByName(ends.select(F.col("dst").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("w"))
+    asked = stored(nodes.join(asked.withColumnRenamed("w", "pairs"), "node").select("node", F.col("pairs").alias("w"), F.col("first.row").alias("row")), "asked")
+    made = shingle_sets(rows_of(rows, asked.select("row")).select("node", F.col("of")[held_text].alias("text")), words)
+    sets = stored(made.join(asked.select("node", "w"), "node"), "sets")
     checked = verified(ends, sets)
     held = checked.where(F.col("similarity") >= similarity).select("src", "dst")
     groups = stored(components(held), "groups")
@@ -436,7 +437,7 @@ def copy_groups(docs: DataFrame, words: int, similarity: float, id_col: str, tex
     around = stored(around, "around")
     apart = around.groupBy("around").agg((F.min("component") < F.max("component")).alias("apart")).where("apart")
     doubtful = around.join(apart.select("around"), "around", "left_semi").select("node", "component")
-    more = missed_links(stored(points.join(doubtful, "node").join(sets, "node"), "again"), similarity)
+    more = missed_links(stored(points.join(doubtful, "node"), "again"), sets, similarity)
     found = components(held.unionByName(more))
 
     label = nodes.join(found, "node", "left").select("node", "w", "id", "first", F.coalesce("component", "node").alias("component"))
