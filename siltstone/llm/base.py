@@ -19,9 +19,12 @@ HOT_SHARE = 1000
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors
-    share; where that setting is missing (tests), below a folder of our own."""
+    share; where that setting is missing, below a folder of our own in local mode
+    (tests), and an error on a cluster."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
         app = spark.sparkContext.applicationId
         base = _own_folder.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-")
         _own_folder[app] = base
