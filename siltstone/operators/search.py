@@ -45,9 +45,12 @@ def parse_query(query: str) -> list[tuple[str, bool]]:
 def spans(text: Column, phrase: str, prefix: bool = False) -> Column:
     """Matches of a phrase as whole words, or of words that begin with it.  Neighbours share the mark between them, so
     only looks ahead and behind stand at the ends."""
+    return F.regexp_count(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}]){_form(phrase, prefix)}"))
+
+
+def _form(phrase: str, prefix: bool) -> str:
     body = r"[^\p{L}\p{N}]+".join(map(re.escape, phrase.split()))
-    tail = "" if prefix else r"(?![\p{L}\p{N}])"
-    return F.regexp_count(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}]){body}{tail}"))
+    return body + ("" if prefix else r"(?![\p{L}\p{N}])")
 
 
 def literal(docs: DataFrame, query: str, title: str, body: str, key: str, limit: int, machine: Column | None = None, skip: int = 0) -> DataFrame:
@@ -109,9 +112,10 @@ def relaxed(docs: DataFrame, terms: list[tuple[str, ...]], need: int, body: str)
     """Documents that hold at least ``need`` of the terms, with their coverage: words that are, or begin with, a form."""
     if not terms:
         return docs.withColumns({"covered": F.lit(0), "coverage": F.lit(1.0)}).limit(0)
-    held = lambda forms: reduce(lambda x, y: x | y, (spans(F.col(body), f.rstrip("*"), f.endswith("*")) > 0 for f in forms))
+    forms = lambda term: "|".join(_form(f.rstrip("*"), f.endswith("*")) for f in term)
+    held = lambda term: F.rlike("_low", F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{forms(term)})"))
     covered = sum((held(t).cast("int") for t in terms), F.lit(0))
-    return docs.withColumn("covered", covered).where(F.col("covered") >= need).withColumn("coverage", F.col("covered") / len(terms))
+    return docs.withColumn("_low", F.lower(body)).withColumn("covered", covered).drop("_low").where(F.col("covered") >= need).withColumn("coverage", F.col("covered") / len(terms))
 
 
 def search(docs: DataFrame, query: str, title: str, body: str, key: str, limit: int = 20, ledger: Column | None = None, bounded: bool = False) -> tuple[DataFrame, list[str]]:

@@ -11,13 +11,13 @@ ORACLES: dict[str, str] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table.  One that has fewer parts than there are cores, such as a file of one row group, is dealt out first: its
-    rows are few, and what is asked of them may be dear."""
+    """A table.  Texts in no more parts than there are cores, as a file of one row group, are dealt out first: there are a
+    few gigabytes at most, and what is asked of them may be dear."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if name != "documents":
         return rows
     cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if 1 < cores and rows.rdd.getNumPartitions() == 1 else rows
+    return rows.repartition(cores) if 1 < cores and rows.rdd.getNumPartitions() <= min(cores, 64) else rows
 
 
 def query(sql: str | None = None):
