@@ -16,6 +16,7 @@ from siltstone.operators import reports as R
 from siltstone.operators import search as Q
 from siltstone.operators import timeline as T
 from siltstone.plans.registry import ORACLES, QUERIES, query
+from siltstone.sources import recurrence as RR
 from siltstone.sources import rows as X
 from siltstone.streaming import ingest as I
 
@@ -509,6 +510,34 @@ def recurrence_expand(t):
     return X.recurrences(views, "event_id", "ts", F.lit(2), F.lit(5), F.array(F.lit(2), F.lit(4))).withColumn("day", F.col("day").cast("string"))
 
 
+_RULES = (
+    "FREQ=DAILY;INTERVAL=10;COUNT=20", "FREQ=WEEKLY;INTERVAL=2;BYDAY=MO,TH;UNTIL=20260630T235959Z;WKST=SU", "FREQ=MONTHLY;BYDAY=2TU,-1FR", "FREQ=MONTHLY;BYMONTHDAY=31,-2", "FREQ=MONTHLY;INTERVAL=3",
+    "FREQ=YEARLY;BYMONTH=2,11;BYDAY=-1SU", "FREQ=YEARLY;BYDAY=20MO", "FREQ=HOURLY;COUNT=5", "FREQ=MONTHLY;BYMONTHDAY=13;BYDAY=FR", "FREQ=YEARLY",
+)
+
+
+@query("""WITH p AS (SELECT p_partkey, p_partkey % 10 AS r, DATE '2024-01-01' + (p_partkey % 400)::INT AS s FROM part),
+c AS (SELECT p_partkey, r, s, unnest(generate_series(s, DATE '2027-12-31', INTERVAL 1 DAY))::DATE AS d FROM p),
+f AS (SELECT p_partkey, r, s, d FROM c WHERE CASE r
+ WHEN 0 THEN (d - s) % 10 = 0 AND d - s < 200
+ WHEN 1 THEN dayofweek(d) IN (1, 4) AND d <= DATE '2026-06-30' AND (((d - dayofweek(d)::INT) - (s - dayofweek(s)::INT)) // 7) % 2 = 0
+ WHEN 2 THEN (dayofweek(d) = 2 AND day(d) BETWEEN 8 AND 14) OR (dayofweek(d) = 5 AND month(d + 7) <> month(d))
+ WHEN 3 THEN day(d) = 31 OR (month(d + 1) = month(d) AND month(d + 2) <> month(d))
+ WHEN 4 THEN day(d) = day(s) AND (month(d) + 12 - month(s)) % 3 = 0
+ WHEN 5 THEN month(d) IN (2, 11) AND dayofweek(d) = 0 AND month(d + 7) <> month(d)
+ WHEN 6 THEN dayofweek(d) = 1 AND (dayofyear(d) + 6) // 7 = 20
+ WHEN 7 THEN false
+ WHEN 8 THEN day(d) = 13 AND dayofweek(d) = 5
+ ELSE day(d) = day(s) AND month(d) = month(s) END),
+a AS (SELECT p_partkey, d FROM f WHERE d <> s + 10 UNION SELECT p_partkey, s + 3 FROM p WHERE r <> 7 UNION SELECT p_partkey, s FROM p WHERE r = 7)
+SELECT p_partkey, (row_number() OVER (PARTITION BY p_partkey ORDER BY d) - 1)::INT AS n, d::VARCHAR AS day FROM a""")
+def recurrence_rules(t):
+    start = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("p_partkey") % 400).cast("int"))
+    rule = F.element_at(F.array(*map(F.lit, _RULES)), (F.col("p_partkey") % len(_RULES)).cast("int") + 1)
+    parts = t("part").select("p_partkey", start.alias("start"), rule.alias("rule")).withColumn("without", F.array(F.date_add("start", 10))).withColumn("more", F.array(F.date_add("start", 3)))
+    return RR.expanded(parts, "p_partkey", "start", "rule", F.lit("2027-12-31"), "without", "more").withColumn("day", F.col("day").cast("string"))
+
+
 @query("SELECT DISTINCT user_id FROM (SELECT user_id FROM events WHERE event_type = 'click' UNION ALL SELECT user_id FROM events WHERE event_type = 'view') WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 300)")
 def setops(t):
     e = t("events")
