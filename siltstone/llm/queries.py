@@ -1,4 +1,4 @@
-"""The registered queries of the ten corpus operators, and SQL for those that
+"""The registered queries of the corpus operators, and SQL for those that
 SQL can express."""
 
 from __future__ import annotations
@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets, warc
+from . import exact, mixing, ranked, secrets, warc
 from .base import table
 
 
@@ -87,6 +87,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= TOXIC).cast("int").alias("predicted"), said.alias("spans"))
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact import duplicates
+
+    found = duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), most=10)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_ctph": op1_ctph,
     "op2_secrets": op2_secrets,
@@ -98,6 +117,9 @@ QUERIES = {
     "op8_suffixes": op8_suffixes,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_exact": op11_exact,
+    "op12_ranked": op12_ranked,
+    "op13_whitening": op13_whitening,
 }
 
-ORACLES: dict[str, str] = {"op2_secrets": secrets.oracle(), "op3_warc": warc.ORACLE, "op5_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_secrets": secrets.oracle(), "op3_warc": warc.ORACLE, "op5_mixing": mixing.ORACLE, "op11_exact": exact.ORACLE, "op12_ranked": ranked.ORACLE}
