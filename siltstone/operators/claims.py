@@ -65,38 +65,6 @@ def resolution(purged: Column | None = None) -> Column:
     )
 
 
-def folded(claims: DataFrame, parts: int = 1) -> DataFrame:
-    """(claim_id, outcome, ends): claims filed in order of their ids, as one batch.
-
-    Of claims equal in key, object, polarity and start the first is stored; the others are duplicates that corroborate
-    it.  A stored claim that loses to an older stored one it conflicts with is skipped.  Of those not skipped, one that
-    loses to a newer one is superseded and ends where that starts, if it would not end before; those that only meet
-    equals are contested.  What a claim loses to is decided by pairs, so the result does not depend on partitioning."""
-    same = Window.partitionBy("claim_key", "object", "polarity", "valid_from")
-    first = F.min("claim_id").over(same)
-    marked = claims.withColumn("first_id", first)
-    stored = marked.where("claim_id = first_id").drop("first_id")
-    found = conflicts(stored, parts).select(F.col("a.claim_id").alias("old"), F.col("b.claim_id").alias("new"), F.col("b.valid_from").alias("starts"), resolution().alias("r"))
-    lost = found.where((F.col("r.action") == "skip") | (F.col("r.winner") == "live")).select(F.col("new").alias("claim_id")).distinct()
-    open_ = found.join(lost.withColumnRenamed("claim_id", "new"), "new", "left_anti").join(lost.withColumnRenamed("claim_id", "old"), "old", "left_anti")
-    beaten = open_.where(F.col("r.winner") == "incoming").groupBy(F.col("old").alias("claim_id")).agg(F.min("starts").alias("cut"))
-    even = open_.where(F.col("r.action") == "contested")
-    even = even.select(F.col("old").alias("claim_id")).unionByName(even.select(F.col("new").alias("claim_id"))).distinct().withColumn("even", F.lit(True))
-    joined = marked.join(lost.withColumn("lost", F.lit(True)), "claim_id", "left").join(beaten, "claim_id", "left").join(even, "claim_id", "left")
-    outcome = F.when(F.col("claim_id") != F.col("first_id"), "duplicate").when(F.col("lost"), "skipped").when(F.col("cut").isNotNull(), "superseded").when(F.col("even"), "contested").otherwise("stored")
-    return joined.select("claim_id", outcome.alias("outcome"), F.when(outcome == "superseded", F.least("valid_to", "cut")).otherwise(F.col("valid_to")).alias("ends"))
-
-
-def corroborated(claims: DataFrame) -> DataFrame:
-    """Each claim (key, object, polarity, start) with its supports as one: provenance united, independent roots counted,
-    the best confidence and tier, the strictest label.  ``claims`` adds event_id, root, sensitivity."""
-    by = claims.groupBy("claim_key", "object", "polarity", "valid_from")
-    return by.agg(
-        F.min("claim_id").alias("claim_id"), F.array_sort(F.collect_set("event_id")).alias("provenance"), F.countDistinct("root").alias("corroboration"),
-        F.max("confidence").alias("confidence"), F.max("tier").alias("tier"), F.max("sensitivity").alias("sensitivity"),
-    )
-
-
 def enriched(claims: DataFrame, parts: int = 1) -> DataFrame:
     """(claim_id, conflict): present where another claim of the key disagrees and may hold at the same time, unknown where
     the claim's own time isn't known, else none_observed.  An unknown start overlaps everything."""

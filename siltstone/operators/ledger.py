@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
+from siltstone.operators import scan
+
 
 def from_events(events: DataFrame) -> DataFrame:
     """The driver's event stream as ledger rows: a record is a user's events of one
@@ -54,13 +56,20 @@ def accept(batch: DataFrame, ledger: DataFrame, *key: str) -> DataFrame:
 
 def accepted(batch: DataFrame, ledger: DataFrame, suppressed: DataFrame, valid: Column, *key: str) -> DataFrame:
     """The batch with the outcome of each row: error where it is not valid, suppressed where its record is, duplicate
-    where the ledger or an earlier row has its key, else stored."""
+    where the ledger or an earlier row that was neither has its key, else stored.  The first row of a key is found by an
+    aggregate, so a hot key folds before it is shuffled."""
     marked = batch.withColumn("_ok", F.coalesce(valid, F.lit(False)))
-    w = Window.partitionBy(*key, "_ok").orderBy(*ORDER)
-    marked = marked.withColumn("_n", F.row_number().over(w))
-    marked = marked.join(suppressed.distinct().withColumn("_s", F.lit(True)), suppressed.columns, "left").join(ledger.select(*key).distinct().withColumn("_h", F.lit(True)), list(key), "left")
-    outcome = F.when(~F.col("_ok"), "error").when(F.col("_s"), "suppressed").when(F.col("_h") | (F.col("_n") > 1), "duplicate").otherwise("stored")
-    return marked.withColumn("outcome", outcome).drop("_ok", "_n", "_s", "_h")
+    marked = marked.join(suppressed.distinct().withColumn("_s", F.lit(True)), suppressed.columns, "left").withColumn("_at", F.struct(*ORDER))
+    first = marked.where("_ok AND _s IS NULL").groupBy(*key).agg(F.min("_at").alias("_first"))
+    held = ledger.select(*key).distinct().withColumn("_h", F.lit(True))
+    for other in (first, held):
+        renamed = other.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)), *(c for c in other.columns if c not in key))
+        on = F.lit(True)
+        for i, k in enumerate(key):
+            on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        marked = marked.join(renamed, on, "left").drop(*(f"_k{i}" for i in range(len(key))))
+    outcome = F.when(~F.col("_ok"), "error").when(F.col("_s"), "suppressed").when(F.col("_h") | (F.col("_at") > F.col("_first")), "duplicate").otherwise("stored")
+    return marked.withColumn("outcome", outcome).drop("_ok", "_s", "_h", "_at", "_first")
 
 
 def replay(ledger: DataFrame, *record: str, kinds: tuple = (), since: str | None = None, only_live: bool = False) -> DataFrame:
@@ -99,21 +108,14 @@ def rebuilt(documents: DataFrame, folder: str) -> str:
 
 
 def numbered(rows: DataFrame, *order: str, start: int = 1, parts: int | None = None) -> DataFrame:
-    """Adds ``number``: dense, in order.  Rows are ranged by the order, numbered within their range, and moved by the
-    sizes of the ranges before it; only those sizes meet in one place."""
-    n = parts or rows.sparkSession.sparkContext.defaultParallelism
-    ranged = rows.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_p", (F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + start - 1).alias("_b"))
-    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return ranged.withColumn("_r", own).join(F.broadcast(before), "_p").withColumn("number", F.col("_r") + F.col("_b")).drop("_p", "_r", "_b")
+    """Adds ``number``: dense, in order (see ``scan``)."""
+    return scan.numbered(rows, *order, start=start, parts=parts)
 
 
 def integrity(history: DataFrame, states: DataFrame, key: str = "record") -> DataFrame:
     """(rule, n): entries of a history that break a rule.  ``history``: sequence, recorded_at, key, status.  ``states``:
-    key, status.  Clock and order are looked at within each key, where neighbours are near each other."""
-    w = Window.partitionBy(key).orderBy("sequence")
-    back = history.withColumn("prior", F.lag("recorded_at").over(w)).where("recorded_at < prior")
+    key, status.  The clock is that of the whole log: a step back from one key's entry to another's counts."""
+    back = scan.prior(history.select("sequence", "recorded_at"), "prior", "recorded_at", "sequence").where("recorded_at < prior")
     last = history.groupBy(key).agg(F.max_by("status", "sequence").alias("last"))
     wrong = states.join(last, key).where(~F.col("status").eqNullSafe(F.col("last")))
     orphan = history.join(states, key, "left_anti")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +13,7 @@ from siltstone.operators import policy as P
 from siltstone.operators import reports as R
 from siltstone.operators import search as Q
 from siltstone.operators import timeline as T
+from siltstone.operators.shared import folder
 from siltstone.plans.registry import ORACLES, QUERIES, query
 from siltstone.sources import recurrence as RR
 from siltstone.sources import rows as X
@@ -346,32 +345,12 @@ def claim_resolution(t):
     return settled.groupBy("r.rule", "r.action", "r.winner").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH x AS ({_CLAIMS}), m AS (SELECT *, min(claim_id) OVER (PARTITION BY claim_key, object, polarity, valid_from) AS first_id FROM x), c AS (SELECT * FROM m WHERE claim_id = first_id), d AS ({_ACTED.replace("a.claim_id % 29 = 0", "false")}),
- lost AS (SELECT DISTINCT new_id AS id FROM d WHERE action = 'skip' OR winner = 'live'), o AS (SELECT * FROM d WHERE new_id NOT IN (SELECT id FROM lost) AND old_id NOT IN (SELECT id FROM lost)),
- cut AS (SELECT old_id AS id, min(starts) AS cut FROM o WHERE winner = 'incoming' GROUP BY 1), e AS (SELECT old_id AS id FROM o WHERE action = 'contested' UNION SELECT new_id FROM o WHERE action = 'contested'),
- z AS (SELECT m.*, cut, CASE WHEN claim_id <> first_id THEN 'duplicate' WHEN claim_id IN (SELECT id FROM lost) THEN 'skipped' WHEN cut IS NOT NULL THEN 'superseded' WHEN claim_id IN (SELECT id FROM e) THEN 'contested' ELSE 'stored' END AS outcome FROM m LEFT JOIN cut ON claim_id = cut.id)
-SELECT claim_id, outcome, CASE WHEN outcome = 'superseded' THEN least(valid_to, cut) ELSE valid_to END AS ends FROM z""")
-def claim_fold(t):
-    return C.folded(_claims(t))
-
-
 @query(f"""WITH c AS (SELECT * REPLACE (CASE WHEN claim_id % 9 > 0 THEN valid_from END AS valid_from) FROM ({_CLAIMS})), k AS (SELECT claim_id, claim_key, polarity, single, object, coalesce(valid_from, TIMESTAMP '0001-01-01') AS valid_from, CASE WHEN valid_from IS NOT NULL THEN valid_to END AS valid_to FROM c),
  p AS (SELECT a.claim_id AS x, b.claim_id AS y FROM k a JOIN k b ON {_PAIR}) SELECT claim_id, CASE WHEN claim_id IN (SELECT x FROM p UNION ALL SELECT y FROM p) THEN 'present' WHEN valid_from IS NULL THEN 'unknown' ELSE 'none_observed' END AS conflict FROM c""")
 def claim_enrich(t):
     return C.enriched(_claims(t).withColumn("valid_from", F.when(F.col("claim_id") % 9 > 0, F.col("valid_from"))))
 
 
-@query("""SELECT l_partkey % 50 AS claim_key, min(l_orderkey * 10 + l_linenumber) AS claim_id, array_to_string(list_sort(list_distinct(list(l_orderkey))), ',') AS provenance, count(DISTINCT l_suppkey) AS corroboration, max(l_discount) AS confidence, max(l_linenumber % 4 + 1)::INT AS tier, max(l_linenumber % 3)::INT AS sensitivity
- FROM lineitem GROUP BY l_partkey % 50, l_returnflag, l_linestatus, date_trunc('month', l_shipdate)""")
-def claim_corroborate(t):
-    n = F.col("l_linenumber")
-    rows = t("lineitem").select(
-        (F.col("l_partkey") % 50).alias("claim_key"), F.col("l_returnflag").alias("object"), F.col("l_linestatus").alias("polarity"), F.trunc("l_shipdate", "month").alias("valid_from"), (F.col("l_orderkey") * 10 + n).alias("claim_id"),
-        F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("root"), F.col("l_discount").alias("confidence"), (n % 4 + 1).cast("int").alias("tier"), (n % 3).cast("int").alias("sensitivity"),
-    )
-    return C.corroborated(rows).select("claim_key", "claim_id", F.array_join("provenance", ",").alias("provenance"), "corroboration", "confidence", "tier", "sensitivity")
-
-
 @query("SELECT l_partkey, count(DISTINCT l_suppkey) AS n_roots, max(l_discount) AS best, count(DISTINCT l_suppkey) < 2 AS held_back FROM lineitem GROUP BY l_partkey")
 def claim_corroboration(t):
     return C.corroboration(t("lineitem"), "l_partkey", "l_suppkey", "l_discount")
@@ -580,12 +559,7 @@ def pricing_summary(t):
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table, read as a stream of files and accepted into a ledger once each."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
-        base = tempfile.mkdtemp(prefix="spark-")
-    run = f"{base}/siltstone/stream-{uuid.uuid4().hex}"
+    run = folder(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = I.arrivals(spark, f"{sf_dir}/[e]vents.parquet", schema)
     I.ingest(stream, f"{run}/ledger", f"{run}/progress", "event_id").awaitTermination()

@@ -78,7 +78,7 @@ def claim_read_groups(t):
 
 
 @query("""WITH h AS (SELECT user_id AS record, event_id AS sequence, ts AS recorded_at, event_type AS status FROM events), s AS (SELECT record, CASE WHEN record % 10 = 0 THEN 'view' ELSE arg_max(status, sequence) END AS status FROM h WHERE record <> 7 GROUP BY record UNION ALL SELECT -1, 'click'),
- p AS (SELECT *, lag(recorded_at) OVER (PARTITION BY record ORDER BY sequence) AS prior FROM h), z AS (SELECT record, arg_max(status, sequence) AS last FROM h GROUP BY record)
+ p AS (SELECT *, lag(recorded_at) OVER (ORDER BY sequence) AS prior FROM h), z AS (SELECT record, arg_max(status, sequence) AS last FROM h GROUP BY record)
 SELECT 'clock_back' AS rule, count(*) AS n FROM p WHERE recorded_at < prior UNION ALL SELECT 'state_differs', count(*) FROM s JOIN z USING (record) WHERE status IS DISTINCT FROM last
 UNION ALL SELECT 'orphan_entry', count(*) FROM h WHERE record NOT IN (SELECT record FROM s) UNION ALL SELECT 'no_history', count(*) FROM s WHERE record NOT IN (SELECT record FROM h)""")
 def history_integrity(t):
