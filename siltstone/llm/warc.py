@@ -53,25 +53,21 @@ def record(kind: str, page: int | None, url: str, payload: bytes, length: int, s
 
 
 def archive(records: list[bytes]) -> bytes:
-    """The archive's bytes.  With too little to learn from there is no dictionary, and no leading frame."""
+    """The archive's bytes.  The dictionary in the leading frame is trained on the archive's own records; where they are
+    too few or too much alike to train one, it is raw content: the first record's head."""
     sample, size = [], 0
     for r in records:
         if size >= TRAIN:
             break
         sample.append(r[: 64 << 10])
         size += len(sample[-1])
-    trained = None
-    if len(sample) >= 16 and size >= 8 * DICT:
-        try:
-            trained = zstandard.train_dictionary(DICT, sample, level=3, k=512, d=8)
-        except zstandard.ZstdError:  # all records alike, for one
-            trained = None
-    packer = zstandard.ZstdCompressor(level=3, dict_data=trained, write_checksum=True, write_content_size=True)
-    head = b""
-    if trained:
-        raw = trained.as_bytes()
-        head = struct.pack("<II", SKIPPABLE, len(raw)) + raw
-    return head + b"".join(map(packer.compress, records))
+    try:
+        learned = zstandard.train_dictionary(DICT, sample, level=3, k=512, d=8)
+    except zstandard.ZstdError:
+        learned = zstandard.ZstdCompressionDict(sample[0][:DICT], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    packer = zstandard.ZstdCompressor(level=3, dict_data=learned, write_checksum=True, write_content_size=True)
+    raw = learned.as_bytes()
+    return struct.pack("<II", SKIPPABLE, len(raw)) + raw + b"".join(map(packer.compress, records))
 
 
 def records(data: bytes):
@@ -84,9 +80,10 @@ def records(data: bytes):
             raise ValueError("the dictionary frame is cut off")
         if raw[:4] == zstandard.FRAME_HEADER:  # a dictionary may itself be compressed
             raw = zstandard.ZstdDecompressor().decompress(raw)
-        if len(raw) < 8 or struct.unpack_from("<I", raw)[0] != DICTIONARY:
+        if len(raw) < 8:
             raise ValueError("the leading frame holds no dictionary")
-        learned = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_FULLDICT)
+        full = struct.unpack_from("<I", raw)[0] == DICTIONARY
+        learned = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_FULLDICT if full else zstandard.DICT_TYPE_RAWCONTENT)
     reader = zstandard.ZstdDecompressor(dict_data=learned)
     while at < len(data):
         try:
