@@ -5,11 +5,13 @@ A document's place in its source's order is a hash of its id and text.  Sizes
 are summed by source and hash bucket; running sums over the buckets show which
 bucket a source's budget ends in, and only that bucket is split further, until
 it holds one document or the hash is used up.  What results is one threshold a
-source, and a filter applies it: nothing is sorted and reruns agree.
+source, and a filter applies it: nothing is sorted and reruns agree.  Where the
+hash is used up, rows are alike, and as many of them are taken as fit: they are
+numbered, by the parts of a written table, so no task holds them all.
 
 Null and blank texts have size 0.  A null source is a source of its own, last
-in order.  Rows that repeat an id and a text share a hash and are taken or left
-together; so do rows without an id that have one text.  Texts of any length are
+in order.  Rows that repeat an id and a text share a hash; so do rows without an
+id that have one text.  Texts of any length are
 hashed and counted whole.  Other columns are carried only where named, whatever
 they are called, and an empty table gives an empty result.
 
@@ -65,8 +67,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 
 
 def thresholds(sized: DataFrame, budgets: DataFrame, total: int) -> DataFrame:
-    """For each source the prefix at which its budget ends and whether documents
-    with that very prefix are taken: SOURCE_KEY, cut, whole.
+    """For each source the prefix at which its budget ends and what is there: SOURCE_KEY, cut, before (sizes in front
+    of it), each (a document's size), docs, budget.
 
     ``sized``: SOURCE_KEY, size, place.  ``budgets``: SOURCE_KEY, budget, w (its
     rows, of ``total``).  A document is taken while what is before it and half of
@@ -86,7 +88,7 @@ def thresholds(sized: DataFrame, budgets: DataFrame, total: int) -> DataFrame:
         state = stored(first.select(SOURCE_KEY, "budget", "w", cut["bucket"].alias("cut"), cut["before"].alias("before"), cut["n"].alias("n"), cut["docs"].alias("docs")), "cuts")
         if n < DIGITS and not state.where("docs > 1").limit(1).count():
             break
-    return state.select(SOURCE_KEY, "cut", (F.col("before") + F.col("n") / 2 <= F.col("budget")).alias("whole"))
+    return state.select(SOURCE_KEY, "cut", "before", (F.col("n") / F.col("docs")).alias("each"), "docs", "budget")
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -96,7 +98,7 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> tuple[DataFrame, int]:
-    """A row for each source (SOURCE_KEY, w, source_size, target, times, cut, whole), and the number of rows."""
+    """A row for each source (SOURCE_KEY, w, source_size, target, times and those of ``thresholds``), and the number of rows."""
     sources = sized.groupBy("source", SOURCE_KEY).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("w"))
     sources = stored(sources, "sources")
     total = sources.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
@@ -108,10 +110,26 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.
 
 def taken(rows: DataFrame, planned: DataFrame, total: int) -> DataFrame:
     """``rows`` (with SOURCE_KEY and place) and how often the mix takes each: ``copies``."""
-    met = hot_join(rows, planned, SOURCE_KEY, "w", total)
+    fits = lambda j: F.col("before") + (j - 0.5) * F.col("each") <= F.col("budget")
+    parted = fits(F.lit(1)) & ~fits(F.col("docs"))
+    goal = planned.withColumn("parted", parted).withColumn("whole", ~parted & fits(F.col("docs")))
+    met = hot_join(rows, goal, SOURCE_KEY, "w", total)
     prefix = F.expr("substring(place, 1, length(cut))")
-    more = (prefix < F.col("cut")) | ((prefix == F.col("cut")) & F.col("whole"))
-    return met.withColumn("copies", F.col("times") + F.when(more, 1).otherwise(0)).drop("times", "cut", "whole", SOURCE_KEY)
+    at_cut = prefix == F.col("cut")
+    more = (prefix < F.col("cut")) | (at_cut & F.col("whole"))
+    gone = ("times", "cut", "before", "each", "docs", "budget", "parted", "whole", SOURCE_KEY)
+    plain = met.where(~(at_cut & F.col("parted"))) if goal.where("parted").limit(1).count() else None
+    if plain is None:
+        return met.withColumn("copies", F.col("times") + F.when(more, 1).otherwise(0)).drop(*gone)
+    # rows alike, of which a part is taken: numbered within the parts of what was written, behind those of the parts before
+    alike = stored(met.where(at_cut & F.col("parted")).withColumn("mix_part", F.spark_partition_id()), "alike")
+    sums = alike.groupBy(SOURCE_KEY, "mix_part").agg(F.count(F.lit(1)).alias("n"))
+    behind = F.coalesce(F.sum("n").over(Window.partitionBy(SOURCE_KEY).orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select(SOURCE_KEY, "mix_part", behind.alias("mix_behind"))
+    own = F.row_number().over(Window.partitionBy(SOURCE_KEY, "mix_part").orderBy("place"))
+    numbered = alike.withColumn("mix_own", own).join(offsets, [SOURCE_KEY, "mix_part"])
+    some = numbered.withColumn("copies", F.col("times") + F.when(fits(F.col("mix_behind") + F.col("mix_own")), 1).otherwise(0)).drop("mix_part", "mix_own", "mix_behind")
+    return plain.withColumn("copies", F.col("times") + F.when(more, 1).otherwise(0)).drop(*gone).unionByName(some.drop(*gone))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -141,8 +159,8 @@ o AS (SELECT *, cap / weight AS ratio, coalesce(sum(cap) OVER (ORDER BY cap / we
 lv AS (SELECT max((total - filled) / open) FILTER ((total - filled) / open <= ratio) AS level FROM o),
 g AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM lv) * weight, cap)) AS target FROM w),
 t AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS times FROM g),
-ties AS (SELECT source, place, sum(size) AS n FROM docs GROUP BY source, place),
-run AS (SELECT source, place, n, sum(n) OVER (PARTITION BY source ORDER BY place) - n AS before FROM ties)
+ties AS (SELECT source, place, sum(size) AS n, count(*) AS docs FROM docs GROUP BY source, place),
+run AS (SELECT source, place, n, docs, sum(n) OVER (PARTITION BY source ORDER BY place) - n AS before FROM ties)
 SELECT d.doc_id, d.size, t.source_size, t.target,
- (d.size * (t.times + CASE WHEN r.before + r.n / 2 <= t.target - t.times * t.source_size THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM docs d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN run r ON d.source IS NOT DISTINCT FROM r.source AND d.place = r.place"""
+ (d.size * (t.times + CASE WHEN r.before + (d.j - 0.5::DOUBLE) * (r.n / r.docs) <= t.target - t.times * t.source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM (SELECT *, row_number() OVER (PARTITION BY source, place) AS j FROM docs) d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN run r ON d.source IS NOT DISTINCT FROM r.source AND d.place = r.place"""
