@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import hot_join, stored
+from .base import HOT_SHARE, hot_join, stored
 
 _parser = re._parser  # the standard library's own parse tree of an expression
 
@@ -192,7 +192,13 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, block: int = BLOCK, i
         return F.when(bits.bitwiseAND(1 << i) != 0, all_spans).otherwise(none)
 
     spans = F.array_sort(F.flatten(F.array(*(verified(i, r) for i, r in enumerate(rules)))))
-    return hot_join(base, found, "key", "w", max(1, base.count()), "left").select("row.*", "text", spans.alias("spans"))
+    total = max(1, base.count())
+    # hot rows that meet no trigram query have no partner to be joined with: they stay where they are
+    heavy = base.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT_SHARE >= total).select("key")
+    idle = F.broadcast(stored(heavy.join(found.select("key"), "key", "left_anti"), "idle"))
+    alone = base.join(idle, "key", "left_semi").withColumn("rules", F.lit(None).cast(found.schema["rules"].dataType))
+    met = hot_join(base.join(idle, "key", "left_anti"), found, "key", "w", total, "left").unionByName(alone)
+    return met.select("row.*", "text", spans.alias("spans"))
 
 
 def written(spans: Column) -> Column:
