@@ -31,7 +31,7 @@ from pyspark.sql.types import StructType
 #: Labelled documents of each label that the model is fitted to, at most.
 SAMPLE = 2000
 #: Characters of a document in the sample, at most.
-LONGEST = 1 << 18
+LONGEST = 1 << 15
 #: Words in a training sequence; scoring always takes whole texts.
 SEQUENCE = 64
 #: Score from which a document is called toxic, and marginal from which a word offends.
