@@ -59,6 +59,12 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: in
     return first.unionByName(rest)
 
 
+def hot_anti(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Rows of ``left`` whose key is not in ``right``, which is as for ``hot_join``."""
+    hot = F.col(weight) * HOT_SHARE >= F.lit(total)
+    return left.join(F.broadcast(right.where(hot).select(key)), key, "left_anti").join(right.where(~hot).select(key), key, "left_anti")
+
+
 def local_roots(n: int, pairs) -> np.ndarray:
     """Smallest index reachable, for nodes 0..n-1.  ``pairs`` yields (a, b) index
     arrays; each array is forgotten once it is merged."""

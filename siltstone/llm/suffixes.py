@@ -12,8 +12,10 @@ prefixes reach ``length`` bytes, windows are equal; all but those of the
 smallest id are removed.  A column-wise build of whole texts would take as many
 rounds as the longest text has bytes; fragments have at most 2 * length - k.
 
-Repeats are folded before every shuffle.  A text of which a smaller id has a copy
-is removed whole; a block of documents sends an anchor once, and of equal
+Repeats are folded before every shuffle.  Rows that repeat id and text are one
+while the work goes on and get its result back at the end.  A text of which a
+smaller id has a copy, by 128 bits of hash, is removed whole without a look at
+its bytes; a block of documents sends an anchor once, and of equal
 fragments only that of the smallest id.  Where HOT fragments or more have one
 anchor, as at the edges of a passage that a third of all documents have, each
 window is a fragment with its own hash for an anchor, so they spread.
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import hot_join, parallelism, stored
+from .base import HOT_SHARE, hot_anti, hot_join, parallelism, stored
 
 #: Bytes of an anchor, and of text that is looked at together (its places take PLACE bits).
 GRAM, PLACE = 24, 20
@@ -319,11 +321,29 @@ def _without_copies(frame: pd.DataFrame, said: pd.DataFrame) -> tuple[list[int],
 
 def removed(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
-    spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(parallelism(spark), math.ceil(total / block_bytes))  # and as many buckets
-    placed = base.withColumn("tid", F.xxhash64("text")).withColumn("block", F.pmod(F.xxhash64("id", "tid"), F.lit(blocks)))
+    base = base.withColumn("tid", F.xxhash64("text")).withColumn("said", F.concat_ws(":", F.coalesce("id", F.lit(NO_ID)), "tid", F.xxhash64(F.lit(1), "text")))
+    rows = stored(base.groupBy("said").agg(F.count(F.lit(1)).alias("w"), F.sum(F.octet_length("text")).alias("bytes")), "rows")
+    n, total = rows.agg(F.sum("w"), F.sum("bytes")).first()
+    twice = stored(rows.where("w > 1").select("said", "w"), "repeated")
+    if not twice.limit(1).count():
+        return _removed(base, total or 0, length, block_bytes, hot).select(*RESULT)
+    one = hot_join(base, twice, "said", "w", n).groupBy("id", "tid", "said").agg(F.max("text").alias("text"))
+    once = stored(hot_anti(base, twice, "said", "w", n).unionByName(one), "once")
+    found = stored(_removed(once, total, length, block_bytes, hot), "removed")
+    many = base.select("said").join(F.broadcast(twice.where(F.col("w") * HOT_SHARE >= n)), "said", "left_semi")
+    some = base.select("said").join(twice.where(F.col("w") * HOT_SHARE < n), "said", "left_semi")
+    back = hot_join(many.unionByName(some), found.join(twice, "said"), "said", "w", n)
+    return found.join(twice, "said", "left_anti").select(*RESULT).unionByName(back.select(*RESULT))
+
+
+RESULT = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def _removed(base: DataFrame, total: int, length: int, block_bytes: int, hot: int) -> DataFrame:
+    """RESULT and ``said`` for rows of id, text, tid and said, none of which repeats another."""
+    blocks = max(parallelism(base.sparkSession), math.ceil(total / block_bytes))  # and as many buckets
+    placed = base.withColumn("block", F.pmod(F.xxhash64("id", "tid"), F.lit(blocks)))
 
     # whole texts that a smaller id has too: known by 128 bits of hash, removed whole
     name = F.concat_ws(":", "tid", F.xxhash64(F.lit(1), "text"))
@@ -470,7 +490,7 @@ def removed(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
                 spans.setdefault(row, []).append((a, b))
         ids, texts, numbers = _rows(frame)
         rows = []
-        for i, text, number in zip(ids, texts, numbers, strict=True):
+        for i, text, number, said_as in zip(ids, texts, numbers, frame["said"].tolist(), strict=True):
             kept, at, gone, runs, end = [], 0, 0, 0, -1
             for a, b in sorted(spans.get(number, ())):
                 if a > end:  # touching runs are one
@@ -481,8 +501,8 @@ def removed(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
                     at = b
                 end = max(end, b)
             kept.append(text[at:])
-            rows.append((None if i == NO_ID else i, len(text), gone, runs, hashlib.sha256(b"".join(kept)).hexdigest()))
-        result = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            rows.append((None if i == NO_ID else i, len(text), gone, runs, hashlib.sha256(b"".join(kept)).hexdigest(), said_as))
+        result = pd.DataFrame(rows, columns=[*RESULT, "said"])
         return result.astype({"doc_id": "Int64"}) if len(result) else result
 
-    return by_block.cogroup(marks.groupBy("block")).applyInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return by_block.cogroup(marks.groupBy("block")).applyInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, said string")

@@ -481,11 +481,11 @@ def test_registered_queries(spark):
 
     sf = "/root/testdata/sf0.001"
     duck = duckdb.connect()
-    for name in ("documents", "pages", "embeddings"):
+    for name in ("documents", "pages", "embeddings", "benchmark"):
         duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     columns = {
         "op1_ctph": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op4_pieces": "doc_id n_pieces ids_sha256", "op6_embeddings": "vec_id n_links component_id kept",
-        "op7_licenses": "doc_id n_words n_base first_word last_word base_labels labels score", "op8_suffixes": "doc_id n_bytes n_removed n_spans kept_sha256", "op9_simhash": "doc_id fingerprint component_id", "op10_toxicity": "doc_id held_out score predicted",
+        "op7_licenses": "doc_id n_words n_base first_word last_word base_labels labels score", "op8_suffixes": "doc_id n_bytes n_removed n_spans kept_sha256", "op9_simhash": "doc_id fingerprint component_id", "op10_toxicity": "doc_id held_out score predicted", "op13_whitening": "vec_id component n deviation whitened explained identity_error",
     }
     plain = lambda v: "" if pd.isna(v) else repr(round(float(v), 6)) if isinstance(v, (int, float, np.number)) else str(v)
     for name, run in QUERIES.items():
