@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import scalar as S
@@ -13,11 +13,9 @@ from siltstone.operators import policy as P
 from siltstone.operators import reports as R
 from siltstone.operators import search as Q
 from siltstone.operators import timeline as T
-from siltstone.operators.shared import folder
-from siltstone.plans.registry import ORACLES, QUERIES, query
+from siltstone.plans.registry import query
 from siltstone.sources import recurrence as RR
 from siltstone.sources import rows as X
-from siltstone.streaming import ingest as I
 
 _LEDGER = """SELECT event_id, ts AS accepted_at, user_id AS record, event_type AS kind, value, props, event_type = 'error' AS deleted,
  CASE WHEN event_id % 4 < 3 THEN (event_id % 4)::INT END AS sensitivity FROM events"""
@@ -151,7 +149,7 @@ def _pages(t):
  c AS (SELECT *, {_N.format('b', 'the')} AS b1, {_STARTS.format('b', 'an')} AS b2, {_N.format('h', 'the')} AS h1, {_STARTS.format('h', 'an')} AS h2 FROM w)
 SELECT doc_id, exact, score FROM (SELECT doc_id, lower(trim(title)) = 'the an*' AS exact, round((4 * (h1 + h2) / (1.0::DOUBLE + h1 + h2) + (b1 + b2) / (1.0::DOUBLE + b1 + b2)) / (1000 + least(length(text), 1000)) * CASE WHEN machine THEN 0.5::DOUBLE ELSE 1 END, 12) AS score
  FROM c WHERE b1 + h1 > 0 AND b2 + h2 > 0) ORDER BY exact DESC, score DESC, doc_id LIMIT 20""")
-def search_literal(t):
+def scan_literal(t):
     docs = _pages(t).withColumn("score", F.lit(0))
     found = Q.literal(docs, "the an*", "title", "text", "doc_id", 60, F.col("machine")).withColumn("score", F.round("score", 12))
     return found.orderBy(F.desc("exact"), F.desc("score"), "doc_id").limit(20).select("doc_id", "exact", "score")
@@ -163,7 +161,7 @@ _QUESTION = "What did we decide about the license of these thing passages?"
 @query(f"""WITH w AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), c AS (SELECT doc_id, (({_STARTS.format('w', 'decid')} + {_STARTS.format('w', 'decision')}) > 0)::INT + ({_STARTS.format('w', 'licens')} > 0)::INT
  + ({_STARTS.format('w', 'thing')} > 0)::INT + ({_STARTS.format('w', 'passag')} > 0)::INT AS covered FROM w)
 SELECT doc_id, covered, round(covered / 4, 6) AS coverage FROM c WHERE covered >= 1""")
-def search_relaxed(t):
+def scan_relaxed(t):
     terms, need = Q.relaxed_terms(_QUESTION)
     assert (len(terms), need) == (4, 3)
     found = Q.relaxed(t("documents"), terms, need - 2, "text")  # one term is enough here, so that rows are found
@@ -176,7 +174,7 @@ _TF = "(len(list_filter(w, lambda x: x = '{0}')) + 4 * len(list_filter(h, lambda
 @query(rf"""WITH p AS ({_PAGES}), w AS (SELECT doc_id, {_WORDS.format('text')} AS w, {_WORDS.format('title')} AS h FROM p), c AS (SELECT doc_id, (len(w) + 4 * len(h))::DOUBLE AS n, {_TF.format('the')} AS a, {_TF.format('license')} AS b FROM w),
  s AS (SELECT count(*) AS docs, avg(n) AS mean, sum((a > 0)::INT) AS da, sum((b > 0)::INT) AS db FROM c)
 SELECT doc_id, round(ln(1 + (docs - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + ln(1 + (docs - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score FROM c, s WHERE a + b > 0""")
-def search_bm25(t):
+def scan_bm25(t):
     return Q.bm25(_pages(t), ["the", "license"], "doc_id", "text", "title").select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -557,19 +555,6 @@ def pricing_summary(t):
     )
 
 
-def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table, read as a stream of files and accepted into a ledger once each."""
-    run = folder(spark, "stream")
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = I.arrivals(spark, f"{sf_dir}/[e]vents.parquet", schema)
-    I.ingest(stream, f"{run}/ledger", f"{run}/progress", "event_id").awaitTermination()
-    return spark.read.parquet(f"{run}/ledger").select("event_id", "user_id", "event_type")
-
-
-QUERIES["stream_ingest"] = stream_ingest
-ORACLES["stream_ingest"] = "SELECT event_id, user_id, event_type FROM events"
-
-
 @query("SELECT event_type, count(*) AS n, sum((props->>'$.k')::INT)::BIGINT AS k_sum FROM events GROUP BY event_type")
 def json_extract(t):
     return t("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("props", "$.k").cast("int")).alias("k_sum"))

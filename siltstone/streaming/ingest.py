@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -14,19 +15,30 @@ def arrivals(spark: SparkSession, path: str, schema: StructType, files: int = 16
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def ingest(stream: DataFrame, ledger: str, checkpoint: str, *key: str) -> StreamingQuery:
-    """Append rows that the ledger at path ``ledger`` does not hold, each once.  A batch
-    that runs again after a failure finds its rows there and adds none."""
+#: Folders of a ledger, by hash of the key.
+BUCKETS = 32
 
-    def batch(rows: DataFrame, _: int) -> None:
+
+def ingest(stream: DataFrame, ledger: str, checkpoint: str, *key: str, valid: Column | None = None, quarantine: str | None = None, buckets: int = BUCKETS) -> StreamingQuery:
+    """Append rows that the ledger at path ``ledger`` does not hold, each once.  A batch that runs again after a failure
+    finds its rows there and adds none.  The ledger lies in folders by hash of the key, and a batch reads the keys of its
+    own folders alone.  With ``valid``, rows that are not go to ``quarantine``, a folder a batch."""
+
+    def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
+        if valid is not None:
+            fit = F.coalesce(valid, F.lit(False))
+            rows.where(~fit).write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+            rows = rows.where(fit)
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
         try:
             held = spark.read.schema(rows.schema).parquet(ledger)
-        except Exception as e:  # the ledger is made by the first batch
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:  # the ledger is made by the first batch
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             held = spark.createDataFrame([], rows.schema)
-        accept(rows, held, *key).write.mode("append").parquet(ledger)
+        own = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most ``buckets``
+        accept(rows, held.where(F.col("bucket").isin(own)), *key).write.mode("append").partitionBy("bucket").parquet(ledger)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
