@@ -29,17 +29,26 @@ def disagrees() -> Column:
     return (F.col("a.polarity") != F.col("b.polarity")) | (F.col("a.single") & (F.col("a.object") != F.col("b.object")))
 
 
-def conflicts(claims: DataFrame, parts: int = 1) -> DataFrame:
+#: Claims of a key that a task pairs with all of the key's, about.
+SPLIT = 2000
+
+
+def conflicts(claims: DataFrame, parts: int | None = None) -> DataFrame:
     """Pairs (a the older, b the newer) of one key whose intervals overlap and that disagree.  ``claims``: claim_id,
     claim_key, object, valid_from, valid_to, tier, confidence; polarity and single where there are such columns.
 
-    With ``parts`` above one the newer side is dealt out by a salt and the older repeated for each, so that the pairs
-    of a hot key, which grow with its square, are spread over that many tasks."""
+    The newer side is dealt out by a salt and the older repeated for each, so that the pairs of a hot key, which grow with
+    its square, are spread: over ``parts`` tasks, or by the key's own count over one for SPLIT claims."""
     for name, value in (("polarity", F.lit("positive")), ("single", F.lit(True))):
         if name not in claims.columns:
             claims = claims.withColumn(name, value)
-    a = claims.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).alias("a")
-    b = claims.withColumn("salt", F.pmod(F.xxhash64("claim_id"), F.lit(parts)).cast("int")).alias("b")
+    if parts is None:
+        big = claims.groupBy("claim_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT).select("claim_key", F.ceil(F.col("n") / SPLIT).cast("int").alias("_parts"))
+        salted = claims.join(big, "claim_key", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    else:
+        salted = claims.withColumn("_parts", F.lit(parts))
+    a = salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).alias("a")
+    b = salted.withColumn("salt", F.pmod(F.xxhash64("claim_id"), F.col("_parts")).cast("int")).alias("b")
     on = (F.col("a.claim_key") == F.col("b.claim_key")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.claim_id") < F.col("b.claim_id")) & disagrees() & overlaps("a", "b")
     return a.join(b, on)
 
@@ -65,7 +74,7 @@ def resolution(purged: Column | None = None) -> Column:
     )
 
 
-def enriched(claims: DataFrame, parts: int = 1) -> DataFrame:
+def enriched(claims: DataFrame, parts: int | None = None) -> DataFrame:
     """(claim_id, conflict): present where another claim of the key disagrees and may hold at the same time, unknown where
     the claim's own time isn't known, else none_observed.  An unknown start overlaps everything."""
     known = claims.withColumns({"valid_from": F.coalesce("valid_from", F.to_timestamp_ntz(F.lit("0001-01-01 00:00:00"))), "valid_to": F.when(F.col("valid_from").isNotNull(), F.col("valid_to"))})

@@ -33,7 +33,7 @@ from siltstone.operators.search import parse_query
 BUCKETS, LETTERS = 64, 2
 MANIFEST = "sequence long, batch string, kind string, segment string, n_docs long, n_words double"
 DOCS = "doc long, deleted boolean, words double"
-POSTING = "bucket int, term string, doc long, length int, words double, machine boolean, title_hash long, title array<int>, body array<int>"
+POSTING = "bucket int, term string, doc long, length int, words double, heads int, machine boolean, title_hash long, title array<int>, body array<int>"
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 
 
@@ -85,7 +85,7 @@ def _postings(docs: DataFrame, index: Index) -> DataFrame:
                     for i, w in enumerate(field):
                         at.setdefault(w, ([], []))[k].append(i)
                 n = len(fields[1]) + index.title_weight * len(fields[0])
-                out += [(w, doc, len(body), n, machine, hashed, t, b) for w, (t, b) in at.items()]
+                out += [(w, doc, len(body), n, len(fields[0]), machine, hashed, t, b) for w, (t, b) in at.items()]
                 if len(out) > 50_000:
                     yield _batch(out)
                     out = []
@@ -101,7 +101,7 @@ def title_hash(title: Column) -> Column:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.bool_(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())
+    types = pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())
     cols = list(zip(*rows, strict=True)) or [()] * len(types)
     names = [c.split()[0] for c in POSTING.split(", ")[1:]]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
@@ -24,11 +24,14 @@ ORDER = ("accepted_at", "event_id")
 
 
 def live(ledger: DataFrame, *record: str) -> DataFrame:
-    """Rows that are no tombstone and have no later tombstone of their record.  One
-    window over the record: no self-join, and a re-capture after a tombstone lives."""
+    """Rows that are no tombstone and have no later tombstone of their record; a re-capture after a tombstone lives.
+    Tombstones fold to one a record, and rows meet it without being sorted, so a record with very many rows is only a
+    skewed side of a join: broadcast while cutoffs are few, and else cut by Spark at run time."""
     order = F.struct(*ORDER)
-    last = F.max(F.when(F.col("deleted"), order)).over(Window.partitionBy(*record))
-    return ledger.withColumn("_t", last).where(~F.col("deleted") & (F.col("_t").isNull() | (order > F.col("_t")))).drop("_t")
+    cut = ledger.where("deleted").groupBy(*(F.col(r).alias(f"_k{i}") for i, r in enumerate(record))).agg(F.max(order).alias("_t"))
+    same = reduce(lambda x, y: x & y, (F.col(r).eqNullSafe(F.col(f"_k{i}")) for i, r in enumerate(record)))
+    met = ledger.where("NOT deleted").join(cut, same, "left").where(F.col("_t").isNull() | (order > F.col("_t")))
+    return met.select(*ledger.columns)
 
 
 def current(scoped: DataFrame, *record: str) -> DataFrame:
@@ -100,13 +103,6 @@ def upserted(index: DataFrame, batch: DataFrame, key: str, version: str) -> Data
     return both.groupBy(key).agg(F.max_by(F.struct(*both.columns), F.struct(version)).alias("r")).select("r.*")
 
 
-def rebuilt(documents: DataFrame, folder: str) -> str:
-    """Write a whole index beside the one in use and return its path; a reader moves over when it is complete."""
-    path = f"{folder.rstrip('/')}/index-{uuid.uuid4().hex}"
-    documents.write.parquet(path)
-    return path
-
-
 def numbered(rows: DataFrame, *order: str, start: int = 1, parts: int | None = None) -> DataFrame:
     """Adds ``number``: dense, in order (see ``scan``)."""
     return scan.numbered(rows, *order, start=start, parts=parts)

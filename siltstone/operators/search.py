@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.scalar import cosine, jaccard, tokens
+from siltstone.functions.scalar import cosine, folded, jaccard, tokens, unaccented
 
 #: Words that a relaxed question does not ask for, and those that a question starts with (fixed values).
 STOPWORDS = frozenset(
@@ -28,6 +29,11 @@ BELOW, SPOKEN, CONTENT, SHARE = 3, 3, 12, 0.6
 _WORD = re.compile(r"[^\W_]+")
 
 
+def plain(text: str) -> str:
+    """Lower case without marks, as documents are compared."""
+    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+
+
 def parse_query(query: str) -> list[tuple[str, bool]]:
     """Phrases and whether each is a prefix: quotes group, ``""`` is a quote inside
     them, operators and tokens without a letter or digit drop out."""
@@ -36,7 +42,7 @@ def parse_query(query: str) -> list[tuple[str, bool]]:
         text = quoted.replace('""', '"') if quoted else bare
         if not quoted and text in ("AND", "OR", "NOT", "NEAR"):
             continue
-        words = _WORD.findall(text.lower())
+        words = _WORD.findall(plain(text))
         if words:
             out.append((" ".join(words), not quoted and text.endswith("*")))
     return out
@@ -45,7 +51,7 @@ def parse_query(query: str) -> list[tuple[str, bool]]:
 def spans(text: Column, phrase: str, prefix: bool = False) -> Column:
     """Matches of a phrase as whole words, or of words that begin with it.  Neighbours share the mark between them, so
     only looks ahead and behind stand at the ends."""
-    return F.regexp_count(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}]){_form(phrase, prefix)}"))
+    return F.regexp_count(unaccented(F.lower(text)), F.lit(rf"(?<![\p{{L}}\p{{N}}]){_form(phrase, prefix)}"))
 
 
 def _form(phrase: str, prefix: bool) -> str:
@@ -82,7 +88,7 @@ def snippet(text: Column, terms: list[str], around: int = 160) -> Column:
 
 def is_question(query: str) -> bool:
     """Three words or more that end in a question mark or start like a question; quotes and stars ask for the literal words."""
-    spoken = _WORD.findall(query.lower())
+    spoken = _WORD.findall(plain(query))
     return not re.search(r'["*]', query) and len(spoken) >= SPOKEN and (query.rstrip().endswith("?") or spoken[0] in LEADS)
 
 
@@ -101,7 +107,7 @@ def _term(word: str) -> tuple[str, ...]:
 def relaxed_terms(question: str) -> tuple[list[tuple[str, ...]], int]:
     """What a question asks for, each term as its forms, and how many of them a document needs; none where the query is
     no question, has no content word, or more than CONTENT."""
-    content = list(dict.fromkeys(w for w in _WORD.findall(question.lower()) if len(w) > 1 and w not in STOPWORDS)) if is_question(question) else []
+    content = list(dict.fromkeys(w for w in _WORD.findall(plain(question)) if len(w) > 1 and w not in STOPWORDS)) if is_question(question) else []
     if not 0 < len(content) <= CONTENT:
         return [], 0
     terms = list(dict.fromkeys(map(_term, content)))
@@ -115,7 +121,7 @@ def relaxed(docs: DataFrame, terms: list[tuple[str, ...]], need: int, body: str)
     forms = lambda term: "|".join(_form(f.rstrip("*"), f.endswith("*")) for f in term)
     held = lambda term: F.rlike("_low", F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{forms(term)})"))
     covered = sum((held(t).cast("int") for t in terms), F.lit(0))
-    return docs.withColumn("_low", F.lower(body)).withColumn("covered", covered).drop("_low").where(F.col("covered") >= need).withColumn("coverage", F.col("covered") / len(terms))
+    return docs.withColumn("_low", unaccented(F.lower(body))).withColumn("covered", covered).drop("_low").where(F.col("covered") >= need).withColumn("coverage", F.col("covered") / len(terms))
 
 
 def search(docs: DataFrame, query: str, title: str, body: str, key: str, limit: int = 20, ledger: Column | None = None, bounded: bool = False) -> tuple[DataFrame, list[str]]:
@@ -254,14 +260,10 @@ def absent(index: DataFrame, gone: DataFrame, key: str, provenance: str) -> Data
     return index.join(kept, key, "left_anti")
 
 
-def folded_label(label: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.upper(label)), r"\s+", " "))
-
-
 def label_matches(labels: DataFrame, query: str, key: str, label: str, after: int | None = None, page: int = 32) -> DataFrame:
-    """A page of rows whose folded label holds the folded query, behind a key."""
-    want = " ".join(query.upper().lower().split())
-    found = labels.where(F.contains(folded_label(F.col(label)), F.lit(want)))
+    """A page of rows whose folded label holds the folded query, behind a key.  Full-width and like forms are plain letters."""
+    want = " ".join(unicodedata.normalize("NFKC", query).upper().lower().split())
+    found = labels.where(F.contains(folded(F.col(label)), F.lit(want)))
     found = found if after is None else found.where(F.col(key) > after)
     return found.orderBy(key).limit(page)
 

@@ -134,7 +134,7 @@ def rate_window(t):
     return P.rate(t("events"), "user_id", "ts", 3600, 2).select("event_id", "n_window", "limited", F.coalesce("retry_after", F.lit(0)).alias("retry_after"))
 
 
-_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
+_WORDS = r"regexp_extract_all(strip_accents(lower({0})), '[\p{{L}}\p{{N}}]+')"
 _N = "len(list_filter({0}, lambda x: x = '{1}'))"
 _STARTS = "len(list_filter({0}, lambda x: starts_with(x, '{1}')))"
 # a document's first line is its title, the rest its body; some are pages that a machine wrote
@@ -243,7 +243,9 @@ def search_eval_metrics(t):
     rare = asked.join(counts, "w").withColumn("k", F.row_number().over(Window.partitionBy("item_id").orderBy("df", "w"))).where("k <= 8").select("item_id", "w")
     met = words.join(rare, "w").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("s"))
     found = met.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("s"), "doc_id")))
-    held = found.join(items.withColumnRenamed("text", "passage"), "item_id").join(docs, "doc_id").where(F.contains("text", "passage")).groupBy("item_id").agg(F.min("rank").alias("rank"))
+    # a document that holds the passage holds all of its words: only such are looked at, and their texts with them
+    whole = found.join(rare.groupBy("item_id").agg(F.count(F.lit(1)).alias("all")), "item_id").where(F.col("s") == F.col("all"))
+    held = whole.join(items.withColumnRenamed("text", "passage"), "item_id").join(docs, "doc_id").where(F.contains("text", "passage")).groupBy("item_id").agg(F.min("rank").alias("rank"))
     ranks = items.join(held, "item_id", "left").withColumn("kind", F.when(F.length("text") > 200, "long").otherwise("short"))
     m = Q.eval_metrics(ranks, "kind", "rank")
     return m.select("kind", "n", *(F.round(c, 6).alias(c) for c in ("hit_1", "hit_5", "hit_20", "abstained", "mrr")))
@@ -325,7 +327,7 @@ def _claims(t):
 
 @query(f"WITH c AS ({_CLAIMS}) SELECT a.claim_id AS old_id, b.claim_id AS new_id FROM c a JOIN c b ON {_PAIR}")
 def claim_conflicts(t):
-    return C.conflicts(_claims(t), parts=4).select(F.col("a.claim_id").alias("old_id"), F.col("b.claim_id").alias("new_id"))
+    return C.conflicts(_claims(t)).select(F.col("a.claim_id").alias("old_id"), F.col("b.claim_id").alias("new_id"))
 
 
 # a the live claim, b the incoming one: who comes later, and by how much the winner's confidence is the greater
@@ -460,7 +462,8 @@ _SECRET = r"""(?i)(secret|token|passw(or)?d|api[ _-]?key|private[ _-]?key|creden
 
 @query(rf"""SELECT doc_id, len(regexp_extract_all(text, '[0-9a-f]{{40}}')) AS n_hex, regexp_matches(text, '{_SECRET}') AS has_secret FROM documents""")
 def redact_counts(t):
-    hit = F.rlike("text", F.lit(S.CREDENTIALS["secret_assignment"][0]))
+    named = [p for kind, p, _ in S.CREDENTIALS if kind == "secret_assignment"]
+    hit = F.rlike("text", F.lit(named[0])) | F.rlike("text", F.lit(named[1])) | F.rlike("text", F.lit(named[2]))
     return t("documents").select("doc_id", F.regexp_count("text", F.lit("[0-9a-f]{40}")).cast("long").alias("n_hex"), hit.alias("has_secret"))
 
 

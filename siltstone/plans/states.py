@@ -93,12 +93,17 @@ def page_offset(t):
     return t("events").orderBy("ts", "event_id").offset(200).limit(50).select("event_id")
 
 
-@query("SELECT event_id, true AS more FROM events WHERE user_id = 3 ORDER BY ts, event_id LIMIT 20")
+@query("""WITH p AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY user_id) AS all_rows FROM events WHERE user_id IN (3, 5))
+SELECT user_id, event_id, all_rows > 20 AS more FROM p WHERE user_id = 3 AND n <= 20 UNION ALL SELECT user_id, event_id, all_rows > 1000000 FROM p WHERE user_id = 5 AND n <= 1000000""")
 def page_sentinel(t):
-    """A page, and whether a row behind it was found."""
-    rows = t("events").where("user_id = 3").orderBy("ts", "event_id").limit(21)
-    more = rows.agg((F.count(F.lit(1)) > 20).alias("more"))
-    return rows.orderBy("ts", "event_id").limit(20).crossJoin(F.broadcast(more)).select("event_id", "more")
+    """Pages of two lists, and whether a row behind them was found: there is one behind the first."""
+
+    def page(user, size):
+        rows = t("events").where(F.col("user_id") == user).orderBy("ts", "event_id").limit(size + 1)
+        more = rows.agg((F.count(F.lit(1)) > size).alias("more"))
+        return rows.orderBy("ts", "event_id").limit(size).crossJoin(F.broadcast(more)).select("user_id", "event_id", "more")
+
+    return page(3, 20).unionByName(page(5, 1_000_000))
 
 
 # --- scopes and policy ---
@@ -154,20 +159,20 @@ def valid_time_modes(t):
     return span.unionByName(W.valid_at(rows, unknown=True).select("claim_id", F.lit("unknown").alias("how")))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 > 0 AND o_orderpriority IN ('1-URGENT', '5-LOW') AND o_orderdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1998-01-01'")
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 11 > 0 AND o_orderkey % 3 > 0 AND o_orderpriority IN ('1-URGENT', '5-LOW') AND o_orderdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1998-01-01'")
 def claim_type_policy(t):
-    rows = t("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 11 > 0, F.col("o_orderkey") % 3 > 0).otherwise(F.col("o_orderkey") % 3 > 0).alias("typed"), F.col("o_orderpriority").alias("kind"), F.col("o_orderdate").alias("asserted_at"))
+    rows = t("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 11 > 0, F.col("o_orderkey") % 3 > 0).alias("typed"), F.col("o_orderpriority").alias("kind"), F.col("o_orderdate").alias("asserted_at"))
     return W.typed(rows, ("1-URGENT", "5-LOW"), "1997-01-01 00:00:00", "1998-01-01 00:00:00").select("o_orderkey")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 AND o_orderkey % 3 = 0 THEN 4 WHEN intent = 4 THEN 4 ELSE base END AS tier, CASE WHEN single THEN 0.5 ELSE 1 END::DOUBLE AS cap FROM (SELECT o_orderkey, o_orderkey % 3 = 0 AS fix,
- CASE WHEN o_orderkey % 3 = 0 THEN 4 ELSE 0 END AS intent, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 4 = 0 AND o_orderkey % 5 = 0 THEN true WHEN o_orderkey % 3 <> 0 AND o_orderkey % 4 IN (1, 3) AND o_orderkey % 5 = 0 THEN true ELSE false END AS single,
- CASE WHEN o_orderkey % 4 = 2 THEN 3 WHEN o_orderkey % 5 = 0 THEN 1 WHEN o_orderkey % 4 = 0 THEN 2 WHEN o_orderkey % 7 = 0 THEN 2 ELSE 1 END AS base FROM orders)""")
+@query("""WITH b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 4 WHEN o_orderkey % 4 = 2 THEN 3 WHEN o_orderkey % 4 = 0 THEN 2 WHEN o_orderkey % 7 = 0 THEN 2 ELSE 1 END AS base FROM orders),
+ s AS (SELECT *, base < 3 AND k % 5 = 0 AND k % 13 <> 0 AND k % 6 <> 1 AS single FROM b)
+SELECT k AS o_orderkey, CASE WHEN single THEN 1 ELSE base END AS tier, CASE WHEN single THEN 0.5 ELSE 1 END::DOUBLE AS cap FROM s""")
 def claim_authority(t):
     k = F.col("o_orderkey")
     producer = F.when(k % 4 == 0, "connector").when(k % 4 == 1, "model").when(k % 4 == 2, "owner").otherwise("agent:x")
     taints = F.when(k % 5 == 0, F.array(F.lit("untrusted"))).otherwise(F.array(F.lit("owner"), F.lit("quoted")))
-    a = C.authority(F.when(k % 3 == 0, "correct").otherwise("propose"), producer, k % 7 == 0, taints, F.array(F.lit("c")), F.lit(False))
+    a = C.authority(F.when(k % 3 == 0, "correct").otherwise("propose"), producer, k % 7 == 0, taints, F.when(k % 6 == 1, F.array(F.lit("c"), F.lit("d"))).otherwise(F.array(F.lit("c"), F.lit("c"))), k % 13 == 0)
     return t("orders").select("o_orderkey", a["tier"].alias("tier"), a["cap"].alias("cap"))
 
 
@@ -184,7 +189,7 @@ def commitment_overdue(t):
     return t("orders").select("o_orderkey", W.deadline(due).alias("deadline"), W.overdue(F.array(due, due), _at("1998-06-01 08:00:00")).alias("overdue"))
 
 
-_SAID = "SELECT o_custkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'done' ELSE 'dropped' END AS status, o_orderkey % 7 = 0 AS owner, o_orderkey % 5 > 0 AS asserted FROM orders WHERE o_orderkey % 4 = 0"
+_SAID = "SELECT o_custkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'done' ELSE 'dropped' END AS status, o_orderkey % 7 = 0 AS owner, o_orderkey % 5 > 0 AS asserted FROM orders"
 
 
 @query(f"""WITH s AS ({_SAID}), g AS (SELECT o_custkey, bool_or(status = 'open' AND asserted AND owner) AS oo, bool_or(status = 'dropped' AND asserted AND owner) AS od, bool_or(status = 'done' AND asserted AND owner) AS odone, bool_or(status = 'open' AND asserted) AS o, bool_or(status = 'dropped' AND asserted) AS dr,
@@ -192,7 +197,7 @@ _SAID = "SELECT o_custkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN
 SELECT o_custkey, CASE WHEN oo THEN 'open' WHEN od THEN 'dropped' WHEN odone AND NOT dr AND NOT o THEN 'done' WHEN n = 1 AND dr THEN 'dropped' WHEN done THEN 'claimed_done' ELSE 'open' END AS status, n > 1 AS uncertain FROM g""")
 def commitment_status(t):
     k, s = F.col("o_orderkey"), F.col("o_orderstatus")
-    rows = t("orders").where("o_orderkey % 4 = 0").select("o_custkey", F.when(s == "O", "open").when(s == "F", "done").otherwise("dropped").alias("status"), (k % 7 == 0).alias("owner"), (k % 5 > 0).alias("asserted"))
+    rows = t("orders").select("o_custkey", F.when(s == "O", "open").when(s == "F", "done").otherwise("dropped").alias("status"), (k % 7 == 0).alias("owner"), (k % 5 > 0).alias("asserted"))
     return W.commitment_status(rows, "o_custkey")
 
 
@@ -248,11 +253,11 @@ def learning_assistance(t):
     return W.assistance(facets, evidence)
 
 
-_STAGE = """SELECT event_id % 900 AS task, user_id % 2 AS environment, CASE WHEN event_id % 3 = 0 THEN 'reported' WHEN event_id % 3 = 1 THEN 'observed' ELSE 'reviewed' END AS stage, CASE WHEN event_id % 3 = 1 THEN CASE WHEN value > 20 THEN 'met' ELSE 'not_met' END WHEN value > 20 THEN 'accepted' ELSE 'rejected' END AS result,
+_STAGE = """SELECT event_id // 12 AS task, user_id % 2 AS environment, CASE WHEN event_id % 3 = 0 THEN 'reported' WHEN event_id % 3 = 1 THEN 'observed' ELSE 'reviewed' END AS stage, CASE WHEN event_id % 3 = 1 THEN CASE WHEN value > 20 THEN 'met' ELSE 'not_met' END WHEN value > 20 THEN 'accepted' ELSE 'rejected' END AS result,
  user_id AS root, ts AS seen, value > 400 AS confounded FROM events"""
 
 
-@query(f"""WITH e AS (SELECT * REPLACE (CASE WHEN stage = 'reported' THEN task // 3 ELSE task // 3 END AS task) FROM ({_STAGE})), r AS (SELECT task, environment, list(DISTINCT root) AS roots, bool_or(confounded) AS blurred FROM e WHERE stage = 'reported' GROUP BY ALL),
+@query(f"""WITH e AS ({_STAGE}), r AS (SELECT task, environment, list(DISTINCT root) AS roots, bool_or(confounded) AS blurred FROM e WHERE stage = 'reported' GROUP BY ALL),
  o AS (SELECT e.*, r.roots FROM e JOIN r USING (task, environment) WHERE stage <> 'reported' AND NOT list_contains(roots, root)),
  s AS (SELECT task, environment, arg_max(result, (seen, root)) FILTER (stage = 'observed') AS ob, arg_max(result, (seen, root)) FILTER (stage = 'reviewed') AS re, bool_or(result IN ('not_met', 'rejected')) AS neg, bool_or(confounded) AS blur2 FROM o GROUP BY ALL)
 SELECT task, environment, CASE WHEN NOT blurred AND NOT coalesce(blur2, false) AND re = 'accepted' AND ob = 'met' AND NOT neg THEN 'met' WHEN NOT blurred AND NOT coalesce(blur2, false) AND ob = 'not_met' AND re = 'rejected' THEN 'not_met' ELSE 'unknown' END AS result FROM r LEFT JOIN s USING (task, environment)""")
@@ -261,20 +266,20 @@ def outcome_evaluation(t):
     stage = F.when(e % 3 == 0, "reported").when(e % 3 == 1, "observed").otherwise("reviewed")
     good = F.col("value") > 20
     result = F.when(e % 3 == 1, F.when(good, "met").otherwise("not_met")).otherwise(F.when(good, "accepted").otherwise("rejected"))
-    rows = t("events").select(F.floor(e % 900 / 3).alias("task"), (F.col("user_id") % 2).alias("environment"), stage.alias("stage"), result.alias("result"), F.col("user_id").alias("root"), F.col("ts").alias("at"), (F.col("value") > 400).alias("confounded"))
+    rows = t("events").select(F.floor(e / 12).alias("task"), (F.col("user_id") % 2).alias("environment"), stage.alias("stage"), result.alias("result"), F.col("user_id").alias("root"), F.col("ts").alias("at"), (F.col("value") > 400).alias("confounded"))
     return W.outcomes(rows, "task", "environment")
 
 
-_DUES = "SELECT o_orderkey // 6 AS item, CASE WHEN o_orderkey % 17 > 0 THEN date_trunc('year', o_orderdate) END AS due, o_orderkey % 23 = 0 AS settled FROM orders WHERE o_orderkey % 3 = 0"
+_DUES = "SELECT o_orderkey // 2 AS item, CASE WHEN o_orderkey % 17 > 0 THEN date_trunc('year', o_orderdate) END AS due, o_orderkey % 23 = 0 AS settled FROM orders"
 _BASIS = f"""WITH own AS (SELECT item, count(DISTINCT due) AS n, min(due) AS due, bool_or(settled) AS settled, bool_or(due IS NULL) AS open FROM ({_DUES}) GROUP BY item), sure AS (SELECT * FROM own WHERE n = 1 AND NOT open),
- need AS (SELECT p.item, max(s.due) AS latest, bool_or(s.due IS NULL) AS vague FROM (SELECT DISTINCT l_orderkey // 6 AS item, l_partkey AS needs FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 30 = 0) p LEFT JOIN sure s ON s.item = p.needs GROUP BY 1),
+ need AS (SELECT p.item, max(s.due) AS latest, bool_or(s.due IS NULL) AS vague FROM (SELECT l_orderkey // 2 AS item, min(l_partkey) AS needs FROM lineitem GROUP BY 1) p LEFT JOIN sure s ON s.item = p.needs GROUP BY 1),
  f AS (SELECT sure.item, sure.due, CASE WHEN latest > sure.due THEN 0.25 ELSE 0.5 END::DOUBLE AS probability FROM sure LEFT JOIN need USING (item) WHERE NOT settled AND NOT coalesce(vague, false))"""
 
 
 def _forecasts(t):
     k = F.col("o_orderkey")
-    dues = t("orders").where("o_orderkey % 3 = 0").select(F.floor(k / 6).alias("item"), F.when(k % 17 > 0, F.date_trunc("year", "o_orderdate").cast("timestamp_ntz")).alias("due"), (k % 23 == 0).alias("settled"))
-    needs = t("lineitem").where("l_linenumber = 1 AND l_partkey % 30 = 0").select(F.floor(F.col("l_orderkey") / 6).alias("item"), F.col("l_partkey").alias("needs")).distinct()
+    dues = t("orders").select(F.floor(k / 2).alias("item"), F.when(k % 17 > 0, F.date_trunc("year", "o_orderdate").cast("timestamp_ntz")).alias("due"), (k % 23 == 0).alias("settled"))
+    needs = t("lineitem").groupBy(F.floor(F.col("l_orderkey") / 2).alias("item")).agg(F.min("l_partkey").alias("needs"))
     return W.forecasts(dues, needs)
 
 
@@ -283,23 +288,23 @@ def forecast_basis(t):
     return _forecasts(t)
 
 
-@query(f"""{_BASIS}, e AS (SELECT o_orderkey // 6 AS item, o_orderdate AS seen, o_orderdate - INTERVAL 30 DAY AS done_at, CASE o_orderkey % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'dropped' WHEN 2 THEN 'met' ELSE 'not_met' END AS what FROM orders WHERE o_orderkey % 6 < 4),
+@query(f"""{_BASIS}, e AS (SELECT o_orderkey // 2 AS item, o_orderdate AS seen, o_orderdate - INTERVAL 30 DAY AS done_at, CASE o_orderkey % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'dropped' WHEN 2 THEN 'met' ELSE 'not_met' END AS what FROM orders),
  r AS (SELECT f.item, e.seen, CASE WHEN what = 'dropped' THEN 'censored' WHEN what = 'done' AND done_at <= seen THEN CASE WHEN done_at <= due THEN 'resolved_met' ELSE 'resolved_not_met' END WHEN what = 'met' AND seen <= due THEN 'resolved_met' END AS said FROM f LEFT JOIN e ON e.item = f.item AND e.seen >= f.due - INTERVAL 400 DAY)
 SELECT item AS forecast_id, coalesce(arg_min(said, (seen, said)) FILTER (said IS NOT NULL), 'open') AS status, min(seen) FILTER (said IS NOT NULL) AS resolved_at FROM r GROUP BY item""")
 def forecast_resolution(t):
     k = F.col("o_orderkey")
     made = _forecasts(t).select(F.col("item").alias("forecast_id"), "item", "due", F.expr("due - INTERVAL 400 DAY AS frozen_at"))
     what = F.when(k % 4 == 0, "done").when(k % 4 == 1, "dropped").when(k % 4 == 2, "met").otherwise("not_met")
-    evidence = t("orders").where("o_orderkey % 6 < 4").select(F.floor(k / 6).alias("item"), F.col("o_orderdate").alias("at"), F.expr("o_orderdate - INTERVAL 30 DAY AS done_at"), what.alias("what"))
+    evidence = t("orders").select(F.floor(k / 2).alias("item"), F.col("o_orderdate").alias("at"), F.expr("o_orderdate - INTERVAL 30 DAY AS done_at"), what.alias("what"))
     return W.forecast_resolution(made, evidence)
 
 
 @query("""SELECT o_orderkey, cue FROM (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'blocker' WHEN '2-HIGH' THEN 'due' WHEN '3-MEDIUM' THEN 'uncertainty' ELSE 'stale' END AS cue, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 ELSE 4 END AS r FROM orders
- WHERE o_orderstatus = 'P' AND o_orderkey % 500 = 7 AND o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 AND o_orderdate + INTERVAL 900 DAY > TIMESTAMP '1999-06-01')) ORDER BY r, o_orderkey LIMIT 16""")
+ WHERE o_orderstatus = 'P' AND o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 AND o_orderdate + INTERVAL 900 DAY > TIMESTAMP '1999-06-01')) ORDER BY r, o_orderkey LIMIT 16""")
 def attention_snooze(t):
     p = F.col("o_orderpriority")
     cue = F.when(p == "1-URGENT", "blocker").when(p == "2-HIGH", "due").when(p == "3-MEDIUM", "uncertainty").otherwise("stale")
-    cues = t("orders").where("o_orderstatus = 'P' AND o_orderkey % 500 = 7").select("o_orderkey", cue.alias("cue"))
+    cues = t("orders").where("o_orderstatus = 'P'").select("o_orderkey", cue.alias("cue"))
     snoozed = t("orders").where("o_orderkey % 3 = 0").select("o_orderkey", F.expr("o_orderdate + INTERVAL 900 DAY AS until"))
     return W.attention(cues, snoozed, _at("1999-06-01 00:00:00"), "o_orderkey").select("o_orderkey", "cue")
 
@@ -335,14 +340,18 @@ def graph_visible(t):
     return G.visible(_edges(t), nodes, 1).groupBy("src").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH e AS ({_EDGES}) SELECT DISTINCT src FROM e WHERE (-1 - dst) % 40 = 3 AND (-1 - dst) < 200")
+@query(f"WITH e AS ({_EDGES}) SELECT DISTINCT src FROM e WHERE (-1 - dst) % 40 = 3")
 def graph_affected(t):
-    return G.affected(_edges(t), t("part").where("p_partkey % 40 = 3 AND p_partkey < 200").select((-1 - F.col("p_partkey")).alias("dst")))
+    return G.affected(_edges(t), t("part").where("p_partkey % 40 = 3").select((-1 - F.col("p_partkey")).alias("dst")))
 
 
-@query(f"WITH e AS ({_EDGES}), b AS (SELECT src AS node, dst AS next FROM e UNION ALL SELECT dst, src FROM e), h AS (SELECT 7 AS node UNION SELECT next FROM b WHERE node = 7) SELECT src, dst, true AS truncated FROM e WHERE src IN (SELECT node FROM h) OR dst IN (SELECT node FROM h) ORDER BY src, dst LIMIT 100")
+@query(f"""WITH e AS ({_EDGES}), b AS (SELECT src AS node, dst AS next FROM e UNION ALL SELECT dst, src FROM e), h AS (SELECT 7 AS node UNION SELECT next FROM b WHERE node = 7), m AS (SELECT DISTINCT src, dst FROM e WHERE src IN (SELECT node FROM h) OR dst IN (SELECT node FROM h)), n AS (SELECT count(*) AS n FROM m)
+(SELECT 100 AS most, src, dst, n > 100 AS truncated FROM m, n ORDER BY src, dst LIMIT 100) UNION ALL (SELECT 10000000, src, dst, n > 10000000 FROM m, n)""")
 def graph_walk_edges(t):
-    return G.walked_edges(_edges(t), t("supplier").where("s_suppkey = 7").select(F.col("s_suppkey").alias("node")), 2, 100)
+    """The same walk within a bound that it fills and one that it doesn't."""
+    start = t("supplier").where("s_suppkey = 7").select(F.col("s_suppkey").alias("node"))
+    walk = lambda most: G.walked_edges(_edges(t), start, 2, most).select(F.lit(most).alias("most"), "src", "dst", "truncated")
+    return walk(100).unionByName(walk(10_000_000))
 
 
 _RING = """SELECT p_partkey AS src, p_partkey // 10 * 10 + (p_partkey % 10 * 3 + 1) % 10 AS dst, make_timestamp(2024, 1, 1 + (p_partkey % 7)::INT, 0, 0, 0) AS f, CASE WHEN p_partkey % 3 > 0 THEN make_timestamp(2024, 1, 4 + (p_partkey % 9)::INT, 0, 0, 0) ELSE TIMESTAMP '9999-12-31' END AS t FROM part"""
@@ -371,22 +380,22 @@ def identity_clusters(t):
     return G.identities(one.unionByName(row(k, F.floor(k / 4) * 4, F.lit(True), F.lit(False), F.lit(1000).cast("long")).where("a % 5 > 0")))
 
 
-@query("""WITH RECURSIVE s AS (SELECT DISTINCT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey AS support, l_orderkey AS claim, CASE WHEN l_linenumber % 5 = 0 THEN 'dependent' WHEN l_partkey % 40 = 0 THEN 'unknown' ELSE 'independent' END AS derived, l_suppkey % 9 AS p1, 100 + l_partkey % 7 AS p2 FROM lineitem WHERE l_orderkey % 5 = 0),
+@query("""WITH RECURSIVE s AS (SELECT DISTINCT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey AS support, l_orderkey AS claim, CASE WHEN l_linenumber % 5 = 0 THEN 'dependent' WHEN l_partkey % 40 = 0 THEN 'unknown' ELSE 'independent' END AS derived, l_suppkey % 9 AS p1, 100 + l_partkey % 7 AS p2 FROM lineitem),
  i AS (SELECT * FROM s WHERE derived = 'independent'), q AS (SELECT claim, support, p1 AS p FROM i UNION ALL SELECT claim, support, p2 FROM i), g AS (SELECT DISTINCT a.support AS x, b.support AS y FROM q a JOIN q b ON a.claim = b.claim AND a.p = b.p), r(node, seen) AS (SELECT DISTINCT support, support FROM i UNION SELECT g.y, r.seen FROM r JOIN g ON g.x = r.node),
  l AS (SELECT node, min(seen) AS c FROM r GROUP BY node), n AS (SELECT claim, count(DISTINCT c) AS n FROM i JOIN l ON node = support GROUP BY claim)
 SELECT claim, coalesce(any_value(n.n), 0) AS n_roots, CASE WHEN bool_or(derived = 'unknown') THEN 'unknown' ELSE 'known' END AS status FROM s LEFT JOIN n USING (claim) GROUP BY claim""")
 def support_lineage(t):
-    s = t("lineitem").where("l_orderkey % 5 = 0").select((((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")).alias("support"), F.col("l_orderkey").alias("claim"), F.when(F.col("l_linenumber") % 5 == 0, "dependent").when(F.col("l_partkey") % 40 == 0, "unknown").otherwise("independent").alias("derived"), (F.col("l_suppkey") % 9).alias("p1"), (100 + F.col("l_partkey") % 7).alias("p2")).distinct()
+    s = t("lineitem").select((((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")).alias("support"), F.col("l_orderkey").alias("claim"), F.when(F.col("l_linenumber") % 5 == 0, "dependent").when(F.col("l_partkey") % 40 == 0, "unknown").otherwise("independent").alias("derived"), (F.col("l_suppkey") % 9).alias("p1"), (100 + F.col("l_partkey") % 7).alias("p2")).distinct()
     return G.lineage(s.select("support", "claim", "derived"), s.select("support", F.explode(F.array("p1", "p2")).alias("print")))
 
 
 @query("""WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey * 3 + 1 AS dst FROM part UNION ALL SELECT p_partkey, p_partkey * 2 + 5 FROM part), r(node, hops) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, hops + 1 FROM r JOIN e ON e.src = r.node WHERE hops < 5), b AS (SELECT node, min(hops)::INT AS hops FROM r GROUP BY node)
-SELECT node, hops, max(l_quantity) AS cost FROM b LEFT JOIN lineitem ON l_partkey = node AND l_linenumber = 1 GROUP BY node, hops""")
+SELECT node, hops, max(l_quantity) AS cost FROM b LEFT JOIN lineitem ON l_partkey = node GROUP BY node, hops""")
 def requires_impact(t):
     p = F.col("p_partkey")
     edges = t("part").select(p.alias("src"), F.explode(F.array(p * 3 + 1, p * 2 + 5)).alias("dst"))
     reached = G.reach(edges, t("part").where("p_partkey = 1").select(p.alias("node")), 5)
-    return G.impacts(reached, t("lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("node"), F.col("l_quantity").alias("cost"))).select("node", "hops", "cost")
+    return G.impacts(reached, t("lineitem").select(F.col("l_partkey").alias("node"), F.col("l_quantity").alias("cost"))).select("node", "hops", "cost")
 
 
 # --- the later steps of retrieval ---
@@ -410,7 +419,7 @@ def label_page(t):
     return Q.label_matches(t("part"), "E", "p_partkey", "p_name", after=100).select("p_partkey", "p_name")
 
 
-@query(f"WITH s AS (SELECT c_custkey, len(list_intersect(list_distinct({_WORDS.format('c_mktsegment')}), ['building', 'machinery', 'task'])) + (c_nationkey = 99)::INT AS overlap FROM customer) SELECT c_custkey, overlap FROM s WHERE overlap > 0")
+@query(f"WITH s AS (SELECT c_custkey, len(list_intersect(list_distinct({_WORDS.format('c_mktsegment')}), ['building', 'machinery', 'task'])) AS overlap FROM customer) SELECT c_custkey, overlap FROM s WHERE overlap > 0")
 def slice_relevance(t):
     return Q.slice_relevance(t("customer"), "task Building machinery", "c_mktsegment", "c_custkey").select("c_custkey", F.col("overlap").cast("long").alias("overlap"))
 
@@ -424,22 +433,22 @@ def claim_relevance(t):
 _NEAR = "SELECT id, rank, similarity FROM (SELECT vec_id AS id, s AS similarity, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS s FROM embeddings)) WHERE rank <= 100"
 
 
-@query(f"""WITH c AS ({_NEAR}), e AS (SELECT vec_id AS src, vec_id * 7 % 500 AS dst FROM embeddings UNION ALL SELECT vec_id, vec_id * 3 % 500 FROM embeddings UNION ALL SELECT vec_id, (vec_id + 1) % 500 FROM embeddings), b AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst),
+@query(f"""WITH c AS ({_NEAR}), z AS (SELECT count(*) AS z FROM embeddings), e AS (SELECT vec_id AS src, vec_id * 7 % z AS dst FROM embeddings, z UNION ALL SELECT vec_id, vec_id * 3 % z FROM embeddings, z UNION ALL SELECT vec_id, (vec_id + 1) % z FROM embeddings, z), b AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst),
  n AS (SELECT src AS id, count(*) AS n FROM b WHERE src IN (SELECT id FROM c) AND dst IN (SELECT id FROM c) GROUP BY src) SELECT id, coalesce(n, 0) AS neighbours, round(similarity * CASE WHEN coalesce(n, 0) >= 2 THEN 1.1::DOUBLE ELSE 1 END, 6) AS score FROM c LEFT JOIN n USING (id)""")
 def adjacency_boost(t):
-    v = F.col("vec_id")
-    edges = t("embeddings").select(v.alias("src"), F.explode(F.array(v * 7 % 500, v * 3 % 500, (v + 1) % 500)).alias("dst"))
+    v, z = F.col("vec_id"), t("embeddings").count()
+    edges = t("embeddings").select(v.alias("src"), F.explode(F.array(v * 7 % z, v * 3 % z, (v + 1) % z)).alias("dst"))
     boosted = Q.adjacency_boost(_similar(t, 100).withColumn("score", F.col("similarity")), edges, "id", "score")
     return boosted.select("id", "neighbours", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH c AS (SELECT conv_id AS id, turn AS chunk, role AS kind, text, (conv_id * 31 + turn * 17) % 101 AS score, turn % 9 = 8 AS corrected, list_distinct({_WORDS.format('text')}) AS t FROM conversations WHERE conv_id < 60),
+@query(f"""WITH c AS (SELECT conv_id AS id, turn AS chunk, role AS kind, text, (conv_id * 31 + turn * 17) % 101 AS score, turn % 9 = 8 AS corrected, list_distinct({_WORDS.format('text')}) AS t FROM conversations),
  d AS (SELECT DISTINCT b.id, b.chunk FROM c a JOIN c b ON a.id = b.id AND (a.score > b.score OR (a.score = b.score AND a.chunk < b.chunk)) WHERE len(list_intersect(a.t, b.t)) >= 0.85::DOUBLE * len(list_distinct(list_concat(a.t, b.t))) AND len(a.t) + len(b.t) > 0),
  p AS (SELECT * FROM c WHERE (id, chunk) NOT IN (SELECT id, chunk FROM d)), k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY kind ORDER BY score DESC, -chunk DESC, id) <= (SELECT ceil(count(*) * 0.6) FROM c)),
  x AS (SELECT * FROM c WHERE corrected AND id NOT IN (SELECT id FROM k WHERE corrected) QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, chunk) = 1) SELECT id, chunk, score FROM k UNION ALL SELECT id, chunk, score FROM x""")
 def layered_dedup(t):
     i, n = F.col("conv_id"), F.col("turn")
-    rows = t("conversations").where("conv_id < 60").select(i.alias("id"), n.alias("chunk"), F.col("role").alias("kind"), "text", ((i * 31 + n * 17) % 101).alias("score"), (n % 9 == 8).alias("corrected"))
+    rows = t("conversations").select(i.alias("id"), n.alias("chunk"), F.col("role").alias("kind"), "text", ((i * 31 + n * 17) % 101).alias("score"), (n % 9 == 8).alias("corrected"))
     return Q.layered(rows).select("id", "chunk", "score")
 
 

@@ -29,13 +29,13 @@ def _whole(text: Column) -> Column:
 
 def supported(rule: Column) -> Column:
     """Whether each part is known and means something for its frequency: positions of weekdays by month or year only,
-    days of the month not by day or week, no other parts by day."""
-    known = F.forall(F.split(rule, ";"), lambda p: F.rlike(p, F.lit(rf"^({'|'.join(PARTS)})=.+$")))
+    days of the month not by day or week, no other parts by day.  Pieces without a sign of equality are passed over."""
+    known = F.forall(F.filter(F.split(rule, ";"), lambda p: F.contains(p, F.lit("="))), lambda p: F.rlike(p, F.lit(rf"^({'|'.join(PARTS)})=.+$")))
     freq, days = _part(rule, "FREQ"), _list(rule, "BYDAY")
     codes = F.forall(days, lambda x: F.rlike(x, F.lit(rf"^([+-]?[1-9]\d?)?({'|'.join(WEEKDAYS)})$")))
-    numbers = F.forall(F.concat(_list(rule, "BYMONTHDAY"), _list(rule, "BYMONTH")), lambda x: F.rlike(x, F.lit(r"^[+-]?[1-9]\d?$")))
+    numbers = F.forall(_list(rule, "BYMONTHDAY"), lambda x: F.rlike(x, F.lit(r"^[+-]?0*([1-9]|[12]\d|3[01])$"))) & F.forall(_list(rule, "BYMONTH"), lambda x: F.rlike(x, F.lit(r"^\+?0*([1-9]|1[0-2])$")))
     counts = F.rlike(F.coalesce(F.nullif(_part(rule, "INTERVAL"), F.lit("")), F.lit("1")), F.lit(r"^[1-9]\d{0,5}$")) & F.rlike(_part(rule, "COUNT"), F.lit(r"^([1-9]\d{0,5})?$"))
-    until = (_part(rule, "UNTIL") == "") | F.try_to_date(F.substring(_part(rule, "UNTIL"), 1, 8), "yyyyMMdd").isNotNull()
+    until = (_part(rule, "UNTIL") == "") | F.rlike(_part(rule, "UNTIL"), F.lit(r"^\d{8}(T\d{6}Z)?$")) & F.try_to_date(F.substring(_part(rule, "UNTIL"), 1, 8), "yyyyMMdd").isNotNull()
     bare = F.forall(days, lambda x: F.length(x) == 2)
     by = F.when(freq == "DAILY", F.size(F.concat(days, _list(rule, "BYMONTHDAY"), _list(rule, "BYMONTH"))) == 0)
     by = by.when(freq == "WEEKLY", bare & (F.size(F.concat(_list(rule, "BYMONTHDAY"), _list(rule, "BYMONTH"))) == 0))

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from siltstone.plans import catalog, served, states, writes  # noqa: F401
+from siltstone.plans import catalog, more, served, states, writes  # noqa: F401
 from siltstone.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
