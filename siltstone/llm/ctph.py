@@ -8,8 +8,8 @@ their letters (a replacement counts as one removal and one insertion), and only
 if they share a run of letters.
 
 Null and empty texts have the fingerprint ``3::``; equal fingerprints are
-wholly alike.  Rows with equal ids follow each other in the order of their
-texts, null ids come first.  Other columns are ignored; an empty table gives an
+wholly alike.  Rows with equal ids follow each other in the order of a hash of
+their texts, null ids come first.  Other columns are ignored; an empty table gives an
 empty result, and a single row is its own successor.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -134,31 +135,54 @@ def likeness(x: str, y: str) -> float:
     return _alike(a2, b1) if n == 2 * m else 0.0
 
 
+def _cuts(base: DataFrame, n: int) -> list[tuple[int, int | None]]:
+    """Places that part the rows (at, h) into n ranges, about: ids, and hashes within an id that has several ranges to
+    itself.  A place that comes twice is that of rows which are alike."""
+    ids = base.select(F.percentile_approx("at", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
+    ids = Counter(ids or [])
+    hot = {a: k for a, k in ids.items() if k > 1}  # fewer than n
+    out: list[tuple[int, int | None]] = [(a, None) for a in ids]
+    if hot:
+        most = max(hot.values())
+        inside = base.where(F.col("at").isin(list(hot))).groupBy("at").agg(F.percentile_approx("h", [i / (4 * most) for i in range(1, 4 * most)], 100 * n).alias("h")).collect()
+        for r in inside:
+            step = 4 * most // hot[r["at"]]
+            out += [(r["at"], h) for h in r["h"][step - 1 :: step]]
+    return sorted(out, key=lambda c: (c[0], c[1] is None, c[1] or 0))
+
+
 def with_next(docs: DataFrame, run, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Apply ``run`` to pairs of neighbours in ascending order of id.
 
-    Rows are dealt into ranges of ids.  The first row of a range also goes to the
+    Rows are dealt into ranges of ids, and of hashes of texts where an id fills
+    several ranges.  The first row of a range also goes to the
     range before it, and the very first to the last, so every pair meets in one
     task.  ``run`` takes an iterator of ((id, text), (id, text)) and yields
     record batches."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    order = F.coalesce("id", F.lit(-(1 << 63)))
+    base = base.select(F.coalesce("id", F.lit(-(1 << 63))).alias("at"), F.xxhash64("text").alias("h"), "id", "text")
     n = 2 * parallelism(spark)
-    cuts = base.select(F.percentile_approx(order, [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
-    cuts = sorted(set(cuts or []))
-    # ids above a cut are in a later range, so equal ids are never parted
-    bucket = F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<long>"), lambda c: c < order))
-    placed = base.withColumn("bucket", bucket)
-    heads = [(r["bucket"], r["first"]) for r in placed.groupBy("bucket").agg(F.min(order).alias("first")).orderBy("bucket").collect()]  # a row a range
+    row = F.struct("at", "h")
+    cuts = _cuts(base, n)
+    # rows above a cut are in a later range; a cut without a hash stands behind all rows of its id
+    known = F.array(*(F.struct(F.lit(a).alias("at"), F.lit(h).cast("long").alias("h")) for a, h in cuts)) if cuts else F.array().cast("array<struct<at:bigint,h:bigint>>")
+    bucket = F.size(F.filter(known, lambda c: (c["at"] < F.col("at")) | ((c["at"] == F.col("at")) & (c["h"] < F.col("h")))))
+    # rows alike, where they fill several ranges: dealt by the part that they come from
+    alike = Counter(c for c in cuts if c[1] is not None)
+    salt = F.lit(0)
+    for (at, h), times in alike.items():
+        if times > 1:
+            salt = F.when((F.col("at") == at) & (F.col("h") == h), F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(times)).cast("int")).otherwise(salt)
+    placed = base.withColumn("bucket", bucket + salt)
+    heads = [(r["bucket"], r["first"]) for r in placed.groupBy("bucket").agg(F.min(row).alias("first")).orderBy("bucket").collect()]  # a row a range
     if not heads:
         return spark.createDataFrame([], schema)
-    before = {first: heads[i - 1][0] if i else heads[-1][0] for i, (_, first) in enumerate(heads)}
-    # rows that share a range's first id are all sent; the first of them follows the range's last row
-    edge = F.create_map(*(F.lit(v) for pair in before.items() for v in pair))[order]
-    own = placed.select("bucket", F.lit(0).alias("copy"), "id", "text")
-    copies = placed.where(order.isin(list(before))).select(edge.alias("bucket"), F.lit(1).alias("copy"), "id", "text")
-    rows = own.unionByName(copies).repartitionByRange(n, "bucket").sortWithinPartitions("bucket", "copy", F.col("id").asc_nulls_first(), "text")
+    # the rows that begin a range, few as they are alike, also go to the range before it
+    firsts = spark.createDataFrame([(b, f["at"], f["h"], heads[i - 1][0]) for i, (b, f) in enumerate(heads)], "bucket int, at long, h long, edge int")
+    own = placed.select("bucket", F.lit(0).alias("copy"), "id", "text", "h")
+    copies = placed.join(F.broadcast(firsts), ["bucket", "at", "h"]).select(F.col("edge").alias("bucket"), F.lit(1).alias("copy"), "id", "text", "h")
+    rows = own.unionByName(copies).repartitionByRange(n, "bucket").sortWithinPartitions("bucket", "copy", F.col("id").asc_nulls_first(), "h", "text").drop("h")
 
     def pairs(batches):
         last = None  # bucket, copy, (id, text)

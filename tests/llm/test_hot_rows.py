@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +79,38 @@ def test_suffixes_of_a_repeated_row(spark):
     once = {tuple(r)[:1] + tuple(r)[1:] for r in suffixes.removed(spark.createDataFrame(sorted(set(rows), key=str), "doc_id long, text string")).collect()}
     assert set(got) == once and sum(got.values()) == len(rows)
     assert sorted(got.values(), reverse=True)[:3] == [40, 30, 3]
+
+
+def test_fingerprints_of_a_hot_id(spark):
+    """An id with half of the rows, most of them one row: every row has a successor, and no range holds them all."""
+    from siltstone.llm import ctph
+
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choices(["ab", "cd", "efg"], k=30))
+    rows = [(7, "the one row")] * 90 + [(7, text()) for _ in range(60)] + [(None, text()) for _ in range(20)] + [(i, text()) for i in range(8, 90)] + [(7, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"h": F.lit("x"), "at": F.lit(1), "bucket": F.lit(2)}).repartition(9)
+    got = ctph.edited_fingerprints(df).collect()
+    assert Counter((r.doc_id, r.fingerprint) for r in got) == Counter((i, ctph.fingerprint((t or "").encode())) for i, t in rows)
+    ids = sorted({-1 if i is None else i for i, _ in rows})
+    by_id = {i: [ctph.fingerprint((t or "").encode()) for j, t in rows if (-1 if j is None else j) == i] for i in ids}
+    # the last row of an id is followed by the next id's rows: so many distinct likenesses as any order could give
+    for r in got:
+        i = -1 if r.doc_id is None else r.doc_id
+        following = by_id[i] + by_id[ids[(ids.index(i) + 1) % len(ids)]]
+        assert any(abs(r.near_next - ctph.likeness(r.fingerprint, f)) < 1e-12 for f in following)
+    base = df.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("at"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    assert sum(h is not None for a, h in ctph._cuts(base, 8) if a == 7) >= 2
+
+
+def test_fingerprints_pair_neighbours_once(spark):
+    from siltstone.llm import ctph
+
+    def listed(pairs):
+        rows = [(a, b) for (_, a), (_, b) in pairs]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["a", "b"])
+
+    rows = [(5, "a")] * 40 + [(5, "b")] * 5 + [(i, f"t{i}") for i in range(6, 30)] + [(None, "n")]
+    seen = ctph.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), listed, "a string, b string").collect()
+    assert Counter(r.a for r in seen) == Counter(t for _, t in rows) == Counter(r.b for r in seen)
+    assert sum(r.a == r.b == "a" for r in seen) == 39 and sum(r.a == r.b == "b" for r in seen) == 4
+
