@@ -48,6 +48,8 @@ BLOCK = 16 << 20
 #: Fragments in a collection, but for those of one anchor, of which there are HOT at most: where that many fragments have
 #: an anchor, their windows go their own ways.
 COLLECTION, HOT = 32_768, 4096
+#: Symbols of a collection that are read together, about: segments smaller than that come with their neighbours.
+TOGETHER = 1 << 18
 _P = 0x9E3779B97F4A7C15
 _SIZE = 1 << PLACE
 _powers = np.concatenate(([np.uint64(1)], np.cumprod(np.full(_SIZE, _P, np.uint64))))
@@ -128,26 +130,30 @@ def _key(h: np.ndarray, buckets: int) -> np.ndarray:
 
 class Columns:
     """Two columns of a collection, its transform and its common prefixes, as sequential files with a segment for each
-    first symbol.  A round reads the segments in order and writes their successors in order.  A collection is bounded,
-    so the files are kept in memory: a cluster's machines share no folder that a task could open."""
+    first symbol.  A round reads the segments in order and writes their successors in order; neighbouring segments come
+    together while they have few symbols.  A collection is bounded, so the files are kept in memory: a cluster's machines
+    share no folder that a task could open."""
 
     def __init__(self, segments: int, wide, deep):
         self.kinds = (np.dtype(wide), np.dtype(deep))
-        self.sizes = [0] * segments
+        self.sizes = np.zeros(segments, np.int64)
         self.files = (io.BytesIO(), io.BytesIO())
 
-    def read(self):
-        """(symbol, transform, common prefixes) of each segment, in sequence."""
+    def read(self, together: int = TOGETHER):
+        """(first segment, the one behind the last, transform, common prefixes) of runs of segments, in sequence."""
         for f in self.files:
             f.seek(0)
-        for c, n in enumerate(self.sizes):
-            yield c, *(np.frombuffer(f.read(n * k.itemsize), k) for f, k in zip(self.files, self.kinds, strict=True))
-
-    def replaced(self, segments) -> None:
-        """Write the segments (transform, common prefixes), in order, in place of the old ones."""
-        fresh, sizes = (io.BytesIO(), io.BytesIO()), []
-        for columns in segments:
-            sizes.append(len(columns[0]))
+        first, n = 0, 0
+        for c, size in enumerate(self.sizes.tolist(), 1):
+            n += size
+            if n >= together or c == len(self.sizes):
+                yield first, c, *(np.frombuffer(f.read(n * k.itemsize), k) for f, k in zip(self.files, self.kinds, strict=True))
+                first, n = c, 0
+
+    def replaced(self, runs, sizes: np.ndarray) -> None:
+        """Write runs of segments (transform, common prefixes), in order, in place of the old ones; ``sizes`` by segment."""
+        fresh = (io.BytesIO(), io.BytesIO())
+        for columns in runs:
             for f, k, column in zip(fresh, self.kinds, columns, strict=True):
                 f.write(column.astype(k, copy=False).tobytes())
         self.files, self.sizes = fresh, sizes
@@ -161,7 +167,7 @@ def collection(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     Round 0 inserts the ends, round j the suffix of j symbols of every text that long.  Where the symbol before a
     text's latest suffix is c, the new suffix goes to segment c, to the place that the rank of that c in the
     transform gives.  Its common prefix with its neighbour is one more than the least between the two suffixes that
-    they extend, or one where these start with different symbols."""
+    they extend; a segment's first suffix has none, so that is one where these start with different symbols."""
     used = sorted({b for t in texts for b in t})
     code = np.zeros(256, np.int64)
     code[used] = np.arange(1, len(used) + 1)
@@ -178,26 +184,27 @@ def collection(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
     files = Columns(kinds, wide, np.min_scalar_type(longest))
     live = np.arange(m)
-    files.replaced([(before(live, 0), np.zeros(m))] + [(np.zeros(0), np.zeros(0))] * (kinds - 1))
+    files.replaced([(before(live, 0), np.zeros(m))], np.array([m, *[0] * (kinds - 1)]))
     segment, place = np.zeros(m, np.int64), np.arange(m)  # of each live text's latest suffix, ascending
     for size in range(1, longest + 1):
         seen = np.zeros(kinds, np.int64)  # of each symbol, in the segments read so far
         fresh = []  # (text, symbol, place, common prefix)
-        changed: list[list] = [[] for _ in range(kinds)]  # places whose common prefix a new one before them changes
-        cut = np.searchsorted(segment, np.arange(kinds + 1))
-        pending = np.zeros(kinds, bool)  # symbols whose next suffix follows a new one of an earlier segment
-        for d, bwt, lcp in files.read():
+        changed = []  # (symbol, place, common prefix) where a new suffix in front changes it
+        starts_at = np.cumsum(files.sizes) - files.sizes
+        pending = np.zeros(kinds, bool)  # symbols whose next suffix follows a new one of an earlier run
+        for first, behind, bwt, lcp in files.read():
             if not len(bwt):
                 continue
             counts = np.bincount(bwt, minlength=kinds)
             starts = np.cumsum(counts) - counts
             order = np.argsort(bwt, kind="stable")
-            # the first of its symbol here shares that symbol with the last one of an earlier segment
-            for c in np.flatnonzero(pending & (counts > 0)).tolist():
-                if c:
-                    changed[c].append((np.array([seen[c]]), np.array([1])))
+            # the first of its symbol here shares that symbol with the last one of an earlier run
+            late = np.flatnonzero(pending & (counts > 0))
+            late = late[late > 0]
+            changed.append((late, seen[late], np.ones(len(late), np.int64)))
             pending[counts > 0] = False
-            who, at = live[cut[d] : cut[d + 1]], place[cut[d] : cut[d + 1]]
+            mine = slice(*np.searchsorted(segment, (first, behind)))
+            who, at = live[mine], place[mine] + starts_at[segment[mine]] - starts_at[first]
             if len(who):
                 symbol = bwt[at].astype(np.int64)
                 turn = np.empty(len(order), np.int64)
@@ -209,43 +216,38 @@ def collection(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
                 common = np.where(seen[symbol] > 0, 1, 0)
                 common[follows] = 1 + _least(padded, order[t[follows] - 1], at[follows])
                 fresh.append((who, symbol, seen[symbol] + rank, common))
-                leads = np.flatnonzero(rank + 1 < counts[symbol])
-                nexts = order[t[leads] + 1]
-                value = 1 + _least(padded, at[leads], nexts)
-                by = np.argsort(symbol[leads], kind="stable")
-                of = symbol[leads][by]
-                for i, j in zip(*_bounds(of), strict=True):
-                    pick = leads[by[i:j]]
-                    changed[int(of[i])].append((seen[of[i]] + rank[pick] + 1, value[by[i:j]]))
+                leads = np.flatnonzero((rank + 1 < counts[symbol]) & (symbol > 0))
+                changed.append((symbol[leads], seen[symbol[leads]] + rank[leads] + 1, 1 + _least(padded, at[leads], order[t[leads] + 1])))
                 pending[symbol[rank + 1 == counts[symbol]]] = True
             seen += counts
         who, symbol, at, common = (np.concatenate(x) for x in zip(*fresh, strict=True))
         keep = np.flatnonzero(symbol > 0)
         keep = keep[np.argsort((symbol[keep] << 40) | at[keep])]
         live, segment, place, common = who[keep], symbol[keep], at[keep], common[keep]
-        cut = np.searchsorted(segment, np.arange(kinds + 1))
         added = before(live, size)
+        of, where, value = (np.concatenate(x) for x in zip(*changed, strict=True))
+        by = np.argsort(of, kind="stable")
+        of, where, value = of[by], where[by], value[by]
+        grown_sizes = files.sizes + np.bincount(segment, minlength=kinds)
+        grown_at = np.cumsum(grown_sizes) - grown_sizes
 
         def grown():
-            for c, bwt, lcp in files.read():
-                i, j = cut[c], cut[c + 1]
-                if i == j or not c:
-                    yield bwt, lcp
-                    continue
-                total = len(bwt) + j - i
+            for first, behind, bwt, lcp in files.read():
+                mine, theirs = (slice(*np.searchsorted(x, (first, behind))) for x in (segment, of))
+                here = place[mine] + grown_at[segment[mine]] - grown_at[first]
+                total = len(bwt) + len(here)
                 old = np.ones(total, bool)
-                old[place[i:j]] = False
+                old[here] = False
                 wider, deeper = np.empty(total, bwt.dtype), np.empty(total, lcp.dtype)
-                wider[old], wider[place[i:j]] = bwt, added[i:j]
+                wider[old], wider[here] = bwt, added[mine]
                 deeper[old] = lcp
-                for x, values in changed[c]:
-                    deeper[x] = values
-                deeper[place[i:j]] = common[i:j]
+                deeper[where[theirs] + grown_at[of[theirs]] - grown_at[first]] = value[theirs]
+                deeper[here] = common[mine]
                 yield wider, deeper
 
-        files.replaced(list(grown()))
+        files.replaced(list(grown()), grown_sizes)
     columns = list(files.read())
-    return np.concatenate([x for _, x, _ in columns]), np.concatenate([x for _, _, x in columns])
+    return np.concatenate([x for *_, x, _ in columns]), np.concatenate([x for *_, x in columns])
 
 
 def _bounds(ordered: np.ndarray):
