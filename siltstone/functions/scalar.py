@@ -59,8 +59,16 @@ def content_hash(*parts: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*parts)).cast("binary"), 256)
 
 
-def slug(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), F.lit("-"))
+def slug(text: Column, most: int = 64) -> Column:
+    """A path's segment: plain letters, digits, points, strokes, none at the ends but letters and digits; page if none is left."""
+    flat = F.regexp_replace(F.regexp_replace(F.lower(compatible(text)), r"[^a-z0-9._-]+", "-"), r"-{2,}", "-")
+    cut = F.substring(F.regexp_replace(F.regexp_replace(F.regexp_replace(flat, r"^[-.]+", ""), r"[-.]+$", ""), r"^[^a-z0-9]+", ""), 1, most)
+    return F.when(cut == "", "page").otherwise(cut)
+
+
+def one_line(text: Column, most: int) -> Column:
+    """One line that is safe to show: control characters are spaces, spaces one, so many code points."""
+    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(text, r"[\x00-\x1F\x7F-\x9F]", " "), r"\s+", " ")), 1, most)
 
 
 def folded(label: Column) -> Column:

@@ -133,6 +133,55 @@ def supported_by_all(supports: DataFrame, claim: str, ok: Column) -> DataFrame:
     return supports.groupBy(claim).agg(F.count(F.lit(1)).alias("n_supports"), F.bool_and(ok).alias("fit")).where("fit").drop("fit")
 
 
+def conflict_groups(claims: DataFrame, page: int = 32) -> DataFrame:
+    """claim_key, place, claim_id: claims that a live one of their key disagrees with, in groups; keys with the newest claim
+    first, a page of them.  ``claims`` adds asserted_at."""
+    pairs = conflicts(claims)
+    met = pairs.select(F.col("a.claim_key").alias("claim_key"), F.explode(F.array("a.claim_id", "b.claim_id")).alias("claim_id")).distinct()
+    held = met.join(claims.select("claim_id", "asserted_at"), "claim_id")
+    keys = held.groupBy("claim_key").agg(F.max("asserted_at").alias("newest")).orderBy(F.desc("newest"), "claim_key").limit(page)
+    placed = keys.withColumn("place", F.row_number().over(Window.orderBy(F.desc("newest"), "claim_key")))  # a page
+    return held.join(F.broadcast(placed), "claim_key").select("claim_key", "place", "claim_id")
+
+
+def intersections(rows: DataFrame, key: str, id_: str, starts: str, ends: str) -> DataFrame:
+    """old_id, new_id, starts, ends: pairs of a key's intervals that overlap, and where.  A hot key's pairs are spread as
+    in ``conflicts``."""
+    base = rows.select(F.col(key).alias("claim_key"), F.col(id_).alias("claim_id"), F.col(starts).alias("valid_from"), F.col(ends).alias("valid_to"), F.col(id_).cast("string").alias("object"))
+    both = conflicts(base)
+    return both.select(F.col("a.claim_id").alias("old_id"), F.col("b.claim_id").alias("new_id"), F.greatest("a.valid_from", "b.valid_from").alias("starts"), F.least(_end(F.col("a.valid_to")), _end(F.col("b.valid_to"))).alias("ends"))
+
+
+#: Predicates that say who is who, and pieces of words that give a statement authority (fixed values).
+IDENTITY = ("identity.same_as", "identity.handle_on")
+AUTHORITY_TERMS = ("owner", "agent", "assistant", "grant", "permission", "authoriz", "authoris", "access", "polic", "admin", "credential", "audit", "revok")
+
+
+def held(claims: DataFrame, supports: DataFrame, least: int = 2) -> DataFrame:
+    """Claims that wait for a further witness: on identity, decisions of authority, or backed by words of authority, without
+    an owner's support and with fewer than ``least`` sources.  ``claims``: claim_id, predicate, object.  ``supports``, those
+    the reader may use: claim_id, source, owner, body."""
+    heavy = lambda c: F.rlike(F.lower(F.coalesce(c, F.lit(""))), F.lit("|".join(AUTHORITY_TERMS)))
+    s = supports.groupBy("claim_id").agg(F.countDistinct("source").alias("roots"), F.bool_or("owner").alias("owned"), F.bool_or(heavy(F.col("body"))).alias("said"))
+    weighty = F.col("predicate").isin(*IDENTITY) | (F.startswith("predicate", F.lit("decision.")) & heavy(F.col("object")))
+    met = claims.join(s, "claim_id", "left")
+    waits = (weighty | F.coalesce("said", F.lit(False))) & ~F.coalesce("owned", F.lit(False)) & (F.coalesce("roots", F.lit(0)) < least)
+    return met.where(waits).select("claim_id")
+
+
+def field_changes(old: DataFrame, new: DataFrame, key: str, *fields: str, most: int = 128) -> DataFrame:
+    """key, change, fields, truncated: added, removed and changed keys, with the fields that differ; of each kind the first
+    ``most`` by key, and whether any kind has more."""
+    before, after = (x.select(key, F.struct(*fields).alias(n)) for x, n in ((old, "o"), (new, "n")))
+    both = before.join(after, key, "full")
+    differ = F.array_compact(F.array(*(F.when(~F.col(f"o.{f}").eqNullSafe(F.col(f"n.{f}")), F.lit(f)) for f in fields)))
+    change = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(F.size(differ) > 0, "changed")
+    rows = both.select(key, change.alias("change"), F.when(change == "changed", differ).otherwise(F.array().cast("array<string>")).alias("fields")).where("change IS NOT NULL")
+    kept = rows.withColumn("place", F.row_number().over(Window.partitionBy("change").orderBy(key))).where(F.col("place") <= most + 1)
+    more = kept.agg(F.coalesce(F.max("place") > most, F.lit(False)).alias("truncated"))
+    return kept.where(F.col("place") <= most).drop("place").crossJoin(F.broadcast(more))
+
+
 def difference(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     """added, removed and changed keys between two views."""
     a, b = old.select(key, F.col(value).alias("before")), new.select(key, F.col(value).alias("after"))

@@ -6,11 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Links around links that are told apart.
+NESTED = 8
+
+
 def wikilinks(body: Column) -> Column:
-    """Targets of [[target|alias]] outside code spans."""
-    plain = F.regexp_replace(F.regexp_replace(body, r"(?s)```.*?```", " "), r"`[^`\n]*`", " ")
-    found = F.regexp_extract_all(plain, F.lit(r"\[\[([^\[\]|]+)(?:\|[^\[\]]*)?\]\]"), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda t: F.trim(t)))
+    """Targets of [[target|alias]] outside code spans, which end with as many backticks as they begin with.  A link with
+    links inside is none, nor are those inside it."""
+    plain = F.regexp_replace(body, r"(?s)(?<!`)(`++)(.*?)(?<!`)\1(?!`)", " ")
+    inner = r"\[\[((?:(?!\[\[|\]\])[^\x01\x02])*+)\]\]"
+    marked = F.regexp_replace(F.regexp_replace(plain, r"[\x01\x02]", " "), inner, "\x01$1\x02")
+    for _ in range(NESTED):
+        marked = F.regexp_replace(marked, r"(?s)\[\[(?:(?!\[\[|\]\]).)*+\]\]", " ")
+    found = F.regexp_extract_all(marked, F.lit(r"\x01([^\x02|]*)[^\x02]*\x02"), F.lit(1))
+    return F.array_distinct(F.filter(F.transform(found, lambda t: F.trim(F.regexp_replace(t, r"^\s+|\s+$", ""))), lambda t: t != ""))
 
 
 def resolved(links: DataFrame, pages: DataFrame) -> DataFrame:
@@ -21,6 +30,20 @@ def resolved(links: DataFrame, pages: DataFrame) -> DataFrame:
     return links.join(unique, F.lower("target") == F.col("name"), "left").select("src", F.coalesce(F.col("page").cast("string"), "target").alias("dst")).distinct()
 
 
+def resolved_pages(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """(src, dst, target) of links (src, target): the page whose id the target is, else the one at that path (with or
+    without .md), else the one with that title; null where none or several answer.  ``pages``: id, path, title."""
+    target = F.regexp_replace("target", r"^\s+|\s+$", "")
+    asked = links.select("src", target.alias("target")).where("target <> ''").distinct()
+    keys = lambda kind, column: pages.where(column.isNotNull() & (column != "")).select(F.col("id"), F.lit(kind).alias("kind"), column.alias("name"))
+    names = keys(0, F.col("id").cast("string")).unionByName(keys(1, F.col("path"))).unionByName(keys(3, F.lower("title")))
+    one = names.groupBy("kind", "name").agg(F.min("id").alias("id"), F.countDistinct("id").alias("n")).where("n = 1").drop("n")
+    forms = F.array(F.struct(F.lit(0).alias("kind"), F.col("target").alias("name")), F.struct(F.lit(1).alias("kind"), F.col("target").alias("name")), F.struct(F.lit(1).alias("kind"), F.concat("target", F.lit(".md")).alias("name")), F.struct(F.lit(3).alias("kind"), F.lower("target").alias("name")))
+    tried = asked.select("src", "target", F.posexplode(forms).alias("place", "f")).select("src", "target", "place", "f.kind", "f.name")
+    best = tried.join(one, ["kind", "name"]).groupBy("src", "target").agg(F.min_by("id", "place").alias("dst"))
+    return asked.join(best, ["src", "target"], "left").select("src", "dst", "target")
+
+
 def incident(edges: DataFrame, nodes: DataFrame, limit: int | None = None) -> DataFrame:
     """Edges with an end in ``nodes`` (column node), in (src, dst) order."""
     out = edges.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").unionByName(edges.join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")).distinct()
@@ -89,12 +112,18 @@ def impacts(reached: DataFrame, known: DataFrame) -> DataFrame:
     return reached.join(cost, "node", "left").orderBy(F.desc_nulls_last("cost"), "hops", "node")
 
 
+#: Rounds in which nodes without an edge in or out are taken away before paths are walked.
+PRUNED = 2
+
+
 def cycles(edges: DataFrame, depth: int = 6) -> DataFrame:
     """(node): nodes on a directed cycle of at most ``depth`` edges (src, dst, valid_from, valid_to) that all hold at one
     time.  A path carries the intersection of its intervals and ends where that is empty; one entry stays for each
     start, end and interval."""
     far = F.to_timestamp_ntz(F.lit("9999-12-31 00:00:00"))
     e = edges.select("src", "dst", F.col("valid_from").alias("f"), F.coalesce("valid_to", far).alias("t"))
+    for _ in range(PRUNED):  # what nothing leads to, or from which nothing leads, is on no cycle
+        e = e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst", "f", "t").checkpoint()
     path = e.select(F.col("src").alias("start"), F.col("dst").alias("at"), "f", "t").distinct()
     found = path.where("start = at").select("start")
     for _ in range(depth - 1):

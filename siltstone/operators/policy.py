@@ -111,11 +111,18 @@ def path_classes(paths: Column, rules: dict[str, str]) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(hit(g), F.lit(c)) for g, c in rules.items())))))
 
 
-def source_allows(rows: DataFrame, grants: DataFrame, purpose: str, ceiling: int) -> DataFrame:
-    """Rows whose source has an active grant for the purpose with a floor within the ceiling.
-    ``grants``: source, active, purposes, floor."""
-    fit = grants.where("active").where(F.array_contains("purposes", purpose) & (F.col("floor") <= ceiling)).select("source")
-    return rows.join(fit, "source", "left_semi")
+#: What a source's grant has to allow before its rows are read (fixed values).
+FIELDS = ("text", "metadata", "attachments", "participants")
+
+
+def source_allows(rows: DataFrame, grants: DataFrame, purpose: str, ceiling: int, fields: tuple[str, ...] = (), owner: bool = False) -> DataFrame:
+    """Rows whose source has an active grant for the purpose, and all fields asked for, with a floor within the ceiling.
+    Rows without a source are the owner's alone.  ``grants``: source, active, purposes, floor; fields where they count."""
+    fit = grants.where("active").where(F.array_contains("purposes", purpose) & (F.col("floor") <= ceiling))
+    for f in fields:
+        fit = fit.where(F.array_contains("fields", f))
+    bound = rows.join(fit.select("source"), "source", "left_semi")
+    return bound.unionByName(rows.where("source IS NULL")) if owner else bound
 
 
 def resolved_sensitivity(floor: Column, default: Column, hint: Column, model: Column, owner: Column, override: Column) -> Column:

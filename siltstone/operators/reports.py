@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators import scan
+
 
 def coverage(ledger: DataFrame, by: str, at: str, value: str) -> DataFrame:
     """Rows, first and last time, rows without a value, and a state, of each source."""
@@ -72,3 +74,17 @@ def packed(rows: DataFrame, group: str, order: list[str], cost: str, cap: int, m
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("kept"))
     done = rows.groupBy(group).agg(F.aggregate(seq, start, step).alias("p"))
     return done.select(group, F.explode("p.kept").alias(order[-1]), F.col("p.used").alias("used"))
+
+
+def nearest_rank(rows: DataFrame, group: str, value: str, shares: tuple[float, ...]) -> DataFrame:
+    """group, share, value: the least value up to which lie that share of the group's rows.
+
+    Rows fold to counts of values, and the counts are summed along ranges of (group, value), so neither a group nor its
+    distinct values come together in one task."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = scan.running(scan.ranged(counts, "_g", "_v"), ("_g",), ("_v",), ("_upto", "sum", F.col("_n")))
+    totals = counts.groupBy("_g").agg(F.sum("_n").alias("_all"))
+    asked = F.explode(F.array(*(F.lit(float(s)) for s in shares)))
+    wanted = totals.select(F.col("_g").alias("_group"), "_all", asked.alias("share")).withColumn("_rank", F.greatest(F.lit(1), F.ceil(F.col("share") * F.col("_all"))))
+    reached = upto.join(wanted, F.col("_g").eqNullSafe(F.col("_group")) & (F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank")))
+    return reached.select(F.col("_g").alias(group), "share", F.col("_v").alias(value))

@@ -43,15 +43,15 @@ def running(rows: DataFrame, group: tuple[str, ...], order: tuple[str, ...], *wa
     near = Window.partitionBy(RANGE, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
     here = F.struct(*group) if group else F.struct(F.lit(0).alias("all"))
     # what each range says of its last group
-    last = F.broadcast(rows.groupBy(F.col(RANGE).alias("_r")).agg(F.max(here).alias("_g")))
-    tail = rows.join(last, (F.col(RANGE) == F.col("_r")) & here.eqNullSafe(F.col("_g")))
+    last = F.broadcast(rows.groupBy(F.col(RANGE).alias("_scan_r")).agg(F.max(here).alias("_scan_g")))
+    tail = rows.join(last, (F.col(RANGE) == F.col("_scan_r")) & here.eqNullSafe(F.col("_scan_g")))
     said = [(F.max_by(v, F.when(v.isNotNull(), F.struct(*order))) if how == "last" else _fold(how, v)).alias(f"_{name}") for name, how, v in wanted]
-    ends = tail.groupBy("_r", "_g").agg(*said)
-    through = Window.partitionBy("_g").orderBy("_r")
-    ends = ends.select("_r", "_g", *(_fold(how, F.col(f"_{name}")).over(through).alias(f"_{name}") for name, how, _ in wanted))
-    carry = F.broadcast(ends.withColumn("_r", F.lead("_r").over(Window.orderBy("_r"))).where(F.col("_r").isNotNull()))
+    ends = tail.groupBy("_scan_r", "_scan_g").agg(*said)
+    through = Window.partitionBy("_scan_g").orderBy("_scan_r")
+    ends = ends.select("_scan_r", "_scan_g", *(_fold(how, F.col(f"_{name}")).over(through).alias(f"_{name}") for name, how, _ in wanted))
+    carry = F.broadcast(ends.withColumn("_scan_r", F.lead("_scan_r").over(Window.orderBy("_scan_r"))).where(F.col("_scan_r").isNotNull()))
     own = rows.select("*", *(_fold(how, v).over(near).alias(f"_own_{name}") for name, how, v in wanted))
-    met = own.join(carry, (F.col(RANGE) == F.col("_r")) & here.eqNullSafe(F.col("_g")), "left")
+    met = own.join(carry, (F.col(RANGE) == F.col("_scan_r")) & here.eqNullSafe(F.col("_scan_g")), "left")
     return met.select(*rows.columns, *(_both(how, F.col(f"_{name}"), F.col(f"_own_{name}")).alias(name) for name, how, _ in wanted))
 
 

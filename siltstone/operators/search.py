@@ -304,8 +304,9 @@ def near_claims(claims: DataFrame, key: str, body: str, threshold: float = 0.82)
     Equal sets are one, so copies make no pairs.  Only sets that share one of the rarest tokens that such a pair must
     share meet (prefix filter), by number and token; the sets themselves join once for each pair found."""
     base = claims.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(tokens(F.col(body)))).alias("t"))
-    sets = base.groupBy("t").agg(F.min("k").alias("k"))
-    members = base.join(sets.withColumnRenamed("k", "set_id"), "t").select(F.col("k").alias(key), "set_id")
+    base = base.select("k", "t", F.concat_ws(":", F.xxhash64("t"), F.xxhash64(F.lit(1), "t")).alias("name"))  # 128 bits stand for a set
+    sets = base.groupBy("name").agg(F.min("k").alias("k"), F.any_value("t").alias("t"))
+    members = base.select("k", "name").join(sets.select("name", F.col("k").alias("set_id")), "name").select(F.col("k").alias(key), "set_id")
     sets = sets.where(F.size("t") > 0)
     words = sets.select("k", F.size("t").alias("size"), F.explode("t").alias("w"))
     by_rarity = words.join(words.groupBy("w").agg(F.count(F.lit(1)).alias("df")), "w").withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("df", "w")))

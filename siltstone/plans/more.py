@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import lines as D
 from siltstone.functions import scalar as S
+from siltstone.operators import claims as C
+from siltstone.operators import deferred as Q
+from siltstone.operators import graph as G
 from siltstone.operators import lexical as X
+from siltstone.operators import policy as P
+from siltstone.operators import reports as T
 from siltstone.operators import requires as R
 from siltstone.operators import serve as E
 from siltstone.operators import views as W
-from siltstone.plans.catalog import _PAGES
+from siltstone.plans.catalog import _CLAIMS, _PAGES, _PAIR, _claims
 from siltstone.plans.registry import QUERIES, query
 from siltstone.plans.served import _PLAIN, index_of, served
 
@@ -184,3 +189,76 @@ def evidence_spans(t):
     anchors = span(n % 5, n % 5 + 7).where("turn % 3 = 0").unionByName(span(F.col("n") + 3, F.col("n") + 12)).drop("turn")
     asked = span(n % 5, n % 5 + 7).unionByName(span(F.col("n") + 3, F.col("n") + 12)).drop("turn")  # the latter cut through a secret
     return E.evidence(asked, anchors, events)
+
+
+# --- claims, grants, reports ---
+
+
+@query(f"""WITH c AS ({_CLAIMS}), p AS (SELECT a.claim_key AS claim_key, a.claim_id AS x, b.claim_id AS y FROM c a JOIN c b ON {_PAIR}), m AS (SELECT claim_key, x AS claim_id FROM p UNION SELECT claim_key, y FROM p),
+ k AS (SELECT claim_key, row_number() OVER (ORDER BY max(valid_from) DESC, claim_key)::INT AS place FROM m JOIN c USING (claim_key, claim_id) GROUP BY claim_key) SELECT claim_key, place, claim_id FROM m JOIN k USING (claim_key) WHERE place <= 32""")
+def conflict_groups(t):
+    return C.conflict_groups(_claims(t).withColumn("asserted_at", F.col("valid_from")))
+
+
+@query("""WITH c AS (SELECT p_partkey AS claim_id, CASE p_partkey % 4 WHEN 0 THEN 'identity.same_as' WHEN 1 THEN 'decision.made' ELSE 'skill.has' END AS predicate, CASE p_partkey % 3 WHEN 0 THEN 'Access granted' ELSE p_name END AS object FROM part),
+ s AS (SELECT l_partkey AS claim_id, count(DISTINCT l_suppkey) AS n, bool_or(l_shipmode = 'never' OR l_orderkey % 50 = 0) AS owned, bool_or(l_orderkey % 97 = 0) AS said FROM (SELECT *, '' AS l_shipmode FROM lineitem WHERE l_quantity > 45) GROUP BY 1)
+SELECT claim_id FROM c LEFT JOIN s USING (claim_id) WHERE (predicate = 'identity.same_as' OR (predicate = 'decision.made' AND regexp_matches(lower(object), 'owner|agent|assistant|grant|permission|authoriz|authoris|access|polic|admin|credential|audit|revok')) OR coalesce(said, false)) AND NOT coalesce(owned, false) AND coalesce(n, 0) < 2""")
+def held_claims(t):
+    k = F.col("p_partkey")
+    claims = t("part").select(k.alias("claim_id"), F.when(k % 4 == 0, "identity.same_as").when(k % 4 == 1, "decision.made").otherwise("skill.has").alias("predicate"), F.when(k % 3 == 0, "Access granted").otherwise(F.col("p_name")).alias("object"))
+    o = F.col("l_orderkey")
+    supports = t("lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("claim_id"), F.col("l_suppkey").alias("source"), (o % 50 == 0).alias("owner"), F.when(o % 97 == 0, "the Policy says").otherwise("nothing").alias("body"))
+    return C.held(claims, supports)
+
+
+@query("""WITH o AS (SELECT c_custkey, c_name, c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 7 > 0), n AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 5 = 0 THEN 'X' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_nationkey END AS c_nationkey FROM customer WHERE c_custkey % 11 > 0),
+ b AS (SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, CASE WHEN o.c_custkey IS NULL THEN 'added' WHEN n.c_custkey IS NULL THEN 'removed' ELSE 'changed' END AS change, CASE WHEN o.c_custkey IS NULL OR n.c_custkey IS NULL THEN '' ELSE concat_ws(',', CASE WHEN o.c_mktsegment IS DISTINCT FROM n.c_mktsegment THEN 'c_mktsegment' END, CASE WHEN o.c_nationkey IS DISTINCT FROM n.c_nationkey THEN 'c_nationkey' END) END AS fields
+  FROM o FULL JOIN n ON o.c_custkey = n.c_custkey), r AS (SELECT *, row_number() OVER (PARTITION BY change ORDER BY c_custkey) AS i FROM b WHERE change <> 'changed' OR fields <> '')
+SELECT c_custkey, change, fields, (SELECT max(i) > 128 FROM r) AS truncated FROM r WHERE i <= 128""")
+def world_fields(t):
+    k, c = F.col("c_custkey"), t("customer")
+    old = c.where(k % 7 > 0)
+    new = c.where(k % 11 > 0).withColumns({"c_mktsegment": F.when(k % 5 == 0, "X").otherwise(F.col("c_mktsegment")), "c_nationkey": F.when(k % 10 != 0, F.col("c_nationkey"))})
+    return C.field_changes(old, new, "c_custkey", "c_name", "c_mktsegment", "c_nationkey").withColumn("fields", F.array_join("fields", ","))
+
+
+@query("""SELECT s_suppkey % 2 = 0 AS owner, s_suppkey, count(l_orderkey) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_suppkey % 3 > 0 AND s_suppkey % 5 > 0 AND s_suppkey % 4 < 3 GROUP BY ALL
+UNION ALL SELECT NULL, NULL, count(*) FROM events WHERE event_id % 10 = 0""")
+def source_fields(t):
+    s = F.col("s_suppkey")
+    fields = F.when(s % 5 > 0, F.array(*map(F.lit, P.FIELDS))).otherwise(F.array(*map(F.lit, P.FIELDS[:3])))
+    grants = t("supplier").select(s.alias("source"), (s % 3 > 0).alias("active"), F.array(F.lit("serve")).alias("purposes"), (s % 4).cast("int").alias("floor"), fields.alias("fields"))
+    rows = t("lineitem").select(F.col("l_suppkey").alias("source")).unionByName(t("events").where("event_id % 10 = 0").select(F.lit(None).cast("long").alias("source")))
+    kept = P.source_allows(rows, grants, "serve", 2, P.FIELDS, owner=True)
+    return kept.groupBy("source").agg(F.count(F.lit(1)).alias("n")).select((F.col("source") % 2 == 0).alias("owner"), F.col("source").alias("s_suppkey"), "n")
+
+
+@query("""WITH r AS (SELECT l_returnflag, l_extendedprice, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem), q AS (SELECT unnest([0.5, 0.95, 0.999])::DOUBLE AS share)
+SELECT l_returnflag, share, l_extendedprice FROM r, q WHERE i = greatest(1, ceil(share * n))""")
+def exact_percentiles(t):
+    return T.nearest_rank(t("lineitem"), "l_returnflag", "l_extendedprice", (0.5, 0.95, 0.999))
+
+
+@query("""WITH q AS (SELECT o_orderkey AS event_id, o_custkey AS source, o_orderkey % 3 AS r, o_orderkey % 4 = 0 AS other FROM orders WHERE o_orderstatus = 'P'), m AS (SELECT q.*, c_custkey % 3 AS revision, c_custkey % 2 = 0 AS open, r <> coalesce(c_custkey % 3, 0) OR other AS changed FROM q LEFT JOIN customer ON c_custkey = source AND c_custkey % 5 > 0),
+ z AS (SELECT *, coalesce(changed AND revision IS NOT NULL AND NOT open, false) AS denied FROM m), p AS (SELECT event_id FROM z WHERE changed AND NOT denied AND event_id > 100 ORDER BY event_id LIMIT 40)
+SELECT event_id, CASE WHEN denied THEN revision ELSE r END AS checked_revision, CASE WHEN denied OR NOT other THEN 'now' ELSE 'before' END AS checked_binding, event_id IN (SELECT event_id FROM p) AS ready FROM z""")
+def deferred_recheck(t):
+    k, c = F.col("o_orderkey"), F.col("c_custkey")
+    orders = t("orders").where("o_orderstatus = 'P'")
+    queue = orders.select(k.alias("event_id"), F.col("o_custkey").alias("source"), (k % 3).alias("checked_revision"), F.when(k % 4 == 0, "before").otherwise("now").alias("checked_binding"))
+    grants = t("customer").where(c % 5 > 0).select(c.alias("source"), (c % 3).alias("revision"), (c % 2 == 0).alias("may"))
+    ready, noted = Q.recheck(queue, grants, orders.select(k.alias("event_id"), F.col("o_custkey").alias("source")), "now", F.col("may"), after=100, page=40)
+    met = noted.join(ready.select("event_id", F.lit(True).alias("ready")), "event_id", "left")
+    return met.select("event_id", "checked_revision", "checked_binding", F.coalesce("ready", F.lit(False)).alias("ready"))
+
+
+@query(r"""WITH l AS (SELECT page_id AS src, unnest(list_distinct(regexp_extract_all(html, 'href="/([^"]+)"', 1))) AS target FROM pages), p AS (SELECT page_id AS id, 'p' || page_id || '.md' AS path, regexp_extract(html, '<title>([^<]+)', 1) AS title FROM pages),
+ t AS (SELECT lower(title) AS name, min(id) AS id FROM p WHERE title <> '' GROUP BY 1 HAVING count(DISTINCT id) = 1) SELECT DISTINCT src, coalesce(a.id, b.id, t.id) AS dst, l.target FROM (SELECT src, target FROM l UNION SELECT page_id, (page_id * 3 % 40)::VARCHAR FROM pages UNION SELECT page_id, 'p' || (page_id * 7 % 40) FROM pages) l
+ LEFT JOIN p a ON a.id::VARCHAR = l.target LEFT JOIN p b ON b.path = l.target || '.md' LEFT JOIN t ON t.name = lower(l.target)""")
+def link_priority(t):
+    pages = t("pages")
+    i = F.col("page_id")
+    named = pages.select(i.alias("id"), F.concat(F.lit("p"), i.cast("string"), F.lit(".md")).alias("path"), F.regexp_extract("html", "<title>([^<]+)", 1).alias("title"))
+    found = F.array_distinct(F.regexp_extract_all("html", F.lit(r'href="/([^"]+)"'), F.lit(1)))
+    more = F.array((i * 3 % 40).cast("string"), F.concat(F.lit("p"), (i * 7 % 40).cast("string")))
+    return G.resolved_pages(pages.select(i.alias("src"), F.explode(F.concat(found, more)).alias("target")), named)

@@ -511,10 +511,8 @@ def session_sections(t):
 
 @query("SELECT a.o_orderkey AS old_id, b.o_orderkey AS new_id, greatest(a.o_orderdate, b.o_orderdate) AS starts, least(a.o_orderdate, b.o_orderdate) + INTERVAL 90 DAY AS ends FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey WHERE greatest(a.o_orderdate, b.o_orderdate) < least(a.o_orderdate, b.o_orderdate) + INTERVAL 90 DAY")
 def interval_intersection(t):
-    a, b = t("orders").alias("a"), t("orders").alias("b")
-    starts, ends = F.greatest("a.o_orderdate", "b.o_orderdate"), F.least("a.o_orderdate", "b.o_orderdate") + F.expr("INTERVAL 90 DAY")
-    met = a.join(b, (F.col("a.o_custkey") == F.col("b.o_custkey")) & (F.col("a.o_orderkey") < F.col("b.o_orderkey")) & (starts < ends))
-    return met.select(F.col("a.o_orderkey").alias("old_id"), F.col("b.o_orderkey").alias("new_id"), starts.alias("starts"), ends.alias("ends"))
+    rows = t("orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("starts"), F.expr("o_orderdate + INTERVAL 90 DAY AS ends"))
+    return C.intersections(rows, "o_custkey", "o_orderkey", "starts", "ends")
 
 
 def health(t) -> DataFrame:
