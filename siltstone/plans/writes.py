@@ -104,12 +104,12 @@ def monotone_log(t):
     return found.where(F.col("value") < F.col("before.value")).select("event_id", F.col("before.event_id").alias("prior_id"))
 
 
-@query("SELECT o_custkey, o_orderkey, sum(o_totalprice::DECIMAL(18,2)) OVER w AS spent, max(o_totalprice) OVER w AS most, count(*) OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+@query("SELECT o_custkey, o_orderkey, round((sum(o_totalprice::DECIMAL(18,2)) OVER w)::DOUBLE, 2) AS spent, max(o_totalprice) OVER w AS most, count(*) OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 def running_spend(t):
     rows = scan.ranged(t("orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice"), "o_custkey", "o_orderdate", "o_orderkey")
     price = F.col("o_totalprice")
     found = scan.running(rows, ("o_custkey",), ("o_orderdate", "o_orderkey"), ("spent", "sum", price.cast("decimal(18,2)")), ("most", "max", price), ("n", "sum", F.lit(1).cast("long")))
-    return found.select("o_custkey", "o_orderkey", "spent", "most", "n")
+    return found.select("o_custkey", "o_orderkey", F.round(F.col("spent").cast("double"), 2).alias("spent"), "most", "n")
 
 
 @query("""WITH q AS (SELECT user_id, event_id AS ask, ts + INTERVAL 6 HOUR AS at FROM events WHERE event_type = 'view'), h AS (SELECT user_id, event_id, ts, event_type AS status, value, ts + INTERVAL 2 DAY AS valid_to FROM events WHERE event_type IN ('click', 'signup', 'purchase')),
