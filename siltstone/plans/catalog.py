@@ -196,14 +196,21 @@ def _similar(t, limit):
     return Q.ranked(near, "similarity", "id", limit)
 
 
-@query(f"""WITH w AS (SELECT doc_id AS id, {_N.format(_WORDS.format('text'), 'the')} AS n FROM documents),
+_HYBRID = f"""WITH w AS (SELECT doc_id AS id, {_N.format(_WORDS.format('text'), 'the')} AS n FROM documents),
  a AS (SELECT id, row_number() OVER (ORDER BY n DESC, id) AS rank FROM w WHERE n > 0 QUALIFY rank <= 200), v AS (SELECT vec_id AS id, {_COS.format('embedding')} AS similarity FROM embeddings),
  b AS (SELECT id, similarity, row_number() OVER (ORDER BY similarity DESC, id) AS rank FROM v QUALIFY rank <= 200),
  f AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS raw, count(*) AS n_lists, max(similarity) AS similarity FROM (SELECT id, rank, NULL AS similarity FROM a UNION ALL SELECT id, rank, similarity FROM b) GROUP BY id),
  g AS (SELECT id, n_lists, similarity, raw / (SELECT max(raw) FROM f) * CASE id % 4 WHEN 0 THEN 0.8::DOUBLE WHEN 1 THEN 1.0 WHEN 2 THEN 1.5 ELSE 2.0 END AS fused FROM f)
-SELECT id, round(fused, 8) AS fused, n_lists, round(0.7::DOUBLE * fused / (SELECT max(fused) FROM g) + 0.3::DOUBLE * coalesce(similarity, 0), 6) AS score FROM g""")
-def hybrid_rrf(t):
+SELECT id, round(fused, 8) AS fused, n_lists, round(0.7::DOUBLE * fused / (SELECT max(fused) FROM g) + 0.3::DOUBLE * coalesce(similarity, 0), 6) AS score FROM g"""
+
+
+@query(_HYBRID)
+def scan_hybrid(t):
     words = t("documents").select(F.col("doc_id").alias("id"), Q.spans(F.col("text"), "the").alias("n")).where("n > 0")
+    return _hybrid(t, words)
+
+
+def _hybrid(t, words):
     fused = Q.weighted(Q.fused([Q.ranked(words, "n", "id", 200), _similar(t, 200)], "id", carry=("similarity",)), (F.col("id") % 4 + 1).cast("int"))
     return Q.rescored(fused, "fused", "similarity").select("id", F.round("fused", 8).alias("fused"), "n_lists", F.round("score", 6).alias("score"))
 

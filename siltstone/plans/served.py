@@ -10,7 +10,7 @@ from siltstone.operators import inverted as V
 from siltstone.operators import ledger as L
 from siltstone.operators import search as Q
 from siltstone.operators.shared import folder
-from siltstone.plans.catalog import _LIVE, _N, _PAGES, _QUESTION, _STARTS, _TF
+from siltstone.plans.catalog import _HYBRID, _LIVE, _N, _PAGES, _QUESTION, _STARTS, _TF, _hybrid
 from siltstone.plans.registry import ORACLES, QUERIES, read
 from siltstone.streaming import ingest as I
 from siltstone.streaming import retract as T
@@ -101,6 +101,13 @@ def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.bm25(spark, index_of(spark, sf_dir), ["the", "license"]).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+@served(_HYBRID)
+def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = V.postings(spark, index_of(spark, sf_dir), [("the", False)])
+    words = found.select(F.col("doc").alias("id"), F.size("body").alias("n")).where("n > 0")
+    return _hybrid(lambda name: read(spark, sf_dir, name), words)
+
+
 _CHANGED = """SELECT doc_id, lang, CASE WHEN doc_id % 7 = 1 THEN upper(text) || ' the license' ELSE text END AS text, CASE WHEN doc_id % 7 = 1 THEN 'the notice' ELSE split_part(text, chr(10), 1) END AS title, doc_id % 5 = 0 AS machine FROM documents WHERE doc_id % 9 > 0 OR doc_id % 7 = 1"""
 
 

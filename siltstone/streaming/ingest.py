@@ -16,7 +16,7 @@ def arrivals(spark: SparkSession, path: str, schema: StructType, files: int = 16
 
 
 #: Folders of a ledger, by hash of the key.
-BUCKETS = 32
+BUCKETS = 16
 
 
 def ingest(stream: DataFrame, ledger: str, checkpoint: str, *key: str, valid: Column | None = None, quarantine: str | None = None, buckets: int = BUCKETS) -> StreamingQuery:
