@@ -12,8 +12,10 @@ verified by the sets themselves.  Phrases are templates with threshold one whose
 words must then stand consecutively.
 
 Templates are few and small, so they travel with the job; texts never move.
-Null and empty texts have no words.  Rows may repeat, other columns are ignored
-(named ones are carried), and an empty table gives an empty result.
+Null and empty texts have no words; texts of any length are read whole, block by
+block.  Rows may repeat and are scanned each where it lies, so a row that a third
+of the table repeats is no hot key.  Other columns are ignored, and an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

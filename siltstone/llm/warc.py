@@ -11,7 +11,10 @@ with an error that names the archive if one is wrong.
 Null html counts as empty.  Of pages with equal payloads of at least
 ``least`` bytes, that with the smallest id is the response and others are
 revisits; rows that repeat the smallest id stay responses.  A null id is larger
-than all others.  Other columns are ignored; an empty table gives no archive.
+than all others.  A page of any length is one record, and one that is larger than
+an archive should be is an archive of its own.  A payload that a third of the
+pages have is met by broadcast where they lie.  Other columns are ignored; an
+empty table gives no archive.
 """
 
 from __future__ import annotations
@@ -140,8 +143,9 @@ def page_record(text: bytes) -> tuple:
 
 def typed(pages: DataFrame, least: int = 0) -> DataFrame:
     """id, url, html (null for revisits), bytes, sha, first: the id of the response
-    with this payload.  Html is not shuffled: a payload is known by its digest,
-    and hot payloads are few, see HOT_SHARE."""
+    with this payload.  A payload is known by its digest, and hot payloads are few,
+    see HOT_SHARE.  Html is not shuffled while the digests of repeated payloads can
+    be broadcast; beyond that, the rows of payloads that are not hot are, once."""
     body = F.coalesce("html", F.lit("")).cast("binary")
     base = pages.select(F.col("page_id").alias("id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.octet_length(body).cast("long").alias("bytes"), F.sha1(body).alias("sha"))
     alike = stored(base.groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("w")).where("w > 1"), "payloads")

@@ -114,3 +114,18 @@ def test_fingerprints_pair_neighbours_once(spark):
     assert Counter(r.a for r in seen) == Counter(t for _, t in rows) == Counter(r.b for r in seen)
     assert sum(r.a == r.b == "a" for r in seen) == 39 and sum(r.a == r.b == "b" for r in seen) == 4
 
+
+
+def test_archives_of_pages_without_ids_and_a_packed_dictionary(spark):
+    import struct
+
+    import zstandard
+
+    pages = spark.createDataFrame([(None, "u", "<p>a</p>"), (None, "u", "<p>a</p>"), (4, "v", "<p>a</p>"), (None, None, "<p>only</p>"), (5, "w", "<p>b</p>"), (5, "w", "<p>b</p>")], "page_id long, url string, html string").withColumns({"first": F.lit("x"), "bytes": F.lit(1), "content": F.lit("y")})
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.read_archives(warc.write_archives(pages)).collect())
+    assert got == Counter({(None, "revisit", 4): 2, (4, "response", None): 1, (None, "response", None): 1, (5, "response", None): 2})
+    many = [warc.record("response", i, "u", f"<p>{i}</p>".encode() * 30, len(f"<p>{i}</p>") * 30, warc.digest(f"<p>{i}</p>".encode() * 30), None) for i in range(200)]
+    data = warc.archive(many)
+    size = int.from_bytes(data[4:8], "little")
+    packed = zstandard.ZstdCompressor().compress(data[8 : 8 + size])
+    assert list(warc.records(struct.pack("<II", warc.SKIPPABLE, len(packed)) + packed + data[8 + size :])) == many
