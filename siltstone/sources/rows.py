@@ -116,7 +116,7 @@ def _in_tree(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("conversation", "title", "current_node", F.explode(F.map_entries("mapping")).alias("e")).select("conversation", "title", "current_node", F.col("e.key").alias("node"), "e.value.*")
 
 
-def chatgpt_export(spark: SparkSession, path: str) -> DataFrame:
+def tree_conversations(spark: SparkSession, path: str) -> DataFrame:
     """Conversations whose messages are a tree of nodes (``mapping``): conversation, title, node, parent, record, role, at,
     text, active (on the branch that ends in the current node), reason (null for messages that are taken)."""
     nodes = _in_tree(spark, path)
@@ -137,7 +137,7 @@ def chatgpt_export(spark: SparkSession, path: str) -> DataFrame:
     return found.select("conversation", "title", "node", "parent", F.coalesce("message.id", "node").alias("record"), role.alias("role"), F.timestamp_seconds("message.create_time").alias("at"), text.alias("text"), F.array_contains("branch", F.col("node")).alias("active"), reason.alias("reason"))
 
 
-def claude_export(spark: SparkSession, path: str) -> DataFrame:
+def list_conversations(spark: SparkSession, path: str) -> DataFrame:
     """Conversations with a list of messages (``chat_messages``): conversation, title, turn, record, role, at, text, reason."""
     schema = "uuid string, name string, chat_messages array<struct<uuid:string,sender:string,created_at:string,text:string,content:array<struct<type:string,text:string>>>>"
     rows = spark.read.schema(schema).json(path, multiLine=True).select(F.col("uuid").alias("conversation"), F.col("name").alias("title"), F.posexplode("chat_messages").alias("turn", "m"))

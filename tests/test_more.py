@@ -229,11 +229,11 @@ def test_conversation_exports(spark, tmp_path):
     say = lambda role, kind, *parts: {"id": None, "author": {"role": role}, "create_time": 1.5, "content": {"content_type": kind, "parts": list(parts)}}
     tree = {"r": {"message": None, "parent": None}, "a": {"message": say("user", "text", "hi"), "parent": "r"}, "b": {"message": say("assistant", "text", "yes", {"asset_pointer": "x"}, "more"), "parent": "a"}, "b2": {"message": say("assistant", "text", "no"), "parent": "a"}, "s": {"message": say("user", "user_editable_context", "be kind"), "parent": "r"}, "e": {"message": say("tool", "text", " "), "parent": "b"}, "w": {"message": say("robot", "text", "x"), "parent": "b"}}
     (tmp_path / "g.json").write_text(json.dumps([{"conversation_id": "c1", "title": "T", "current_node": "b", "mapping": tree}, {"id": "c2", "title": "U", "mapping": {}}]))
-    got = {r.node: r for r in X.chatgpt_export(spark, f"{tmp_path}/g.json").collect()}
+    got = {r.node: r for r in X.tree_conversations(spark, f"{tmp_path}/g.json").collect()}
     assert {n: (r.role, r.text, r.active, r.reason) for n, r in got.items() if r.reason is None} == {"a": ("user", "hi", True, None), "b": ("assistant", "yes\nmore", True, None), "b2": ("assistant", "no", False, None)}
     assert {n: r.reason for n, r in got.items() if r.reason} == {"s": "instructions", "e": "empty_content", "w": "unsupported_role"} and got["a"].conversation == "c1"
     (tmp_path / "c.json").write_text(json.dumps([{"uuid": "c", "name": "N", "chat_messages": [{"uuid": "m", "sender": "human", "created_at": "2026-01-01T09:00:01Z", "text": "q"}, {"uuid": "n", "sender": "assistant", "created_at": "2026-01-01T09:00:02Z", "text": "", "content": [{"type": "text", "text": "a"}, {"type": "tool_use"}, {"type": "text", "text": "b"}]}, {"uuid": "o", "sender": "bot", "created_at": "2026-01-01T09:00:02Z", "text": "x"}, {"uuid": "p", "sender": "human", "created_at": "soon", "text": "x"}]}]))
-    assert [(r.record, r.role, r.text, r.reason) for r in X.claude_export(spark, f"{tmp_path}/c.json").orderBy("turn").collect()] == [("m", "user", "q", None), ("n", "assistant", "a\nb", None), ("o", "bot", "x", "unsupported_sender"), ("p", "user", "x", "time_invalid")]
+    assert [(r.record, r.role, r.text, r.reason) for r in X.list_conversations(spark, f"{tmp_path}/c.json").orderBy("turn").collect()] == [("m", "user", "q", None), ("n", "assistant", "a\nb", None), ("o", "bot", "x", "unsupported_sender"), ("p", "user", "x", "time_invalid")]
 
 
 def test_session_logs_in_two_dialects_from_an_offset(spark, tmp_path):
