@@ -183,13 +183,14 @@ def _wrapped(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit(rf"(?:{_ISSUERS})[\w-]*+[ \t]*+\r?\n")), found).otherwise(F.array().cast("array<string>"))
 
 
-def redacted(text: Column) -> Column:
-    """Each secret replaced by [redacted:kind], what is not seen taken out."""
+def redacted(text: Column, seeds: bool = True) -> Column:
+    """Each secret replaced by [redacted:kind], what is not seen taken out.  A seed phrase is known by its look alone, so a
+    list of plain words goes as well; without ``seeds`` such runs stay."""
     text = F.regexp_replace(text, _INVISIBLE, "")
     text = _let(text, lambda t: F.aggregate(_wrapped(t), t, lambda out, x: F.replace(out, x, F.lit("[redacted:api_token]"))))
     for kind, pattern, kept in CREDENTIALS:
         text = F.regexp_replace(text, pattern, f"{kept}[redacted:{kind}]")
-    return _let(text, _without_seeds)
+    return _let(text, _without_seeds) if seeds else text
 
 
 def redaction_counts(text: Column) -> Column:

@@ -58,10 +58,10 @@ def coverage(query: str, title: Column, body: Column) -> Column:
     return F.when(whole, 1.0).when(found >= need, found / len(terms)).otherwise(0.0)
 
 
-def search(docs: DataFrame, query: str, ceiling: int, limit: int = 50, scope: str = "all", types: tuple[str, ...] | None = None, subjects: tuple[str, ...] | None = None, since: str | None = None, until: str | None = None, degraded: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+def search(docs: DataFrame, query: str, ceiling: int, limit: int = 50, scope: str = "all", types: tuple[str, ...] | None = None, subjects: tuple[str, ...] | None = None, since: str | None = None, until: str | None = None, degraded: tuple[str, ...] = (), seeds: bool = True) -> tuple[DataFrame, list[str]]:
     """Hits (doc_id, exact, score, coverage, excerpt) and labels.  What the reader may not see, and what the question leaves
     out, is no candidate.  A time bound asks events alone.  A question with few literal hits is asked again for most of
-    its words.  Hits that the redacted text does not bear out are dropped."""
+    its words.  Hits that the redacted text does not bear out are dropped; ``seeds`` as in ``redacted``."""
     labels = list(degraded)
     empty = docs.sparkSession.createDataFrame([], "doc_id string, exact boolean, score double, coverage double, excerpt string")
     if not Q.parse_query(query):
@@ -83,22 +83,23 @@ def search(docs: DataFrame, query: str, ceiling: int, limit: int = 50, scope: st
     if terms and found.limit(Q.BELOW).count() < Q.BELOW:
         labels.append("query-relaxed")
         found = Q.relaxed(seen, terms, need, "body").orderBy(F.desc("covered"), "doc_id").limit(limit).withColumns({"exact": F.lit(False), "score": F.col("coverage")})
-    shown = found.withColumns({"title": redacted(F.col("title")), "body": redacted(F.col("body"))})
+    shown = found.withColumns({"title": redacted(F.col("title"), seeds), "body": redacted(F.col("body"), seeds)})
     words = [w for p, _ in Q.parse_query(query) for w in p.split()]
     kept = shown.withColumn("coverage", coverage(query, F.col("title"), F.col("body"))).where("coverage > 0").select("doc_id", "exact", F.col("score").cast("double").alias("score"), F.col("coverage").cast("double").alias("coverage"), Q.snippet(F.col("body"), words).alias("excerpt"))
     return kept, [*labels, *(["query-no-match"] if "query-relaxed" in labels and kept.isEmpty() else [])]
 
 
 def page(pages: DataFrame, ceiling: int, id: str | None = None, path: str | None = None) -> DataFrame:
-    """id, reason, excerpt, truncated of the one page asked for by id or path; no row where there is none, or it was
-    retracted: both look alike.  ``reason`` says why it is withheld.  ``pages`` adds retracted and rank, its label's."""
+    """id, reason, excerpt, truncated, length of the one page asked for by id or path; no row where there is none, or it
+    was retracted: both look alike.  ``reason`` says why it is withheld; ``length`` is that of the body as it is stored,
+    before redaction and the cut.  ``pages`` adds retracted and rank, its label's."""
     if (id is None) == (path is None):
         raise ValueError("a page is asked for by its id or its path")
     found = pages.where(F.col("id") == id if path is None else F.col("path") == path).where(~F.coalesce("retracted", F.lit(False)))
     reason = F.when(F.col("rank").isNull(), "unlabeled").when(F.col("rank") > ceiling, "above_ceiling")
     body = redacted(F.col("body"))
     shown = reason.isNull()
-    return found.select("id", reason.alias("reason"), F.when(shown, F.substring(body, 1, BODY)).alias("excerpt"), (shown & (F.length(body) > BODY)).alias("truncated"))
+    return found.select("id", reason.alias("reason"), F.when(shown, F.substring(body, 1, BODY)).alias("excerpt"), (shown & (F.length(body) > BODY)).alias("truncated"), F.when(shown, F.length("body")).alias("length"))
 
 
 def entities(pages: DataFrame, ceiling: int, name: str | None = None, kind: str | None = None, limit: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -119,17 +120,17 @@ def entities(pages: DataFrame, ceiling: int, name: str | None = None, kind: str
     return served, rows.where("reason IS NOT NULL").select("id", "reason")
 
 
-def evidence(asked: DataFrame, anchors: DataFrame, events: DataFrame) -> DataFrame:
+def evidence(asked: DataFrame, anchors: DataFrame, events: DataFrame, seeds: bool = True) -> DataFrame:
     """claim_id, event_id, start, ends, offset, quote for each span asked for that is one of its support's anchors and that
-    redaction does not cut through; ``offset`` counts in the redacted text.  All else has no row.
+    redaction does not cut through; ``offset`` counts in the redacted text.  All else has no row.  ``seeds`` as in ``redacted``.
 
     ``asked`` and ``anchors``: claim_id, event_id, start, ends (code points, end exclusive); ``events``: event_id, text."""
     keys = ["claim_id", "event_id", "start", "ends"]
     held = asked.join(anchors.select(*keys).distinct(), keys, "left_semi").join(events.select("event_id", "text"), "event_id")
-    cut = lambda a, n: redacted(F.substr("text", a, n))
+    cut = lambda a, n: redacted(F.substr("text", a, n), seeds)
     one = F.lit(1)
     before, inside, behind = cut(one, F.col("start")), cut(F.col("start") + 1, F.col("ends") - F.col("start")), cut(F.col("ends") + 1, F.length("text"))
-    parts = held.withColumns({"before": before, "quote": inside, "behind": behind, "whole": redacted(F.col("text"))})
+    parts = held.withColumns({"before": before, "quote": inside, "behind": behind, "whole": redacted(F.col("text"), seeds)})
     fair = (F.concat("before", "quote", "behind") == F.col("whole")) & (F.length("quote") > 0)
     return parts.where(fair).select(*keys, F.length("before").alias("offset"), "quote")
 
