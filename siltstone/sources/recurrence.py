@@ -1,8 +1,9 @@
 """Recurrence rules of calendar events, expanded by day with built-in functions.
 
-The days from an event's start to its end of search are a sequence; the rule is a
-filter over that array, so nothing is shuffled and an event stays one row until its
-occurrences are exploded.  The time of day stays with the caller.
+An event's periods (weeks, months, years) up to its end of search are a sequence,
+each with the few days that its rule could mean; the rule is a filter over that
+array.  Events of one date and rule have the same days, found once; they meet
+their events again by a join, and an event stays one row until it is exploded.  The time of day stays with the caller.
 """
 
 from __future__ import annotations
@@ -75,6 +76,44 @@ def _fits(d: Column) -> Column:
     return (F.pmod(period, F.col("r_interval")) == 0) & on_day & on_month_day & on_month & usual
 
 
+def _candidates() -> Column:
+    """Days from r_start to r_last among which are all that fit the rule: one or a few for each of its periods."""
+    start, last, freq, step = F.col("r_start"), F.col("r_last"), F.col("r_freq"), F.col("r_interval")
+    periods = lambda n: F.sequence(F.lit(0), F.greatest(F.floor(n / step).cast("int"), F.lit(0)))
+    day_number = lambda x: F.array_position(F.array(*map(F.lit, WEEKDAYS)), x["code"]).cast("int") - 1
+    days = F.col("r_days")
+    since = F.pmod(F.weekday(start) - F.col("r_first"), F.lit(7))
+    week = lambda i: F.date_add(start, (i * step * 7 - since).cast("int"))
+    on = F.when(F.size(days) == 0, F.array(since.cast("int"))).otherwise(F.transform(days, lambda x: F.pmod(day_number(x) - F.col("r_first"), F.lit(7)).cast("int")))
+    weekly = F.flatten(F.transform(periods(F.floor(F.datediff(last, start) / 7) + 1), lambda i: F.transform(on, lambda d: F.date_add(week(i), d))))
+    daily = F.transform(periods(F.datediff(last, start)), lambda i: F.date_add(start, (i * step).cast("int")))
+    n_years = F.year(last) - F.year(start)
+    monthly = F.transform(periods(n_years * 12 + F.month(last) - F.month(start)), lambda i: F.add_months(F.trunc(start, "month"), (i * step).cast("int")))
+    plain = (F.size(days) == 0) & (F.size("r_month_days") == 0)
+    named = F.when(F.size("r_months") > 0, F.col("r_months")).when(plain, F.array(F.month(start))).otherwise(F.sequence(F.lit(1), F.lit(12)))
+    yearly = F.flatten(F.transform(periods(n_years), lambda i: F.transform(named, lambda m: F.make_date((F.year(start) + i * step).cast("int"), m, F.lit(1)))))
+
+    def inside(m: Column) -> Column:
+        by_day = F.flatten(F.transform(days, lambda x: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.date_add(m, (F.pmod(day_number(x) - F.weekday(m), F.lit(7)) + 7 * k).cast("int")))))
+        by_number = F.transform("r_month_days", lambda x: F.when(x > 0, F.date_add(m, x - 1)).otherwise(F.date_add(F.last_day(m), x + 1)))
+        return F.when(F.size("r_month_days") > 0, by_number).when(F.size(days) > 0, by_day).otherwise(F.array(F.date_add(m, F.dayofmonth(start) - 1)))
+
+    months = F.flatten(F.transform(F.when(freq == "MONTHLY", monthly).otherwise(yearly), inside))
+    return F.filter(F.when(freq == "DAILY", daily).when(freq == "WEEKLY", weekly).otherwise(months), lambda d: d.between(start, last))
+
+
+def _found(kinds: DataFrame, alike: list[str], most: int) -> DataFrame:
+    """``kinds`` with the days of each in ``r_found``."""
+    none = F.array().cast("array<date>")
+    rows = kinds.withColumns(_parsed(F.col("r_rule"))).withColumn("r_last", F.when(F.col("r_ok"), F.least("r_end", "r_until")))
+    days = F.when(F.col("r_start") <= F.col("r_last"), F.array_sort(F.array_distinct(_candidates()))).otherwise(none)
+    # each array is named once in what follows, so it is made once
+    found = F.slice(F.filter(days, _fits), F.lit(1), F.coalesce("r_count", F.lit(2**31 - 1)))
+    kept = F.filter(F.array_sort(F.array_distinct(F.concat(found, "r_more"))), lambda d: ~F.array_contains("r_without", d))
+    kept = F.reverse(F.slice(F.reverse(kept), 1, most))
+    return rows.select(*alike, F.when(F.col("r_ok"), kept).otherwise(F.array("r_start")).alias("r_found"))
+
+
 def expanded(events: DataFrame, key: str, start: str, rule: str, until: Column, without: str | None = None, more: str | None = None, most: int = 1000) -> DataFrame:
     """(key, n, day): a row for each day on which an event of date ``start`` takes place, none after ``until``; n from 0.
 
@@ -84,11 +123,9 @@ def expanded(events: DataFrame, key: str, start: str, rule: str, until: Column,
     none = F.array().cast("array<date>")
     extra = lambda c: F.coalesce(F.col(c), none) if c else none
     rows = events.select(F.col(key).alias("r_key"), F.col(start).cast("date").alias("r_start"), until.cast("date").alias("r_end"), F.upper(F.trim(F.coalesce(rule, F.lit("")))).alias("r_rule"), extra(without).alias("r_without"), extra(more).alias("r_more"))
-    rows = rows.where("r_start IS NOT NULL AND r_end IS NOT NULL").withColumns(_parsed(F.col("r_rule"))).drop("r_rule")
-    last = F.when(F.col("r_ok"), F.least("r_end", "r_until"))
-    days = F.when(F.col("r_start") <= last, F.sequence(F.col("r_start"), last)).otherwise(none)
-    # each array is named once in what follows, so it is made once
-    found = F.slice(F.filter(days, _fits), F.lit(1), F.coalesce("r_count", F.lit(2**31 - 1)))
-    kept = F.filter(F.array_sort(F.array_distinct(F.concat(found, "r_more"))), lambda d: ~F.array_contains("r_without", d))
-    kept = F.reverse(F.slice(F.reverse(kept), 1, most))
-    return rows.select(F.col("r_key").alias(key), F.posexplode(F.when(F.col("r_ok"), kept).otherwise(F.array("r_start"))).alias("n", "day"))
+    rows = rows.where("r_start IS NOT NULL AND r_end IS NOT NULL")
+    # events of one date and rule have the same days, found once; a small table would else be one task
+    alike = ["r_start", "r_end", "r_rule", "r_without", "r_more"]
+    dealt = 4 * events.sparkSession.sparkContext.defaultParallelism
+    kinds = rows.select(*alike).distinct().repartition(dealt)
+    return rows.repartition(dealt).join(_found(kinds, alike, most), alike).select(F.col("r_key").alias(key), F.posexplode("r_found").alias("n", "day"))

@@ -40,3 +40,15 @@ def test_exceptions_count_and_the_last_days_stay(spark):
     assert of("without", "more") == ["2024-01-01", "2024-01-03", "2024-01-04", "2024-03-01"]
     assert of(most=2) == ["2024-01-03", "2024-01-04"]
     assert len(of("nothing", "nothing")) == 4
+
+
+def test_candidate_days_follow_the_periods(spark):
+    """All days that fit are candidates, whatever the rule, and no more than a few for each period."""
+    rules = ["FREQ=DAILY;INTERVAL=7", "FREQ=WEEKLY;INTERVAL=3;BYDAY=SU,MO;WKST=SU", "FREQ=WEEKLY;WKST=TH", "FREQ=MONTHLY;BYDAY=-1FR,2TU,WE", "FREQ=MONTHLY;BYMONTHDAY=31,1,-30", "FREQ=MONTHLY;INTERVAL=5;BYMONTHDAY=13;BYDAY=FR",
+             "FREQ=YEARLY;INTERVAL=2;BYDAY=53MO,-1SU,TH", "FREQ=YEARLY;BYMONTHDAY=30", "FREQ=YEARLY;BYMONTH=2,11", "FREQ=YEARLY;BYMONTH=2;BYMONTHDAY=29", "FREQ=MONTHLY", "FREQ=YEARLY"]
+    starts = [dt.date(2023, 12, 31), dt.date(2024, 1, 31), dt.date(2024, 2, 29), dt.date(2024, 7, 3)]
+    rows = spark.createDataFrame([(s, r) for s in starts for r in rules], "r_start date, r_rule string").withColumn("r_last", F.lit("2029-01-31").cast("date")).withColumns(RR._parsed(F.col("r_rule")))
+    every = F.filter(F.sequence("r_start", "r_last"), RR._fits)
+    got = rows.select("r_rule", "r_ok", every.alias("a"), F.array_sort(F.array_distinct(F.filter(RR._candidates(), RR._fits))).alias("b"), F.size(RR._candidates()).alias("n")).collect()
+    assert all(r.r_ok and list(r.a) == list(r.b) for r in got), [r.r_rule for r in got if list(r.a) != list(r.b)]
+    assert max(r.n for r in got if r.r_rule in ("FREQ=MONTHLY", "FREQ=YEARLY", "FREQ=DAILY;INTERVAL=7")) < 300
