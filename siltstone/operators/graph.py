@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.operators.shared import written
+
 
 #: Links around links that are told apart.
 NESTED = 8
@@ -93,13 +95,14 @@ def reach(edges: DataFrame, start: DataFrame, depth: int = 8, most: int | None =
     """(node, hops, parent) along directed edges from the nodes of ``start``: least hops, of equal parents the smallest.
 
     Breadth first: every step joins the edges with the nodes reached last alone, and drops those known before, so no path
-    is walked twice and cycles end.  A step is written to the checkpoint folder.  With ``most``, the nodes nearest."""
-    pairs = edges.select("src", "dst").distinct()
+    is walked twice and cycles end.  Edges and steps are written to the checkpoint folder, so Spark knows their sizes and
+    broadcasts none but small ones.  With ``most``, the nodes nearest."""
+    pairs = written(edges.select("src", "dst").distinct(), "edges")
     seen = start.select("node", F.lit(0).alias("hops"), F.lit(None).cast(dict(pairs.dtypes)["src"]).alias("parent"))
     last = seen
     for hop in range(1, depth + 1):
         step = pairs.join(last.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-        last = step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("hops"), "parent").checkpoint()
+        last = written(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("hops"), "parent"), "reached")
         if last.isEmpty():
             break
         seen = seen.unionByName(last)
