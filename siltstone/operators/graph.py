@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from siltstone.operators.shared import written
 
 #: Links around links that are told apart.
 NESTED = 8
+#: Rows (a support's print each) of a claim that one task joins, at most.
+HELD = 1 << 16
 
 
 def wikilinks(body: Column) -> Column:
@@ -197,15 +202,55 @@ def identities(claims: DataFrame, least: int = 2) -> DataFrame:
     return full.select("node", F.when(F.col("split"), F.col("node")).otherwise(F.col("cluster")).alias("cluster"), state.alias("resolution"))
 
 
-def lineage(supports: DataFrame, prints: DataFrame) -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """claim, n from rows (claim, support, print) that come by claim: supports less the unions that prints make of them."""
+    now, above, first, n, out = None, {}, {}, 0, []
+
+    def top(x):
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for batch in batches:
+        kind = batch.schema.field("claim").type
+        for claim, support, mark in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if claim != now:
+                if now is not None:
+                    out.append((now, n))
+                now, above, first, n = claim, {}, {}, 0
+            if support not in above:
+                above[support], n = support, n + 1
+            if mark is not None:
+                a, b = top(support), top(first.setdefault(mark, support))
+                if a != b:
+                    above[a], n = b, n - 1
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], kind), pa.array([k for _, k in out], pa.int64())], names=["claim", "n"])
+        out = []
+    if now is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([n], pa.int64())], names=["claim", "n"])
+
+
+def lineage(supports: DataFrame, prints: DataFrame, held: int = HELD) -> DataFrame:
     """(claim, n_roots, status) over supports (support, claim, derived: independent, dependent or unknown) and their prints
     (support, print: hashes of source, version, text, occurrence).  Supports that share a print are one root; copies and
-    what is derived add none; an unknown one leaves the count in doubt."""
-    own = supports.where("derived = 'independent'")
-    met = prints.join(own.select("support", "claim"), "support")
-    first = met.groupBy("claim", "print").agg(F.min("support").alias("least"))
-    links = met.join(first, ["claim", "print"]).select(F.col("support").alias("a"), F.col("least").alias("b")).distinct()
-    label = clusters(links)
-    roots = own.join(label, own["support"] == label["node"], "left").groupBy("claim").agg(F.countDistinct(F.coalesce("cluster", "support")).alias("n"))
+    what is derived add none; an unknown one leaves the count in doubt.
+
+    A claim none of whose supports stands under another one is joined by itself in one task; those that have supports in
+    common, and those of more than ``held`` rows, are clustered across tasks."""
+    own = supports.where("derived = 'independent' AND claim IS NOT NULL AND support IS NOT NULL").select("support", "claim").distinct()
+    rows = written(own.join(prints.select("support", "print"), "support", "left").select("claim", "support", "print"), "lineage")
+    common = rows.groupBy("support").agg(F.min("claim").alias("x"), F.max("claim").alias("y")).where("x <> y").select("support")
+    wide = rows.groupBy("claim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > held).select("claim")
+    apart = written(wide.unionByName(rows.join(common, "support", "left_semi").select("claim")).distinct(), "lineage")
+    count = f"claim {dict(rows.dtypes)['claim']}, n long"
+    if apart.isEmpty():
+        roots = rows.repartition("claim").sortWithinPartitions("claim").mapInArrow(_joined, count)
+    else:
+        roots = rows.join(apart, "claim", "left_anti").repartition("claim").sortWithinPartitions("claim").mapInArrow(_joined, count)
+        rest = written(rows.join(apart, "claim", "left_semi"), "lineage")
+        first = rest.where("print IS NOT NULL").groupBy("claim", "print").agg(F.min("support").alias("least"))
+        label = clusters(rest.join(first, ["claim", "print"]).select(F.col("support").alias("a"), F.col("least").alias("b")).distinct())
+        of = rest.select("claim", "support").distinct().join(label, F.col("support") == F.col("node"), "left")
+        roots = roots.unionByName(of.groupBy("claim").agg(F.countDistinct(F.coalesce("cluster", "support")).alias("n")))
     state = supports.groupBy("claim").agg(F.bool_or(F.col("derived") == "unknown").alias("vague"))
     return state.join(roots, "claim", "left").select("claim", F.coalesce("n", F.lit(0)).alias("n_roots"), F.when(F.col("vague"), "unknown").otherwise("known").alias("status"))
