@@ -23,6 +23,7 @@ from siltstone.functions.scalar import AUTHORITY, SENSITIVITY, content_hash, nor
 from siltstone.operators import graph
 from siltstone.operators.claims import FAR, MARGIN, SINGLE_VALUED, authority
 from siltstone.operators.scan import RANGE, ranged, running
+from siltstone.operators.shared import written
 
 #: Claims that a component holds at once, at most; arrivals beyond are returned as such, undecided.
 LIVE = 1 << 20
@@ -207,7 +208,7 @@ def requested(requests: DataFrame, existing: DataFrame, events: DataFrame, parts
     marked = marked.join(first, "hash")
     said = F.col("intent") == "correct"
     reason = F.when(~F.coalesce("fit", F.lit(False)), "provenance").when(said & F.col("claim_key").isNull(), "target_required")
-    marked = marked.withColumn("reason", reason)
+    marked = written(marked.withColumn("reason", reason), "requests")
     fit = marked.where("reason IS NULL AND request_id = first")
     tier = authority(F.col("intent"), F.col("producer"), F.lit(False), F.col("taints"), F.col("connectors"), F.lit(False))
     claims = fit.select(
@@ -216,7 +217,7 @@ def requested(requests: DataFrame, existing: DataFrame, events: DataFrame, parts
     )
     # a correction needs something to correct: what stands before any request
     stands = filed(existing, parts=parts).where("status = 'live'").select("claim_id").join(existing.select("claim_id", "claim_key"), "claim_id").select("claim_key").distinct()
-    blind = fit.where(said).join(stands, "claim_key", "left_anti").select(F.col("request_id").alias("claim_id"))
+    blind = written(fit.where(said).join(stands, "claim_key", "left_anti").select(F.col("request_id").alias("claim_id")), "blind")
     done = filed(_shaped(existing).unionByName(_shaped(claims.join(blind, "claim_id", "left_anti"))), parts=parts).withColumnRenamed("claim_id", "request_id")
     met = marked.select("request_id", "first", "reason").join(done.select("request_id", "outcome", "met", "replaced"), "request_id", "left")
     met = met.join(blind.select(F.col("claim_id").alias("request_id"), F.lit(True).alias("blind")), "request_id", "left")
