@@ -47,7 +47,7 @@ def cover_density(hits: DataFrame, n_terms: int) -> DataFrame:
 
 def hits(spark: SparkSession, index: V.Index, terms: list[str]) -> DataFrame:
     """doc, term, at, weight; the body's places follow the title's."""
-    found = V.postings(spark, index, [(t, False) for t in terms])
+    found = V.postings(spark, index, [(t, False) for t in terms], ("heads",))
     number = reduce(lambda e, kv: e.when(F.col("term") == kv[1], kv[0]), enumerate(terms), F.when(F.lit(False), 0))
     title = found.select("doc", number.alias("term"), F.explode("title").alias("at"), F.lit(TITLE).alias("weight"))
     body = found.select("doc", number.alias("term"), F.explode(F.transform("body", lambda p: p + F.col("heads"))).alias("at"), F.lit(BODY).alias("weight"))
