@@ -58,10 +58,11 @@ def coverage(query: str, title: Column, body: Column) -> Column:
     return F.when(whole, 1.0).when(found >= need, found / len(terms)).otherwise(0.0)
 
 
-def search(docs: DataFrame, query: str, ceiling: int, limit: int = 50, scope: str = "all", types: tuple[str, ...] | None = None, subjects: tuple[str, ...] | None = None, since: str | None = None, until: str | None = None, degraded: tuple[str, ...] = (), seeds: bool = True) -> tuple[DataFrame, list[str]]:
+def search(docs: DataFrame, query: str, ceiling: int, limit: int | None = 50, scope: str = "all", types: tuple[str, ...] | None = None, subjects: tuple[str, ...] | None = None, since: str | None = None, until: str | None = None, degraded: tuple[str, ...] = (), seeds: bool = True) -> tuple[DataFrame, list[str]]:
     """Hits (doc_id, exact, score, coverage, excerpt) and labels.  What the reader may not see, and what the question leaves
     out, is no candidate.  A time bound asks events alone.  A question with few literal hits is asked again for most of
-    its words.  Hits that the redacted text does not bear out are dropped; ``seeds`` as in ``redacted``."""
+    its words.  Hits that the redacted text does not bear out are dropped; ``seeds`` as in ``redacted``.  Without a
+    ``limit`` all hits come, in no order, and each task redacts its own."""
     labels = list(degraded)
     empty = docs.sparkSession.createDataFrame([], "doc_id string, exact boolean, score double, coverage double, excerpt string")
     if not Q.parse_query(query):
@@ -82,8 +83,11 @@ def search(docs: DataFrame, query: str, ceiling: int, limit: int = 50, scope: st
     terms, need = Q.relaxed_terms(query)
     if terms and found.limit(Q.BELOW).count() < Q.BELOW:
         labels.append("query-relaxed")
-        found = Q.relaxed(seen, terms, need, "body").orderBy(F.desc("covered"), "doc_id").limit(limit).withColumns({"exact": F.lit(False), "score": F.col("coverage")})
-    shown = found.withColumns({"title": redacted(F.col("title"), seeds), "body": redacted(F.col("body"), seeds)})
+        found = Q.relaxed(seen, terms, need, "body")
+        found = found.orderBy(F.desc("covered"), "doc_id").limit(limit) if limit is not None else found
+        found = found.withColumns({"exact": F.lit(False), "score": F.col("coverage")})
+    # what a generator made is not written out again for each word that is looked for in it
+    shown = found.select("doc_id", "exact", "score", F.inline(F.array(F.struct(redacted(F.col("title"), seeds).alias("title"), redacted(F.col("body"), seeds).alias("body")))))
     words = [w for p, _ in Q.parse_query(query) for w in p.split()]
     kept = shown.withColumn("coverage", coverage(query, F.col("title"), F.col("body"))).where("coverage > 0").select("doc_id", "exact", F.col("score").cast("double").alias("score"), F.col("coverage").cast("double").alias("coverage"), Q.snippet(F.col("body"), words).alias("excerpt"))
     return kept, [*labels, *(["query-no-match"] if "query-relaxed" in labels and kept.isEmpty() else [])]
