@@ -128,4 +128,6 @@ def expanded(events: DataFrame, key: str, start: str, rule: str, until: Column,
     alike = ["r_start", "r_end", "r_rule", "r_without", "r_more"]
     dealt = 4 * events.sparkSession.sparkContext.defaultParallelism
     kinds = rows.select(*alike).distinct().repartition(dealt)
-    return rows.repartition(dealt).join(_found(kinds, alike, most), alike).select(F.col("r_key").alias(key), F.posexplode("r_found").alias("n", "day"))
+    met = rows.repartition(dealt).join(_found(kinds, alike, most), alike)
+    # outer: of an inner one Catalyst infers that the array has days, and asks so of every event before equal ones are one
+    return met.select(F.col("r_key").alias(key), F.posexplode_outer("r_found").alias("n", "day")).where("day IS NOT NULL")

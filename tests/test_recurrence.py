@@ -52,3 +52,15 @@ def test_candidate_days_follow_the_periods(spark):
     got = rows.select("r_rule", "r_ok", every.alias("a"), F.array_sort(F.array_distinct(F.filter(RR._candidates(), RR._fits))).alias("b"), F.size(RR._candidates()).alias("n")).collect()
     assert all(r.r_ok and list(r.a) == list(r.b) for r in got), [r.r_rule for r in got if list(r.a) != list(r.b)]
     assert max(r.n for r in got if r.r_rule in ("FREQ=MONTHLY", "FREQ=YEARLY", "FREQ=DAILY;INTERVAL=7")) < 300
+
+
+def test_a_rule_is_read_once_for_equal_events(spark, capsys):
+    """No filter asks for an event's days before equal events are one."""
+    rows = spark.range(3000).select("id", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 3).cast("int")).alias("start"))
+    rows = rows.withColumn("rule", F.when(F.col("id") % 3 == 2, "FREQ=DAILY;UNTIL=20231231").otherwise("FREQ=WEEKLY;COUNT=3"))
+    found = RR.expanded(rows, "id", "start", "rule", F.lit("2024-12-31"))
+    capsys.readouterr()
+    found.explain(True)
+    filters = [line for line in capsys.readouterr().out.splitlines() if line.lstrip(" :+-*()0123456789").startswith("Filter")]
+    assert filters and not [line for line in filters if "regexp_extract" in line or "size(" in line]
+    assert found.count() == 2000 * 3 and found.where("id % 3 = 2 OR n IS NULL OR day IS NULL").count() == 0
