@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,3 +51,21 @@ def test_long_sets_that_share_by_chance_are_not_compared(spark, monkeypatch):
     monkeypatch.setattr(Q, "written", kept)
     pairs, _ = Q.near_claims(spark.createDataFrame(list(enumerate(texts)), "id long, body string"), "id", "body", 0.7)
     assert pairs.count() == 5 and met["claim-pairs"] < 200  # of 990, all of which share four of their rarest
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.7])
+def test_parities_rule_out_no_alike_pair(threshold):
+    r = np.random.default_rng(3)
+    sets = []
+    for n in (1, 3, 20, 63, 64, 65, 130, 500, 1300):
+        base = r.integers(-(2**63), 2**63 - 1, n)
+        for share in (1.0, 0.95, 0.8, 0.5, 0.25):
+            own = r.integers(-(2**63), 2**63 - 1, int(n * (1 - share)) * 2)
+            sets += [np.concatenate((base[: max(1, int(n * share))], own[: len(own) // 2])), np.concatenate((base, own))]
+    size = np.array([len(x) for x in sets])
+    i, j = (np.array(x) for x in zip(*itertools.combinations(range(len(sets)), 2), strict=True))
+    likeness = np.array([len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    may = Q._alike(size, Q._parities(size, np.concatenate(sets)), i, j, threshold)
+    assert may[likeness >= threshold].all() and (likeness >= threshold).sum() > 20
+    far = (likeness < 0.4) & (np.minimum(size[i], size[j]) >= np.maximum(100, 0.7 * np.maximum(size[i], size[j])))
+    assert threshold < 0.7 or (far.any() and not may[far].any())
